@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelens.llm import mixing, quality, sharding, url_rules
+from treelens.llm import mixing, near_dedup, quality, sharding, url_rules
 from treelens.llm.common import scratch, table
 
 #: Fixed rules of op3: host, path, verdict.
@@ -26,6 +26,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows, m = mixing.plan(docs)
@@ -59,5 +63,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op3_url_filters, op7_mixing, op9_quality_rules, op10_sharding)
+    f.__name__: f for f in (op3_url_filters, op6_minhash_near_dedup, op7_mixing, op9_quality_rules, op10_sharding)
 }
