@@ -43,6 +43,8 @@ from treelens.llm.common import cut, free_name, ship
 from treelens.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 85, 26, 5
+#: Hubs per bucket from the second round on: so many members meet all others at once.
+NESTED_HUBS = 64
 #: Elements of a chunk for which the permutations are evaluated at a time.
 CHUNK = 1 << 15
 
@@ -110,48 +112,58 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "members"])
 
 
-def _stars(buckets: DataFrame, score: DataFrame) -> DataFrame:
-    """(key, id, hub): the hub is the member whose buckets are largest."""
-    scored = buckets.join(score, "id")
-    hubs = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("h"))
-    hubs = hubs.select("key", (-F.col("h.neg")).alias("hub"))
-    return buckets.join(hubs, "key")
+def _hubs(buckets: DataFrame, score: DataFrame, classes: int) -> DataFrame:
+    """(key, hub, main): in each of some hashed classes of a bucket's members, the
+    one whose buckets are largest; ``main`` is the first of them in the bucket."""
+    scored = buckets.join(score, "id").withColumn("class", F.pmod(F.xxhash64("id"), F.lit(classes)))
+    hubs = scored.groupBy("key", "class").agg(
+        F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("h")
+    )
+    main = hubs.groupBy("key").agg(F.max("h").alias("m"))
+    return hubs.join(main, "key").select(
+        "key", (-F.col("h.neg")).alias("hub"), (-F.col("m.neg")).alias("main")
+    )
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, hub, linked, keys): verified pairs and the keys of the next round."""
-    ours = sets.select(F.col("doc_id").alias("id"), F.col("members").alias("x"))
-    hubs = sets.select(F.col("doc_id").alias("hub"), F.col("members").alias("h"))
-    both = pairs.join(hubs, "hub").join(ours, "id")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "h")))
-    union = F.size("x") + F.size("h") - F.col("common")
-    return both.select(
-        "id", "hub", (100 * F.col("common") >= percent * union).alias("linked"),
-        F.size("x").alias("n"), "common",
-    )
+def _pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: every member with every hub of its buckets."""
+    met = buckets.join(hubs, "key").filter("id <> hub")
+    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked): Jaccard similarity on the full sets."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    both = pairs.join(right, "b").join(left, "a")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    union = F.size("x") + F.size("y") - F.col("common")
+    return both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"))
 
 
-def _next_buckets(open_pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, active) from (id, hub, linked, n, common): shared differences to the hub."""
+def _next_buckets(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, active) from (id, main, linked): shared differences to the main hub."""
     ours = sets.select(F.col("doc_id").alias("id"), F.col("members").alias("x"))
-    hubs = sets.select(F.col("doc_id").alias("hub"), F.col("members").alias("h"))
-    both = open_pairs.join(hubs, "hub").join(ours, "id")
-    outside = F.col("n") - F.col("common")
+    hubs = sets.select(F.col("doc_id").alias("main"), F.col("members").alias("h"))
+    both = stars.join(hubs, "main").join(ours, "id")
+    both = both.withColumn("added", F.array_except("x", "h")).withColumn("n", F.size("x"))
+    outside = F.size("added")
+    common = F.col("n") - outside
     # of its elements outside the hub a link shares at least this many, so a prefix suffices
-    needed = F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) - F.col("common")
-    prefix = F.least(outside, outside - needed + 1).cast("int")
-    added = F.slice(F.array_sort(F.array_except("x", "h")), F.lit(1), F.greatest(prefix, F.lit(0)))
-    nearly_inside = 100 * F.col("common") >= percent * F.col("n")
+    needed = F.greatest(F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) - common, F.lit(1))
+    added = F.slice(F.sort_array("added"), F.lit(1), F.greatest(outside - needed + 1, F.lit(0)).cast("int"))
+    nearly_inside = 100 * common >= percent * F.col("n")
     lacking = F.when(nearly_inside, F.array_except("h", "x")).otherwise(F.array().cast("array<bigint>"))
     tagged = F.concat(
-        F.transform(added, lambda e: F.xxhash64(F.col("hub"), e, F.lit(1))),
-        F.transform(lacking, lambda e: F.xxhash64(F.col("hub"), e, F.lit(2))),
+        F.transform(added, lambda e: F.xxhash64(F.col("main"), e, F.lit(1))),
+        F.transform(lacking, lambda e: F.xxhash64(F.col("main"), e, F.lit(2))),
     )
-    return both.select(F.explode(tagged).alias("key"), "id", (~F.col("linked")).alias("active"))
+    rows = both.select(F.explode(tagged).alias("key"), "id", (~F.col("linked")).alias("active"))
+    return rows.groupBy("key", "id").agg(F.max("active").alias("active"))
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame | None, active: bool) -> DataFrame:
-    """Buckets that still hold two components, and an active member where asked."""
+    """Members of buckets that still hold two components, and an active member where asked."""
     if labels is not None:
         known = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
         buckets = buckets.join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -161,7 +173,7 @@ def _unsettled(buckets: DataFrame, labels: DataFrame | None, active: bool) -> Da
     if active:
         rule = rule & F.max("active")
     good = buckets.groupBy("key").agg(rule.alias("open")).filter("open").select("key")
-    return buckets.join(good, "key").select(*[c for c in buckets.columns if c != "label"])
+    return buckets.join(good, "key").drop("label")
 
 
 def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -177,24 +189,27 @@ def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     buckets, nested = shared.select("key", "id"), False
     edges = labels = tried = None
     while True:
-        pairs = _stars(buckets, score).filter("id <> hub").select("id", "hub").distinct()
+        hubs = cut(_hubs(buckets, score, NESTED_HUBS if nested else 1))
+        pairs = _pairs(buckets, hubs)
         if tried is None:
-            measured = tried = cut(_measured(pairs, sets, percent))
+            now = tried = cut(_verified(pairs, sets, percent))
         else:
-            fresh = _measured(pairs.join(tried, ["id", "hub"], "left_anti"), sets, percent)
-            measured = cut(fresh.unionByName(tried.join(pairs, ["id", "hub"], "left_semi")))
-            tried = cut(tried.unionByName(measured).distinct())
-        new = measured.filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+            now = cut(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent))
+            tried = cut(tried.unionByName(now))
+        new = now.filter("linked").select("a", "b")
         if not new.isEmpty():
             labels = cut(components(new if edges is None else edges.unionByName(new)))
             edges = labels.filter("node <> component").select(
                 F.col("node").alias("a"), F.col("component").alias("b")
             )
-        still = _unsettled(buckets, labels, active=nested).select("key", "id")
-        stars = _stars(still, score).select("id", "hub").distinct()
-        found = _next_buckets(measured.join(stars, ["id", "hub"], "left_semi"), sets, percent)
-        found = found.groupBy("key", "id").agg(F.max("active").alias("active"))
-        buckets, nested = cut(_unsettled(found, labels, active=True)), True
+        # hubs have met every member of their buckets; the others go on
+        rest = buckets.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+        rest = _unsettled(rest, labels, active=nested).select("key", "id")
+        main = hubs.select("key", "main").distinct()
+        stars = rest.join(main, "key").filter("id <> main").select("id", "main").distinct()
+        stars = stars.withColumns({"a": F.least("id", "main"), "b": F.greatest("id", "main")})
+        stars = stars.join(tried, ["a", "b"]).select("id", "main", "linked")
+        buckets, nested = cut(_unsettled(_next_buckets(stars, sets, percent), labels, active=True)), True
         if buckets.isEmpty():
             return labels
 
