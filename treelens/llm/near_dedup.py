@@ -112,17 +112,21 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "members"])
 
 
-def _hubs(buckets: DataFrame, score: DataFrame, classes: int) -> DataFrame:
-    """(key, hub, main): in each of some hashed classes of a bucket's members, the
-    one whose buckets are largest; ``main`` is the first of them in the bucket."""
-    scored = buckets.join(score, "id").withColumn("class", F.pmod(F.xxhash64("id"), F.lit(classes)))
-    hubs = scored.groupBy("key", "class").agg(
-        F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("h")
-    )
-    main = hubs.groupBy("key").agg(F.max("h").alias("m"))
-    return hubs.join(main, "key").select(
-        "key", (-F.col("h.neg")).alias("hub"), (-F.col("m.neg")).alias("main")
-    )
+def _hubs(buckets: DataFrame, score: DataFrame, classes: int, small: int) -> DataFrame:
+    """(key, hub, main): every member of a bucket of up to ``small`` members; in a
+    larger one, of each of some hashed classes, the member whose buckets are
+    largest. ``main`` is the first of them in the bucket."""
+    scored = buckets.join(score, "id")
+    rank = F.struct("score", (-F.col("id")).alias("neg"))
+    per_class = scored.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(classes)).alias("class"))
+    hubs = per_class.agg(F.max(rank).alias("h"), F.count(F.lit(1)).alias("m"))
+    main = hubs.groupBy("key").agg(F.max("h").alias("top"), F.sum("m").alias("m"))
+    main = main.select("key", (-F.col("top.neg")).alias("main"), (F.col("m") <= small).alias("all"))
+    picked = hubs.select("key", (-F.col("h.neg")).alias("hub")).join(main, "key")
+    if not small:
+        return picked.drop("all")
+    every = scored.select("key", F.col("id").alias("hub")).join(main.filter("all"), "key")
+    return picked.filter("NOT all").unionByName(every).drop("all")
 
 
 def _pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -189,7 +193,7 @@ def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     buckets, nested = shared.select("key", "id"), False
     edges = labels = tried = None
     while True:
-        hubs = cut(_hubs(buckets, score, NESTED_HUBS if nested else 1))
+        hubs = cut(_hubs(buckets, score, *((NESTED_HUBS, NESTED_HUBS) if nested else (1, 0))))
         pairs = _pairs(buckets, hubs)
         if tried is None:
             now = tried = cut(_verified(pairs, sets, percent))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelens.llm import mixing, near_dedup, quality, sharding, url_rules
+from treelens.llm import (
+    decontaminate, mixing, near_dedup, quality, sharding, token_counts, token_store, url_rules,
+)
 from treelens.llm.common import scratch, table
 
 #: Fixed rules of op3: host, path, verdict.
@@ -19,6 +21,20 @@ URL_RULES = [
 SHARDS = 24
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_store.write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_store.digest(spark, path)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -26,6 +42,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +61,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(
@@ -63,5 +90,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op3_url_filters, op6_minhash_near_dedup, op7_mixing, op9_quality_rules, op10_sharding)
+    f.__name__: f
+    for f in (
+        op2_token_output, op3_url_filters, op5_decontamination, op6_minhash_near_dedup,
+        op7_mixing, op8_token_counts, op9_quality_rules, op10_sharding,
+    )
 }
