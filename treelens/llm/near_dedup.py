@@ -5,21 +5,22 @@ Two permutations make the whole signature: the first maps a shingle hash to a
 Bands of the signature are bucket keys. Texts with one shingle set are one
 representative from then on, so groups of copies never grow a bucket.
 
-Links are looked for star by star. Every bucket has a hub; each member is
-verified against it on the full sets. Buckets whose members are in one component
-are done. In the others a member x that is not linked to the hub H can only be linked
-to y if both have an element outside H in common, or if both lack an element of H and
-x is almost inside H:
-
-* without a common element outside H, |x & y| <= |x & H| and |x | y| >= |x & H| + |x - H|,
-  so a link needs |x & H| >= t (|x & H| + |x - H|);
-* without common elements of either kind, J(x, y) <= J(x, H) < t.
-
-So the members are dealt into smaller buckets by those elements (the first ones in hash
-order are enough, by the prefix filter) and the next round has a hub in each of
-these. Nothing is capped, and a link inside a bucket is never lost except where
-both ends are in one component already. What banding can miss has a probability
-below ``(1 - t^rows)^bands`` per link: 3e-7 at the threshold for 5 rows, 26 bands.
+Links are looked for star by star. Every bucket has a hub H; each member is verified
+against it on the full sets. Buckets whose members are in one component are done. In
+the others, a member x that is not linked to H can be linked to a member y only if their
+differences to H agree enough. With A = x - H and R = H - x:
+
+* always |Ax & Ay| >= t |x| - |x & H|, as |x & y| >= t |x|;
+* exactly J(x, y) = (|H| - rx - ry + s) / (|H| + ax + ay - s), where s counts the shared
+  elements of A and of R, so s >= t (|H| + ax) - |x & H| is needed.
+
+So the members are dealt into smaller buckets by these elements. Elements that no
+other member shares are dropped, members left with too few are settled, and the
+others look for partners from their rarest elements only (prefix filter). The next
+round has all searching members of a bucket as hubs, or some in a large one.
+Nothing is capped, and no link between two components is lost. What banding
+can miss has a probability below ``(1 - t^rows)^bands`` per link: 3e-7 at the
+threshold for 5 rows and 26 bands.
 
 Defined results: null and blank texts have the empty set, size 0, and are a
 component of their own; repeated rows each get a row; rows that share an id are one
@@ -35,7 +36,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
@@ -112,26 +113,36 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "members"])
 
 
-def _hubs(buckets: DataFrame, score: DataFrame, classes: int, small: int) -> DataFrame:
-    """(key, hub, main): every member of a bucket of up to ``small`` members; in a
-    larger one, of each of some hashed classes, the member whose buckets are
-    largest. ``main`` is the first of them in the bucket."""
-    scored = buckets.join(score, "id")
-    rank = F.struct("score", (-F.col("id")).alias("neg"))
-    per_class = scored.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(classes)).alias("class"))
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with the component each id is in so far."""
+    rows = rows.drop("label")
+    if labels is None:
+        return rows.withColumn("label", F.col("id"))
+    known = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
+    return rows.join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _hubs(buckets: DataFrame, score: DataFrame, limit: int) -> DataFrame:
+    """(key, hub, hub_label, main, all): all active members of a bucket with up to
+    ``limit`` of them; else, of each of so many hashed classes, the member whose buckets
+    are largest. ``main`` is the first of them in the bucket."""
+    scored = buckets.filter("active").join(score, "id")
+    rank = F.struct("score", (-F.col("id")).alias("neg"), F.col("label"))
+    per_class = scored.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(limit)).alias("class"))
     hubs = per_class.agg(F.max(rank).alias("h"), F.count(F.lit(1)).alias("m"))
     main = hubs.groupBy("key").agg(F.max("h").alias("top"), F.sum("m").alias("m"))
-    main = main.select("key", (-F.col("top.neg")).alias("main"), (F.col("m") <= small).alias("all"))
-    picked = hubs.select("key", (-F.col("h.neg")).alias("hub")).join(main, "key")
-    if not small:
-        return picked.drop("all")
-    every = scored.select("key", F.col("id").alias("hub")).join(main.filter("all"), "key")
-    return picked.filter("NOT all").unionByName(every).drop("all")
+    main = main.select("key", (-F.col("top.neg")).alias("main"), (F.col("m") <= limit).alias("all"))
+    picked = hubs.select("key", (-F.col("h.neg")).alias("hub"), F.col("h.label").alias("hub_label"))
+    picked = picked.join(main, "key")
+    if limit == 1:
+        return picked
+    every = scored.select("key", F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+    return picked.filter("NOT all").unionByName(every.join(main.filter("all"), "key"))
 
 
 def _pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: every member with every hub of its buckets."""
-    met = buckets.join(hubs, "key").filter("id <> hub")
+    """Distinct (a, b), a < b: members with hubs of their buckets, of other components."""
+    met = buckets.join(hubs, "key").filter("id <> hub AND label <> hub_label")
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -146,38 +157,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _next_buckets(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, active) from (id, main, linked): shared differences to the main hub."""
+    """(key, id, active, label) from (id, main, linked, label): shared differences to a hub.
+
+    ``active`` marks the rows from which a member looks for partners.
+    """
     ours = sets.select(F.col("doc_id").alias("id"), F.col("members").alias("x"))
     hubs = sets.select(F.col("doc_id").alias("main"), F.col("members").alias("h"))
     both = stars.join(hubs, "main").join(ours, "id")
-    both = both.withColumn("added", F.array_except("x", "h")).withColumn("n", F.size("x"))
-    outside = F.size("added")
-    common = F.col("n") - outside
-    # of its elements outside the hub a link shares at least this many, so a prefix suffices
-    needed = F.greatest(F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) - common, F.lit(1))
-    added = F.slice(F.sort_array("added"), F.lit(1), F.greatest(outside - needed + 1, F.lit(0)).cast("int"))
-    nearly_inside = 100 * common >= percent * F.col("n")
-    lacking = F.when(nearly_inside, F.array_except("h", "x")).otherwise(F.array().cast("array<bigint>"))
+    both = both.withColumn("added", F.array_except("x", "h"))
+    n, h, outside = F.size("x"), F.size("h"), F.size("added")
+    common = n - outside
+    share = lambda c: F.ceil(c * F.lit(percent) / F.lit(100))
+    near = 100 * common >= percent * n
+    # far from the hub: so many of the added elements are shared, so a prefix of them suffices
+    prefix = F.greatest(outside - F.greatest(share(n) - common, F.lit(1)) + 1, F.lit(0)).cast("int")
+    added = F.when(near, F.col("added")).otherwise(F.slice(F.sort_array("added"), F.lit(1), prefix))
+    lacking = F.when(near, F.array_except("h", "x")).otherwise(F.array().cast("array<bigint>"))
+    needed = F.when(near, F.greatest(share(h + outside) - common, F.lit(1))).otherwise(F.lit(1))
     tagged = F.concat(
         F.transform(added, lambda e: F.xxhash64(F.col("main"), e, F.lit(1))),
         F.transform(lacking, lambda e: F.xxhash64(F.col("main"), e, F.lit(2))),
     )
-    rows = both.select(F.explode(tagged).alias("key"), "id", (~F.col("linked")).alias("active"))
-    return rows.groupBy("key", "id").agg(F.max("active").alias("active"))
-
-
-def _unsettled(buckets: DataFrame, labels: DataFrame | None, active: bool) -> DataFrame:
-    """Members of buckets that still hold two components, and an active member where asked."""
-    if labels is not None:
-        known = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
-        buckets = buckets.join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    else:
-        buckets = buckets.withColumn("label", F.col("id"))
-    rule = F.min("label") != F.max("label")
-    if active:
-        rule = rule & F.max("active")
-    good = buckets.groupBy("key").agg(rule.alias("open")).filter("open").select("key")
-    return buckets.join(good, "key").drop("label")
+    rows = both.select(
+        F.explode(tagged).alias("key"), "id", "main", needed.alias("needed"),
+        (~F.col("linked")).alias("active"), "label",
+    )
+    rows = _met(rows, "members")
+    mine = Window.partitionBy("main", "id")  # the differences of one text
+    rows = rows.withColumn("u", F.count(F.lit(1)).over(mine))
+    rows = rows.withColumn("r", F.row_number().over(mine.orderBy("members", "key")))
+    # partners share ``needed`` of these, so one of the rarest u - needed + 1 is among them
+    rows = rows.withColumn("active", F.col("active") & (F.col("r") <= F.col("u") - F.col("needed") + 1))
+    rows = rows.groupBy("key", "id", "label").agg(F.max("active").alias("active"))
+    return _met(rows, "members").drop("members")
+
+
+def _met(rows: DataFrame, count: str) -> DataFrame:
+    """Rows of keys at which an active member can meet another component."""
+    good = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias(count), (F.min("label") != F.max("label")).alias("mixed"),
+        F.max("active").alias("any"),
+    )
+    return rows.join(good.filter("mixed AND any").select("key", count), "key")
 
 
 def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -190,10 +211,10 @@ def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
         return None
     wanted = docs.join(score.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     sets = cut(wanted.mapInArrow(partial(_sets, width=width), "doc_id long, members array<long>"))
-    buckets, nested = shared.select("key", "id"), False
-    edges = labels = tried = None
+    buckets = shared.select("key", "id", F.lit(True).alias("active"), F.col("id").alias("label"))
+    limit, labels, edges, tried = 1, None, None, None
     while True:
-        hubs = cut(_hubs(buckets, score, *((NESTED_HUBS, NESTED_HUBS) if nested else (1, 0))))
+        hubs = cut(_hubs(buckets, score, limit))
         pairs = _pairs(buckets, hubs)
         if tried is None:
             now = tried = cut(_verified(pairs, sets, percent))
@@ -206,14 +227,16 @@ def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             edges = labels.filter("node <> component").select(
                 F.col("node").alias("a"), F.col("component").alias("b")
             )
-        # hubs have met every member of their buckets; the others go on
-        rest = buckets.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        rest = _unsettled(rest, labels, active=nested).select("key", "id")
-        main = hubs.select("key", "main").distinct()
-        stars = rest.join(main, "key").filter("id <> main").select("id", "main").distinct()
-        stars = stars.withColumns({"a": F.least("id", "main"), "b": F.greatest("id", "main")})
-        stars = stars.join(tried, ["a", "b"]).select("id", "main", "linked")
-        buckets, nested = cut(_unsettled(_next_buckets(stars, sets, percent), labels, active=True)), True
+        # a bucket whose active members all were hubs is done; elsewhere the hubs are
+        left = hubs.filter("NOT all") if limit > 1 else hubs
+        rest = buckets.join(left.select("key", "main").distinct(), "key")
+        rest = rest.join(left.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+        rest = _met(_labelled(rest, labels), "members").select("id", "main", "label").distinct()
+        rest = rest.withColumns({"a": F.least("id", "main"), "b": F.greatest("id", "main")})
+        stars = rest.join(tried, ["a", "b"], "left").select(
+            "id", "main", "label", F.coalesce("linked", F.lit(False)).alias("linked")
+        )
+        buckets, limit = cut(_next_buckets(stars, sets, percent)), NESTED_HUBS
         if buckets.isEmpty():
             return labels
 

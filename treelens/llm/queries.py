@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelens.llm import (
-    decontaminate, mixing, near_dedup, quality, sharding, token_counts, token_store, url_rules,
+    decontaminate, lm, mixing, near_dedup, quality, sharding, suffix_dedup, token_counts, token_store,
+    url_rules,
 )
 from treelens.llm.common import scratch, table
 
@@ -28,6 +29,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +48,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -92,7 +102,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_token_output, op3_url_filters, op5_decontamination, op6_minhash_near_dedup,
+        op1_suffix_dedup, op2_token_output, op3_url_filters, op4_lm_scoring, op5_decontamination, op6_minhash_near_dedup,
         op7_mixing, op8_token_counts, op9_quality_rules, op10_sharding,
     )
 }

@@ -18,7 +18,7 @@ from __future__ import annotations
 import bisect
 import json
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import accumulate
 
 import pyarrow as pa
@@ -167,6 +167,12 @@ class PrefixCounter:
         return ends[k - 1] if k else 0
 
 
+@lru_cache(maxsize=4)
+def counter_of(path: str) -> PrefixCounter:
+    """One counter per Python worker and file, so that tasks share what it learned."""
+    return PrefixCounter(path)
+
+
 def UNUSUAL(text: str) -> bool:
     return P.UNCOMMON.search(text) is not None
 
@@ -180,7 +186,7 @@ def _around(text: str, s: str) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    counter = PrefixCounter(path)
+    counter = counter_of(path)
     for batch in batches:
         texts = batch.column("text")
         counts = [counter.count(t.as_py() or "") for t in texts]
@@ -192,7 +198,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 
 def _tables(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    counter = PrefixCounter(path)
+    counter = counter_of(path)
     for batch in batches:
         rows = [counter.table(t.as_py() or "") for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays(

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +93,16 @@ class Encoder:
         return b"".join(map(known.__getitem__, words))
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker and file, so that tasks share what it learned."""
+    return Encoder(path)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode, end = Encoder(path), np.array([end_id], "<i4").tobytes()
+    encode, end = encoder(path), np.array([end_id], "<i4").tobytes()
     file_no, start = TaskContext.get().partitionId(), 0
     for batch in batches:
         for first in range(0, batch.num_rows, 1000):
@@ -167,3 +173,14 @@ def digest(spark, path: str) -> DataFrame:
     return sums.join(starts, F.col("file_no") == F.col("f")).select(
         "doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+def read_with_starts(spark, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the files below ``path``."""
+    stored = read_tokens(spark, path)
+    totals = stored.groupBy(F.col("file_no").alias("f")).agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("f")) - F.col("n")
+    starts = cut(totals.select("f", before.alias("before")))
+    return stored.join(starts, F.col("file_no") == F.col("f")).select(
+        "doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids"
+    )
