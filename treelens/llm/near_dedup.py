@@ -45,7 +45,7 @@ from treelens.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 85, 26, 5
 #: Hubs per bucket from the second round on: so many members meet all others at once.
-NESTED_HUBS = 64
+NESTED_HUBS = 12
 #: Elements of a chunk for which the permutations are evaluated at a time.
 CHUNK = 1 << 15
 

@@ -43,8 +43,9 @@ from treelens.llm import shingles as S
 from treelens.llm.common import cut, ship
 
 WINDOW, GRAM = 400, 48
-#: Contexts a bucket holds; splitters are sampled from so many per bucket.
-BUCKET_ROWS, OVERSAMPLE = 8_000, 16
+#: Contexts a bucket holds, contexts that make a group of its own buckets, and keys
+#: sampled per bucket to find the splitters.
+BUCKET_ROWS, HOT_ROWS, OVERSAMPLE = 2_500, 8_000, 16
 #: Bytes of one text that are handled at once, and bits of a place inside them.
 BLOCK, PLACE_BITS = 1 << 22, 24
 
@@ -378,7 +379,7 @@ def _repeated_spans(rows: DataFrame, bucket_rows: int) -> DataFrame:
 
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS,
-    hot_rows: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document;
     ``kept`` holds the remaining bytes."""
@@ -389,7 +390,7 @@ def remove_repeats(
     anchors = texts.mapInArrow(_anchors, "doc_id long, th long, place int, gram long, around long")
     often = anchors.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     survivors = cut(anchors.join(often.select("g"), F.col("gram") == F.col("g")).drop("g"))
-    settled, rows = _contexts(survivors, texts, hot_rows or bucket_rows)
+    settled, rows = _contexts(survivors, texts, hot_rows)
     whole = F.array(F.struct(F.lit(-(WINDOW - GRAM)).alias("s"), F.lit(WINDOW).alias("e")))
     spans = settled.withColumn("spans", whole).unionByName(
         _repeated_spans(rows, bucket_rows).filter(F.size("spans") > 0)

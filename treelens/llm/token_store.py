@@ -51,46 +51,52 @@ OPTIONS = {
 
 
 class Encoder:
-    """Encodes texts with a word-level BPE file; words are remembered."""
+    """Encodes texts with a word-level BPE file; chunks between spaces are remembered."""
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import normalizers
 
         self.tok, self.specials = P.load(path)
+        self.plain, _ = P.load(path)  # for chunks that are normal already
+        self.plain.normalizer = normalizers.Sequence([])
         self.split = regex.compile(P.WORD_LEVEL).findall
         self.known: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that end a word
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode unknown words as one text; their last tokens tell them apart."""
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<i4")
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode unknown chunks as one text; the ends of their words tell them apart."""
+        joined = self.plain.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, "<i4")
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            for w in words:
-                own = self.tok.encode(w, add_special_tokens=False).ids
-                self.known[w] = np.array(own, "<i4").tobytes()
+        split = self.split
+        words = np.cumsum([len(split(c)) for c in chunks])
+        if len(ends) != words[-1]:
+            for c in chunks:
+                own = self.tok.encode(c, add_special_tokens=False).ids
+                self.known[c] = np.array(own, "<i4").tobytes()
             return
         data, start = ids.tobytes(), 0
-        for w, end in zip(words, ends.tolist()):
-            self.known[w] = data[4 * start : 4 * end]
+        for c, end in zip(chunks, (4 * ends[words - 1]).tolist()):
+            self.known[c] = data[start:end]
             start = end
 
     def __call__(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+        """Ids as little-endian 32-bit integers; no word reaches across white space."""
         if not P.common(text, self.specials):
             ids = self.tok.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<i4").tobytes()
-        words = self.split(text.lower())
+        chunks = text.lower().split()
         known = self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(known.__getitem__, chunks))
         except KeyError:
             if len(known) > P.CACHE_ENTRIES:
                 known.clear()
-            self._learn([w for w in set(words) if w not in known])
-        return b"".join(map(known.__getitem__, words))
+            self._learn([c for c in set(chunks) if c not in known])
+        return b"".join(map(known.__getitem__, chunks))
 
 
 @lru_cache(maxsize=4)
