@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of bytes outside ASCII white space (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch sent to the Python workers, at most.
+ARROW_ROWS = 1_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,6 +88,9 @@ def ship(spark: SparkSession) -> None:
     import zipfile
 
     ctx = spark.sparkContext
+    # texts are long: fewer rows to an Arrow batch bound the workers' memory
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(ctx, "_treelens_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -45,7 +45,7 @@ from treelens.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 85, 26, 5
 #: Hubs per bucket from the second round on: so many members meet all others at once.
-NESTED_HUBS = 12
+NESTED_HUBS = 64
 #: Elements of a chunk for which the permutations are evaluated at a time.
 CHUNK = 1 << 15
 
@@ -142,7 +142,10 @@ def _hubs(buckets: DataFrame, score: DataFrame, limit: int) -> DataFrame:
 
 def _pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b: members with hubs of their buckets, of other components."""
-    met = buckets.join(hubs, "key").filter("id <> hub AND label <> hub_label")
+    # where all searching members are hubs, two of them meet once
+    met = buckets.join(hubs, "key").filter(
+        "id <> hub AND label <> hub_label AND NOT (all AND active AND id > hub)"
+    )
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
