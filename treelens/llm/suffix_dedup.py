@@ -45,7 +45,9 @@ from treelens.llm.common import cut, ship
 WINDOW, GRAM = 400, 48
 #: Contexts a bucket holds, contexts that make a group of its own buckets, and keys
 #: sampled per bucket to find the splitters.
-BUCKET_ROWS, HOT_ROWS, OVERSAMPLE = 2_500, 8_000, 16
+BUCKET_ROWS, HOT_ROWS, OVERSAMPLE = 2_500, 4_000, 16
+#: Places around the anchor that are matched at a time.
+OFFSETS = 48
 #: Bytes of one text that are handled at once, and bits of a place inside them.
 BLOCK, PLACE_BITS = 1 << 22, 24
 
@@ -239,35 +241,43 @@ def _resolve(bucket: pd.DataFrame, across: bool) -> pd.DataFrame:
     # window p of a context covers the anchor's gram and reaches p + WINDOW - left into the suffix
     room = np.maximum(lengths - WINDOW + 1, 0)
     reach = np.where(counts > 1, room, np.minimum(room, np.maximum(left + longest - WINDOW + 1, 0)))
-    owner = np.repeat(np.arange(len(order)), reach)
-    local = np.arange(len(owner)) - np.repeat(np.cumsum(reach) - reach, reach)
-    begin = offsets[owner] + local
-    one = _Rolling(data).spans(begin, begin + WINDOW) if len(owner) else np.zeros(0, np.uint64)
-    two = _Rolling(data, 1).spans(begin, begin + WINDOW) if len(owner) else one
-    # equal windows agree on the anchor and on their place around it; neighbouring anchors
-    # of one text would otherwise show the same window twice
-    one = S.mix(one + grams[owner].view(np.uint64) + (left[owner] - local).astype(np.uint64) * _SECOND)
-    rank = np.lexsort((two, one))
-    same = np.zeros(len(rank) + 1, dtype=bool)
-    same[1:-1] = (one[rank][1:] == one[rank][:-1]) & (two[rank][1:] == two[rank][:-1])
-    repeated = np.zeros(len(rank), dtype=bool)
-    repeated[rank] = same[:-1] | same[1:]
-    repeated |= counts[owner] > 1
+    n, width = len(order), WINDOW - GRAM + 1
+    hit, leader = np.zeros((n, width), dtype=bool), np.zeros((n, width), dtype=bool)
+    hashes = np.zeros((n, width), dtype=np.uint64) if across else None
+    rolls = [_Rolling(data, which) for which in (0, 1)]
+    # equal windows lie at one place around their anchors, so places go block by block
+    for place in range(0, width, OFFSETS):
+        low = np.maximum(left - (place + OFFSETS - 1), 0)
+        some = np.maximum(np.minimum(left - place + 1, reach) - low, 0)
+        owner = np.repeat(np.arange(n), some)
+        if not len(owner):
+            continue
+        local = np.arange(len(owner)) - np.repeat(np.cumsum(some) - some, some) + low[owner]
+        begin = offsets[owner] + local
+        one, two = (r.spans(begin, begin + WINDOW) for r in rolls)
+        # neighbouring anchors of one text show the same window, at another place
+        one = S.mix(one + grams[owner].view(np.uint64) + (left[owner] - local).astype(np.uint64) * _SECOND)
+        rank = np.lexsort((two, one))
+        same = np.zeros(len(rank) + 1, dtype=bool)
+        same[1:-1] = (one[rank][1:] == one[rank][:-1]) & (two[rank][1:] == two[rank][:-1])
+        repeated, first = np.zeros(len(rank), dtype=bool), np.zeros(len(rank), dtype=bool)
+        repeated[rank] = same[:-1] | same[1:]
+        first[rank] = ~same[:-1]  # one window of each string speaks for it
+        hit[owner, local] = repeated | (counts[owner] > 1)
+        leader[owner, local] = first
+        if across:
+            hashes[owner, local] = one
     rows = []
-    edges = np.concatenate([[0], np.cumsum(reach)])
-    leader = np.zeros(len(rank), dtype=bool)
-    leader[rank] = ~same[:-1]  # one window of each repeated string speaks for it
-    for i in range(len(order)):
-        a, b = edges[i], edges[i + 1]
-        hit = np.flatnonzero(repeated[a:b])
-        rows.append(
-            (
-                int(grams[i]), int(arounds[i]), _spans(hit, int(left[i])) if len(hit) else [], int(left[i]),
-                one[a:b][~repeated[a:b]].view(np.int64).tolist() if across else [],
-                np.flatnonzero(~repeated[a:b]).tolist() if across else [],
-                one[a:b][repeated[a:b] & leader[a:b]].view(np.int64).tolist() if across else [],
-            )
-        )
+    for i in range(n):
+        found = np.flatnonzero(hit[i, : reach[i]])
+        spans = _spans(found, int(left[i])) if len(found) else []
+        more = ([], [], [])
+        if across:
+            rest = np.flatnonzero(~hit[i, : reach[i]])
+            known = np.flatnonzero(hit[i, : reach[i]] & leader[i, : reach[i]])
+            mine = hashes[i].view(np.int64)
+            more = (mine[rest].tolist(), rest.tolist(), mine[known].tolist())
+        rows.append((int(grams[i]), int(arounds[i]), spans, int(left[i]), *more))
     return pd.DataFrame(rows, columns=["gram", "around", "spans", "left", "open", "open_at", "known"])
 
 
