@@ -40,7 +40,8 @@ def format_bytes(n: Column) -> Column:
     def shown(x: Column, i: int) -> Column:
         if not i:
             return F.concat(x.cast("string"), F.lit(" B"))
-        return F.concat(F.format_string("%.1f", x.cast("double") / F.lit(float(1024**i))), F.lit(f" {units[i]}"))
+        value = (x.cast("double") / F.lit(float(1024**i))).cast("decimal(30,10)")  # exact: a binary fraction
+        return F.concat(F.bround(value, 1).cast("string"), F.lit(f" {units[i]}"))
 
     return _ladder(n, 1024, units, shown)
 
@@ -50,7 +51,7 @@ def format_count(n: Column) -> Column:
 
 
 def format_decimal_bytes(n: Column) -> Column:
-    """1000-based, a trailing ``.0`` dropped."""
+    """1000-based, ties round up, a trailing ``.0`` is dropped."""
     units = ["B", "KB", "MB", "GB", "TB"]
 
     def shown(x: Column, i: int) -> Column:
@@ -68,7 +69,7 @@ def parse_bytes(text: Column) -> Column:
     number = F.regexp_extract(clean, r"^([0-9]+)\s*(kb|mb|gb|tb)$", 1)
     unit = F.regexp_extract(clean, r"^([0-9]+)\s*(kb|mb|gb|tb)$", 2)
     scale = F.when(unit == "kb", 10**3).when(unit == "mb", 10**6).when(unit == "gb", 10**9).otherwise(10**12)
-    value = F.try_multiply(F.expr("try_cast(null as bigint)") if False else number.try_cast("bigint"), scale.cast("bigint"))
+    value = F.try_multiply(number.try_cast("bigint"), scale.cast("bigint"))
     return F.when(clean == "0", F.lit(0).cast("bigint")).when(unit != "", value)
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treelens.sources.workers import ship
+
 
 @dataclass(frozen=True)
 class Params:
@@ -86,6 +88,7 @@ def _chunk(batches: Iterator[pd.DataFrame], params: Params) -> Iterator[pd.DataF
 def chunk_files(files: DataFrame, params: Params = Params()) -> DataFrame:
     """(file_id, seq, off, size, chunk_id) of (file_id, text); an empty file has no chunk."""
     params.check()
+    ship(files.sparkSession)
     return files.select("file_id", "text").mapInPandas(
         partial(_chunk, params=params), "file_id long, seq int, off long, size long, chunk_id string"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelens.functions.scalar import dead_fraction
+from treelens.sources.workers import ship
 
 
 def census(objects: DataFrame, reach: DataFrame) -> DataFrame:
@@ -60,6 +61,7 @@ def seal(frames: DataFrame) -> DataFrame:
 
 def _fold(rows: DataFrame, keys: str, order: list[str], schema: str, fn) -> DataFrame:
     """Sequential folds per key over rows in order."""
+    ship(rows.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values(order, kind="stable"))
@@ -103,6 +105,7 @@ def prune(index: DataFrame) -> DataFrame:
 
     Packs with an id that only they hold can't go, so only the others are folded.
     """
+    ship(index.sparkSession)
     copies = index.groupBy("library_id", "object_id").agg(F.countDistinct("pack_id").alias("copies"))
     joined = index.join(copies, ["library_id", "object_id"])
     can_go = joined.groupBy("library_id", "pack_id").agg(F.min("copies").alias("least")).filter("least > 1")
@@ -168,6 +171,7 @@ def bloom_probes(object_id: str, bits: int, most: int = 17) -> list[int]:
 
 def build_bloom(ids: DataFrame, expected: int) -> DataFrame:
     """(pack_id, bits, places): the set bits of each pack's filter."""
+    ship(ids.sparkSession)
     bits = bloom_bits(expected)
 
     def places(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

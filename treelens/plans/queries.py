@@ -331,10 +331,8 @@ HIT = """off < CASE WHEN n < 0 THEN 4611686018427387904 ELSE lo + n END AND off
 
 @query("chunks", f"WITH {RANGES} SELECT DISTINCT manifest_id, seq FROM chunks JOIN ranges ON {HIT}")
 def j10_covering(s: Store):
-    r = s.spark.createDataFrame(RANGE_ROWS, "lo long, n long").withColumn("all", F.array([F.lit(0)]))
     c = s.chunks()
     each = c.select("manifest_id").distinct().withColumn("r", F.array(*[F.struct(F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("n")) for a, b in RANGE_ROWS]))
-    del r
     return C.covering(c, each.select("manifest_id", F.explode("r").alias("r")).select("manifest_id", "r.lo", "r.n"))
 
 
@@ -855,8 +853,11 @@ def f2_format_count(s: Store):
     return s.events().select("event_id", S.format_count(F.col("event_id") * 977).alias("shown"))
 
 
-@query("ev", """SELECT event_id, CASE WHEN n >= 1000000000 THEN regexp_replace(printf('%.1f', n / 1e9), '\\.0$', '') || 'GB' WHEN n >= 1000000 THEN regexp_replace(printf('%.1f', n / 1e6), '\\.0$', '') || 'MB'
-  WHEN n >= 1000 THEN regexp_replace(printf('%.1f', n / 1e3), '\\.0$', '') || 'KB' ELSE n || 'B' END AS shown FROM (SELECT event_id, event_id * 777 AS n FROM ev)""")
+TENTHS = "regexp_replace(((n * 10 + {h}) // {u} // 10) || '.' || ((n * 10 + {h}) // {u} % 10), '\\.0$', '')"
+
+
+@query("ev", f"""SELECT event_id, CASE WHEN n >= 1000000 THEN {TENTHS.format(h=500000, u=1000000)} || 'MB'
+  WHEN n >= 1000 THEN {TENTHS.format(h=500, u=1000)} || 'KB' ELSE n || 'B' END AS shown FROM (SELECT event_id, event_id * 777 AS n FROM ev)""")
 def f3_decimal_bytes(s: Store):
     return s.events().select("event_id", S.format_decimal_bytes(F.col("event_id") * 777).alias("shown"))
 

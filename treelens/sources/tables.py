@@ -124,7 +124,7 @@ CTE = {
   sha256(coalesce(text, '')) chunk_id,
   (sum(octet_length(encode(coalesce(text, '')))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)
    - octet_length(encode(coalesce(text, ''))))::BIGINT off FROM conversations)""",
-    "ev": """ev AS (SELECT event_id, ts, epoch(ts)::BIGINT sec, user_id, event_type, value::DECIMAL(18,2) AS value FROM events)""",
+    "ev": """ev AS (SELECT event_id, ts, floor(epoch(ts))::BIGINT sec, user_id, event_type, value::DECIMAL(18,2) AS value FROM events)""",
 }
 ORDER = ("libraries", "commits", "entries", "sizes", "trees", "objects", "refs", "reach", "chunks", "ev")
 NEEDS = {
