@@ -8,11 +8,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelens.sources.workers import ship as ship
+
 #: Words are maximal runs of bytes outside ASCII white space (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of an Arrow batch sent to the Python workers, at most.
-ARROW_ROWS = 1_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,26 +80,3 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
 def hash_bins(n_rows: int, rows_per_bin: int = 20_000) -> int:
     """Bits of a seeded hash that cut ``n_rows`` into bins of bounded size."""
     return min(16, max(3, (max(1, n_rows) // rows_per_bin).bit_length()))
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per context."""
-    import os
-    import zipfile
-
-    ctx = spark.sparkContext
-    # texts are long: fewer rows to an Arrow batch bound the workers' memory
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if getattr(ctx, "_treelens_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="treelens-zip-"), "treelens.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, files in os.walk(top):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    ctx.addPyFile(target)
-    ctx._treelens_shipped = True
