@@ -191,13 +191,14 @@ def _holdout(labels: DataFrame, doc_id: str, quality: str) -> DataFrame:
     )
 
 
-def measured(docs: DataFrame, doc_id: str, text: str, stratum: str) -> DataFrame:
-    """(doc_id, stratum, measures, scores), one narrow row per document."""
+def measured(docs: DataFrame, doc_id: str, text: str, stratum: str, mark: Column | None = None) -> DataFrame:
+    """(doc_id, stratum, mark, measures, scores), one narrow row per document."""
     narrow = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text")
+        F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"),
+        (F.lit(0) if mark is None else mark).alias("mark"),
     )
     df, m = with_measures(narrow, "text")
-    return df.select("doc_id", "stratum", *m.values(), *[e.alias(r) for r, e in scores(m).items()])
+    return df.select("doc_id", "stratum", "mark", *m.values(), *[e.alias(r) for r, e in scores(m).items()])
 
 
 def cutoffs_for(rows: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
@@ -220,13 +221,8 @@ def _verdict(rules: dict[str, Column], limit) -> Column:
     return ~bad
 
 
-def judge(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA,
-) -> DataFrame:
-    """Measures, base verdict and risk-controlled verdict of every document."""
-    rows = cut(measured(docs, doc_id, text, stratum))
-    limits = _small(cutoffs_for(rows, labels, alpha, delta))
+def _judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` with ``kept``."""
     limits = limits.select(F.col("stratum").alias("s_key"), *[F.col(r).alias(f"max_{r}") for r in CUTOFFS])
     joined = rows.join(limits, F.col("stratum").eqNullSafe(F.col("s_key")), "left")
     keep = ~F.col("base_failed") & _verdict(
@@ -235,22 +231,30 @@ def judge(
     return joined.withColumn("kept", keep).drop("s_key")
 
 
+def judge(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA,
+) -> DataFrame:
+    """Measures, base verdict and risk-controlled verdict of every document."""
+    rows = cut(measured(docs, doc_id, text, stratum))
+    return _judged(rows, _small(cutoffs_for(rows, labels, alpha, delta)))
+
+
 def keep_good(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA,
 ) -> DataFrame:
     """The documents that :func:`judge` keeps, with their own columns only.
 
-    Texts are measured again where they lie rather than moved to the verdicts.
+    Texts are measured once; the rejected rows, named by id, stratum and a hash of the
+    text, then leave through an anti-join.
     """
-    rows = measured(docs, doc_id, text, stratum)
+    mark = lambda: F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(stratum))
+    rows = cut(measured(docs, doc_id, text, stratum, mark()))
     limits = _small(cutoffs_for(rows, labels, alpha, delta))
-    key, *names = free_name(docs, "s_key", *[f"max_{r}" for r in CUTOFFS])
-    limits = limits.select(
-        F.col("stratum").alias(key), *[F.col(r).alias(x) for r, x in zip(CUTOFFS, names)]
-    )
-    full, m = with_measures(docs, text)
-    joined = full.join(limits, F.col(stratum).eqNullSafe(F.col(key)), "left")
-    by_rule = dict(zip(CUTOFFS, names))
-    keep = ~F.col(m["base_failed"]) & _verdict(scores(m), lambda r: F.col(by_rule[r]))
-    return joined.filter(keep).select(*docs.columns)
+    gone = _judged(rows, limits).filter(~F.col("kept"))
+    of_id, of_mark, own = free_name(docs, "of_id", "of_mark", "own_mark")
+    gone = gone.select(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark)).distinct()
+    marked = docs.withColumn(own, mark())
+    same = F.col(doc_id).eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_mark))
+    return marked.join(gone, same, "left_anti").select(*docs.columns)

@@ -45,9 +45,11 @@ from treelens.llm.common import cut, ship
 WINDOW, GRAM = 400, 48
 #: Contexts a bucket holds, contexts that make a group of its own buckets, and keys
 #: sampled per bucket to find the splitters.
-BUCKET_ROWS, HOT_ROWS, OVERSAMPLE = 2_500, 4_000, 16
+BUCKET_ROWS, HOT_ROWS, OVERSAMPLE = 1_500, 3_000, 16
 #: Places around the anchor that are matched at a time.
 OFFSETS = 48
+#: Contexts in an Arrow batch on their way to the buckets.
+FETCHED = 4_000
 #: Bytes of one text that are handled at once, and bits of a place inside them.
 BLOCK, PLACE_BITS = 1 << 22, 24
 
@@ -162,18 +164,26 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, wanted in zip(batch.column("text"), batch.column("wanted")):
             data = memoryview(text.as_buffer()) if text.is_valid else b""
             for w in wanted.as_py():
+                if len(out["n"]) >= FETCHED:
+                    yield _fetched(out)
+                    for column in out.values():
+                        column.clear()
                 p = w["place"]
                 out["gram"].append(w["gram"])
                 out["around"].append(w["around"])
                 out["n"].append(w["n"])
                 out["suffix"].append(bytes(data[p : p + WINDOW]))
                 out["before"].append(bytes(data[max(0, p - WINDOW + GRAM) : p]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["gram"], pa.int64()), pa.array(out["around"], pa.int64()),
-             pa.array(out["n"], pa.int64()), pa.array(out["suffix"], pa.binary()),
-             pa.array(out["before"], pa.binary())],
-            list(out),
-        )
+        yield _fetched(out)
+
+
+def _fetched(out: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out["gram"], pa.int64()), pa.array(out["around"], pa.int64()),
+         pa.array(out["n"], pa.int64()), pa.array(out["suffix"], pa.binary()),
+         pa.array(out["before"], pa.binary())],
+        list(out),
+    )
 
 
 def multikey_quicksort(strings: list[bytes]) -> np.ndarray:
