@@ -22,7 +22,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,21 +75,23 @@ def _splitters(lookups: DataFrame, rows: int) -> list[str]:
 def _ranged(df: DataFrame, splitters: list[str]) -> DataFrame:
     """Adds ``part``: the range of the key order that the key lies in."""
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(part=[bisect.bisect_right(splitters, k) for k in b["key"]])
+            parts = [bisect.bisect_right(splitters, k) for k in b.column("key").to_pylist()]
+            yield b.append_column("part", pa.array(parts, pa.int32()))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(deal, f"{schema}, part int")
+    return df.mapInArrow(deal, f"{schema}, part int")
 
 
-def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (part, key), rules before lookups."""
     stack: list[tuple[str, str]] = []
     part = None
     for b in batches:
         urls, rules, verdicts, lengths, hosts = [], [], [], [], []
-        for p, key, url, rule, verdict in zip(b["part"], b["key"], b["url"], b["rule"], b["verdict"]):
+        columns = (b.column(c).to_pylist() for c in ("part", "key", "url", "rule", "verdict"))
+        for p, key, url, rule, verdict in zip(*columns):
             if p != part:
                 stack, part = [], p
             while stack and not key.startswith(stack[-1][0]):
@@ -104,7 +106,11 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 verdicts.append(v)
                 lengths.append(len(k) - 1)
                 hosts.append(k.index(NUL))
-        yield pd.DataFrame({"url": urls, "rule": rules, "verdict": verdicts, "length": lengths, "host_chars": hosts})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(urls, pa.string()), pa.array(rules, pa.string()), pa.array(verdicts, pa.string()),
+             pa.array(lengths, pa.int32()), pa.array(hosts, pa.int32())],
+            ["url", "rule", "verdict", "length", "host_chars"],
+        )
 
 
 def decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
     swept = (
         rows.repartition(len(splitters) + 1, "part")
         .sortWithinPartitions("part", "key", F.col("rule").isNull(), F.col("verdict").desc())
-        .mapInPandas(_sweep, "url string, rule string, verdict string, length int, host_chars int")
+        .mapInArrow(_sweep, "url string, rule string, verdict string, length int, host_chars int")
     )
     best = F.max_by(F.struct("rule", "verdict"), F.struct("length", "host_chars")).alias("b")
     return swept.groupBy("url").agg(best).select("url", "b.rule", "b.verdict")
