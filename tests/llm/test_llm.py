@@ -271,6 +271,22 @@ def test_near_dedup_finds_links_between_non_hubs(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_dedup_of_families_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NESTED_HUBS", 16)
+    rng, rows = random.Random(20240611), []
+    for family in range(2):
+        base = [f"f{family}w{i}" for i in range(120)]
+        variants = [(rng.randrange(111), f"v{rng.randrange(4)}") for _ in range(8)]
+        for _ in range(30):
+            text = list(base)
+            for place, word in rng.sample(variants, rng.randint(0, 5)):
+                text[place] = word
+            rows.append((len(rows), " ".join(text[: 120 - rng.choice([0, 0, 0, 3, 9])])))
+    want = brute_components(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 120)] + [(200, 201), (201, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -12,12 +12,16 @@ differences to H agree enough. With A = x - H and R = H - x:
 
 * always |Ax & Ay| >= t |x| - |x & H|, as |x & y| >= t |x|;
 * exactly J(x, y) = (|H| - rx - ry + s) / (|H| + ax + ay - s), where s counts the shared
-  elements of A and of R, so s >= t (|H| + ax) - |x & H| is needed.
+  elements of A and of R, so s >= t (|H| + ax) - |x & H| is needed, and of the pair
+  (1 + t) s >= t ax + rx + t ay + ry - (1 - t) |H|.
 
 So the members are dealt into smaller buckets by these elements. Elements that no
 other member shares are dropped, members left with too few are settled, and the
 others look for partners from their rarest elements only (prefix filter). The next
-round has all searching members of a bucket as hubs, or some in a large one.
+round has all searching members of a bucket as hubs, or some in a large one. All texts
+order their elements alike, so two meet in earnest at their first shared one, after
+which both must have enough left for what the pair needs; at other buckets of theirs they
+may be passed over, because that one has them (positional filter).
 Nothing is capped, and no link between two components is lost. What banding
 can miss has a probability below ``(1 - t^rows)^bands`` per link: 3e-7 at the
 threshold for 5 rows and 26 bands.
@@ -46,6 +50,8 @@ from treelens.llm.components import components
 WIDTH, PERCENT, BANDS, ROWS = 5, 85, 26, 5
 #: Hubs per bucket from the second round on: so many members meet all others at once.
 NESTED_HUBS = 64
+#: Cost of a text whose differences to the hub are not all in the buckets.
+FREE = -(1 << 40)
 #: Elements of a chunk for which the permutations are evaluated at a time.
 CHUNK = 1 << 15
 
@@ -127,24 +133,27 @@ def _hubs(buckets: DataFrame, score: DataFrame, limit: int) -> DataFrame:
     ``limit`` of them; else, of each of so many hashed classes, the member whose buckets
     are largest. ``main`` is the first of them in the bucket."""
     scored = buckets.filter("active").join(score, "id")
-    rank = F.struct("score", (-F.col("id")).alias("neg"), F.col("label"))
+    rank = F.struct("score", (-F.col("id")).alias("neg"), "label", "cost", "after")
     per_class = scored.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(limit)).alias("class"))
     hubs = per_class.agg(F.max(rank).alias("h"), F.count(F.lit(1)).alias("m"))
     main = hubs.groupBy("key").agg(F.max("h").alias("top"), F.sum("m").alias("m"))
     main = main.select("key", (-F.col("top.neg")).alias("main"), (F.col("m") <= limit).alias("all"))
-    picked = hubs.select("key", (-F.col("h.neg")).alias("hub"), F.col("h.label").alias("hub_label"))
+    own = {"label": "hub_label", "cost": "hub_cost", "after": "hub_after"}
+    picked = hubs.select("key", (-F.col("h.neg")).alias("hub"), *(F.col(f"h.{c}").alias(n) for c, n in own.items()))
     picked = picked.join(main, "key")
     if limit == 1:
         return picked
-    every = scored.select("key", F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+    every = scored.select("key", F.col("id").alias("hub"), *(F.col(c).alias(n) for c, n in own.items()))
     return picked.filter("NOT all").unionByName(every.join(main.filter("all"), "key"))
 
 
-def _pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: members with hubs of their buckets, of other components."""
+def _pairs(buckets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b: members with hubs of their buckets, of other components,
+    that can share enough if this is their first shared element."""
     # where all searching members are hubs, two of them meet once
     met = buckets.join(hubs, "key").filter(
-        "id <> hub AND label <> hub_label AND NOT (all AND active AND id > hub)"
+        "id <> hub AND label <> hub_label AND NOT (all AND active AND id > hub) AND "
+        f"cost + hub_cost <= {2 * (100 + percent)} * (1 + least(after, hub_after))"
     )
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
@@ -160,9 +169,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _next_buckets(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, active, label) from (id, main, linked, label): shared differences to a hub.
+    """(key, id, label, active, cost, after) from (id, main, linked, label): shared
+    differences to a hub.
 
-    ``active`` marks the rows from which a member looks for partners.
+    ``active`` marks the rows from which a member looks for partners. Two texts need
+    ``(cost + cost) / (2 (100 + percent))`` shared differences; ``after`` counts a text's
+    differences behind this one, in the order that all texts have.
     """
     ours = sets.select(F.col("doc_id").alias("id"), F.col("members").alias("x"))
     hubs = sets.select(F.col("doc_id").alias("main"), F.col("members").alias("h"))
@@ -177,13 +189,15 @@ def _next_buckets(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     added = F.when(near, F.col("added")).otherwise(F.slice(F.sort_array("added"), F.lit(1), prefix))
     lacking = F.when(near, F.array_except("h", "x")).otherwise(F.array().cast("array<bigint>"))
     needed = F.when(near, F.greatest(share(h + outside) - common, F.lit(1))).otherwise(F.lit(1))
+    cost = 2 * (percent * outside + 100 * (h - common)) - (100 - percent) * h
+    cost = F.when(near, cost.cast("long")).otherwise(F.lit(FREE))
     tagged = F.concat(
         F.transform(added, lambda e: F.xxhash64(F.col("main"), e, F.lit(1))),
         F.transform(lacking, lambda e: F.xxhash64(F.col("main"), e, F.lit(2))),
     )
     rows = both.select(
         F.explode(tagged).alias("key"), "id", "main", needed.alias("needed"),
-        (~F.col("linked")).alias("active"), "label",
+        (~F.col("linked")).alias("active"), "label", cost.alias("cost"),
     )
     rows = _met(rows, "members")
     mine = Window.partitionBy("main", "id")  # the differences of one text
@@ -191,7 +205,10 @@ def _next_buckets(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("r", F.row_number().over(mine.orderBy("members", "key")))
     # partners share ``needed`` of these, so one of the rarest u - needed + 1 is among them
     rows = rows.withColumn("active", F.col("active") & (F.col("r") <= F.col("u") - F.col("needed") + 1))
-    rows = rows.groupBy("key", "id", "label").agg(F.max("active").alias("active"))
+    rows = rows.groupBy("key", "id", "label").agg(
+        F.max("active").alias("active"), F.min("cost").alias("cost"),
+        F.max(F.col("u") - F.col("r")).alias("after"),
+    )
     return _met(rows, "members").drop("members")
 
 
@@ -214,11 +231,14 @@ def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
         return None
     wanted = docs.join(score.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     sets = cut(wanted.mapInArrow(partial(_sets, width=width), "doc_id long, members array<long>"))
-    buckets = shared.select("key", "id", F.lit(True).alias("active"), F.col("id").alias("label"))
+    buckets = shared.select(
+        "key", "id", F.lit(True).alias("active"), F.col("id").alias("label"),
+        F.lit(FREE).alias("cost"), F.lit(0).cast("long").alias("after"),
+    )
     limit, labels, edges, tried = 1, None, None, None
     while True:
         hubs = cut(_hubs(buckets, score, limit))
-        pairs = _pairs(buckets, hubs)
+        pairs = _pairs(buckets, hubs, percent)
         if tried is None:
             now = tried = cut(_verified(pairs, sets, percent))
         else:
