@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from treelens.llm.common import cut
 
+#: Edges of a partition, at most: few edges need few tasks in every step.
+EDGES_PER_PARTITION = 100_000
+
 
 def _both(edges: DataFrame) -> DataFrame:
     pair = F.array(
@@ -41,10 +44,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge (a, b) of longs, a <> b."""
-    now = cut(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
-    state = None
+    parts = -(-edges.count() // EDGES_PER_PARTITION) or 1
+    now, state = cut(_proper(edges.select("a", "b"), parts)), None
     while True:
-        now = cut(_small_star(_large_star(now)).filter(F.col("a") != F.col("b")).distinct())
+        now = cut(_proper(_small_star(_large_star(now)), parts))
         seen = now.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
@@ -54,3 +57,8 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(centres)
+
+
+def _proper(edges: DataFrame, parts: int) -> DataFrame:
+    """Distinct edges between different nodes, in at most ``parts`` partitions."""
+    return edges.filter(F.col("a") != F.col("b")).coalesce(parts).distinct().coalesce(parts)

@@ -209,7 +209,7 @@ def _next_buckets(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.max("active").alias("active"), F.min("cost").alias("cost"),
         F.max(F.col("u") - F.col("r")).alias("after"),
     )
-    return _met(rows, "members").drop("members")
+    return _met(cut(rows), "members").drop("members")
 
 
 def _met(rows: DataFrame, count: str) -> DataFrame:
@@ -223,7 +223,7 @@ def _met(rows: DataFrame, count: str) -> DataFrame:
 
 def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, component) over representatives; ``signed`` has id and bands."""
-    keys = signed.select("id", F.explode("bands").alias("key")).distinct()
+    keys = signed.select("id", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = cut(keys.join(sizes, "key").select("key", "id", "members"))
     score = cut(shared.groupBy("id").agg(F.sum("members").alias("score")))
@@ -243,7 +243,7 @@ def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             now = tried = cut(_verified(pairs, sets, percent))
         else:
             now = cut(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent))
-            tried = cut(tried.unionByName(now))
+            tried = tried.unionByName(now)
         new = now.filter("linked").select("a", "b")
         if not new.isEmpty():
             labels = cut(components(new if edges is None else edges.unionByName(new)))
@@ -254,11 +254,13 @@ def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
         left = hubs.filter("NOT all") if limit > 1 else hubs
         rest = buckets.join(left.select("key", "main").distinct(), "key")
         rest = rest.join(left.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        rest = _met(_labelled(rest, labels), "members").select("id", "main", "label").distinct()
+        rest = cut(_labelled(rest, labels))  # read twice
+        rest = _met(rest, "members").select("id", "main", "label").distinct()
         rest = rest.withColumns({"a": F.least("id", "main"), "b": F.greatest("id", "main")})
         stars = rest.join(tried, ["a", "b"], "left").select(
             "id", "main", "label", F.coalesce("linked", F.lit(False)).alias("linked")
         )
+        stars = cut(stars)
         buckets, limit = cut(_next_buckets(stars, sets, percent)), NESTED_HUBS
         if buckets.isEmpty():
             return labels
