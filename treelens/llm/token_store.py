@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,16 +73,14 @@ class Encoder:
         ids = np.array(joined.ids, "<i4")
         ends = np.flatnonzero(self.last[ids]) + 1
         split = self.split
-        words = np.cumsum([len(split(c)) for c in chunks])
+        words = np.cumsum([1 if c.isalpha() else len(split(c)) for c in chunks])
         if len(ends) != words[-1]:
             for c in chunks:
                 own = self.tok.encode(c, add_special_tokens=False).ids
                 self.known[c] = np.array(own, "<i4").tobytes()
             return
-        data, start = ids.tobytes(), 0
-        for c, end in zip(chunks, (4 * ends[words - 1]).tolist()):
-            self.known[c] = data[start:end]
-            start = end
+        data, cuts = ids.tobytes(), [0, *(4 * ends[words - 1]).tolist()]
+        self.known.update(zip(chunks, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers; no word reaches across white space."""
@@ -89,14 +88,13 @@ class Encoder:
             ids = self.tok.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<i4").tobytes()
         chunks = text.lower().split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > P.CACHE_ENTRIES:
-                known.clear()
-            self._learn([c for c in set(chunks) if c not in known])
-        return b"".join(map(known.__getitem__, chunks))
+        new = set(chunks).difference(self.known)
+        if new:
+            if len(self.known) > P.CACHE_ENTRIES:  # those met first are the most frequent
+                self.known = dict(islice(self.known.items(), P.CACHE_ENTRIES // 4))
+                new = set(chunks).difference(self.known)
+            self._learn(list(new))
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 @lru_cache(maxsize=4)
