@@ -115,6 +115,18 @@ def test_token_output(spark, docs, empty, rows):
     assert token_store.digest(spark, none).count() == 0
 
 
+def test_words_met_first_stay_known(spark, sf_dir, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store.P, "CACHE_ENTRIES", 40)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:100]
+    path = tokenizer_path("word_bpe_49k.json")
+    enc, lib = token_store.Encoder(path), Tokenizer.from_file(path)
+    for t in texts:
+        assert np.frombuffer(enc(t), "<i4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert len(enc.known) <= 40 + len(set(t.lower().split()))
+
+
 def test_encoders_equal_the_library(spark, sf_dir):
     from tokenizers import Tokenizer
 
@@ -287,7 +299,9 @@ def test_near_dedup_of_families_around_the_threshold(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_partition", [100_000, 20])
+def test_components(spark, monkeypatch, per_partition):
+    monkeypatch.setattr(components, "EDGES_PER_PARTITION", per_partition)
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 120)] + [(200, 201), (201, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 120)}, 200: 200, 201: 200}
