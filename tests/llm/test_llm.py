@@ -398,3 +398,15 @@ def test_pipeline(spark, sf_dir):
             assert all(c == i for i, (_, c) in brute_components(kept).items())
     out = pipe.run(spark, sf_dir)
     assert out.count() == held.count()
+
+
+def test_pipeline_drops_near_copies_of_four_fifths(spark, sf_dir):
+    import corpus_pipeline as pipe
+
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    at = lambda *places: " ".join("new" + w if i in places else w for i, w in enumerate(base))
+    # 90 shared of 110 (0.818), 85 of 115 (0.739); 5 shingles go with a word inside
+    texts = [" ".join(base), at(20, 60), " ".join("x" + w for w in base), " ".join(("y" if i in (20, 50, 80) else "") + "x" + w for i, w in enumerate(base))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipe.minhash_near_dedup(spark, docs, sf_dir).collect()) == [0, 2, 3]
+    assert (1 - 0.8**5) ** pipe.NEAR_BANDS < 3e-7
