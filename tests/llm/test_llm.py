@@ -410,3 +410,60 @@ def test_pipeline_drops_near_copies_of_four_fifths(spark, sf_dir):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in pipe.minhash_near_dedup(spark, docs, sf_dir).collect()) == [0, 2, 3]
     assert (1 - 0.8**5) ** pipe.NEAR_BANDS < 3e-7
+
+
+def brute_scores(texts, kl=0.02, kappa=10.0):
+    """Scores by the definition in lm's docstring; texts are (held out, text)."""
+    toks = [[*(t or "").lower().split(), ""] for _, t in texts]
+    train = [t for (h, _), t in zip(texts, toks) if not h]
+    count = [collections.Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+    n, v = sum(count[0].values()), len(count[0])
+    after = collections.defaultdict(dict)
+    for k in (1, 2):
+        for g, c in count[k].items():
+            if c >= 2:
+                after[g[:-1]][g[-1]] = c
+    total = lambda s: count[len(s) - 1][s]
+
+    def p(w, s, states):
+        if not s:
+            return (count[0][(w,)] + 1) / (n + v + 1)
+        if s not in states:
+            return p(w, s[1:] if len(s) == 1 or s[1:] in states else (), states)
+        stored = after[s]
+        return (stored.get(w, 0) + (total(s) - sum(stored.values()) + kappa) * p(w, s[1:], states)) / (total(s) + kappa) if w in stored else (
+            (total(s) - sum(stored.values()) + kappa) / (total(s) + kappa) * p(w, s[1:], states))
+
+    singles = {s for s in after if len(s) == 1}
+
+    def diverges(s):
+        q = {w: p(w, s[1:], singles) for w in after[s]}
+        share = {w: c / total(s) for w, c in after[s].items()}
+        gain, rest = sum(x * math.log(x / q[w]) for w, x in share.items()), 1 - sum(share.values())
+        return gain + (rest * math.log(rest / max(1 - sum(q.values()), 1e-12)) if rest > 1e-9 else 0) >= kl
+
+    deep = {s for s in after if len(s) == 2 and diverges(s)}
+    states = deep | {s[1:] for s in deep} | {s for s in singles if diverges(s)}
+    return [sum(math.log10(p(w, tuple(t[max(0, i - 2) : i]), states)) for i, w in enumerate(t)) for t in toks]
+
+
+@pytest.mark.parametrize("shares", [{}, dict(p_word=0.05, p_entry=0.05), dict(p_word=2.0, p_entry=2.0)])
+def test_lm_scores_by_definition(spark, shares):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(25)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice([3, 25])]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(60)]
+    want = brute_scores(list(zip(held, texts)))
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **shares).collect()}
+    assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in range(60))
+
+
+def test_lm_keeps_phrases_that_are_rare_in_a_large_corpus(spark):
+    rng = random.Random(4)
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    probe = next(i for i in range(400, 500) if zlib.crc32(str(i).encode()) % 7 == 2)
+    phrase = "quaint ochre lanterns drift past"
+    rows = [(i, " ".join(f"n{rng.randrange(3000)}" for _ in range(250)) + (f" {phrase}" if k < 3 else "")) for k, i in enumerate(train)]
+    df = spark.createDataFrame([*rows, (probe, phrase)], "doc_id long, text string")
+    r = next(r for r in lm.score_texts(df).collect() if r.doc_id == probe)
+    assert r.score > r.base_score + 4

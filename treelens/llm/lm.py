@@ -1,20 +1,24 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Words are counted over all training texts. Contexts of one and two words with a
-probability of at least ``P_CONTEXT`` are candidates; a candidate becomes a state if its
-next-word distribution diverges from its suffix's by at least ``KL`` nats (a longer
-state makes its suffix a state too). A state stores the next words whose joint
-probability is at least ``P_ENTRY``; the rest of its mass goes to its suffix's
-distribution, as does a smoothing mass of ``KAPPA``:
+Words and runs of two and three words are counted over all training texts. Contexts of
+one and two words that occur at least ``LEAST`` times are candidates; a candidate becomes
+a state if its next-word distribution diverges from its suffix's by at least ``KL`` nats
+(a longer state makes its suffix a state too). A state stores the next words seen at least
+``LEAST`` times; the rest of its mass goes to its suffix's distribution, as does a
+smoothing mass of ``KAPPA``:
 
     P(w | s) = (n(s, w) + (N(s) - stored(s) + KAPPA) P(w | suffix of s)) / (N(s) + KAPPA)
 
 down to add-one word frequencies. Texts are scored word by word from the longest
 state that ends at the word, and one end symbol per text.
 
-These thresholds are probabilities, so what is sent to the workers is bounded by them at
-any corpus size: at most 1/P_WORD words and 1/P_ENTRY entries per depth. The
-remaining words of a text are scored through a join with the word counts.
+The thresholds are counts, so the model grows with the corpus; it is a distributed table.
+A text's score is a sum over its runs: a word adds its log frequency and, as a state, the
+weight of falling back; a longer run adds what it corrects. So texts meet the table by
+joins. Two things are broadcast and bounded, and change no result: the weights of words with
+a share of ``P_WORD`` and runs with a share of ``P_ENTRY`` at least, which would be hot
+keys of the join, and bitmaps of the keys in a table, which tell runs that need no
+look-up. Words and runs are told apart by 64-bit hashes.
 
 Defined results: a null or empty text is its end symbol; repeated rows count and
 are scored row by row; without training texts all counts are 0 and scores use the
@@ -24,7 +28,6 @@ smoothing alone; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,110 +36,228 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treelens.llm import shingles as S
 from treelens.llm.common import cut, ship
 
-P_WORD, P_CONTEXT, P_ENTRY = 1e-6, 1e-4, 2e-6
+P_WORD, P_ENTRY = 1e-6, 2e-6
+LEAST = 2
 KL, KAPPA = 0.02, 10.0
 FOLDS, HELD_OUT = 7, 2
-END = b""
+END = np.uint64(0x5851F42D4C957F2D)
 #: Distinct keys a task gathers before it hands them on.
 FLUSH = 400_000
-BITS = 20
+#: Bits of a bitmap of keys: 2^27, 16 MB.
+BITS = 27
 
 
 def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
 
 
-def _tokens(text: pa.Scalar) -> list[bytes]:
-    """Lower-cased words (ASCII white space between them) and the end symbol."""
-    words = text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
-    words.append(END)
-    return words
+def _longer(shorter: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of runs that are longer by a word at their end."""
+    return S.mix(shorter * np.uint64(0x9FB21C651E98DF25) + words)
 
 
-def _counted(keys: list, values: list, kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(values, pa.int64())], ["k", "n"])
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(first row, tokens of each text, text of each token, keys of 1, 2, 3 tokens that end there).
 
+    The keys of two begin at the second token, those of three at the third; runs across texts are
+    to be left out.
+    """
+    for first, data, offsets in S.pieces(batch.column("text")):
+        hashes, counts = S.word_hashes(data, offsets)
+        sizes = counts + 1
+        ends = np.zeros(int(sizes.sum()), dtype=bool)
+        ends[np.cumsum(sizes) - 1] = True
+        one = np.full(len(ends), END)
+        one[~ends] = hashes
+        two = _longer(one[:-1], one[1:])
+        yield first, sizes, np.repeat(np.arange(len(sizes)), sizes), one, two, _longer(two[:-1], one[2:])
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text"):
-            counts.update(_tokens(text))
-            if len(counts) > FLUSH:
-                yield _counted(list(counts), list(counts.values()), pa.binary())
-                counts.clear()
-    if counts:
-        yield _counted(list(counts), list(counts.values()), pa.binary())
-
-
-def _ids(batch: pa.RecordBatch, get) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all tokens, -1 for others; index of the text of each token)."""
-    ids: list[int] = []
-    sizes = []
-    for text in batch.column("text"):
-        words = _tokens(text)
-        ids.extend([get(w, -1) for w in words])
-        sizes.append(len(words))
-    return np.array(ids, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([p[0] for p in parts])
-    values = np.concatenate([p[1] for p in parts])
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(where, weights=values, minlength=len(distinct)).astype(np.int64)
-
-
-def _count_next(batches: Iterator[pa.RecordBatch], model, depth: int) -> Iterator[pa.RecordBatch]:
-    """(context and next word as one code, count) for contexts of ``depth`` words."""
-    index, symbols, contexts = model.value
-    parts, held = [], 0
-    for batch in _slices(batches):
-        ids, text = _ids(batch, index.get)
-        nxt = ids[depth:]
-        ok = (text[depth:] == text[: len(text) - depth]) & (nxt >= 0) & (nxt < symbols)
-        code = np.zeros(len(nxt), dtype=np.int64)
-        for j in range(depth):
-            word = ids[j : len(ids) - depth + j]
-            ok &= word >= 0
-            code = code << BITS | np.maximum(word, 0)
-        if len(contexts):
-            at = np.minimum(np.searchsorted(contexts, code), len(contexts) - 1)
-            ok &= contexts[at] == code
-        else:
-            ok[:] = False
-        code = (code << BITS | np.maximum(nxt, 0))[ok]
-        parts.append(np.unique(code, return_counts=True))
-        held += len(parts[-1][0])
+
+def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> np.uint64(64 - BITS)
+    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The bits of all ``key``; at most 2^(BITS - 6) rows come to the driver."""
+    place = F.shiftrightunsigned("key", 64 - BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 AS int))")
+    rows = keys.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    """Rows of equal first columns as one, with the last columns' sum."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    distinct, at, where = np.unique(columns[0], return_index=True, return_inverse=True)
+    total = np.bincount(where, weights=columns[-1], minlength=len(distinct)).astype(np.int64)
+    return (distinct, *(c[at] for c in columns[1:-1]), total)
+
+
+def _gathered(parts: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The merged parts, handed on whenever many distinct keys are held."""
+    kept: list[tuple] = []
+    held = 0
+    for part in parts:
+        kept.append(_merged([part]))
+        held += len(kept[-1][0])
         if held > 4 * FLUSH:
-            parts = [_merged(parts)]
-            held = len(parts[0][0])
+            kept = [_merged(kept)]
+            held = len(kept[0][0])
             if held > 2 * FLUSH:
-                yield _counted(parts[0][0], parts[0][1], pa.int64())
-                parts, held = [], 0
+                yield _batch(kept[0], names)
+                kept, held = [], 0
     if held:
-        keys, values = _merged(parts)
-        yield _counted(keys, values, pa.int64())
+        yield _batch(_merged(kept), names)
+
 
+def _batch(columns: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
 
-class Tree:
-    """The states, as sorted arrays; all log probabilities to base 10."""
 
-    def __init__(self, n: int, v: int):
-        self.n, self.v = n, v
-        self.root = np.zeros(0)
-        self.codes: dict[int, np.ndarray] = {}  # by depth: context and next word
-        self.logs: dict[int, np.ndarray] = {}
-        self.states: dict[int, np.ndarray] = {}
-        self.backoff: dict[int, np.ndarray] = {}
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = ((r[3], np.ones(len(r[3]), np.int64)) for b in batches for r in _runs(b))
+    return _gathered(parts, ["key", "n"])
+
+
+def _pairs(one: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which pairs lie in a text and have words of the bitmap only."""
+    ok = _has(words, one)
+    return ok[1:] & ok[:-1] & (text[1:] == text[:-1])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], maps) -> Iterator[pa.RecordBatch]:
+    words = maps.value
+
+    def parts():
+        for b in batches:
+            for _, _, text, one, two, _ in _runs(b):
+                two = two[_pairs(one, text, words)]
+                yield two, np.ones(len(two), np.int64)
+
+    return _gathered(parts(), ["key", "n"])
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch], maps) -> Iterator[pa.RecordBatch]:
+    """Runs of two and three tokens whose parts may all occur ``LEAST`` times."""
+    words, pairs = maps.value
+
+    def parts():
+        for b in batches:
+            for _, _, text, one, two, three in _runs(b):
+                ok = _pairs(one, text, words) & _has(pairs, two)
+                i = np.flatnonzero(ok)
+                j = np.flatnonzero(ok[1:] & ok[:-1])
+                depth = np.repeat(np.array([1, 2]), [len(i), len(j)])
+                yield (
+                    np.concatenate([two[i], three[j]]), np.concatenate([one[i], two[j]]),
+                    np.concatenate([one[i + 1], two[j + 1]]), depth, np.ones(len(depth), np.int64),
+                )
+
+    return _gathered(parts(), ["key", "ctx", "low", "depth", "n"])
+
+
+def _level(runs: DataFrame, lower: DataFrame, floor: float, kl: float, kappa: float) -> DataFrame:
+    """``runs`` of a depth with candidate contexts: own and lower log10 probability, the context's
+    total, weight of falling back, and whether it diverges."""
+    c, one = F.col, F.lit(1.0)
+    runs = runs.join(lower.select(c("key").alias("ctx"), c("n").alias("total")), "ctx").filter(c("total") >= floor)
+    runs = cut(runs.join(lower.select(c("key").alias("low"), c("p").alias("under")), "low"))
+    share = c("n") / c("total")
+    states = runs.groupBy("ctx").agg(
+        F.first("total").alias("of"), F.sum("n").alias("stored"),
+        F.sum(share * (F.log(share) - c("under") * math.log(10))).alias("gain"),
+        F.sum(F.pow(F.lit(10.0), "under")).alias("covered"),
+    )
+    rest = (c("of") - c("stored")) / c("of")
+    tail = rest * (F.log(rest) - F.log(F.greatest(one - c("covered"), F.lit(1e-12))))
+    left = c("of") - c("stored") + F.lit(kappa)
+    states = states.select(
+        "ctx", left.alias("left"), F.log10(left / (c("of") + F.lit(kappa))).alias("back"),
+        (c("gain") + F.when(rest > 0, tail).otherwise(0.0) >= F.lit(kl)).alias("diverges"),
+    )
+    own = F.log10((c("n") + c("left") * F.pow(F.lit(10.0), "under")) / (c("total") + F.lit(kappa)))
+    return cut(runs.join(states, "ctx").select("key", "ctx", "low", "n", "total", "under", own.alias("p"), "back", "diverges"))
+
+
+def _weights(words: DataFrame, one: DataFrame, two: DataFrame, nothing: float) -> DataFrame:
+    """(key, longer, n, base, value): what a run of the key adds to a text's scores.
+
+    ``nothing`` is what every token has already, the log probability of an unknown word.
+    """
+    c = F.col
+    deep = cut(two.filter("diverges").groupBy("ctx").agg(F.first("back").alias("back"), F.first("total").alias("n")))
+    needed = one.join(deep.select(c("ctx").alias("key")), "key", "left_semi").select(c("low").alias("ctx"))
+    states = one.filter("diverges").select("ctx").union(needed).distinct()
+    states = cut(one.join(states, "ctx", "left_semi").groupBy("ctx").agg(F.first("back").alias("back")))
+    base = c("p") - F.lit(nothing)
+    first = words.join(states.withColumnRenamed("ctx", "key"), "key", "left").select(
+        "key", F.lit(False).alias("longer"), "n", base.alias("base"), (base + F.coalesce("back", F.lit(0.0))).alias("value")
+    )
+    more = (c("p") - c("under") - c("back")).alias("value")
+    second = one.join(states.select("ctx"), "ctx", "left_semi").select("key", "n", more)
+    second = second.union(deep.select("ctx", "n", "back")).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+    third = two.filter("diverges").select("key", "n", more)
+    longer = second.union(third).select("key", F.lit(True).alias("longer"), "n", F.lit(0.0).alias("base"), "value")
+    return cut(first.union(longer))
+
+
+SCORED = (
+    "row long, key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+)
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, nothing: float, once: float) -> Iterator[pa.RecordBatch]:
+    """A row per text with what is known here, and a row per run to be looked up."""
+    from pyspark import TaskContext
+
+    words, longer, hot = model.value
+    row = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        asked_of = np.array(batch.column("held_out").to_pylist(), dtype=bool)
+        for first, sizes, text, one, two, three in _runs(batch):
+            n = len(sizes)
+            held = asked_of[first : first + n]
+            at_two = np.flatnonzero((text[1:] == text[:-1]) & _has(longer, two))
+            at_three = np.flatnonzero((text[2:] == text[:-2]) & _has(longer, three))
+            known, base, score = np.zeros(n, np.int64), sizes * nothing, sizes * nothing
+            keys, texts = [], []
+            for key, of, single in ((one, text, True), (two[at_two], text[1:][at_two], False), (three[at_three], text[2:][at_three], False)):
+                at, hit = _find(hot[0], key)
+                base += np.bincount(of[hit], weights=hot[1][at[hit]], minlength=n)
+                score += np.bincount(of[hit], weights=hot[2][at[hit]], minlength=n)
+                key, of = key[~hit], of[~hit]
+                if single:
+                    known += np.bincount(text[hit], minlength=n)
+                    # a training text's word that is not in the bitmap occurs here only
+                    here = ~held[of] & ~_has(words, key)
+                    met = np.bincount(of[here], minlength=n)
+                    known, base, score = known + met, base + met * once, score + met * once
+                    key, of = key[~here], of[~here]
+                keys.append(key)
+                texts.append(of)
+            rows = np.arange(row, row + n)
+            asked = np.concatenate(texts)
+            m = len(asked)
+            own = [
+                batch.column("doc_id").slice(first, n), pa.array(held), pa.array(sizes.astype(np.int64)),
+                pa.array(known), pa.array(base), pa.array(score),
+            ]
+            spread = S.mix(rows.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([rows, rows[asked]])),
+                    pa.array(np.concatenate([spread, *keys]).view(np.int64)),
+                    *(pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in own),
+                ],
+                ["row", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+            )
+            row += n
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,118 +267,15 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _lower_log(tree: Tree, context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-    """log10 P(word | context) for contexts of ``depth`` words, from the tree so far."""
-    if depth == 0:
-        return tree.root[word]
-    tail = context & ((1 << BITS * (depth - 1)) - 1)
-    base = _lower_log(tree, tail, word, depth - 1)
-    state, is_state = _find(tree.states[depth], context)
-    entry, stored = _find(tree.codes[depth], context << BITS | word)
-    out = np.where(is_state, base + _at(tree.backoff[depth], state), base)
-    return np.where(is_state & stored, _at(tree.logs[depth], entry), out)
-
-
-def _at(values: np.ndarray, index: np.ndarray) -> np.ndarray:
-    return values[index] if len(values) else np.zeros(len(index))
-
-
-def grow(tree: Tree, depth: int, codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray,
-         totals: np.ndarray, kl: float, kappa: float, must: np.ndarray) -> None:
-    """Add the states of one depth: candidates that diverge, and those in ``must``."""
-    context, word = codes >> BITS, codes & ((1 << BITS) - 1)
-    at = np.searchsorted(contexts, context)
-    stored = np.bincount(at, weights=counts, minlength=len(contexts))
-    tail = context & ((1 << BITS * (depth - 1)) - 1)
-    lower = _lower_log(tree, tail, word, depth - 1) if len(codes) else np.zeros(0)
-    share = counts / totals[at]
-    gain = np.bincount(at, weights=share * (np.log(share) - lower * math.log(10)), minlength=len(contexts))
-    covered = np.bincount(at, weights=10.0**lower, minlength=len(contexts))
-    rest = np.maximum(totals - stored, 0) / totals
-    with np.errstate(divide="ignore", invalid="ignore"):
-        tail_gain = np.where(rest > 0, rest * (np.log(rest) - np.log(np.maximum(1 - covered, 1e-12))), 0.0)
-    keep = (gain + tail_gain >= kl) | np.isin(contexts, must)
-    left = (totals - stored + kappa) / (totals + kappa)
-    tree.states[depth] = contexts[keep]
-    tree.backoff[depth] = np.log10(left[keep])
-    kept = keep[at]
-    mass = counts + (totals - stored + kappa)[at] * 10.0**lower
-    tree.codes[depth] = codes[kept]
-    tree.logs[depth] = np.log10(mass / (totals[at] + kappa))[kept]
-
-
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.toArrow()
-    keys, values = rows.column("k").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order].astype(np.int64), values[order].astype(np.int64)
-
-
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    index, tree = model.value
-    size = len(tree.root)
-    one, two = tree.states.get(1, np.zeros(0, np.int64)), tree.states.get(2, np.zeros(0, np.int64))
-    is_one = np.zeros(size, dtype=bool)
-    is_one[one] = True
-    back_one = np.zeros(size)
-    back_one[one] = tree.backoff.get(1, np.zeros(0))
-    for batch in _slices(batches):
-        words = [_tokens(t) for t in batch.column("text")]
-        sizes = np.array([len(w) for w in words])
-        flat = [x for w in words for x in w]
-        ids = np.array([index.get(x, -1) for x in flat], dtype=np.int64)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        known = ids >= 0
-        safe = np.maximum(ids, 0)
-        base = np.where(known, tree.root[safe], 0.0) if size else np.zeros(len(ids))
-        score = base.copy()
-        if size:
-            prev = np.concatenate([[-1], ids[:-1]])
-            prev[np.cumsum(sizes)[:-1]] = -1
-            before = np.concatenate([[-1], prev[:-1]])
-            before[np.cumsum(sizes)[:-1]] = -1
-            p1 = np.maximum(prev, 0)
-            in_one = (prev >= 0) & is_one[p1]
-            score = np.where(in_one, score + back_one[p1], score)
-            sel = np.flatnonzero(in_one & known)
-            at, hit = _find(tree.codes[1], p1[sel] << BITS | safe[sel])
-            score[sel[hit]] = tree.logs[1][at[hit]]
-            if len(two):
-                sel = np.flatnonzero(in_one & (before >= 0))
-                context = before[sel] << BITS | p1[sel]
-                at, hit = _find(two, context)
-                sel, context, at = sel[hit], context[hit], at[hit]
-                score[sel] += tree.backoff[2][at]
-                can = known[sel]
-                sel, context = sel[can], context[can]
-                at, hit = _find(tree.codes[2], context << BITS | safe[sel])
-                score[sel[hit]] = tree.logs[2][at[hit]]
-        n = len(sizes)
-        rare = np.flatnonzero(~known)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=n))]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), batch.column("held_out"), pa.array(sizes.astype(np.int64)),
-                pa.array(np.bincount(text[known], minlength=n).astype(np.int64)),
-                pa.array(np.bincount(text, weights=base, minlength=n)),
-                pa.array(np.bincount(text, weights=score, minlength=n)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array([flat[i] for i in rare], pa.binary())),
-            ],
-            ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
-        )
-
-
-SCORED = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-    "rare array<binary>"
-)
-
-
 def score_texts(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kl: float = KL, kappa: float = KAPPA,
-    p_word: float = P_WORD, p_context: float = P_CONTEXT, p_entry: float = P_ENTRY,
+    p_word: float = P_WORD, p_context: float = 0.0, p_entry: float = P_ENTRY,
 ) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
+
+    ``p_word`` and ``p_entry`` are the shares from which weights are broadcast; ``p_context`` asks
+    for contexts of a larger share than ``LEAST`` occurrences.
+    """
     spark = docs.sparkSession
     ship(spark)
     send = spark.sparkContext.broadcast
@@ -266,53 +284,37 @@ def score_texts(
         held_out(F.col(doc_id)).alias("held_out"),
     )
     train = texts.filter(~F.col("held_out")).select("text")
-    counts = cut(
-        train.mapInArrow(_count_words, "k binary, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    )
+    summed = F.sum("n").alias("n")
+    counts = cut(train.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(summed))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # words by falling count, then by bytes: at most 1 / p_word of them
-    frequent = counts.filter(F.col("n") >= F.lit(p_word * n)).toArrow().to_pylist()
-    frequent.sort(key=lambda r: (-r["n"], r["k"]))
-    frequent = frequent[: (1 << BITS) - 1]
-    index = {r["k"]: i for i, r in enumerate(frequent)}
-    word_counts = np.array([r["n"] for r in frequent], dtype=np.int64)
-    tree = Tree(n, v)
-    tree.root = np.log10((word_counts + 1) / (n + v + 1))
-    symbols = int((word_counts >= p_entry * n).sum())
-    end_id = index.get(END, -1)
-    contexts = np.flatnonzero(word_counts >= max(2.0, p_context * n))
-    contexts = contexts[contexts != end_id]
-    totals = word_counts[contexts].astype(np.float64)
-    found = {}
-    for depth in (1, 2):
-        counted = train.mapInArrow(
-            partial(_count_next, model=send((index, symbols, contexts)), depth=depth), "k long, n long"
-        ).groupBy("k").agg(F.sum("n").alias("n"))
-        counted = counted.filter(F.col("n") >= F.lit(max(2.0, p_entry * n)))
-        codes, values = _collected(counted)  # at most 1 / p_entry entries
-        found[depth] = (codes, values, contexts, totals)
-        longer = values >= max(2.0, p_context * n)
-        longer &= (codes & ((1 << BITS) - 1)) != end_id
-        contexts, totals = codes[longer], values[longer].astype(np.float64)
-    # a first growth without forced states tells which suffixes longer states need
-    nothing = np.zeros(0, np.int64)
-    grow(tree, 1, *found[1], kl, kappa, found[1][2])
-    grow(tree, 2, *found[2], kl, kappa, nothing)
-    must = np.unique(tree.states[2] & ((1 << BITS) - 1))
-    grow(tree, 1, *found[1], kl, kappa, must)
-    grow(tree, 2, *found[2], kl, kappa, tree.states[2])
-    scored = texts.mapInArrow(partial(_score, model=send((index, tree))), SCORED)
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
-    words = scored.select("row", F.explode("rare").alias("k")).join(counts, "k", "left")
-    seen = F.coalesce("n", F.lit(0))
-    words = words.select(
-        "row", F.log10((seen + 1) / F.lit(float(n + v + 1))).alias("l"), (seen > 0).cast("long").alias("known")
+    often = F.col("n") >= LEAST
+    words = _bitmap(counts.filter(often))
+    pairs = train.mapInArrow(partial(_count_pairs, maps=send(words)), "key long, n long").groupBy("key").agg(summed)
+    maps = send((words, _bitmap(pairs.filter(often))))
+    runs = train.mapInArrow(partial(_count_runs, maps=maps), "key long, ctx long, low long, depth long, n long")
+    runs = cut(runs.groupBy("key", "ctx", "low", "depth").agg(summed).filter(often))
+    root = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
+    floor = max(float(LEAST), p_context * n)
+    one = _level(runs.filter("depth = 1"), root, floor, kl, kappa)
+    two = _level(runs.filter("depth = 2"), one, floor, kl, kappa)
+    nothing = -math.log10(n + v + 1)
+    weights = _weights(root, one, two, nothing)
+    share = F.when(F.col("longer"), F.lit(p_entry * n)).otherwise(F.lit(p_word * n))
+    hot = weights.filter(F.col("n") >= share).select("key", "base", "value").toArrow()
+    keys = hot.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    hot = (keys[order], hot.column("base").to_numpy()[order], hot.column("value").to_numpy()[order])
+    model = send((words, _bitmap(weights.filter("longer")), hot))
+    scored = texts.mapInArrow(partial(_score, model=model, nothing=nothing, once=math.log10(2)), SCORED)
+    rare = weights.filter(F.col("n") < share).select("key", "longer", F.col("base").alias("b"), F.col("value").alias("w"))
+    met = scored.join(rare, "key", "left")
+    asked = F.col("n_tokens").isNull()
+    plus = lambda own, found: F.sum(F.when(asked, F.coalesce(found, F.lit(0))).otherwise(F.col(own)))
+    out = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
+        plus("n_known", F.when(~F.col("longer"), F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("n_known"),
+        plus("base", F.col("b")).alias("base_score"), plus("score", F.col("w")).alias("score"),
     )
-    extra = words.groupBy("row").agg(F.sum("l").alias("l"), F.sum("known").alias("more"))
-    out = scored.drop("rare").join(extra, "row", "left")
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("l", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("l", F.lit(0.0))).alias("score"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
