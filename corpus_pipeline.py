@@ -45,9 +45,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: doc_id, start, n_tokens, ids."""
+    """Token files of the mix in training order, read back: doc_id, start, n_tokens, ids.
+
+    ``docs`` is read from the files of the stage before, whose layout holds the order.
+    """
     path = scratch(spark, "pipeline-tokens")
-    token_store.write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), END_ID)
+    by = token_store.written_order(docs)
+    token_store.write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), END_ID, by=by)
     return token_store.read_with_starts(spark, path)
 
 

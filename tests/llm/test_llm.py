@@ -467,3 +467,14 @@ def test_lm_keeps_phrases_that_are_rare_in_a_large_corpus(spark):
     df = spark.createDataFrame([*rows, (probe, phrase)], "doc_id long, text string")
     r = next(r for r in lm.score_texts(df).collect() if r.doc_id == probe)
     assert r.score > r.base_score + 4
+
+
+def test_pipeline_keeps_the_training_order(spark, sf_dir):
+    import corpus_pipeline as pipe
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    path = scratch(spark, "test-order")
+    pipe.source_mixing(spark, docs, sf_dir).write.parquet(path)
+    out = pipe.token_output(spark, spark.read.parquet(path), sf_dir).orderBy("start").collect()
+    want = [r.doc_id for r in mixing.mixed(docs).orderBy("position", "doc_id").collect()]
+    assert [r.doc_id for r in out] == want != sorted(want)

@@ -1,6 +1,6 @@
 """Token-ID output: Parquet files of token lists in ascending document order.
 
-Documents are range-partitioned and sorted by id, encoded partition by partition and
+Documents are range-partitioned and sorted by id, or by what the caller names, encoded partition by partition and
 written as one file each. A row holds the id, the token count, where the document
 starts in its file, the file's number, and the list of ids. Token lists are dictionary
 encoded (the vocabulary fits a dictionary page), the metadata columns delta encoded;
@@ -21,7 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,19 +128,34 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id",
-    text: str = "text", file_bytes: int = FILE_BYTES,
+    text: str = "text", file_bytes: int = FILE_BYTES, by: list[Column] | None = None,
 ) -> None:
-    """Encode all texts and write the files below ``path``."""
+    """Encode all texts and write the files below ``path``, in ascending order of ``by`` or of ids."""
     ship(docs.sparkSession)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    given = by or []
+    own = [f"by_{i}" for i in range(len(given))]
+    narrow = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+        *(c.alias(name) for c, name in zip(given, own)),
+    )
     total = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    order = [F.col("doc_id"), F.xxhash64("text")]
+    order = [F.col(name) for name in own] or [F.col("doc_id"), F.xxhash64("text")]
     files = max(1, -(-total // file_bytes))
-    ordered = narrow.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ordered = narrow.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     coded = ordered.mapInArrow(partial(_encode, path=tokenizer, end_id=end_id), SCHEMA)
     coded.write.options(**OPTIONS).parquet(path)
 
 
+def written_order(docs: DataFrame) -> list[Column]:
+    """Columns that sort the rows of Parquet files of one sorted frame as they were written.
+
+    Spark numbers part files by the sorted partitions, but reads them in any order.
+    """
+    of = docs.metadataColumn("_metadata")
+    part = F.regexp_extract(of["file_name"], r"^part-(\d+)", 1)
+    return [part.try_cast("long"), of["file_name"], of["row_index"]]
+
+
 def read_tokens(spark, path: str) -> DataFrame:
     """The rows of the files, all columns; what is not selected is not read."""
     return spark.read.schema(SCHEMA).parquet(path)
