@@ -348,6 +348,18 @@ def j11_read_range(s: Store):
     return c.groupBy("manifest_id").agg(body.alias("body"))
 
 
+@query("chunks", """SELECT manifest_id, string_agg(piece, '' ORDER BY seq) AS body_hex FROM (SELECT manifest_id, seq,
+  substr(hex(encode(coalesce(text, ''))), (2 * greatest(20 - off, 0) + 1)::BIGINT, (2 * (least(off + size, 120) - greatest(off, 20)))::BIGINT) AS piece
+  FROM chunks JOIN conversations ON manifest_id = conv_id AND seq = turn WHERE off < 120 AND off + size > 20) GROUP BY 1""")
+def j11_read_range_bytes(s: Store):
+    """Bytes 20 to 119 of every file, whatever characters it has; j11_read_range has ASCII chunks only, as its SQL."""
+    data = s.t("conversations").select(F.col("conv_id").alias("manifest_id"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    c = s.chunks().join(data, ["manifest_id", "seq"]).filter("off < 120 AND off + size > 20")
+    piece = F.substr("data", F.greatest(F.lit(20) - F.col("off"), F.lit(0)).cast("int") + 1, (F.least(F.col("off") + F.col("size"), F.lit(120)) - F.greatest("off", F.lit(20))).cast("int"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex(piece).alias("p")))), lambda x: x["p"]), "")
+    return c.groupBy("manifest_id").agg(body.alias("body_hex"))
+
+
 ASKED = """asked AS (SELECT chunk_id, row_number() OVER (ORDER BY manifest_id, seq) AS pos FROM chunks WHERE manifest_id % 3 = 0),
 stored AS (SELECT chunk_id, max(size) size FROM chunks WHERE manifest_id % 2 = 0 GROUP BY 1)"""
 
