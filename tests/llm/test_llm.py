@@ -412,14 +412,14 @@ def test_pipeline_drops_near_copies_of_four_fifths(spark, sf_dir):
     assert (1 - 0.8**5) ** pipe.NEAR_BANDS < 3e-7
 
 
-def brute_scores(texts, kl=0.02, kappa=10.0):
+def brute_scores(texts, kl=0.02, kappa=10.0, depth=3):
     """Scores by the definition in lm's docstring; texts are (held out, text)."""
     toks = [[*(t or "").lower().split(), ""] for _, t in texts]
     train = [t for (h, _), t in zip(texts, toks) if not h]
-    count = [collections.Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+    count = [collections.Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, depth + 2)]
     n, v = sum(count[0].values()), len(count[0])
     after = collections.defaultdict(dict)
-    for k in (1, 2):
+    for k in range(1, depth + 1):
         for g, c in count[k].items():
             if c >= 2:
                 after[g[:-1]][g[-1]] = c
@@ -428,23 +428,26 @@ def brute_scores(texts, kl=0.02, kappa=10.0):
     def p(w, s, states):
         if not s:
             return (count[0][(w,)] + 1) / (n + v + 1)
-        if s not in states:
-            return p(w, s[1:] if len(s) == 1 or s[1:] in states else (), states)
+        assert s in states
         stored = after[s]
-        return (stored.get(w, 0) + (total(s) - sum(stored.values()) + kappa) * p(w, s[1:], states)) / (total(s) + kappa) if w in stored else (
-            (total(s) - sum(stored.values()) + kappa) / (total(s) + kappa) * p(w, s[1:], states))
+        return (stored.get(w, 0) + (total(s) - sum(stored.values()) + kappa) * p(w, s[1:], states)) / (total(s) + kappa)
 
-    singles = {s for s in after if len(s) == 1}
+    candidates = set(after)
 
     def diverges(s):
-        q = {w: p(w, s[1:], singles) for w in after[s]}
+        q = {w: p(w, s[1:], candidates) for w in after[s]}
         share = {w: c / total(s) for w, c in after[s].items()}
         gain, rest = sum(x * math.log(x / q[w]) for w, x in share.items()), 1 - sum(share.values())
         return gain + (rest * math.log(rest / max(1 - sum(q.values()), 1e-12)) if rest > 1e-9 else 0) >= kl
 
-    deep = {s for s in after if len(s) == 2 and diverges(s)}
-    states = deep | {s[1:] for s in deep} | {s for s in singles if diverges(s)}
-    return [sum(math.log10(p(w, tuple(t[max(0, i - 2) : i]), states)) for i, w in enumerate(t)) for t in toks]
+    states = {s for s in after if diverges(s)}
+    for k in range(depth, 1, -1):
+        states |= {s[1:] for s in states if len(s) == k}
+
+    def longest(t, i):
+        return next((s for k in range(depth, 0, -1) if i >= k and (s := tuple(t[i - k : i])) in states), ())
+
+    return [sum(math.log10(p(w, longest(t, i), states)) for i, w in enumerate(t)) for t in toks]
 
 
 @pytest.mark.parametrize("shares", [{}, dict(p_word=0.05, p_entry=0.05), dict(p_word=2.0, p_entry=2.0)])

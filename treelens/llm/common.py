@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables written in the shared folder, which an operator drops when it has read them."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.what, self.kept = spark, what, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back, which cuts its lineage."""
+        path = scratch(self.spark, self.what)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of ``tables``, which nothing reads any more."""
+        for out, path in [x for x in self.kept if any(x[0] is t for t in tables)]:
+            delete(self.spark, path)
+            self.kept.remove((out, path))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems have it."""
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of, True)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are gone.
+
+    It acts when the driver's collector finds the plans, which can take longer than a
+    job; long operators ask for that between their phases.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Words and runs of two and three words are counted over all training texts. Contexts of
-one and two words that occur at least ``LEAST`` times are candidates; a candidate becomes
+Runs of up to ``DEPTH`` + 1 words are counted over all training texts. Contexts of one to
+``DEPTH`` words that occur at least ``LEAST`` times are candidates; a candidate becomes
 a state if its next-word distribution diverges from its suffix's by at least ``KL`` nats
 (a longer state makes its suffix a state too). A state stores the next words seen at least
 ``LEAST`` times; the rest of its mass goes to its suffix's distribution, as does a
@@ -13,12 +13,18 @@ down to add-one word frequencies. Texts are scored word by word from the longest
 state that ends at the word, and one end symbol per text.
 
 The thresholds are counts, so the model grows with the corpus; it is a distributed table.
+Most pairs of words occur once, so pairs are counted in two steps: tasks hand on sorted,
+delta-coded hashes of 39 bits, from which a bitmap of what may occur ``LEAST`` times is
+made; exact counts follow for those. Longer runs are counted if their parts occur often
+enough.
+
 A text's score is a sum over its runs: a word adds its log frequency and, as a state, the
-weight of falling back; a longer run adds what it corrects. So texts meet the table by
-joins. Two things are broadcast and bounded, and change no result: the weights of words with
-a share of ``P_WORD`` and runs with a share of ``P_ENTRY`` at least, which would be hot
-keys of the join, and bitmaps of the keys in a table, which tell runs that need no
-look-up. Words and runs are told apart by 64-bit hashes.
+weight of falling back; a longer run adds what it corrects. So the texts ask the table:
+what a batch of texts asks is sorted, delta-coded and sent to the range of keys it lies in; the
+range answers with sums per text, which meet again in the batch. Two things are broadcast and
+bounded, and change no result: the weights of words with a share of ``P_WORD`` and runs with
+a share of ``P_ENTRY`` at least, which all texts ask for, and bitmaps of the keys in a table,
+which tell runs that need no look-up. Words and runs are told apart by 64-bit hashes.
 
 Defined results: a null or empty text is its end symbol; repeated rows count and
 are scored row by row; without training texts all counts are 0 and scores use the
@@ -37,10 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
-from treelens.llm.common import cut, ship
+from treelens.llm.common import Tables, free, ship
 
-P_WORD, P_ENTRY = 1e-6, 2e-6
-LEAST = 2
+P_WORD, P_ENTRY = 1e-6, 1e-6
+LEAST, DEPTH = 2, 3
 KL, KAPPA = 0.02, 10.0
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
@@ -48,6 +54,12 @@ END = np.uint64(0x5851F42D4C957F2D)
 FLUSH = 400_000
 #: Bits of a bitmap of keys: 2^27, 16 MB.
 BITS = 27
+#: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
+SKETCH_BITS, RANGE_KEYS = 39, 4_000_000
+#: Look-ups and texts of a batch that asks the table, at most; a longer text is a batch of its own.
+ASKED, ASKING = 1_000_000, 20_000
+
+U = np.uint64
 
 
 def held_out(doc_id):
@@ -56,14 +68,13 @@ def held_out(doc_id):
 
 def _longer(shorter: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Keys of runs that are longer by a word at their end."""
-    return S.mix(shorter * np.uint64(0x9FB21C651E98DF25) + words)
+    return S.mix(shorter * U(0x9FB21C651E98DF25) + words)
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(first row, tokens of each text, text of each token, keys of 1, 2, 3 tokens that end there).
+def _runs(batch: pa.RecordBatch, longest: int) -> Iterator[tuple]:
+    """(first row, tokens of each text, text of each token, keys of runs of 1 to ``longest`` tokens).
 
-    The keys of two begin at the second token, those of three at the third; runs across texts are
-    to be left out.
+    Keys of k tokens are listed by their first token; runs across texts are to be left out.
     """
     for first, data, offsets in S.pieces(batch.column("text")):
         hashes, counts = S.word_hashes(data, offsets)
@@ -72,13 +83,23 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple]:
         ends[np.cumsum(sizes) - 1] = True
         one = np.full(len(ends), END)
         one[~ends] = hashes
-        two = _longer(one[:-1], one[1:])
-        yield first, sizes, np.repeat(np.arange(len(sizes)), sizes), one, two, _longer(two[:-1], one[2:])
+        keys = [one]
+        for k in range(1, longest):
+            keys.append(_longer(keys[-1][: max(0, len(one) - k)], one[k:]))
+        yield first, sizes, np.repeat(np.arange(len(sizes)), sizes), keys
+
+
+def _inside(text: np.ndarray, k: int) -> np.ndarray:
+    """Which runs of ``k`` + 1 tokens lie in one text."""
+    return text[k:] == text[: max(0, len(text) - k)]
+
+
+# bitmaps and coded hashes ----------------------------------------------------------------------
 
 
 def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> np.uint64(64 - BITS)
-    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    place = keys >> U(64 - BITS)
+    return (bitmap[place >> U(6)] >> (place & U(63)) & U(1)).astype(bool)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -86,11 +107,27 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     place = F.shiftrightunsigned("key", 64 - BITS)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 AS int))")
     rows = keys.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    out = np.zeros(1 << (BITS - 6), dtype=U)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(U)
     return out
 
 
+def _code(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences, byte plane by byte plane: high planes are zeros."""
+    steps = np.diff(values, prepend=U(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _decode(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+
+
+def _range_bounds(ranges: int) -> np.ndarray:
+    """The first key of each range but the first; ranges cut the 64-bit numbers evenly."""
+    return np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=U)
+
+
 def _merged(parts: list[tuple]) -> tuple:
     """Rows of equal first columns as one, with the last columns' sum."""
     columns = [np.concatenate(c) for c in zip(*parts)]
@@ -99,7 +136,7 @@ def _merged(parts: list[tuple]) -> tuple:
     return (distinct, *(c[at] for c in columns[1:-1]), total)
 
 
-def _gathered(parts: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _gathered(parts: Iterator[tuple]) -> Iterator[tuple]:
     """The merged parts, handed on whenever many distinct keys are held."""
     kept: list[tuple] = []
     held = 0
@@ -110,64 +147,101 @@ def _gathered(parts: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBat
             kept = [_merged(kept)]
             held = len(kept[0][0])
             if held > 2 * FLUSH:
-                yield _batch(kept[0], names)
+                yield kept[0]
                 kept, held = [], 0
     if held:
-        yield _batch(_merged(kept), names)
+        yield _merged(kept)
 
 
 def _batch(columns: tuple, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
 
 
+# counting --------------------------------------------------------------------------------------
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = ((r[3], np.ones(len(r[3]), np.int64)) for b in batches for r in _runs(b))
-    return _gathered(parts, ["key", "n"])
+    parts = ((r[3][0], np.ones(len(r[3][0]), np.int64)) for b in batches for r in _runs(b, 1))
+    for part in _gathered(parts):
+        yield _batch(part, ["key", "n"])
 
 
 def _pairs(one: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Which pairs lie in a text and have words of the bitmap only."""
     ok = _has(words, one)
-    return ok[1:] & ok[:-1] & (text[1:] == text[:-1])
+    return ok[1:] & ok[:-1] & _inside(text, 1)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], maps) -> Iterator[pa.RecordBatch]:
-    words = maps.value
+def _sketch_pairs(batches: Iterator[pa.RecordBatch], maps, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Coded hashes of pairs by range; the last bit says that the pair came twice."""
+    words, bounds = maps.value, _range_bounds(ranges)
 
     def parts():
         for b in batches:
-            for _, _, text, one, two, _ in _runs(b):
-                two = two[_pairs(one, text, words)]
+            for _, _, text, (one, two) in _runs(b, 2):
+                two = two[_pairs(one, text, words)] >> U(64 - SKETCH_BITS)
                 yield two, np.ones(len(two), np.int64)
 
-    return _gathered(parts(), ["key", "n"])
+    for keys, n in _gathered(parts()):
+        cuts = [0, *np.searchsorted(keys, bounds >> U(64 - SKETCH_BITS)).tolist(), len(keys)]
+        coded = keys << U(1) | (n > 1).astype(U)
+        some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+        blobs = [_code(coded[cuts[i] : cuts[i + 1]]) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
+
+
+def _seen_twice(table: pa.Table) -> pa.Table:
+    """The bits of the hashes of a range that came twice."""
+    coded = np.sort(np.concatenate([_decode(b) for b in table.column("blob").to_pylist()]))
+    keys = coded >> U(1)
+    same = np.zeros(len(keys) + 1, dtype=bool)
+    same[1:-1] = keys[1:] == keys[:-1]
+    keys = keys[(coded & U(1)).astype(bool) | same[:-1] | same[1:]]
+    place = keys >> U(SKETCH_BITS - BITS)
+    words, at = np.unique(place >> U(6), return_index=True)
+    bits = np.bitwise_or.reduceat(U(1) << (place & U(63)), at) if len(at) else place
+    return pa.table({"at": pa.array(words.view(np.int64)), "bits": pa.array(bits.view(np.int64))})
+
+
+def _pair_bitmap(train: DataFrame, words, n_tokens: int) -> np.ndarray:
+    """A bitmap with all pairs that occur twice; at most 2^(BITS - 6) words come to the driver."""
+    ranges = max(1, -(-n_tokens // RANGE_KEYS))
+    blobs = train.mapInArrow(partial(_sketch_pairs, maps=words, ranges=ranges), "range int, blob binary")
+    found = blobs.groupBy("range").applyInArrow(_seen_twice, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), dtype=U)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
+    return out
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch], maps) -> Iterator[pa.RecordBatch]:
-    """Runs of two and three tokens whose parts may all occur ``LEAST`` times."""
-    words, pairs = maps.value
+def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int) -> Iterator[pa.RecordBatch]:
+    """Runs of ``depth`` + 1 tokens whose parts may all occur ``LEAST`` times."""
+    words, shorter = maps.value
 
     def parts():
         for b in batches:
-            for _, _, text, one, two, three in _runs(b):
-                ok = _pairs(one, text, words) & _has(pairs, two)
+            for _, _, text, keys in _runs(b, depth + 1):
+                if depth == 1:
+                    ok = _pairs(keys[0], text, words) & _has(shorter, keys[1])
+                else:
+                    part = _has(shorter, keys[depth - 1])
+                    ok = part[1:] & part[:-1] & _inside(text, depth)
                 i = np.flatnonzero(ok)
-                j = np.flatnonzero(ok[1:] & ok[:-1])
-                depth = np.repeat(np.array([1, 2]), [len(i), len(j)])
-                yield (
-                    np.concatenate([two[i], three[j]]), np.concatenate([one[i], two[j]]),
-                    np.concatenate([one[i + 1], two[j + 1]]), depth, np.ones(len(depth), np.int64),
-                )
+                yield keys[depth][i], keys[depth - 1][i], keys[depth - 1][i + 1], np.ones(len(i), np.int64)
+
+    for part in _gathered(parts()):
+        yield _batch(part, ["key", "ctx", "low", "n"])
 
-    return _gathered(parts(), ["key", "ctx", "low", "depth", "n"])
 
+# the model -------------------------------------------------------------------------------------
 
-def _level(runs: DataFrame, lower: DataFrame, floor: float, kl: float, kappa: float) -> DataFrame:
+
+def _level(runs: DataFrame, lower: DataFrame, keep: Tables, floor: float, kl: float, kappa: float) -> DataFrame:
     """``runs`` of a depth with candidate contexts: own and lower log10 probability, the context's
     total, weight of falling back, and whether it diverges."""
     c, one = F.col, F.lit(1.0)
+    lower = lower.filter(c("n") >= LEAST)
     runs = runs.join(lower.select(c("key").alias("ctx"), c("n").alias("total")), "ctx").filter(c("total") >= floor)
-    runs = cut(runs.join(lower.select(c("key").alias("low"), c("p").alias("under")), "low"))
+    runs = keep(runs.join(lower.select(c("key").alias("low"), c("p").alias("under")), "low"))
     share = c("n") / c("total")
     states = runs.groupBy("ctx").agg(
         F.first("total").alias("of"), F.sum("n").alias("stored"),
@@ -182,139 +256,264 @@ def _level(runs: DataFrame, lower: DataFrame, floor: float, kl: float, kappa: fl
         (c("gain") + F.when(rest > 0, tail).otherwise(0.0) >= F.lit(kl)).alias("diverges"),
     )
     own = F.log10((c("n") + c("left") * F.pow(F.lit(10.0), "under")) / (c("total") + F.lit(kappa)))
-    return cut(runs.join(states, "ctx").select("key", "ctx", "low", "n", "total", "under", own.alias("p"), "back", "diverges"))
+    out = keep(runs.join(states, "ctx").select("key", "ctx", "low", "n", "total", "under", own.alias("p"), "back", "diverges"))
+    keep.drop(runs)
+    return out
 
 
-def _weights(words: DataFrame, one: DataFrame, two: DataFrame, nothing: float) -> DataFrame:
-    """(key, longer, n, base, value): what a run of the key adds to a text's scores.
+def _weights(words: DataFrame, levels: list[DataFrame], keep: Tables) -> DataFrame:
+    """(key, longer, n, value): what a run of the key adds to a text's score.
 
-    ``nothing`` is what every token has already, the log probability of an unknown word.
+    Every token has the log probability of an unknown word already; a word adds the logarithm
+    of its count + 1 to that.
     """
     c = F.col
-    deep = cut(two.filter("diverges").groupBy("ctx").agg(F.first("back").alias("back"), F.first("total").alias("n")))
-    needed = one.join(deep.select(c("ctx").alias("key")), "key", "left_semi").select(c("low").alias("ctx"))
-    states = one.filter("diverges").select("ctx").union(needed).distinct()
-    states = cut(one.join(states, "ctx", "left_semi").groupBy("ctx").agg(F.first("back").alias("back")))
-    base = c("p") - F.lit(nothing)
-    first = words.join(states.withColumnRenamed("ctx", "key"), "key", "left").select(
-        "key", F.lit(False).alias("longer"), "n", base.alias("base"), (base + F.coalesce("back", F.lit(0.0))).alias("value")
+    longer, above = None, None
+    for level in reversed(levels):
+        states = level.filter("diverges").select("ctx")
+        if above is not None:  # the suffixes of longer states
+            states = states.union(level.join(above.select(c("ctx").alias("key")), "key", "left_semi").select(c("low").alias("ctx")))
+        states = states.distinct()
+        of = level.join(states, "ctx", "left_semi")
+        above = keep(of.groupBy("ctx").agg(F.first("total").alias("n"), F.first("back").alias("back")))
+        entries = level.join(above.select("ctx"), "ctx", "left_semi")
+        entries = entries.select("key", "n", (c("p") - c("under") - c("back")).alias("value"))
+        falls = above.select(c("ctx").alias("key"), "n", c("back").alias("value"))
+        longer = entries if longer is None else longer.union(entries)
+        if level is not levels[0]:
+            longer = longer.union(falls)
+    longer = longer.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+    gain = F.log10(c("n") + 1)
+    first = words.join(above.select(c("ctx").alias("key"), "back"), "key", "left").select(
+        "key", F.lit(False).alias("longer"), "n", (gain + F.coalesce("back", F.lit(0.0))).alias("value")
     )
-    more = (c("p") - c("under") - c("back")).alias("value")
-    second = one.join(states.select("ctx"), "ctx", "left_semi").select("key", "n", more)
-    second = second.union(deep.select("ctx", "n", "back")).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
-    third = two.filter("diverges").select("key", "n", more)
-    longer = second.union(third).select("key", F.lit(True).alias("longer"), "n", F.lit(0.0).alias("base"), "value")
-    return cut(first.union(longer))
+    return keep(first.union(longer.select("key", F.lit(True).alias("longer"), "n", "value")))
 
 
-SCORED = (
-    "row long, key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-)
+# scoring ---------------------------------------------------------------------------------------
 
+#: Kinds of rows that go to a range of keys: weights, then what batches ask, then the batches.
+WEIGHT, ASK, OWN = 0, 1, 2
+SENT = "range int, kind int, batch long, key long, n long, value double, keys binary, texts binary, own binary"
+ANSWERED = "batch long, texts binary, known binary, base binary, score binary, own binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-def _score(batches: Iterator[pa.RecordBatch], model, nothing: float, once: float) -> Iterator[pa.RecordBatch]:
-    """A row per text with what is known here, and a row per run to be looked up."""
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _rows(names: list[str], types: dict, columns: dict, n: int) -> pa.RecordBatch:
+    """A batch with nulls where no column is given."""
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(n, types[c]) if c not in columns
+            else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], types[c])
+            for c in names
+        ],
+        names,
+    )
+
+
+_TYPES = {
+    "range": pa.int32(), "kind": pa.int32(), "batch": pa.int64(), "key": pa.int64(), "n": pa.int64(),
+    "value": pa.float64(), **{c: pa.binary() for c in ("keys", "texts", "own", "known", "base", "score")},
+}
+_SENT = [c.split()[0] for c in SENT.split(", ")]
+_ANSWERED = [c.split()[0] for c in ANSWERED.split(", ")]
+
+
+def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, ranges: int) -> Iterator[pa.RecordBatch]:
+    """What texts have without a look-up, and what they ask, coded by range."""
     from pyspark import TaskContext
 
     words, longer, hot = model.value
-    row = TaskContext.get().partitionId() << 33
+    bounds, number = _range_bounds(ranges), TaskContext.get().partitionId() << 33
+    own, keys, texts, asked, n_texts = [], [], [], 0, 0
+
+    def flush() -> pa.RecordBatch:
+        key, text = np.concatenate(keys), np.concatenate(texts)
+        order = np.argsort(key, kind="stable")
+        key, text = key[order], text[order]
+        cuts = [0, *np.searchsorted(key, bounds).tolist(), len(key)]
+        some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(own)
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        m = len(some) + 1
+        return _rows(_SENT, _TYPES, {
+            "range": [*some, number % ranges], "kind": [ASK] * len(some) + [OWN], "batch": [number] * m,
+            "keys": [*(_code(key[cuts[i] : cuts[i + 1]]) for i in some), None],
+            "texts": [*(text[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes() for i in some), None],
+            "own": [*([None] * len(some)), sink.getvalue().to_pybytes()],
+        }, m)
+
     for batch in batches:
-        asked_of = np.array(batch.column("held_out").to_pylist(), dtype=bool)
-        for first, sizes, text, one, two, three in _runs(batch):
+        is_held = np.array(batch.column("held_out").to_pylist(), dtype=bool)
+        for first, sizes, text, runs in _runs(batch, depth + 1):
             n = len(sizes)
-            held = asked_of[first : first + n]
-            at_two = np.flatnonzero((text[1:] == text[:-1]) & _has(longer, two))
-            at_three = np.flatnonzero((text[2:] == text[:-2]) & _has(longer, three))
+            if own and (asked > ASKED or n_texts + n > ASKING):
+                yield flush()
+                number, own, keys, texts, asked, n_texts = number + 1, [], [], [], 0, 0
+            held = is_held[first : first + n]
             known, base, score = np.zeros(n, np.int64), sizes * nothing, sizes * nothing
-            keys, texts = [], []
-            for key, of, single in ((one, text, True), (two[at_two], text[1:][at_two], False), (three[at_three], text[2:][at_three], False)):
-                at, hit = _find(hot[0], key)
-                base += np.bincount(of[hit], weights=hot[1][at[hit]], minlength=n)
+            for k, run in enumerate(runs):
+                of = text[: len(run)]
+                if k:
+                    some = np.flatnonzero(_inside(text, k) & _has(longer, run))
+                    run, of = run[some], of[some]
+                at, hit = _found(hot[0], run)
                 score += np.bincount(of[hit], weights=hot[2][at[hit]], minlength=n)
-                key, of = key[~hit], of[~hit]
-                if single:
-                    known += np.bincount(text[hit], minlength=n)
+                run, left = run[~hit], of[~hit]
+                if not k:
+                    base += np.bincount(of[hit], weights=hot[1][at[hit]], minlength=n)
                     # a training text's word that is not in the bitmap occurs here only
-                    here = ~held[of] & ~_has(words, key)
-                    met = np.bincount(of[here], minlength=n)
-                    known, base, score = known + met, base + met * once, score + met * once
-                    key, of = key[~here], of[~here]
-                keys.append(key)
-                texts.append(of)
-            rows = np.arange(row, row + n)
-            asked = np.concatenate(texts)
-            m = len(asked)
-            own = [
-                batch.column("doc_id").slice(first, n), pa.array(held), pa.array(sizes.astype(np.int64)),
-                pa.array(known), pa.array(base), pa.array(score),
-            ]
-            spread = S.mix(rows.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([rows, rows[asked]])),
-                    pa.array(np.concatenate([spread, *keys]).view(np.int64)),
-                    *(pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in own),
-                ],
-                ["row", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-            )
-            row += n
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+                    here = ~held[left] & ~_has(words, run)
+                    met = np.bincount(left[here], minlength=n)
+                    known += np.bincount(of[hit], minlength=n) + met
+                    base, score = base + met * math.log10(2), score + met * math.log10(2)
+                    run, left = run[~here], left[~here]
+                keys.append(run)
+                texts.append(left + n_texts)
+                asked += len(run)
+            own.append(pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(first, n), pa.array(held), pa.array(sizes.astype(np.int64)),
+                 pa.array(known), pa.array(base), pa.array(score)],
+                [c.split()[0] for c in SCORED.split(", ")],
+            ))
+            n_texts += n
+    if own:
+        yield flush()
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per text of what batches asked; rows come sorted by range and kind."""
+    at_range, parts, table = None, [], None
+    for rows in batches:
+        kinds, of = rows.column("kind").to_numpy(), rows.column("range").to_numpy()
+        i = 0
+        while i < len(kinds):
+            if of[i] != at_range:
+                at_range, parts, table = of[i], [], None
+            j = i
+            while j < len(kinds) and of[j] == at_range and kinds[j] == kinds[i]:
+                j += 1
+            part = rows.slice(i, j - i)
+            if kinds[i] == WEIGHT:
+                parts.append([part.column(c).to_numpy() for c in ("key", "n", "value")])
+            elif kinds[i] == OWN:
+                yield _rows(_ANSWERED, _TYPES, {c: part.column(c) for c in ("batch", "own")}, j - i)
+            else:
+                if table is None:
+                    columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int64)] * 3
+                    columns[0] = columns[0].view(U)
+                    order = np.argsort(columns[0], kind="stable")
+                    table, parts = [c[order] for c in columns], []
+                for k in range(len(part)):
+                    yield _sums(part.slice(k, 1), *table)
+            i = j
+
+
+def _sums(ask: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    wanted = _decode(ask.column("keys")[0].as_py())
+    texts = np.frombuffer(ask.column("texts")[0].as_py(), np.uint32)
+    at, hit = _found(keys, wanted)
+    at, texts = at[hit], texts[hit]
+    distinct, place = np.unique(texts, return_inverse=True)
+    n = counts[at]  # 0 for runs
+    sums = [np.bincount(place, weights=w, minlength=len(distinct)) for w in ((n > 0).astype(float), np.log10(n + 1.0), values[at])]
+    known, base, score = sums if len(distinct) else [np.zeros(0)] * 3
+    return _rows(_ANSWERED, _TYPES, {
+        "batch": ask.column("batch"), "texts": [distinct.astype(np.uint32).tobytes()],
+        "known": [known.astype(np.uint32).tobytes()], "base": [base.tobytes()], "score": [score.tobytes()],
+    }, 1)
+
+
+def _together(table: pa.Table) -> pa.Table:
+    """The texts of a batch with all answers."""
+    rows = table.to_pylist()
+    own = next(r["own"] for r in rows if r["own"] is not None)
+    own = pa.ipc.open_stream(own).read_all()
+    sums = {c: own.column(c).to_numpy().copy() for c in ("n_known", "base_score", "score")}
+    for r in rows:
+        if r["own"] is None:
+            at = np.frombuffer(r["texts"], np.uint32)
+            sums["n_known"][at] += np.frombuffer(r["known"], np.uint32)
+            sums["base_score"][at] += np.frombuffer(r["base"])
+            sums["score"][at] += np.frombuffer(r["score"])
+    for c, values in sums.items():
+        own = own.set_column(own.schema.get_field_index(c), c, pa.array(values))
+    return own
+
+
+def _asked(texts: DataFrame, weights: DataFrame, model, depth: int, nothing: float, ranges: int) -> DataFrame:
+    asks = texts.mapInArrow(partial(_ask, model=model, depth=depth, nothing=nothing, ranges=ranges), SENT)
+    of = f"cast(shiftrightunsigned(shiftrightunsigned(key, 40) * {ranges}, 24) AS int)"
+    none = F.lit(None)
+    sent = weights.select(
+        F.expr(of).alias("range"), F.lit(WEIGHT).alias("kind"), none.cast("long").alias("batch"), "key",
+        F.when(F.col("longer"), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n"), "value",
+        *(none.cast("binary").alias(c) for c in ("keys", "texts", "own")),
+    ).union(asks)
+    met = sent.repartitionById(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(_answer, ANSWERED)
+    return met.groupBy("batch").applyInArrow(_together, SCORED)
 
 
 def score_texts(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kl: float = KL, kappa: float = KAPPA,
-    p_word: float = P_WORD, p_context: float = 0.0, p_entry: float = P_ENTRY,
+    p_word: float = P_WORD, p_context: float = 0.0, p_entry: float = P_ENTRY, depth: int = DEPTH,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     ``p_word`` and ``p_entry`` are the shares from which weights are broadcast; ``p_context`` asks
-    for contexts of a larger share than ``LEAST`` occurrences.
+    for contexts of a larger share than ``LEAST`` occurrences; ``depth`` is the longest context.
     """
     spark = docs.sparkSession
     ship(spark)
-    send = spark.sparkContext.broadcast
+    send, keep = spark.sparkContext.broadcast, Tables(spark, "lm")
     texts = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
         held_out(F.col(doc_id)).alias("held_out"),
     )
     train = texts.filter(~F.col("held_out")).select("text")
     summed = F.sum("n").alias("n")
-    counts = cut(train.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(summed))
+    counts = keep(train.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(summed))
+    free(spark)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = F.col("n") >= LEAST
     words = _bitmap(counts.filter(often))
-    pairs = train.mapInArrow(partial(_count_pairs, maps=send(words)), "key long, n long").groupBy("key").agg(summed)
-    maps = send((words, _bitmap(pairs.filter(often))))
-    runs = train.mapInArrow(partial(_count_runs, maps=maps), "key long, ctx long, low long, depth long, n long")
-    runs = cut(runs.groupBy("key", "ctx", "low", "depth").agg(summed).filter(often))
-    root = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
-    floor = max(float(LEAST), p_context * n)
-    one = _level(runs.filter("depth = 1"), root, floor, kl, kappa)
-    two = _level(runs.filter("depth = 2"), one, floor, kl, kappa)
+    lower = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
+    floor, levels = max(float(LEAST), p_context * n), []
+    shorter = _pair_bitmap(train, send(words), n)
+    for k in range(1, depth + 1):
+        maps = send((words, shorter))
+        runs = train.mapInArrow(partial(_count_runs, maps=maps, depth=k), "key long, ctx long, low long, n long")
+        runs = keep(runs.groupBy("key", "ctx", "low").agg(summed).filter(often))
+        free(spark)
+        levels.append(_level(runs, lower, keep, floor, kl, kappa))
+        keep.drop(runs)
+        lower = levels[-1].select("key", "n", "p")
+        free(spark)
+        if k < depth:
+            shorter = _bitmap(lower)
     nothing = -math.log10(n + v + 1)
-    weights = _weights(root, one, two, nothing)
+    weights = _weights(counts, levels, keep)
+    keep.drop(counts, *levels)
+    free(spark)
     share = F.when(F.col("longer"), F.lit(p_entry * n)).otherwise(F.lit(p_word * n))
-    hot = weights.filter(F.col("n") >= share).select("key", "base", "value").toArrow()
-    keys = hot.column("key").to_numpy().view(np.uint64)
+    hot = weights.filter(F.col("n") >= share).select("key", "longer", "n", "value").toArrow()
+    keys = hot.column("key").to_numpy().view(U)
     order = np.argsort(keys)
-    hot = (keys[order], hot.column("base").to_numpy()[order], hot.column("value").to_numpy()[order])
+    base = np.where(hot.column("longer").to_numpy(), 0.0, np.log10(hot.column("n").to_numpy() + 1.0))
+    hot = (keys[order], base[order], hot.column("value").to_numpy()[order])
     model = send((words, _bitmap(weights.filter("longer")), hot))
-    scored = texts.mapInArrow(partial(_score, model=model, nothing=nothing, once=math.log10(2)), SCORED)
-    rare = weights.filter(F.col("n") < share).select("key", "longer", F.col("base").alias("b"), F.col("value").alias("w"))
-    met = scored.join(rare, "key", "left")
-    asked = F.col("n_tokens").isNull()
-    plus = lambda own, found: F.sum(F.when(asked, F.coalesce(found, F.lit(0))).otherwise(F.col(own)))
-    out = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        plus("n_known", F.when(~F.col("longer"), F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("n_known"),
-        plus("base", F.col("b")).alias("base_score"), plus("score", F.col("w")).alias("score"),
-    )
+    rare = weights.filter(F.col("n") < share)
+    ranges = max(spark.sparkContext.defaultParallelism, -(-rare.count() // RANGE_KEYS))
+    out = _asked(texts, rare, model, depth, nothing, ranges)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
