@@ -54,27 +54,49 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize(("bucket", "hot"), [(2500, 4000), (10, 2)])
-def test_suffix_dedup(spark, docs, empty, rows, bucket, hot):
-    got = sorted(
-        (r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
-        for r in suffix_dedup.remove_repeats(docs, bucket_rows=bucket, hot_rows=hot).collect()
-    )
-    data = [(r[1] or "").encode() for r in rows]
+def brute_repeats(rows):
+    data = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[p : p + 400] for b in data for p in range(len(b) - 399))
     want = []
-    for r, b in zip(rows, data):
+    for (i, _), b in zip(rows, data):
         gone = np.zeros(len(b) + 1, dtype=bool)
         for p in range(len(b) - 399):
             if seen[b[p : p + 400]] > 1:
                 gone[p : p + 400] = True
         kept = bytes(c for c, g in zip(b, gone) if not g)
         runs = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
-        want.append((r[0] if r[0] is not None else -1, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    assert got == sorted(want)
+        want.append((i if i is not None else -1, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(want)
+
+
+def removed(docs, **options):
+    return sorted(
+        (r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+        for r in suffix_dedup.remove_repeats(docs, **options).collect()
+    )
+
+
+@pytest.mark.parametrize(("bucket", "hot"), [(2500, 4000), (10, 2)])
+def test_suffix_dedup(spark, docs, empty, rows, bucket, hot):
+    assert removed(docs, bucket_rows=bucket, hot_rows=hot) == brute_repeats([(r[0], r[1]) for r in rows])
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_short_periods(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = "the same line of a page, over and over again\n"
+    texts = ["x" * 399, "x" * 400, "x" * 401, "x" * 3000, noise(300) + "x" * 900 + noise(300), noise(500) + "x" * 400 + "y"]
+    texts += [line * 9, line * 10, line * 60, noise(100) + line * 30 + noise(200), (line * 12)[7:], noise(350) * 4, noise(353) * 3]
+    texts += ["ab" * 300 + noise(50), noise(20) + "ab" * 199 + "ba" * 300, noise(900)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(docs) == brute_repeats(rows)
+    data = np.frombuffer((texts[4] + line * 2000 + "z" * 90_000).encode(), np.uint8)
+    anchors, spans = suffix_dedup._context_rows(data, np.array([0, len(data)]))
+    assert sum(len(a[0]) for a in anchors) < 100 and sum(len(s[0]) for s in spans) == 3
+
+
 def test_multikey_quicksort():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 40))) for _ in range(500)]
@@ -84,9 +106,9 @@ def test_multikey_quicksort():
 
 def test_long_text_in_blocks(monkeypatch):
     data = np.frombuffer(random.Random(2).randbytes(30_000), np.uint8)
-    whole = suffix_dedup._context_rows(data, np.array([0, len(data)]))
+    whole = suffix_dedup._context_rows(data, np.array([0, len(data)]))[0]
     monkeypatch.setattr(suffix_dedup, "BLOCK", 4096)
-    parts = suffix_dedup._context_rows(data, np.array([0, len(data)]))
+    parts = suffix_dedup._context_rows(data, np.array([0, len(data)]))[0]
     join = lambda rs: {(int(p), int(g), int(a)) for _, ps, gs, xs in rs for p, g, a in zip(ps, gs, xs)}
     assert join(whole) == join(parts)
 
@@ -356,6 +378,38 @@ def test_certified_cutoffs_are_exact(spark):
     assert got == {"a": min(ok), "b": None}
 
 
+def test_labels_count_once_and_rules_share_alpha(spark):
+    good = "plain words of a quiet text without any marks go on and on here"
+    bad = " ".join([good, *(f"#{i}" for i in range(12))])
+    # one good label on a document with very many copies is one trial: nothing is certified
+    copies = spark.createDataFrame([(1, good, "en")] * 3000 + [(2, bad, "en")], "doc_id long, text string, lang string")
+    assert quality.judge(copies, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).filter("kept").count() == 3001
+    # 3,000 labelled good documents certify; then the marked one goes, good ones stay
+    many = [(i, f"{good} number{i}", "en") for i in range(3000)] + [(9999, bad, "en"), (9998, bad, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in many], ["doc_id", "text", "lang", "a.b"])
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(9999, 0)], "doc_id long, quality int")
+    assert [r.doc_id for r in quality.judge(docs, labels).filter("NOT kept").collect()] == [9999]
+    assert quality.keep_good(docs, labels).columns == docs.columns and quality.keep_good(docs, labels).count() == 3001
+    # the bound of one rule is a part of alpha
+    scored = spark.createDataFrame([("a", True, 0.0, 0.0)] * 400, "stratum string, good boolean, x double, y double")
+    one = quality.certify(scored, "stratum", "good", 0.02, 0.05, {"x": [1.0]}).first()
+    two = quality.certify(scored, "stratum", "good", 0.02, 0.05, {"x": [1.0], "y": [1.0]}).first()
+    assert one.x == 1.0 and two.x is None and two.y is None
+
+
+def test_false_rejections_stay_below_alpha(spark):
+    """Cutoffs from random holdouts reject more than alpha of the good documents in few of them."""
+    rng = random.Random(5)
+    scores = lambda: (rng.gauss(0, 1), rng.gauss(0, 1))
+    rows = [(f"s{i}", True, *scores()) for i in range(60) for _ in range(600)]
+    scored = spark.createDataFrame(rows, "stratum string, good boolean, x double, y double")
+    grid = {"x": [1.5, 2.0, 2.5, 3.0], "y": [1.5, 2.0, 2.5, 3.0]}
+    got = quality.certify(scored, "stratum", "good", 0.1, 0.05, grid).collect()
+    above = lambda z: 0.0 if z is None else math.erfc(z / math.sqrt(2)) / 2
+    wrong = sum(1 - (1 - above(r.x)) * (1 - above(r.y)) > 0.1 for r in got)
+    assert wrong == 0 and sum(r.x is not None for r in got) > 30
+
+
 def test_sharding(spark, docs, empty, rows):
     back = sharding.write_shards(docs, scratch(spark, "test-shards"), 4, bucket_bytes=2000).collect()
     assert collections.Counter((r.doc_id, r.text) for r in back) == collections.Counter((r[0], r[1]) for r in rows)

@@ -103,6 +103,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def own(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of those names (all of ``df`` if none), whatever characters they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names or df.columns]
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like those wanted that ``df`` does not use."""
     taken = {c.lower() for c in df.columns}

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
+from treelens.llm.bitmaps import BITS, bitmap, gathered, has, words_of
 from treelens.llm.common import Tables, free, ship
 
 P_WORD, P_ENTRY = 1e-6, 1e-6
@@ -52,8 +53,6 @@ FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 #: Distinct keys a task gathers before it hands them on.
 FLUSH = 400_000
-#: Bits of a bitmap of keys: 2^27, 16 MB.
-BITS = 27
 #: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
 SKETCH_BITS, RANGE_KEYS = 39, 4_000_000
 #: Look-ups and texts of a batch that asks the table, at most; a longer text is a batch of its own.
@@ -94,22 +93,7 @@ def _inside(text: np.ndarray, k: int) -> np.ndarray:
     return text[k:] == text[: max(0, len(text) - k)]
 
 
-# bitmaps and coded hashes ----------------------------------------------------------------------
-
-
-def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> U(64 - BITS)
-    return (bitmap[place >> U(6)] >> (place & U(63)) & U(1)).astype(bool)
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """The bits of all ``key``; at most 2^(BITS - 6) rows come to the driver."""
-    place = F.shiftrightunsigned("key", 64 - BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 AS int))")
-    rows = keys.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), dtype=U)
-    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(U)
-    return out
+# coded hashes ---------------------------------------------------------------------------------
 
 
 def _code(values: np.ndarray) -> bytes:
@@ -168,7 +152,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(one: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Which pairs lie in a text and have words of the bitmap only."""
-    ok = _has(words, one)
+    ok = has(words, one)
     return ok[1:] & ok[:-1] & _inside(text, 1)
 
 
@@ -197,9 +181,7 @@ def _seen_twice(table: pa.Table) -> pa.Table:
     same = np.zeros(len(keys) + 1, dtype=bool)
     same[1:-1] = keys[1:] == keys[:-1]
     keys = keys[(coded & U(1)).astype(bool) | same[:-1] | same[1:]]
-    place = keys >> U(SKETCH_BITS - BITS)
-    words, at = np.unique(place >> U(6), return_index=True)
-    bits = np.bitwise_or.reduceat(U(1) << (place & U(63)), at) if len(at) else place
+    words, bits = words_of(keys >> U(SKETCH_BITS - BITS))
     return pa.table({"at": pa.array(words.view(np.int64)), "bits": pa.array(bits.view(np.int64))})
 
 
@@ -207,10 +189,7 @@ def _pair_bitmap(train: DataFrame, words, n_tokens: int) -> np.ndarray:
     """A bitmap with all pairs that occur twice; at most 2^(BITS - 6) words come to the driver."""
     ranges = max(1, -(-n_tokens // RANGE_KEYS))
     blobs = train.mapInArrow(partial(_sketch_pairs, maps=words, ranges=ranges), "range int, blob binary")
-    found = blobs.groupBy("range").applyInArrow(_seen_twice, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), dtype=U)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
-    return out
+    return gathered(blobs.groupBy("range").applyInArrow(_seen_twice, "at long, bits long"))
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int) -> Iterator[pa.RecordBatch]:
@@ -221,9 +200,9 @@ def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int) -> Iterator
         for b in batches:
             for _, _, text, keys in _runs(b, depth + 1):
                 if depth == 1:
-                    ok = _pairs(keys[0], text, words) & _has(shorter, keys[1])
+                    ok = _pairs(keys[0], text, words) & has(shorter, keys[1])
                 else:
-                    part = _has(shorter, keys[depth - 1])
+                    part = has(shorter, keys[depth - 1])
                     ok = part[1:] & part[:-1] & _inside(text, depth)
                 i = np.flatnonzero(ok)
                 yield keys[depth][i], keys[depth - 1][i], keys[depth - 1][i + 1], np.ones(len(i), np.int64)
@@ -364,7 +343,7 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
             for k, run in enumerate(runs):
                 of = text[: len(run)]
                 if k:
-                    some = np.flatnonzero(_inside(text, k) & _has(longer, run))
+                    some = np.flatnonzero(_inside(text, k) & has(longer, run))
                     run, of = run[some], of[some]
                 at, hit = _found(hot[0], run)
                 score += np.bincount(of[hit], weights=hot[2][at[hit]], minlength=n)
@@ -372,7 +351,7 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
                 if not k:
                     base += np.bincount(of[hit], weights=hot[1][at[hit]], minlength=n)
                     # a training text's word that is not in the bitmap occurs here only
-                    here = ~held[left] & ~_has(words, run)
+                    here = ~held[left] & ~has(words, run)
                     met = np.bincount(left[here], minlength=n)
                     known += np.bincount(of[hit], minlength=n) + met
                     base, score = base + met * math.log10(2), score + met * math.log10(2)
@@ -485,7 +464,7 @@ def score_texts(
     free(spark)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = F.col("n") >= LEAST
-    words = _bitmap(counts.filter(often))
+    words = bitmap(counts.filter(often))
     lower = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
     floor, levels = max(float(LEAST), p_context * n), []
     shorter = _pair_bitmap(train, send(words), n)
@@ -499,7 +478,7 @@ def score_texts(
         lower = levels[-1].select("key", "n", "p")
         free(spark)
         if k < depth:
-            shorter = _bitmap(lower)
+            shorter = bitmap(lower)
     nothing = -math.log10(n + v + 1)
     weights = _weights(counts, levels, keep)
     keep.drop(counts, *levels)
@@ -510,7 +489,7 @@ def score_texts(
     order = np.argsort(keys)
     base = np.where(hot.column("longer").to_numpy(), 0.0, np.log10(hot.column("n").to_numpy() + 1.0))
     hot = (keys[order], base[order], hot.column("value").to_numpy()[order])
-    model = send((words, _bitmap(weights.filter("longer")), hot))
+    model = send((words, bitmap(weights.filter("longer")), hot))
     rare = weights.filter(F.col("n") < share)
     ranges = max(spark.sparkContext.defaultParallelism, -(-rare.count() // RANGE_KEYS))
     out = _asked(texts, rare, model, depth, nothing, ranges)

@@ -6,19 +6,23 @@ suffixes at anchors are sorted: the anchor of a window is the position in it who
 ``GRAM`` bytes hash least (the first of several), so equal windows have the same
 anchor at the same place, and every window has one.
 
-1. Anchors are found in one pass; those whose leading bytes occur once in the corpus
-   are dropped by a count with partial aggregation.
+1. Anchors are found in one pass and their leading bytes counted with partial aggregation;
+   a bitmap of those that occur twice or more tells the second pass which anchors to keep.
+   In a text with a short period (a run of one character, a repeated line) every window
+   equals the one a period before it: such windows are known to be repeated, and only the first
+   of them keeps its anchor, for other texts to meet.
 2. Anchors with the same bytes all around (as far as a window can reach) are one
    context with a number of occurrences, so copies never pile up. Contexts that are alone
    with their leading bytes are settled: occurring twice or more, all is repeated.
 3. The suffixes of the other contexts are range-partitioned by their leading bytes with
-   sampled splitters, each bucket is sorted by multikey quicksort, and neighbours are
+   sampled splitters; a partition streams through buckets that end where the leading bytes
+   change. Each bucket is sorted by multikey quicksort, and neighbours are
    compared: the longest common prefix bounds which windows of a suffix can be
-   repeated. Those windows are matched inside the bucket, bytes before the
-   anchor included.
-4. Splitters are leading bytes, so suffixes that agree on them meet in one bucket. A group
+   repeated. Those windows are matched inside the bucket by two 64-bit hashes, bytes before
+   the anchor included.
+4. Suffixes that agree on their leading bytes meet in one bucket. A group
    with more contexts than a bucket holds is cut into salted buckets instead; what a bucket
-   can't decide alone is compared across the buckets' boundaries by window hashes.
+   can't decide alone is compared across the buckets' boundaries by the same hashes.
 5. The repeated spans go back to the anchors, then to their documents, and are cut out.
 
 Defined results: a null text is empty; texts shorter than a window lose nothing;
@@ -29,7 +33,6 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -40,12 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
-from treelens.llm.common import cut, ship
+from treelens.llm.bitmaps import bitmap, has
+from treelens.llm.common import Tables, cut, free, ship
 
 WINDOW, GRAM = 400, 48
-#: Contexts a bucket holds, contexts that make a group of its own buckets, and keys
-#: sampled per bucket to find the splitters.
-BUCKET_ROWS, HOT_ROWS, OVERSAMPLE = 1_500, 3_000, 16
+#: Contexts a bucket holds, contexts that make a group of its own buckets, and buckets that
+#: follow each other in a partition.
+BUCKET_ROWS, HOT_ROWS, BUCKETS = 1_500, 3_000, 8
 #: Places around the anchor that are matched at a time.
 OFFSETS = 48
 #: Contexts in an Arrow batch on their way to the buckets.
@@ -85,14 +89,17 @@ class _Rolling:
         return S.mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
-def _block_anchors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sorted places of the anchors of all windows inside the texts of a block."""
+def _block_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted places of the anchors of the windows inside the texts of a block, and begins and ends
+    of spans whose windows equal windows a short period before."""
     n, w = len(data), WINDOW - GRAM + 1
     lengths = np.diff(offsets)
+    none = np.zeros(0, np.int64)
     if not (lengths >= WINDOW).any():
-        return np.zeros(0, np.int64)
+        return none, none, none
     grams = np.arange(n - GRAM + 1)
-    key = _Rolling(data).spans(grams, grams + GRAM)
+    roll = _Rolling(data)
+    key = roll.spans(grams, grams + GRAM)
     key = (key >> U(PLACE_BITS)) << U(PLACE_BITS) | grams.astype(np.uint64)
     least, reach = key, 1
     while reach * 2 <= w:
@@ -104,14 +111,41 @@ def _block_anchors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     long = lengths >= WINDOW
     np.add.at(first, offsets[:-1][long], 1)
     np.add.at(first, offsets[1:][long] - WINDOW + 1, -1)
-    begins = np.cumsum(first[: len(least)]) > 0
-    places = (least[begins] & U((1 << PLACE_BITS) - 1)).astype(np.int64)
-    return places[np.flatnonzero(np.diff(places, prepend=-1))] if len(places) else places
-
-
-def _context_rows(data, offsets):
-    """(text index, place, gram hash, context hash) of the anchors of a piece."""
-    out = []
+    windows = np.flatnonzero(np.cumsum(first[: len(least)]) > 0)
+    if not len(windows):
+        return none, none, none
+    least = least[windows]
+    change = np.flatnonzero(np.diff((least & U((1 << PLACE_BITS) - 1)).astype(np.int64), prepend=-1))
+    places = (least[change] & U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    # an anchor that hashes like the one before it, near by: its windows may equal those a period before
+    steps = np.diff(places, prepend=places[:1])
+    like = (steps > 0) & (steps < w) & (np.diff(least[change] >> U(PLACE_BITS), prepend=U(0)) == 0)
+    if not like.any():
+        return places, none, none
+    owned = np.diff(np.append(change, len(windows)))
+    some = np.flatnonzero(np.repeat(like, owned))
+    begin = windows[some]
+    before = begin - np.repeat(steps, owned)[some]
+    inside = before >= offsets[np.searchsorted(offsets, begin, "right") - 1]
+    some, begin, before = some[inside], begin[inside], before[inside]
+    for r in (roll, _Rolling(data, 1)):
+        same = r.spans(begin, begin + WINDOW) == r.spans(before, before + WINDOW)
+        some, begin, before = some[same], begin[same], before[same]
+    if not len(some):
+        return places, none, none
+    own = np.ones(len(windows), dtype=np.int64)
+    own[some] = 0
+    places = places[np.add.reduceat(own, change) > 0]
+    order = np.argsort(before, kind="stable")
+    begin, end = before[order], np.maximum.accumulate(begin[order] + WINDOW)
+    fresh = np.flatnonzero(np.concatenate([[True], begin[1:] >= end[:-1]]))
+    return places, begin[fresh], end[np.append(fresh[1:] - 1, len(end) - 1)]
+
+
+def _context_rows(data, offsets, maps=None):
+    """(text index, place, gram hash, context hash) of the anchors of a piece, and (text index,
+    begin, end) of the spans that are repeated with a short period."""
+    anchors, spans = [], []
     if len(data) <= 2 * BLOCK:
         blocks = [(data, offsets, 0, 0, 0)]
     else:  # one long text, cut into overlapping blocks with room for the contexts
@@ -123,35 +157,53 @@ def _context_rows(data, offsets):
     seen = -1
     for part, offs, lo, s, e in blocks:
         if len(blocks) > 1:
-            places = _block_anchors(part[s - lo : e - lo], np.array([0, e - s])) + (s - lo)
+            places, begin, end = (x + (s - lo) for x in _block_anchors(part[s - lo : e - lo], np.array([0, e - s])))
             places = places[places + lo > seen]
             if len(places):
                 seen = int(places[-1]) + lo
         else:
-            places = _block_anchors(part, offs)
+            places, begin, end = _block_anchors(part, offs)
+        text = np.searchsorted(offs, begin, "right") - 1
+        spans.append((text, begin - offs[text] + lo, end - offs[text] + lo))
         if not len(places):
             continue
         roll = _Rolling(part)
+        gram = roll.spans(places, places + GRAM)
+        if maps is not None:
+            kept = has(maps, gram)
+            places, gram = places[kept], gram[kept]
         text = np.searchsorted(offs, places, "right") - 1
         begin = np.maximum(offs[text], places - (WINDOW - GRAM))
         end = np.minimum(offs[text + 1], places + WINDOW)
-        gram = roll.spans(places, places + GRAM)
         shape = ((places - begin) * 1024 + (end - places)).astype(np.uint64)
         around = S.mix(roll.spans(begin, end) + shape * _SECOND)
-        out.append((text, places - offs[text] + lo, gram, around))
-    return out
+        anchors.append((text, places - offs[text] + lo, gram, around))
+    return anchors, spans
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leading bytes of all anchors, hashed, with their number in a piece."""
+    for batch in batches:
+        for _, data, offsets in S.pieces(batch.column("text")):
+            for _, _, gram, _ in _context_rows(data, offsets)[0]:
+                distinct, n = np.unique(gram, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], maps) -> Iterator[pa.RecordBatch]:
+    """Anchors whose leading bytes may occur twice; spans known to be repeated have no gram, and
+    their length instead of a context."""
     for batch in batches:
         for first, data, offsets in S.pieces(batch.column("text")):
-            for text, place, gram, around in _context_rows(data, offsets):
-                rows = pa.array(text + first)
+            anchors, spans = _context_rows(data, offsets, maps.value)
+            rows = [(text, place, pa.array(gram.view(np.int64)), around.view(np.int64)) for text, place, gram, around in anchors]
+            rows += [(text, begin, pa.nulls(len(text), pa.int64()), end - begin) for text, begin, end in spans]
+            for text, place, gram, around in rows:
+                of = pa.array(text + first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(rows), batch.column("th").take(rows),
-                        pa.array(place.astype(np.int32)), pa.array(gram.view(np.int64)),
-                        pa.array(around.view(np.int64)),
+                        batch.column("doc_id").take(of), batch.column("th").take(of),
+                        pa.array(place.astype(np.int32)), gram, pa.array(around.astype(np.int64)),
                     ],
                     ["doc_id", "th", "place", "gram", "around"],
                 )
@@ -160,7 +212,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the wanted anchors of each text."""
     for batch in batches:
-        out = {k: [] for k in ("gram", "around", "n", "suffix", "before")}
+        out = {k: [] for k in ("gram", "around", "n", "hot", "suffix", "before")}
         for text, wanted in zip(batch.column("text"), batch.column("wanted")):
             data = memoryview(text.as_buffer()) if text.is_valid else b""
             for w in wanted.as_py():
@@ -172,6 +224,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["gram"].append(w["gram"])
                 out["around"].append(w["around"])
                 out["n"].append(w["n"])
+                out["hot"].append(w["hot"])
                 out["suffix"].append(bytes(data[p : p + WINDOW]))
                 out["before"].append(bytes(data[max(0, p - WINDOW + GRAM) : p]))
         yield _fetched(out)
@@ -180,7 +233,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fetched(out: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(out["gram"], pa.int64()), pa.array(out["around"], pa.int64()),
-         pa.array(out["n"], pa.int64()), pa.array(out["suffix"], pa.binary()),
+         pa.array(out["n"], pa.int64()), pa.array(out["hot"], pa.bool_()), pa.array(out["suffix"], pa.binary()),
          pa.array(out["before"], pa.binary())],
         list(out),
     )
@@ -253,7 +306,7 @@ def _resolve(bucket: pd.DataFrame, across: bool) -> pd.DataFrame:
     reach = np.where(counts > 1, room, np.minimum(room, np.maximum(left + longest - WINDOW + 1, 0)))
     n, width = len(order), WINDOW - GRAM + 1
     hit, leader = np.zeros((n, width), dtype=bool), np.zeros((n, width), dtype=bool)
-    hashes = np.zeros((n, width), dtype=np.uint64) if across else None
+    hashes = np.zeros((2, n, width), dtype=np.uint64) if across else None
     rolls = [_Rolling(data, which) for which in (0, 1)]
     # equal windows lie at one place around their anchors, so places go block by block
     for place in range(0, width, OFFSETS):
@@ -276,24 +329,27 @@ def _resolve(bucket: pd.DataFrame, across: bool) -> pd.DataFrame:
         hit[owner, local] = repeated | (counts[owner] > 1)
         leader[owner, local] = first
         if across:
-            hashes[owner, local] = one
+            hashes[0, owner, local], hashes[1, owner, local] = one, two
     rows = []
     for i in range(n):
         found = np.flatnonzero(hit[i, : reach[i]])
         spans = _spans(found, int(left[i])) if len(found) else []
-        more = ([], [], [])
+        more = ([], [])
         if across:
             rest = np.flatnonzero(~hit[i, : reach[i]])
             known = np.flatnonzero(hit[i, : reach[i]] & leader[i, : reach[i]])
-            mine = hashes[i].view(np.int64)
-            more = (mine[rest].tolist(), rest.tolist(), mine[known].tolist())
+            mine = hashes[:, i].view(np.int64)
+            more = tuple(
+                [{"h": int(h), "g": int(g), "p": int(p)} for h, g, p in zip(*mine[:, at], at)] for at in (rest, known)
+            )
         rows.append((int(grams[i]), int(arounds[i]), spans, int(left[i]), *more))
-    return pd.DataFrame(rows, columns=["gram", "around", "spans", "left", "open", "open_at", "known"])
+    return pd.DataFrame(rows, columns=["gram", "around", "spans", "left", "open", "known"])
 
 
+FOUND = "gram long, around long, n long, hot boolean"
 RESOLVED = (
     "gram long, around long, spans array<struct<s: int, e: int>>, left int, "
-    "open array<long>, open_at array<int>, known array<long>"
+    "open array<struct<h: long, g: long, p: int>>, known array<struct<h: long, g: long, p: int>>"
 )
 
 
@@ -329,54 +385,65 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(survivors: DataFrame, texts: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
     """(settled contexts, contexts with bytes); ``few`` is the size of a hot group."""
-    groups = survivors.groupBy("gram", "around").agg(
+    groups = survivors.filter("gram IS NOT NULL").groupBy("gram", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("at")
     )
     groups = cut(groups)
     sizes = groups.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("variants"))
     groups = cut(groups.join(sizes, F.col("gram") == F.col("g")).drop("g"))
-    settled = groups.filter("variants = 1").select("gram", "around")
+    settled = groups.filter("variants = 1 AND n > 1").select("gram", "around")
     open_ = groups.filter("variants > 1")
-    wanted = open_.select("at.doc_id", "at.th", F.struct("at.place", "gram", "around", "n").alias("w"))
+    wanted = open_.select(
+        "at.doc_id", "at.th", F.struct("at.place", "gram", "around", "n", (F.col("variants") > few).alias("hot")).alias("w")
+    )
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
     distinct = texts.join(wanted, _same_text(texts, wanted)).select(texts["text"], "wanted")
-    rows = distinct.mapInArrow(_fetch, "gram long, around long, n long, suffix binary, before binary")
+    rows = distinct.mapInArrow(_fetch, f"{FOUND}, suffix binary, before binary")
     # equal rows fetch the same context more than once
     rows = rows.groupBy("gram", "around").agg(
-        F.max("n").alias("n"), F.max("suffix").alias("suffix"), F.max("before").alias("before")
+        *(F.max(c).alias(c) for c in ("n", "hot", "suffix", "before"))
     )
-    hot = sizes.filter(F.col("variants") > few).select(F.col("g").alias("hot_gram"))
-    return settled, cut(rows.join(hot, F.col("gram") == F.col("hot_gram"), "left"))
+    return settled, cut(rows)
 
 
 def _same_text(texts: DataFrame, other: DataFrame):
     return texts["doc_id"].eqNullSafe(other["doc_id"]) & (texts["th"] == other["th"])
 
 
-def _bucketed(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    """Adds the bucket of each suffix: the range of sampled splitters it lies in."""
-    total = rows.count()
-    buckets = max(1, -(-total // bucket_rows))
-    step = max(1, total // (buckets * OVERSAMPLE))
-    sample = rows.filter(F.pmod("around", F.lit(step)) == 0).select(F.substring("suffix", 1, GRAM).alias("k"))
-    keys = sorted(bytes(r[0]) for r in sample.collect())  # OVERSAMPLE short keys a bucket
-    splitters = sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            heads = (s.as_buffer().to_pybytes()[:GRAM] for s in b.column("suffix"))
-            yield b.append_column("bucket", pa.array([bisect_right(splitters, h) for h in heads], pa.int64()))
-
-    schema = "gram long, around long, n long, suffix binary, before binary, bucket long"
-    return rows.select("gram", "around", "n", "suffix", "before").mapInArrow(deal, schema)
+def _in_buckets(batches: Iterator[pa.RecordBatch], bucket_rows: int) -> Iterator[pa.RecordBatch]:
+    """Resolve a partition that is sorted by leading bytes, bucket by bucket."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        heads = batch.column("head")
+        begin = 0
+        for i in range(batch.num_rows):
+            if n + i - begin >= bucket_rows and heads[i] != (heads[i - 1] if i else last):
+                yield _resolved([*held, batch.slice(begin, i - begin)])
+                held, n, begin = [], 0, i
+        if batch.num_rows:
+            held.append(batch.slice(begin))
+            n, last = n + batch.num_rows - begin, heads[batch.num_rows - 1]
+    if n:
+        yield _resolved(held)
+
+
+def _resolved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    out = _resolve(pa.Table.from_batches(held).to_pandas(), across=False)
+    spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out["gram"], pa.int64()), pa.array(out["around"], pa.int64()), pa.array(list(out["spans"]), spans)],
+        ["gram", "around", "spans"],
+    )
 
 
 def _repeated_spans(rows: DataFrame, bucket_rows: int) -> DataFrame:
     """(gram, around, spans) of the contexts with repeated windows."""
-    cold = _bucketed(rows.filter("hot_gram IS NULL"), bucket_rows)
-    found = cold.groupBy("bucket").applyInPandas(partial(_resolve, across=False), RESOLVED)
-    out = found.select("gram", "around", "spans")
-    hot = rows.filter("hot_gram IS NOT NULL")
+    cold = rows.filter("NOT hot").select(F.substring("suffix", 1, GRAM).alias("head"), "gram", "around", "n", "suffix", "before")
+    partitions = max(1, -(-rows.count() // (bucket_rows * BUCKETS)))
+    cold = cold.repartitionByRange(partitions, "head").sortWithinPartitions("head")
+    out = cold.mapInArrow(partial(_in_buckets, bucket_rows=bucket_rows), "gram long, around long, spans array<struct<s: int, e: int>>")
+    hot = rows.filter("hot")
     if hot.isEmpty():
         return out
     # groups beyond a bucket: salted buckets, then a comparison across them
@@ -384,12 +451,12 @@ def _repeated_spans(rows: DataFrame, bucket_rows: int) -> DataFrame:
     salted = hot.withColumn("bucket", F.pmod("around", F.lit(salts)))
     salted = salted.select("gram", "around", "n", "suffix", "before", "bucket")
     parts = cut(salted.groupBy("bucket").applyInPandas(partial(_resolve, across=True), RESOLVED))
-    undecided = parts.select(
-        "gram", "around", "left", F.explode(F.arrays_zip("open", "open_at")).alias("w")
-    ).select("gram", "around", "left", F.col("w.open").alias("h"), F.col("w.open_at").alias("p"))
-    seen = undecided.select("h").unionByName(parts.select(F.explode("known").alias("h")))
-    twice = seen.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    late = undecided.join(twice, "h").select(
+    undecided = parts.select("gram", "around", "left", F.explode("open").alias("w")).select(
+        "gram", "around", "left", "w.h", "w.g", "w.p"
+    )
+    seen = undecided.select("h", "g").unionByName(parts.select(F.explode("known").alias("w")).select("w.h", "w.g"))
+    twice = seen.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "g")
+    late = undecided.join(twice, ["h", "g"]).select(
         "gram", "around",
         F.array(F.struct((F.col("p") - F.col("left")).alias("s"), (F.col("p") - F.col("left") + WINDOW).alias("e"))).alias("spans"),
     )
@@ -407,10 +474,13 @@ def remove_repeats(
     texts = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     ).withColumn("th", F.crc32("text"))
-    anchors = texts.mapInArrow(_anchors, "doc_id long, th long, place int, gram long, around long")
-    often = anchors.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    survivors = cut(anchors.join(often.select("g"), F.col("gram") == F.col("g")).drop("g"))
+    often = texts.mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    maps = docs.sparkSession.sparkContext.broadcast(bitmap(often, "gram"))
+    anchors = texts.mapInArrow(partial(_anchors, maps=maps), "doc_id long, th long, place int, gram long, around long")
+    survivors = Tables(docs.sparkSession, "anchors")(anchors)
+    free(docs.sparkSession)
     settled, rows = _contexts(survivors, texts, hot_rows)
+    free(docs.sparkSession)
     whole = F.array(F.struct(F.lit(-(WINDOW - GRAM)).alias("s"), F.lit(WINDOW).alias("e")))
     spans = settled.withColumn("spans", whole).unionByName(
         _repeated_spans(rows, bucket_rows).filter(F.size("spans") > 0)
@@ -420,6 +490,10 @@ def remove_repeats(
     hits = hits.select("doc_id", "th", "place", F.explode("spans").alias("x")).select(
         "doc_id", "th", F.struct("place", "x.s", "x.e").alias("hit")
     )
+    known = survivors.filter("gram IS NULL").select(
+        "doc_id", "th", F.struct("place", F.lit(0).alias("s"), F.col("around").cast("int").alias("e")).alias("hit")
+    )
+    hits = hits.unionByName(known)
     hits = hits.groupBy("doc_id", "th").agg(F.collect_set("hit").alias("hits"))
     both = texts.join(hits, _same_text(texts, hits), "left").select(texts["doc_id"], "text", "hits")
     return both.mapInArrow(
