@@ -191,10 +191,38 @@ def test_scalars(spark):
     one = spark.range(1)
     show = lambda c: one.select(c.alias("x")).first().x
     assert show(S.format_bytes(F.lit(1536))) == "1.5 KB"
-    assert show(S.format_decimal_bytes(F.lit(2_000_000))) == "2MB"
+    assert show(S.format_decimal_bytes(F.lit(2_000_000))) == "2 MB"
     assert show(S.parse_bytes(F.lit("12"))) is None and show(S.parse_bytes(F.lit("0"))) == 0
     assert show(S.parse_quota(F.lit("unlimited"))) == -1
     assert tuple(show(S.byte_range(F.lit("bytes=-5"), F.lit(100)))) == (95, 99)
     assert show(S.byte_range(F.lit("bytes=100-"), F.lit(100))) is None
-    assert show(S.client_ip(F.lit("1.1.1.1, 2.2.2.2"), F.lit("3.3.3.3"), 1)) == "2.2.2.2"
+    assert show(S.client_ip(F.lit("1.1.1.1, 2.2.2.2"), F.lit(None).cast("string"), F.lit("3.3.3.3"), 1)) == "2.2.2.2"
     assert show(S.covers(F.lit("l:photos"), F.lit("l"), F.lit("photos-old"))) is False
+
+
+def test_scalars_by_example(spark):
+    one = spark.range(1)
+    show = lambda c: one.select(c.alias("x")).first().x
+    for n, want in [(0, "0 B"), (999, "999 B"), (1_250_000, "1.2 MB"), (1_150_000, "1.1 MB"), (1_350_000_000, "1.4 GB"), (50, "50 B"), (99_950, "100 KB")]:
+        assert show(S.format_decimal_bytes(F.lit(n))) == want
+    for message, want in [
+        ("failed to get library 7c8a1f2e-3b4d-4c5a-9e6f-0a1b2c3d4e5f: no such library", "failed to get library <id>: no such library"),
+        ("login failed for someone@example.com from 192.168.1.44", "login failed for <email> from <n>.<n>.<n>.<n>"),
+        ('cannot open "/srv/commits/abc.txt": permission denied', 'cannot open "<str>": permission denied'),
+        ("failed to bind socket v2", "failed to bind socket v2"),
+    ]:
+        assert show(S.normalise_message(F.lit(message))) == want
+    assert [show(S.size_bucket(F.lit(n))) for n in (0, -1, 4096, 1 << 24)] == ["empty", "under-4kb", "4kb-64kb", "over-16mb"]
+    assert [show(S.parse_days(F.lit(t))) for t in (" 30 ", "0", "-1", "x")] == [30, 0, None, None]
+    assert [show(S.parse_duration(F.lit(t))) for t in ("1h30m", " 1.5s", "5", "0s", "-5m", "300ms")] == [5400 * 10**9, 1_500_000_000, None, None, None, 300_000_000]
+    assert show(S.byte_range(F.lit("bytes=-20"), F.lit(10))) is None
+    assert tuple(show(S.byte_range(F.lit("bytes=-10"), F.lit(10)))) == (0, 9)
+    ip = lambda listed, real=None, hops=2, trusted=True: show(S.client_ip(F.lit(listed), F.lit(real), F.lit("127.0.0.1:9"), hops, trusted))
+    assert ip("1.2.3.4, 203.0.113.9, 198.51.100.2") == "203.0.113.9"
+    assert ip("203.0.113.9") == "127.0.0.1" and ip("203.0.113.9", hops=0) == "203.0.113.9"
+    assert ip("1.2.3.4, junk, 1.1.1.1") == "127.0.0.1" and ip("1.2.3.4, 01.2.3.4", "::1", 1) == "::1"
+    assert ip("1.2.3.4, 203.0.113.9", trusted=False) == "127.0.0.1"
+    code = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+    assert show(S.recovery_code(F.lit("o i23-4567 89ab cdef ghjk mnpq rstv wxyz"))) == code
+    assert show(S.recovery_code(F.lit(code[:-1] + "U"))) is None and show(S.recovery_code(F.lit(code[1:]))) is None
+    assert show(S.valid_name(F.lit("n" * 300))) and not show(S.valid_name(F.lit("a/b")))

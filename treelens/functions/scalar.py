@@ -50,15 +50,29 @@ def format_count(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """``n / unit`` with one decimal as a correctly rounded double prints it: the double of a tie may lie
+    above or below it; if on it, the even digit is taken."""
+    ten = n.cast("decimal(38,0)") * 10
+    whole = F.floor(ten / unit).cast("decimal(30,0)")
+    rest = ten - whole * unit
+    exact = (n.cast("double") / F.lit(float(unit)) * F.lit(float(1 << 52))).cast("bigint").cast("decimal(30,0)") * 20
+    tie = (whole * 2 + 1) * F.lit(1 << 52).cast("decimal(20,0)")
+    up = F.when(rest * 2 != unit, rest * 2 > unit).when(exact != tie, exact > tie).otherwise(whole % 2 == 1)
+    digits = (whole + up.cast("int")).cast("decimal(30,0)").cast("string")
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(2)), "0")
+    whole_part = F.substr(padded, F.lit(1), F.length(padded) - 1)
+    return F.regexp_replace(F.concat(whole_part, F.lit("."), F.right(padded, F.lit(1))), r"\.0$", "")
+
+
 def format_decimal_bytes(n: Column) -> Column:
-    """1000-based, ties round up, a trailing ``.0`` is dropped."""
+    """1000-based: ``1.5 MB``; one decimal, which is dropped if it is 0. Sizes from 1,024 TB on may
+    round a tie the other way."""
     units = ["B", "KB", "MB", "GB", "TB"]
 
     def shown(x: Column, i: int) -> Column:
-        if not i:
-            return F.concat(x.cast("string"), F.lit("B"))
-        number = F.format_string("%.1f", x.cast("double") / F.lit(float(1000**i)))
-        return F.concat(F.regexp_replace(number, r"\.0$", ""), F.lit(units[i]))
+        number = _tenths(x, 1000**i) if i else x.cast("string")
+        return F.concat(number, F.lit(f" {units[i]}"))
 
     return _ladder(n, 1000, units, shown)
 
@@ -81,31 +95,68 @@ def parse_quota(text: Column) -> Column:
 
 
 def parse_fraction(text: Column) -> Column:
-    value = text.try_cast("double")
+    value = F.trim(text).try_cast("double")
     return F.when((value >= 0) & (value <= 1), value)
 
 
+def _whole(text: Column) -> Column:
+    clean = F.trim(text)
+    return F.when(clean.rlike("^[+-]?[0-9]+$"), clean.try_cast("bigint"))
+
+
 def parse_count(text: Column) -> Column:
-    value = F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
+    """A whole number of at least 1; null is refused."""
+    return F.when(_whole(text) >= 1, _whole(text))
+
+
+def parse_days(text: Column) -> Column:
+    """Whole days, 0 keeps everything; null is refused."""
+    return F.when(_whole(text) >= 0, _whole(text))
+
+
+#: Units of a duration in nanoseconds (fixed values).
+DURATIONS = {"ns": 1, "us": 10**3, "µs": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
+
+
+def parse_duration(text: Column) -> Column:
+    """Nanoseconds of ``1h30m``, ``1.5s``, ``300ms``; null unless positive and with units."""
+    clean = F.regexp_replace(F.trim(text), r"^\+", "")
+    number = r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
+    parts = F.regexp_extract_all(clean, F.lit(rf"({number}(?:ns|us|µs|ms|s|m|h))"), F.lit(1))
+
+    def nanos(part: Column) -> Column:
+        unit = F.regexp_extract(part, "([a-zµ]+)$", 1)
+        scale = F.element_at(F.create_map(*[F.lit(x) for k, v in DURATIONS.items() for x in (k, v)]), unit)
+        return F.regexp_extract(part, f"^({number})", 1).cast("decimal(28,9)") * scale
+
+    total = F.aggregate(parts, F.lit(0).cast("decimal(38,9)"), lambda a, p: (a + nanos(p)).cast("decimal(38,9)"))
+    ok = clean.rlike(rf"^(?:{number}(?:ns|us|µs|ms|s|m|h))+$")
+    value = F.when(ok, F.floor(total).cast("bigint"))
     return F.when(value > 0, value)
 
 
+#: Variable parts of a message, in the order in which they are replaced (fixed values). Words end
+#: between ASCII word characters and others.
+_BEGIN, _END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+VARIABLE_PARTS = [
+    ('"[^"]*"', '"<str>"'),
+    (r"[\w.+-]+@[\w-]+\.[\w.-]+", "<email>"),
+    (_BEGIN + "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}" + _END, "<id>"),
+    (_BEGIN + "[0-9a-fA-F]{8,}" + _END, "<hash>"),
+    (_BEGIN + "[0-9]+" + _END, "<n>"),
+]
+
+
 def normalise_message(text: Column) -> Column:
-    """Variable parts of a message become placeholders, in this order."""
-    steps = [
-        (r'"[^"]*"', "<str>"),
-        (r"[\w.+-]+@[\w-]+\.[\w.-]+", "<email>"),
-        (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
-        (r"\b[0-9a-fA-F]{8,}\b", "<hex>"),
-        (r"[0-9]+", "<n>"),
-    ]
-    return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text)
+    """Variable parts of a message become placeholders."""
+    return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), VARIABLE_PARTS, text)
 
 
 def size_bucket(n: Column) -> Column:
+    """The name of a size's class (names and bounds are fixed values)."""
     return (
-        F.when(n <= 0, "empty").when(n < 4 << 10, "<4K").when(n < 64 << 10, "<64K")
-        .when(n < 1 << 20, "<1M").when(n < 16 << 20, "<16M").otherwise("over")
+        F.when(n == 0, "empty").when(n < 4 << 10, "under-4kb").when(n < 64 << 10, "4kb-64kb")
+        .when(n < 1 << 20, "64kb-1mb").when(n < 16 << 20, "1mb-16mb").otherwise("over-16mb")
     )
 
 
@@ -114,12 +165,14 @@ def call_site(frames: Column) -> Column:
 
 
 def byte_range(header: Column, size: Column) -> Column:
-    """(first, last) of ``bytes=a-b``, ``bytes=a-`` or ``bytes=-n``; null if it can't be met."""
-    pattern = r"^bytes=([0-9]*)-([0-9]*)$"
+    """(first, last) of ``bytes=a-b``, ``bytes=a-`` or ``bytes=-n``; null if it can't be met, as
+    when the last ``n`` bytes of a shorter file are asked for."""
+    pattern = r"^(?:[^=-]*=)?([0-9]*)-([0-9]*)$"
     a, b = F.regexp_extract(header, pattern, 1), F.regexp_extract(header, pattern, 2)
-    start = F.when(a != "", a.try_cast("bigint")).otherwise(F.greatest(F.lit(0), size - b.try_cast("bigint")))
-    end = F.when((a != "") & (b != ""), F.least(b.try_cast("bigint"), size - 1)).otherwise(size - 1)
-    ok = ((a != "") | ((b != "") & (b.try_cast("bigint") > 0))) & (start <= end) & (start < size)
+    first, last = a.try_cast("bigint"), b.try_cast("bigint")
+    start = F.when(a != "", first).otherwise(size - last)
+    end = F.when((a != "") & (b != ""), F.least(last, size - 1)).otherwise(size - 1)
+    ok = ((a != "") | (last > 0)) & (start >= 0) & (start <= end)
     return F.when(ok, F.struct(start.alias("first"), end.alias("last")))
 
 
@@ -159,16 +212,38 @@ def dead_fraction(frame: Column, live: Column) -> Column:
     return F.coalesce(F.try_divide((frame - live).cast("double"), frame.cast("double")), F.lit(0.0))
 
 
+#: The alphabet of codes, and the characters of a recovery code (fixed values).
+CODE_ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+CODE_LENGTH = 32
+
+
 def recovery_code(text: Column) -> Column:
-    """Upper case, separators dropped, look-alikes folded, in groups of four."""
-    folded = F.translate(F.upper(F.regexp_replace(text, r"[\s-]", "")), "ILO", "110")
-    return F.regexp_replace(F.regexp_replace(folded, "(.{4})", "$1-"), "-$", "")
+    """A code as it is compared: spaces, tabs and hyphens dropped, upper case, look-alikes folded;
+    null if a character is no code character or the length is wrong."""
+    folded = F.translate(F.regexp_replace(text, "[ \t-]", ""), "abcdefghijklmnopqrstuvwxyzILO", "ABCDEFGH1JK1MN0PQRSTUVWXYZ110")
+    return F.when(folded.rlike(f"^[{CODE_ALPHABET}]{{{CODE_LENGTH}}}$"), folded)
+
 
+def shown_code(code: Column) -> Column:
+    """A code in groups of four."""
+    return F.regexp_replace(F.regexp_replace(code, "(.{4})", "$1-"), "-$", "")
 
-def redact(text: Column) -> Column:
-    """Bearer tokens and token parameters are blanked."""
-    bearer = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]")
-    return F.regexp_replace(bearer, r"(?i)\b(token|secret|password)=[^&\s]+", "$1=[redacted]")
+
+def redact(text: Column, prefix: str, symbols: int = 16) -> Column:
+    """Setup tokens (a prefix and groups of four code characters) are blanked."""
+    groups = f"(?:-[{CODE_ALPHABET}]{{4}}){{{symbols // 4}}}"
+    return F.regexp_replace(text, _BEGIN + prefix + groups + _END, f"{prefix}-[redacted]")
+
+
+def redact_event(message: Column, tags: Column, exceptions: Column, breadcrumbs: Column, prefix: str) -> Column:
+    """All places of an event that a token can reach: the message, the values of the tags, and
+    the texts of exceptions and breadcrumbs."""
+    return F.struct(
+        redact(message, prefix).alias("message"),
+        F.transform_values(tags, lambda _, v: redact(v, prefix)).alias("tags"),
+        F.transform(exceptions, lambda v: redact(v, prefix)).alias("exceptions"),
+        F.transform(breadcrumbs, lambda v: redact(v, prefix)).alias("breadcrumbs"),
+    )
 
 
 def render_name(name: Column, hidden: Column) -> Column:
@@ -195,10 +270,33 @@ def path_dir(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def client_ip(forwarded: Column, remote: Column, hops: int) -> Column:
-    """The address a trusted number of hops from the right; the peer's if too few."""
-    parts = F.split(F.coalesce(forwarded, F.lit("")), r"\s*,\s*")
-    return F.when((F.lit(hops) > 0) & (F.coalesce(forwarded, F.lit("")) != "") & (F.size(parts) >= hops), F.trim(F.element_at(parts, -max(hops, 1)))).otherwise(remote)
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_H = "[0-9a-fA-F]{1,4}"
+_IPV6 = (
+    rf"(?:(?:{_H}:){{7}}{_H}|(?=(?:[^:]*:){{2,7}}[^:]*$)(?!.*::.*::)(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?)"
+)
+
+
+def address(text: Column) -> Column:
+    """An IP address, trimmed; null if it is none. IPv6 is lower-cased, not shortened."""
+    clean = F.trim(text)
+    return F.when(clean.rlike(f"^{_IPV4}$"), clean).when(clean.rlike(f"^{_IPV6}$"), F.lower(clean))
+
+
+def client_ip(forwarded: Column, real: Column, remote: Column, hops: int, trusted: bool = True) -> Column:
+    """The address a trusted number of hops (1 at least) from the right of the list; else the proxy's
+    single value; else the peer's host. An entry that is no address is not skipped over."""
+    host = F.coalesce(
+        F.nullif(F.regexp_extract(remote, r"^\[([^\]]*)\]:[0-9]+$", 1), F.lit("")),
+        F.nullif(F.regexp_extract(remote, r"^([^:\[\]]*):[0-9]+$", 1), F.lit("")), remote,
+    )
+    if not trusted:
+        return host
+    hops = max(1, hops)
+    parts = F.split(F.coalesce(forwarded, F.lit("")), ",")
+    listed = F.when(F.size(parts) >= hops, address(F.try_element_at(parts, F.lit(-hops))))
+    return F.coalesce(listed, address(real), host)
 
 
 def backoff_window(attempt: Column) -> Column:
@@ -220,8 +318,8 @@ def covers(scope: Column, library: Column, path: Column) -> Column:
 
 
 def valid_name(name: Column) -> Column:
-    size = F.octet_length(name)
-    return (size > 0) & (size <= 255) & ~name.isin(".", "..") & ~name.contains("/") & ~name.contains("\x00")
+    """No empty name, no path bytes; the length is bounded where directories are checked."""
+    return (F.octet_length(name) > 0) & ~name.isin(".", "..") & ~name.contains("/") & ~name.contains("\x00")
 
 
 def sampled(key: Column, per_mille: int) -> Column:

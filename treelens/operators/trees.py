@@ -38,9 +38,12 @@ def fold_moves(changed: DataFrame, scope: list[str]) -> DataFrame:
     """Exactly one create and one delete of an id in a diff become a move.
 
     ``changed`` has the scope (one diff), name, op, old_id and new_id. Counts run over the
-    whole diff and ignore modifies; anything ambiguous is left alone.
+    whole diff and ignore modifies; anything ambiguous is left alone. With a node_type, only nodes of
+    one kind make a move.
     """
     one = changed.filter("op <> 'modify'").withColumn("id", F.coalesce("new_id", "old_id"))
+    if "node_type" in changed.columns:
+        scope = [*scope, "node_type"]
     is_c, is_d = F.col("op") == "create", F.col("op") == "delete"
     pairs = one.groupBy(*scope, "id").agg(
         F.count_if(is_c).alias("c"), F.count_if(is_d).alias("d"),

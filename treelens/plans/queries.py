@@ -92,11 +92,11 @@ def sc11_rotate(s: Store):
 
 
 @query("chunks", """SELECT manifest_id, seq, chunk_id, chunk_id IN (SELECT chunk_id FROM chunks WHERE manifest_id % 2 = 0) AS stored,
-  regexp_matches(chunk_id, '^[0-9a-f]{64}$') AS valid FROM chunks WHERE manifest_id % 2 = 1""")
+  regexp_matches(chunk_id, '^[0-9a-f]{64}$') AS valid FROM chunks""")
 def sc17_upload(s: Store):
     c = s.chunks()
     have = c.filter("manifest_id % 2 = 0").select("chunk_id").distinct().withColumn("h", F.lit(True))
-    new = c.filter("manifest_id % 2 = 1").join(have, "chunk_id", "left")
+    new = c.join(have, "chunk_id", "left")
     return new.select("manifest_id", "seq", "chunk_id", F.coalesce("h", F.lit(False)).alias("stored"), S.is_id(F.col("chunk_id")).alias("valid"))
 
 
@@ -134,7 +134,7 @@ def pf7_parse_id(s: Store):
     return s.t("documents").select("doc_id", S.is_id(F.when(F.col("doc_id") % 2 == 0, h).otherwise(F.upper(h))).alias("ok"))
 
 
-@query("", """SELECT event_id, octet_length(encode(props)) BETWEEN 1 AND 255 AND props NOT IN ('.', '..') AND NOT contains(props, '/') AS ok FROM events WHERE props IS NOT NULL""")
+@query("", """SELECT event_id, octet_length(encode(props)) > 0 AND props NOT IN ('.', '..') AND NOT contains(props, '/') AS ok FROM events WHERE props IS NOT NULL""")
 def pf8_valid_name(s: Store):
     return s.t("events").filter("props IS NOT NULL").select("event_id", S.valid_name(F.col("props")).alias("ok"))
 
@@ -178,11 +178,10 @@ def pf12_descends(s: Store):
         "commit_id", F.coalesce(F.array_contains("parents", F.col("commit_id")), F.lit(False)).alias("descends"))
 
 
-@query("", """SELECT CASE WHEN contains(url, '/en') OR contains(url, '/chunks') OR contains(url, '/objects') OR contains(url, '/entries') THEN 'bulk' ELSE 'control' END AS lane, count(*) AS n
-  FROM (SELECT replace(url, '/en/', '/entries/') AS url FROM pages WHERE NOT contains(url, '/en') OR contains(url, '/en/')) GROUP BY 1""")
+@query("", """SELECT CASE WHEN contains(u, '/chunks') OR contains(u, '/objects') OR contains(u, '/entries') THEN 'bulk' ELSE 'control' END AS lane, count(*) AS n
+  FROM (SELECT replace(url, '/en/', '/entries/') AS u FROM pages) GROUP BY 1""")
 def pf14_lane(s: Store):
-    p = s.t("pages").filter(~F.col("url").contains("/en") | F.col("url").contains("/en/"))
-    return p.groupBy(S.lane_of(F.replace("url", F.lit("/en/"), F.lit("/entries/"))).alias("lane")).agg(F.count(F.lit(1)).alias("n"))
+    return s.t("pages").groupBy(S.lane_of(F.replace("url", F.lit("/en/"), F.lit("/entries/"))).alias("lane")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("", "SELECT event_type, count(*) AS n FROM events WHERE NOT (event_type = 'view' OR starts_with(event_type, 'sign')) GROUP BY 1")
@@ -336,23 +335,11 @@ def j10_covering(s: Store):
     return C.covering(c, each.select("manifest_id", F.explode("r").alias("r")).select("manifest_id", "r.lo", "r.n"))
 
 
-@query("chunks", """SELECT manifest_id, string_agg(piece, '' ORDER BY seq) AS body FROM (SELECT manifest_id, seq,
-  substr(coalesce(text, ''), (greatest(20 - off, 0) + 1)::BIGINT, (least(off + size, 120) - greatest(off, 20))::BIGINT) AS piece
-  FROM chunks JOIN conversations ON manifest_id = conv_id AND seq = turn WHERE off < 120 AND off + size > 20
-  AND length(coalesce(text, '')) = size) GROUP BY 1""")
-def j11_read_range(s: Store):
-    text = s.t("conversations").select(F.col("conv_id").alias("manifest_id"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
-    c = s.chunks().join(text, ["manifest_id", "seq"]).filter("off < 120 AND off + size > 20").filter(F.length("text") == F.col("size"))
-    piece = F.substr("text", F.greatest(F.lit(20) - F.col("off"), F.lit(0)).cast("int") + 1, (F.least(F.col("off") + F.col("size"), F.lit(120)) - F.greatest("off", F.lit(20))).cast("int"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", piece.alias("p")))), lambda x: x["p"]), "")
-    return c.groupBy("manifest_id").agg(body.alias("body"))
-
-
 @query("chunks", """SELECT manifest_id, string_agg(piece, '' ORDER BY seq) AS body_hex FROM (SELECT manifest_id, seq,
   substr(hex(encode(coalesce(text, ''))), (2 * greatest(20 - off, 0) + 1)::BIGINT, (2 * (least(off + size, 120) - greatest(off, 20)))::BIGINT) AS piece
   FROM chunks JOIN conversations ON manifest_id = conv_id AND seq = turn WHERE off < 120 AND off + size > 20) GROUP BY 1""")
-def j11_read_range_bytes(s: Store):
-    """Bytes 20 to 119 of every file, whatever characters it has; j11_read_range has ASCII chunks only, as its SQL."""
+def j11_read_range(s: Store):
+    """Bytes 20 to 119 of every file, whatever characters it has."""
     data = s.t("conversations").select(F.col("conv_id").alias("manifest_id"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     c = s.chunks().join(data, ["manifest_id", "seq"]).filter("off < 120 AND off + size > 20")
     piece = F.substr("data", F.greatest(F.lit(20) - F.col("off"), F.lit(0)).cast("int") + 1, (F.least(F.col("off") + F.col("size"), F.lit(120)) - F.greatest("off", F.lit(20))).cast("int"))
@@ -360,13 +347,13 @@ def j11_read_range_bytes(s: Store):
     return c.groupBy("manifest_id").agg(body.alias("body_hex"))
 
 
-ASKED = """asked AS (SELECT chunk_id, row_number() OVER (ORDER BY manifest_id, seq) AS pos FROM chunks WHERE manifest_id % 3 = 0),
+ASKED = """asked AS (SELECT chunk_id, row_number() OVER (ORDER BY manifest_id, seq) AS pos FROM chunks),
 stored AS (SELECT chunk_id, max(size) size FROM chunks WHERE manifest_id % 2 = 0 GROUP BY 1)"""
 
 
 def _inventory(s: Store) -> DataFrame:
     c = s.chunks()
-    asked = c.filter("manifest_id % 3 = 0").select("chunk_id", (F.col("manifest_id") * 1000000 + F.col("seq")).alias("pos"))
+    asked = c.select("chunk_id", (F.col("manifest_id") * 1000000 + F.col("seq")).alias("pos"))
     stored = c.filter("manifest_id % 2 = 0").groupBy("chunk_id").agg(F.max("size").alias("size"))
     return C.inventory(asked, stored)
 
@@ -657,14 +644,9 @@ def l2_page(s: Store):
     return H.page(s.libraries().select("library_id", "owner"), ["library_id"], 40, H.check_limit(20))
 
 
-@query("entries", "SELECT commit_id, name, child_id FROM entries WHERE commit_id < 500 ORDER BY commit_id, name")
-def l5_listing(s: Store):
-    return s.entries().filter("commit_id < 500").orderBy("commit_id", "name")
-
-
 @query("entries", "SELECT commit_id, name, child_id FROM entries ORDER BY commit_id, name")
-def l5_listing_all(s: Store):
-    """Every directory's entries; l5_listing has the first commits only, as its SQL."""
+def l5_listing(s: Store):
+    """Every directory's entries in order."""
     return s.entries().orderBy("commit_id", "name")
 
 
@@ -871,13 +853,10 @@ def f2_format_count(s: Store):
     return s.events().select("event_id", S.format_count(F.col("event_id") * 977).alias("shown"))
 
 
-TENTHS = "regexp_replace(((n * 10 + {h}) // {u} // 10) || '.' || ((n * 10 + {h}) // {u} % 10), '\\.0$', '')"
-
-
-@query("ev", f"""SELECT event_id, CASE WHEN n >= 1000000 THEN {TENTHS.format(h=500000, u=1000000)} || 'MB'
-  WHEN n >= 1000 THEN {TENTHS.format(h=500, u=1000)} || 'KB' ELSE n || 'B' END AS shown FROM (SELECT event_id, event_id * 777 AS n FROM ev)""")
+@query("ev", """SELECT event_id, CASE WHEN n >= 1000000000 THEN regexp_replace(printf('%.1f', n / 1e9::DOUBLE), '[.]0$', '') || ' GB' WHEN n >= 1000000 THEN regexp_replace(printf('%.1f', n / 1e6::DOUBLE), '[.]0$', '') || ' MB'
+  WHEN n >= 1000 THEN regexp_replace(printf('%.1f', n / 1e3::DOUBLE), '[.]0$', '') || ' KB' ELSE n || ' B' END AS shown FROM (SELECT event_id, event_id * event_id * 25 AS n FROM ev)""")
 def f3_decimal_bytes(s: Store):
-    return s.events().select("event_id", S.format_decimal_bytes(F.col("event_id") * 777).alias("shown"))
+    return s.events().select("event_id", S.format_decimal_bytes(F.col("event_id") * F.col("event_id") * 25).alias("shown"))
 
 
 UNITS = "CASE event_id % 5 WHEN 0 THEN event_id || 'kb' WHEN 1 THEN event_id || ' MB' WHEN 2 THEN '0' WHEN 3 THEN event_id::VARCHAR ELSE event_id || 'gb' END"
@@ -904,22 +883,32 @@ def f5_parse_quota(s: Store):
     return _units(s).select("event_id", S.parse_quota(raw).alias("quota"))
 
 
-@query("ev", "SELECT event_id, CASE WHEN event_id <= 1000 THEN event_id / 1000.0::DOUBLE END AS fraction, CASE WHEN event_id > 0 THEN event_id END AS n FROM ev")
+@query("ev", """SELECT event_id, CASE WHEN event_id <= 1000 THEN event_id / 1000.0::DOUBLE END AS fraction, CASE WHEN event_id > 7 THEN event_id - 7 END AS n,
+  CASE WHEN event_id >= 7 THEN event_id - 7 END AS days, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id > 0 THEN event_id * 60500000000 END AS nanos FROM ev""")
 def f6_parse_numbers(s: Store):
-    e = s.events()
-    return e.select("event_id", S.parse_fraction((F.col("event_id") / 1000.0).cast("string")).alias("fraction"), S.parse_count(F.col("event_id").cast("string")).alias("n"))
+    i = F.col("event_id")
+    padded = F.concat(F.lit("  "), (i - 7).cast("string"), F.lit(" "))
+    span = F.when(i % 3 == 0, i.cast("string")).otherwise(F.concat(i.cast("string"), F.lit("m"), (i * 500).cast("string"), F.lit("ms")))
+    return s.events().select(
+        "event_id", S.parse_fraction(F.concat(F.lit(" "), (i / 1000.0).cast("string"))).alias("fraction"), S.parse_count(padded).alias("n"),
+        S.parse_days(padded).alias("days"), S.parse_duration(span).alias("nanos"))
 
 
-@query("", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '"[^"]*"', '<str>', 'g'),
-  '[\w.+-]+@[\w-]+\.[\w.-]+', '<email>', 'g'), '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<uuid>', 'g'), '\b[0-9a-fA-F]{8,}\b', '<hex>', 'g'), '[0-9]+', '<n>', 'g') AS shape
-  FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')""")
+@query("", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"', '"<str>"', 'g'),
+  '[\w.+-]+@[\w-]+\.[\w.-]+', '<email>', 'g'), '\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b', '<id>', 'g'), '\b[0-9a-fA-F]{8,}\b', '<hash>', 'g'), '\b\d+\b', '<n>', 'g') AS shape
+  FROM (SELECT doc_id, coalesce(text, '') || ' failed to get "/x/' || doc_id || '" of 7c8a1f2e-3b4d-4c5a-9e6f-0a1b2c3d4e5f, a94a8fe5ccb19ba6 for some.one@example.com from 192.168.1.' || doc_id || ', try v2 or x9y' AS line FROM documents)""")
 def f7_normalise_message(s: Store):
-    return s.t("documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", S.normalise_message(F.col("text")).alias("shape"))
+    i = F.col("doc_id").cast("string")
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit(' failed to get "/x/'), i, F.lit('" of 7c8a1f2e-3b4d-4c5a-9e6f-0a1b2c3d4e5f, a94a8fe5ccb19ba6 for some.one@example.com from 192.168.1.'), i, F.lit(", try v2 or x9y"))
+    return s.t("documents").select("doc_id", S.normalise_message(line).alias("shape"))
 
 
-@query("", "SELECT CASE WHEN n <= 0 THEN 'empty' WHEN n < 4096 THEN '<4K' WHEN n < 65536 THEN '<64K' WHEN n < 1048576 THEN '<1M' WHEN n < 16777216 THEN '<16M' ELSE 'over' END AS bucket, count(*) AS files FROM (SELECT octet_length(encode(text)) n FROM documents) GROUP BY 1")
+@query("", """SELECT CASE WHEN n = 0 THEN 'empty' WHEN n < 4096 THEN 'under-4kb' WHEN n < 65536 THEN '4kb-64kb' WHEN n < 1048576 THEN '64kb-1mb' WHEN n < 16777216 THEN '1mb-16mb' ELSE 'over-16mb' END AS bucket, count(*) AS files
+  FROM (SELECT octet_length(encode(coalesce(text, ''))) * (doc_id % 4) * (doc_id % 4) * (doc_id % 100 - 3) AS n FROM documents) GROUP BY 1""")
 def f8_size_bucket(s: Store):
-    return s.t("documents").groupBy(S.size_bucket(F.octet_length("text")).alias("bucket")).agg(F.count(F.lit(1)).alias("files"))
+    i = F.col("doc_id")
+    size = F.octet_length(F.coalesce("text", F.lit(""))) * (i % 4) * (i % 4) * (i % 100 - 3)
+    return s.t("documents").groupBy(S.size_bucket(size).alias("bucket")).agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("", "SELECT page_id, list_extract(string_split(url, '/'), -1) AS site, regexp_replace(url, '/?[^/]*$', '') AS dir FROM pages")
@@ -927,11 +916,13 @@ def f9_call_site(s: Store):
     return s.t("pages").select("page_id", S.call_site(F.split("url", "/")).alias("site"), S.path_dir(F.col("url")).alias("dir"))
 
 
-@query()
+@query("", """SELECT doc_id, CASE WHEN ok THEN a END AS first, CASE WHEN ok THEN b END AS last FROM (SELECT doc_id, a, b, a >= 0 AND a <= b AND doc_id % 5 < 4 AND (doc_id % 5 <> 1 OR doc_id > 0) AS ok FROM (SELECT doc_id,
+  CASE doc_id % 5 WHEN 0 THEN doc_id WHEN 1 THEN n_chars - doc_id WHEN 2 THEN 10 ELSE 5 END AS a, CASE WHEN doc_id % 5 = 2 THEN least(doc_id, n_chars - 1) ELSE n_chars - 1 END AS b FROM documents))""")
 def f10_byte_range(s: Store):
     i = F.col("doc_id")
-    header = F.concat(F.lit("bytes="), F.when(i % 3 == 0, F.concat(i.cast("string"), F.lit("-"))).when(i % 3 == 1, F.concat(F.lit("-"), i.cast("string"))).otherwise(F.concat(F.lit("10-"), i.cast("string"))))
-    return s.t("documents").select("doc_id", S.byte_range(header, F.col("n_chars")).alias("r")).select("doc_id", "r.first", "r.last")
+    t, kind = i.cast("string"), i % 5
+    asked = F.when(kind == 0, F.concat(t, F.lit("-"))).when(kind == 1, F.concat(F.lit("-"), t)).when(kind == 2, F.concat(F.lit("10-"), t)).when(kind == 3, F.lit("5-")).otherwise("5")
+    return s.t("documents").select("doc_id", S.byte_range(F.concat(F.lit("bytes="), asked), F.col("n_chars")).alias("r")).select("doc_id", "r.first", "r.last")
 
 
 @query("", r"SELECT page_id, CASE WHEN regexp_matches(url, '\.html$') THEN 'text/html' ELSE 'application/octet-stream' END AS type FROM pages")
@@ -956,15 +947,24 @@ def f16_dead(s: Store):
     return st.select("pack_id", S.dead_bytes(F.col("frame_bytes"), F.col("live_bytes")).alias("dead_bytes"), "dead_fraction")
 
 
-@query("", r"SELECT doc_id, rtrim(regexp_replace(translate(upper(h), 'ILO', '110'), '(.{4})', '\1-', 'g'), '-') AS code FROM (SELECT doc_id, substr(md5(doc_id::VARCHAR), 1, 16) AS h FROM documents)")
+@query("", r"""SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE rtrim(regexp_replace(upper(h) || '10ABCXYZ', '(.{4})', '\1-', 'g'), '-') END AS code
+  FROM (SELECT doc_id, substr(md5(doc_id::VARCHAR), 1, 24) AS h FROM documents)""")
 def f17_recovery_code(s: Store):
-    return s.t("documents").select("doc_id", S.recovery_code(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)).alias("code"))
+    """Codes as typed: with separators and look-alikes; a U or a missing character is refused."""
+    i = F.col("doc_id")
+    tail = F.when(i % 4 == 0, "-iO ab\tcxyz").when(i % 4 == 1, "LoABCXYZ").when(i % 4 == 2, "10ABCXYU").otherwise("10ABCXY")
+    typed = F.concat(F.substring(F.md5(i.cast("string")), 1, 24), tail)
+    return s.t("documents").select("doc_id", S.shown_code(S.recovery_code(typed)).alias("code"))
 
 
-@query("", "SELECT page_id, 'GET ' || page_id || '?token=[redacted]&a=1 Bearer [redacted]' AS line FROM pages")
+@query("", """SELECT page_id, 'GET ' || page_id || ' KEY-[redacted], KEY-0123-4567-89AB-CDEU xKEY-0123-4567-89AB-CDEF' AS message, 'KEY-[redacted]' AS tag,
+  'at KEY-[redacted].' AS exception, 'KEY-0123-4567' AS breadcrumb FROM pages""")
 def f18_redact(s: Store):
-    line = F.concat(F.lit("GET "), F.col("page_id").cast("string"), F.lit("?token=abc123&a=1 bearer xyz.789"))
-    return s.t("pages").select("page_id", S.redact(line).alias("line"))
+    token = "KEY-0123-4567-89AB-CDEF"
+    message = F.concat(F.lit("GET "), F.col("page_id").cast("string"), F.lit(f" {token}, KEY-0123-4567-89AB-CDEU x{token}"))
+    e = S.redact_event(message, F.create_map(F.lit("k"), F.lit(token)), F.array(F.lit(f"at {token}.")), F.array(F.lit("KEY-0123-4567")), "KEY")
+    r = s.t("pages").select("page_id", e.alias("e"))
+    return r.select("page_id", "e.message", F.col("e.tags")["k"].alias("tag"), F.col("e.exceptions")[0].alias("exception"), F.col("e.breadcrumbs")[0].alias("breadcrumb"))
 
 
 @query("", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE rtrim(translate(base64(encode(c_name)), '+/', '-_'), '=') END AS shown FROM customer")
@@ -977,11 +977,17 @@ def f20_paths(s: Store):
     return s.t("pages").select("page_id", S.path_join(F.lit("a"), S.path_base(F.col("url"))).alias("joined"))
 
 
-@query("", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 200) ELSE '192.0.2.1' END AS ip FROM events")
+@query("", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN CASE WHEN event_id % 300 < 256 THEN '10.0.0.' || (event_id % 300) ELSE '192.0.2.1' END WHEN 1 THEN '198.51.100.7' WHEN 2 THEN '2001:db8::1' WHEN 3 THEN '192.0.2.1'
+  WHEN 4 THEN '::1' ELSE 'peer' END AS ip FROM events""")
 def f21_client_ip(s: Store):
+    """Two trusted hops: a forged entry in front, too few entries, no address, no header, a bare peer."""
     i = F.col("event_id")
-    header = F.when(i % 2 == 0, F.concat(F.lit("6.6.6.6, 10.0.0."), (i % 200).cast("string"), F.lit(", 10.1.1.1")))
-    return s.t("events").select("event_id", S.client_ip(header, F.lit("192.0.2.1"), 2).alias("ip"))
+    kind = i % 6
+    header = F.when(kind == 0, F.concat(F.lit("6.6.6.6, 10.0.0."), (i % 300).cast("string"), F.lit(", 10.1.1.1"))).when(
+        kind == 1, "203.0.113.9").when(kind == 2, "2001:DB8::1 ,10.1.1.1").when(kind == 3, "not-an-address, 10.1.1.1")
+    real = F.when(kind == 1, " 198.51.100.7 ").when(kind == 3, "1.2.3.400")
+    peer = F.when(kind == 4, "[::1]:443").when(kind == 5, "peer").otherwise("192.0.2.1:5000")
+    return s.t("events").select("event_id", S.client_ip(header, real, peer, 2).alias("ip"))
 
 
 @query("", "SELECT event_id, least(50 * pow(2, least(event_id % 9, 5)), 1000)::BIGINT AS wait FROM events")
