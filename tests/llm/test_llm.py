@@ -391,7 +391,7 @@ def test_labels_count_once_and_rules_share_alpha(spark):
     assert [r.doc_id for r in quality.judge(docs, labels).filter("NOT kept").collect()] == [9999]
     assert quality.keep_good(docs, labels).columns == docs.columns and quality.keep_good(docs, labels).count() == 3001
     # the bound of one rule is a part of alpha
-    scored = spark.createDataFrame([("a", True, 0.0, 0.0)] * 400, "stratum string, good boolean, x double, y double")
+    scored = spark.createDataFrame([("a", True, 0.0, 0.0)] * 300, "stratum string, good boolean, x double, y double")
     one = quality.certify(scored, "stratum", "good", 0.02, 0.05, {"x": [1.0]}).first()
     two = quality.certify(scored, "stratum", "good", 0.02, 0.05, {"x": [1.0], "y": [1.0]}).first()
     assert one.x == 1.0 and two.x is None and two.y is None

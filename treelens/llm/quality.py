@@ -2,17 +2,19 @@
 
 Four rule scores are computed per document (higher is worse). A labelled
 holdout gives, per stratum, rule and candidate cutoff, how many documents of
-good quality the rule would reject. A cutoff is certified when the exact
-binomial tail P[Bin(n, alpha) <= k] is at most delta / (number of tests), a
+good quality the rule would reject. A document is rejected if any rule rejects it, so
+each rule may spend its part of ``alpha``: a cutoff is certified when the exact
+binomial tail P[Bin(n, alpha / rules) <= k] is at most delta / (number of tests), a
 Bonferroni correction over all strata, rules and cutoffs; the smallest certified
-cutoff is used. With probability 1 - delta no rule rejects more than ``alpha`` of
+cutoff is used. With probability 1 - delta all rules together reject at most ``alpha`` of
 the good documents of any stratum. A stratum without a certified cutoff is not
 filtered by that rule.
 
 Defined results: a null or blank text has zero words and fails the base rule;
 a null stratum is a stratum of its own; labels that are null, or documents that
 have both a good and a bad label, do not count in the holdout; repeated rows
-are judged one by one (each label counts once); an empty label table certifies
+are judged one by one, but a labelled id is one trial (of its texts the one that
+comes first by stratum and scores); an empty label table certifies
 nothing; an empty document table gives an empty result. Extra columns never
 reach the operator's own names.
 """
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelens.llm.common import SPACE, cut, free_name
+from treelens.llm.common import SPACE, cut, free_name, own
 
 #: Rules and their candidate cutoffs, loosest last.
 CUTOFFS = {
@@ -31,7 +33,9 @@ CUTOFFS = {
     "dup_line_share": [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6],
     "repeat_share": [0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.18],
 }
-ALPHA = 0.01
+#: Share of a stratum's good documents that all rules together may reject, and the
+#: probability that they reject more.
+ALPHA = 0.04
 DELTA = 0.05
 #: Certified cutoffs are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -150,12 +154,13 @@ def certify(
     """Certified cutoff per stratum: ``stratum`` and one column per rule.
 
     ``scored`` has one row per labelled document: the stratum, whether it is
-    good, and a column per rule score.
+    good, and a column per rule score. Every rule gets an equal part of ``alpha``.
     """
     import math
 
     cutoffs = CUTOFFS if cutoffs is None else cutoffs
     tests = sum(map(len, cutoffs.values()))
+    alpha = alpha / max(1, len(cutoffs))
     good_rows = scored.filter(F.col(good))
     sums = [
         F.sum((F.col(rule) > F.lit(x)).cast("long")).alias(f"{rule}_{i}")
@@ -202,11 +207,12 @@ def measured(docs: DataFrame, doc_id: str, text: str, stratum: str, mark: Column
 
 
 def cutoffs_for(rows: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """Certified cutoffs from measured rows that pass the base rule."""
+    """Certified cutoffs from measured rows that pass the base rule; a trial per labelled id."""
     held = rows.filter(~F.col("base_failed")).join(
         _holdout(labels, "doc_id", "quality"), F.col("doc_id") == F.col("l_id")
     )
-    return certify(held, "stratum", "l_good", alpha, delta)
+    one = held.groupBy("l_id", "l_good").agg(F.min(F.struct("stratum", *CUTOFFS)).alias("first"))
+    return certify(one.select("l_good", "first.*"), "stratum", "l_good", alpha, delta)
 
 
 def _small(limits: DataFrame) -> DataFrame:
@@ -253,8 +259,8 @@ def keep_good(
     rows = cut(measured(docs, doc_id, text, stratum, mark()))
     limits = _small(cutoffs_for(rows, labels, alpha, delta))
     gone = _judged(rows, limits).filter(~F.col("kept"))
-    of_id, of_mark, own = free_name(docs, "of_id", "of_mark", "own_mark")
+    of_id, of_mark, own_mark = free_name(docs, "of_id", "of_mark", "own_mark")
     gone = gone.select(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark)).distinct()
-    marked = docs.withColumn(own, mark())
-    same = F.col(doc_id).eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_mark))
-    return marked.join(gone, same, "left_anti").select(*docs.columns)
+    marked = docs.withColumn(own_mark, mark())
+    same = F.col(doc_id).eqNullSafe(F.col(of_id)) & (F.col(own_mark) == F.col(of_mark))
+    return marked.join(gone, same, "left_anti").select(*own(docs))
