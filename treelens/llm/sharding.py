@@ -11,7 +11,8 @@ offset in the shard plus its place after the shuffle, so slots are gapless from
 Defined results: a null text counts no bytes and its CRC is that of the empty
 string; a null id hashes like any other value; records with one id share a
 shard; equal rows are kept, each with its own slot; an empty table writes no file and
-reads back empty; extra columns are carried as they are.
+reads back empty; extra columns are carried as they are, whatever their names, but for
+maps, which have no order and are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treelens.llm.common import free_name
+from treelens.llm.common import free_name, own
 
-#: Bytes of text a bucket holds on average, and partitions of the scatter at most.
+#: Bytes of text a bucket holds on average.
 BUCKET_BYTES = 16 << 20
-MAX_PARTITIONS = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -64,21 +64,22 @@ def write_shards(
     # text leads the fields so that the canonical order never depends on arrival
     fields = [doc_id, text, *[c for c in docs.columns if c not in (doc_id, text)]]
     sortable = [f for f in fields if not _has_map(docs.schema[f].dataType)]
+    record = F.struct(*(c.alias(f"f{i}") for i, c in enumerate(own(docs, *sortable))))
+    # the bucket's number is its partition's: no two buckets share a task
     gathered = (
-        scattered.repartition(min(shards * per_shard, MAX_PARTITIONS), F.col(bucket))
+        scattered.repartitionById(shards * per_shard, F.col(bucket).cast("int"))
         .groupBy(shard, bucket)
-        .agg(F.collect_list(F.struct(*sortable)).alias(rec))
-        .sortWithinPartitions(bucket)
+        .agg(F.collect_list(record).alias(rec))
     )
     shuffled = gathered.select(
         shard, bucket, F.posexplode(F.shuffle(F.sort_array(F.col(rec)), seed)).alias(place, rec)
-    ).select(*[F.col(rec)[f].alias(f) for f in docs.columns if f in sortable], shard, bucket, place)
+    ).select(*[F.col(rec)[f"f{sortable.index(f)}"].alias(f) for f in docs.columns], shard, bucket, place)
     (
         shuffled.sortWithinPartitions(shard, bucket, place)
         .write.partitionBy(shard).option("compression", "zstd").parquet(path)
     )
     schema = T.StructType(
-        [docs.schema[f] for f in docs.columns if f in sortable]
+        [docs.schema[f] for f in docs.columns]
         + [T.StructField(bucket, T.LongType()), T.StructField(place, T.IntegerType()),
            T.StructField(shard, T.IntegerType())]
     )
