@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from treelens.llm import decontaminate, mixing, near_dedup, quality, token_store
-from treelens.llm.common import scratch, table
+from treelens.llm.common import own, scratch, table
 from treelens.llm.queries import tokenizer_path
 
 END_ID = 2
@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row per copy that the curriculum takes, in training order."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs).select(*own(docs))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

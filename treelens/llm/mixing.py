@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelens.llm.common import cut, free_name, n_words
+from treelens.llm.common import cut, free_name, n_words, own
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Schedule slopes in the order of the sources, repeating.
@@ -137,7 +137,7 @@ def plan(
         ),
     ).otherwise(F.array().cast("array<double>"))
     out = out.withColumn(names["positions"], spots)
-    return out.select(*docs.columns, *names.values()), names
+    return out.select(*own(docs), *names.values()), names
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
@@ -147,6 +147,6 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """
     rows, names = plan(docs, doc_id, **options)
     (position,) = free_name(docs, "position")
-    return rows.select(*docs.columns, F.explode(names["positions"]).alias(position)).orderBy(
+    return rows.select(*own(docs), F.explode(names["positions"]).alias(position)).orderBy(
         position, doc_id
     )
