@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from treelens.functions.scalar import dead_fraction
 from treelens.sources.workers import ship
@@ -59,27 +62,37 @@ def seal(frames: DataFrame) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("pack_id").orderBy("object_id")))
 
 
-def _fold(rows: DataFrame, keys: str, order: list[str], schema: str, fn) -> DataFrame:
-    """Sequential folds per key over rows in order."""
+def _fold(rows: DataFrame, key: str, order: list[str], schema: str, step: Callable) -> DataFrame:
+    """Sequential folds per key over rows in order, streamed: only a key's state is held.
+
+    ``step`` takes the state (None at a key's first row) and the row, by column name, and returns the new
+    state and the row's output, if it has one.
+    """
     ship(rows.sparkSession)
+    shape = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.sort_values(order, kind="stable"))
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), None
+        for b in batches_:
+            out = []
+            for row in b.to_pylist():
+                if row[key] != at:
+                    at, state = row[key], None
+                state, made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in out], schema=shape)
 
-    return rows.groupBy(keys).applyInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def rotate(frames: DataFrame, target: int) -> DataFrame:
     """(library_id, seq, pack_no): a pack is closed once it holds ``target`` bytes."""
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        numbers, pack, held = [], 0, 0
-        for size in pdf["size"]:
-            numbers.append(pack)
-            held += size
-            if held >= target:
-                pack, held = pack + 1, 0
-        return pdf.assign(pack_no=numbers)[["library_id", "seq", "pack_no"]]
+    def fill(state, r):
+        pack, held = state or (0, 0)
+        held += r["size"]
+        return (pack + 1, 0) if held >= target else (pack, held), (r["library_id"], r["seq"], pack)
 
     return _fold(frames, "library_id", ["seq"], "library_id long, seq long, pack_no long", fill)
 
@@ -87,15 +100,11 @@ def rotate(frames: DataFrame, target: int) -> DataFrame:
 def batches(items: DataFrame, max_items: int, max_bytes: int) -> DataFrame:
     """(library_id, seq, batch): as many as fit by count and bytes, always at least one."""
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        numbers, batch, count, held = [], 0, 0, 0
-        for size in pdf["size"]:
-            if count and (count >= max_items or held + size > max_bytes):
-                batch, count, held = batch + 1, 0, 0
-            numbers.append(batch)
-            count += 1
-            held += size
-        return pdf.assign(batch=numbers)[["library_id", "seq", "batch"]]
+    def fill(state, r):
+        batch, count, held = state or (0, 0, 0)
+        if count and (count >= max_items or held + r["size"] > max_bytes):
+            batch, count, held = batch + 1, 0, 0
+        return (batch, count + 1, held + r["size"]), (r["library_id"], r["seq"], batch)
 
     return _fold(items, "library_id", ["seq"], "library_id long, seq long, batch long", fill)
 
@@ -129,31 +138,26 @@ def prune(index: DataFrame) -> DataFrame:
 def throttle(events: DataFrame, key: str, gap: int) -> DataFrame:
     """(key, sec) of the stamps that are written: at most one per ``gap`` seconds."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for sec in pdf["sec"]:
-            if last is None or sec - last >= gap:
-                last = sec
-                out.append(sec)
-        return pd.DataFrame({key: pdf[key].iloc[0], "sec": out})
+    def stamp(last, r):
+        if last is None or r["sec"] - last >= gap:
+            return r["sec"], (r[key], r["sec"])
+        return last, None
 
-    return _fold(events.select(key, "sec"), key, ["sec"], f"{key} {events.schema[key].dataType.simpleString()}, sec long", fold)
+    return _fold(events.select(key, "sec"), key, ["sec"], f"{key} {events.schema[key].dataType.simpleString()}, sec long", stamp)
 
 
 def token_bucket(events: DataFrame, key: str, capacity: float, refill_seconds: float) -> DataFrame:
     """(event_id, allowed): a failure costs a token, a token comes back per ``refill_seconds``."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, allowed = capacity, None, []
-        for sec in pdf["sec"]:
-            if last is not None:
-                tokens = min(capacity, tokens + max(0, sec - last) / refill_seconds)
-            last = sec if last is None else max(last, sec)
-            allowed.append(tokens >= 1)
-            tokens -= 1 if tokens >= 1 else 0
-        return pd.DataFrame({"event_id": pdf["event_id"], "allowed": allowed})
+    def spend(state, r):
+        tokens, last = state or (capacity, None)
+        if last is not None:
+            tokens = min(capacity, tokens + max(0, r["sec"] - last) / refill_seconds)
+        last = r["sec"] if last is None else max(last, r["sec"])
+        allowed = tokens >= 1
+        return (tokens - 1 if allowed else tokens, last), (r["event_id"], allowed)
 
-    return _fold(events.select(key, "sec", "event_id"), key, ["sec", "event_id"], "event_id long, allowed boolean", fold)
+    return _fold(events.select(key, "sec", "event_id"), key, ["sec", "event_id"], "event_id long, allowed boolean", spend)
 
 
 def bloom_bits(n: int, bits_per_entry: int = 24) -> int:
@@ -169,15 +173,15 @@ def bloom_probes(object_id: str, bits: int, most: int = 17) -> list[int]:
     return [(value >> (total - width * (i + 1))) & (bits - 1) for i in range(min(most, total // width))]
 
 
-def build_bloom(ids: DataFrame, expected: int) -> DataFrame:
-    """(pack_id, bits, places): the set bits of each pack's filter."""
-    ship(ids.sparkSession)
+def build_bloom(ids: DataFrame, expected: int, most: int = 17) -> DataFrame:
+    """(pack_id, bits, places): the set bits of each pack's filter; ids are 64 hexadecimal digits."""
     bits = bloom_bits(expected)
-
-    def places(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches_:
-            rows = [(p, x) for p, i in zip(b["pack_id"], b["object_id"]) for x in bloom_probes(i, bits)]
-            yield pd.DataFrame(rows, columns=["pack_id", "place"])
-
-    rows = ids.select("pack_id", "object_id").mapInPandas(places, "pack_id long, place long")
+    width = bits.bit_length() - 1
+    places = []
+    for i in range(min(most, 256 // width)):  # disjoint slices of the id's own bits
+        digit, skip = divmod(width * i, 4)
+        digits = -(-(skip + width) // 4)
+        number = F.conv(F.substring("object_id", digit + 1, digits), 16, 10).cast("long")
+        places.append(F.shiftright(number, 4 * digits - skip - width).bitwiseAND(F.lit(bits - 1)))
+    rows = ids.select("pack_id", F.explode(F.array(*places)).alias("place"))
     return rows.groupBy("pack_id").agg(F.lit(bits).alias("bits"), F.array_sort(F.collect_set("place")).alias("places"))

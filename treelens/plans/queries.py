@@ -85,7 +85,11 @@ def sc10_seal(s: Store):
     return P.seal(_frames(s))
 
 
-@query()
+@query("commits", """SELECT * FROM (WITH RECURSIVE r AS (SELECT library_id, commit_id AS seq, floor(o_totalprice)::BIGINT AS size, row_number() OVER (PARTITION BY library_id ORDER BY commit_id) AS n
+  FROM commits JOIN orders ON o_orderkey = commit_id),
+f AS (SELECT library_id, seq, n, 0::BIGINT AS pack_no, size AS held FROM r WHERE n = 1 UNION ALL
+  SELECT r.library_id, r.seq, r.n, f.pack_no + (f.held >= 200000)::BIGINT, CASE WHEN f.held >= 200000 THEN r.size ELSE f.held + r.size END FROM f JOIN r ON r.library_id = f.library_id AND r.n = f.n + 1)
+SELECT library_id, seq, pack_no FROM f)""")
 def sc11_rotate(s: Store):
     rows = s.commits().join(s.t("orders").select(F.col("o_orderkey").alias("commit_id"), F.floor("o_totalprice").cast("long").alias("size")), "commit_id")
     return P.rotate(rows.select("library_id", F.col("commit_id").alias("seq"), "size"), 200_000)
@@ -608,7 +612,8 @@ def w6_chain(s: Store):
     return H.chain(s.commits(), 5)
 
 
-@query()
+@query("ev", """SELECT * FROM (WITH RECURSIVE s AS (SELECT DISTINCT user_id AS k, sec FROM ev WHERE event_type = 'click'), x AS (SELECT k, sec, min(sec) OVER (PARTITION BY k ORDER BY sec RANGE BETWEEN 21600 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM s),
+  f AS (SELECT k, min(sec) AS sec FROM s GROUP BY 1 UNION ALL SELECT x.k, x.after FROM f JOIN x ON f.k = x.k AND f.sec = x.sec WHERE x.after IS NOT NULL) SELECT k AS user_id, sec FROM f)""")
 def w7_throttle(s: Store):
     return P.throttle(s.events().filter("event_type = 'click'"), "user_id", 6 * 3600)
 
@@ -625,7 +630,11 @@ def w9_dedup_index(s: Store):
     return P.seal(_frames(s))
 
 
-@query()
+@query("chunks", """SELECT * FROM (WITH RECURSIVE r AS (SELECT manifest_id AS library_id, seq, size, row_number() OVER (PARTITION BY manifest_id ORDER BY seq) AS n FROM chunks),
+f AS (SELECT library_id, seq, n, 0::BIGINT AS batch, 1 AS c, size AS held FROM r WHERE n = 1 UNION ALL
+  SELECT r.library_id, r.seq, r.n, f.batch + (f.c >= 3 OR f.held + r.size > 600)::BIGINT, CASE WHEN f.c >= 3 OR f.held + r.size > 600 THEN 1 ELSE f.c + 1 END,
+  CASE WHEN f.c >= 3 OR f.held + r.size > 600 THEN r.size ELSE f.held + r.size END FROM f JOIN r ON r.library_id = f.library_id AND r.n = f.n + 1)
+SELECT library_id, seq, batch FROM f)""")
 def w10_batches(s: Store):
     c = s.chunks().select(F.col("manifest_id").alias("library_id"), F.col("seq").cast("long").alias("seq"), "size")
     return P.batches(c, 3, 600)
@@ -833,7 +842,8 @@ def cd10_verify(s: Store):
     return s.chunks().join(now, ["manifest_id", "seq"]).filter("chunk_id <> now").select("manifest_id", "seq")
 
 
-@query()
+@query("objects", """SELECT pack_id, 16384 AS bits, list_sort(list_distinct(flatten(list(places)))) AS places FROM (SELECT pack_id,
+  list_transform(range(17), lambda i: (('0x' || substr(h, (14 * i // 4 + 1)::BIGINT, 5))::BIGINT >> (6 - 14 * i % 4)::BIGINT) & 16383) AS places FROM (SELECT pack_id, sha256(object_id::VARCHAR) AS h FROM objects)) GROUP BY 1""")
 def cd8_bloom(s: Store):
     ids = s.objects().select("pack_id", F.sha2(F.col("object_id").cast("string"), 256).alias("object_id"))
     return P.build_bloom(ids, 600)
@@ -1005,12 +1015,16 @@ def st1_counters(s: Store):
     return rolling_counters(s.events())
 
 
-@query()
+@query("ev", """SELECT * FROM (WITH RECURSIVE r AS (SELECT user_id, sec, event_id, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS n FROM ev WHERE event_type = 'error'),
+f AS (SELECT user_id, sec, event_id, n, 2.0::DOUBLE AS held FROM r WHERE n = 1 UNION ALL
+  SELECT r.user_id, r.sec, r.event_id, r.n, least(2.0::DOUBLE, f.held - CASE WHEN f.held >= 1 THEN 1 ELSE 0 END + (r.sec - f.sec) / 43200.0::DOUBLE) FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+SELECT event_id, held >= 1 AS allowed FROM f)""")
 def st2_token_bucket(s: Store):
     return P.token_bucket(s.events().filter("event_type = 'error'"), "user_id", 2, 12 * 3600)
 
 
-@query()
+@query("ev", """SELECT * FROM (WITH RECURSIVE s AS (SELECT DISTINCT user_id AS k, sec FROM ev), x AS (SELECT k, sec, min(sec) OVER (PARTITION BY k ORDER BY sec RANGE BETWEEN 300 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM s),
+  f AS (SELECT k, min(sec) AS sec FROM s GROUP BY 1 UNION ALL SELECT x.k, x.after FROM f JOIN x ON f.k = x.k AND f.sec = x.sec WHERE x.after IS NOT NULL) SELECT k AS user_id, sec FROM f)""")
 def st4_last_used(s: Store):
     return P.throttle(s.events(), "user_id", 300)
 
@@ -1028,7 +1042,8 @@ def st6_fan_out(s: Store):
     return s.t("events").filter("event_type = 'signup'").join(subs, "user_id").select("event_id", "subscriber")
 
 
-@query()
+@query("ev", """SELECT * FROM (WITH RECURSIVE s AS (SELECT DISTINCT user_id || '/' || event_type AS k, sec FROM ev WHERE event_type = 'error'), x AS (SELECT k, sec, min(sec) OVER (PARTITION BY k ORDER BY sec RANGE BETWEEN 300 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM s),
+  f AS (SELECT k, min(sec) AS sec FROM s GROUP BY 1 UNION ALL SELECT x.k, x.after FROM f JOIN x ON f.k = x.k AND f.sec = x.sec WHERE x.after IS NOT NULL) SELECT k AS fault, sec FROM f)""")
 def st8_fault_reports(s: Store):
     e = s.events().filter("event_type = 'error'").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("fault"), "sec")
     return P.throttle(e, "fault", 300)
@@ -1039,6 +1054,6 @@ def st9_change_feed(s: Store):
     return _head_diff(s).groupBy("library_id").agg(F.count(F.lit(1)).alias("changes"), F.max("name").alias("last_name"))
 
 
-@query()
+@query("ev", """SELECT event_id FROM ev WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1000 < 100""")
 def st10_sampling(s: Store):
     return s.events().filter(S.sampled(F.col("event_id"), 100)).select("event_id")
