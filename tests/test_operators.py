@@ -226,3 +226,25 @@ def test_scalars_by_example(spark):
     assert show(S.recovery_code(F.lit("o i23-4567 89ab cdef ghjk mnpq rstv wxyz"))) == code
     assert show(S.recovery_code(F.lit(code[:-1] + "U"))) is None and show(S.recovery_code(F.lit(code[1:]))) is None
     assert show(S.valid_name(F.lit("n" * 300))) and not show(S.valid_name(F.lit("a/b")))
+
+
+def test_edits_are_ordered_and_all_or_none(spark):
+    tree = spark.createDataFrame([("", None), ("/a", None), ("/a/b", None), ("/a/b/f", "1"), ("/ab", "2")], "path string, content string")
+    rows = lambda ops: dict(map(tuple, T.edit(tree, ops).collect()))
+    base = {"": None, "/a": None, "/a/b": None, "/a/b/f": "1", "/ab": "2"}
+    assert rows([]) == base
+    assert rows([{"op": "mkdir", "path": "/c"}, {"op": "mkdir", "path": "/c/d"}, {"op": "put", "path": "c//d/e", "content": "3"}]) == {**base, "/c": None, "/c/d": None, "/c/d/e": "3"}
+    assert rows([{"op": "rename", "path": "/a", "to": "/z"}, {"op": "put", "path": "/z/b/f", "content": "9"}, {"op": "remove", "path": "/ab"}]) == {"": None, "/z": None, "/z/b": None, "/z/b/f": "9"}
+    assert rows([{"op": "remove", "path": "/a"}, {"op": "mkdir", "path": "/a"}]) == {"": None, "/a": None, "/ab": "2"}
+    assert rows([{"op": "rename", "path": "/a/b", "to": "/b"}, {"op": "rename", "path": "/b/f", "to": "/a/f"}]) == {"": None, "/a": None, "/a/f": "1", "/b": None, "/ab": "2"}
+    for ops, at, reason in [
+        ([{"op": "mkdir", "path": "/made"}, {"op": "remove", "path": "/absent"}], 1, "not found"),
+        ([{"op": "mkdir", "path": "/a"}], 0, "exists"), ([{"op": "put", "path": "/a", "content": "x"}], 0, "is a directory"),
+        ([{"op": "put", "path": "/ab/x", "content": "x"}], 0, "not a directory"), ([{"op": "mkdir", "path": "/q/r"}], 0, "not found"),
+        ([{"op": "rename", "path": "/a", "to": "/a/b/c"}], 0, "a directory can't move into itself"), ([{"op": "rename", "path": "/a", "to": "/ab"}], 0, "exists"),
+        ([{"op": "mkdir_all", "path": "/ab/x"}], 0, "not a directory"), ([{"op": "remove", "path": "/"}], 0, "the root can't be edited"),
+        ([{"op": "mkdir", "path": "/a/../x"}], 0, "a path may not hold . or .."),
+    ]:
+        with pytest.raises(T.Refused) as e:
+            T.edit(tree, ops)
+        assert (e.value.at, e.value.reason) == (at, reason)

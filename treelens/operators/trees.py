@@ -165,6 +165,137 @@ def resolve(entries: DataFrame, root: str, path: str) -> tuple[str, str | None,
     return "found", node, kind
 
 
+def resolve_all(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ask_id, state, id, node_type) of every (ask_id, root, path): states as in :func:`resolve`, and
+    ``invalid`` for a path with . or .. in it. A join per level of the deepest path."""
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    now = asked.select("ask_id", parts.alias("parts"), F.col("root").alias("id"), F.lit(DIR).alias("node_type"), F.lit(None).cast("string").alias("state"))
+    now = now.withColumn("state", F.when(F.exists("parts", lambda x: x.isin(".", "..")), "invalid"))
+    deepest = now.agg(F.max(F.size("parts"))).first()[0] or 0
+    e = entries.select("dir_id", F.col("name").alias("n"), "child_id", F.col("node_type").alias("kind"))
+    for d in range(deepest):
+        part = F.get("parts", F.lit(d))
+        going = F.col("state").isNull() & part.isNotNull()
+        now = now.withColumn("state", F.when(going & (F.col("node_type") != DIR), "not a directory").otherwise(F.col("state")))
+        going = F.col("state").isNull() & part.isNotNull()
+        now = now.withColumns({"at": F.when(going, F.col("id")), "part": F.when(going, part)})
+        met = now.join(e, (F.col("at") == F.col("dir_id")) & (F.col("part") == F.col("n")), "left")
+        now = _kept(met.select(
+            "ask_id", "parts",
+            F.when(F.col("at").isNull(), F.col("id")).otherwise(F.col("child_id")).alias("id"),
+            F.when(F.col("at").isNull(), F.col("node_type")).otherwise(F.col("kind")).alias("node_type"),
+            F.when(F.col("at").isNotNull() & F.col("child_id").isNull(), "not found").otherwise(F.col("state")).alias("state"),
+        ))
+    found = F.col("state").isNull()
+    return now.select(
+        "ask_id", F.coalesce("state", F.lit("found")).alias("state"), F.when(found, F.col("id")).alias("id"),
+        F.when(found, F.col("node_type")).alias("node_type"),
+    )
+
+
+class Refused(ValueError):
+    """An edit that can't be made: its place in the batch and the reason."""
+
+    def __init__(self, at: int, reason: str):
+        super().__init__(f"operation {at}: {reason}")
+        self.at, self.reason = at, reason
+
+
+def edit(nodes: DataFrame, ops: list[dict], most: int = 1000) -> DataFrame:
+    """A tree of (path, content), null for a directory, after an ordered batch of edits; all or none.
+
+    Operations are ``mkdir``, ``mkdir_all``, ``put`` (with content), ``remove`` and ``rename``
+    (with to). Each sees the effects of those before it. A parent must exist and be a
+    directory (but for mkdir_all); mkdir and rename refuse a place that is taken, put a place
+    taken by a directory, remove and rename a path that is missing, rename a place inside
+    itself. The first edit that can't be made raises :class:`Refused` and nothing changes.
+
+    A batch is bounded by ``most``. Only the named paths and their ancestors are looked up, in one
+    job; subtrees move by rewriting path prefixes in one pass over the tree.
+    """
+    if len(ops) > most:
+        raise ValueError(f"a batch holds at most {most} operations")
+    clean = [{k: _clean(i, v) if k in ("path", "to") else v for k, v in op.items()} for i, op in enumerate(ops)]
+    wanted = sorted({u for op in clean for k in ("path", "to") if k in op for u in _ups(op[k])} - {""})
+    spark = nodes.sparkSession
+    # where a path of the batch comes from is only known as the batch goes on: moves are unwound
+    sources = set(wanted)
+    for op in reversed(clean):
+        if op["op"] == "rename":
+            sources |= {op["path"] + p[len(op["to"]):] for p in list(sources) if _below(p, op["to"])}
+    asked = spark.createDataFrame([(p,) for p in sorted(sources)] or [("",)], "path string")
+    known = {r.path: r.content is None for r in nodes.join(F.broadcast(asked), "path", "left_semi").collect()}
+    known[""] = True
+    made, moves = {}, []  # (made) path -> content, None for a directory; (moves) what happened to subtrees
+    for i, op in enumerate(clean):
+        p, kind = op["path"], op["op"]
+        if not p:
+            raise Refused(i, "the root can't be edited")
+        target = op["to"] if kind == "rename" else p
+        if kind == "mkdir_all":
+            for up in _ups(p)[1:]:
+                if known.get(up) is False:
+                    raise Refused(i, "not a directory")
+                if up not in known:
+                    known[up], made[up] = True, None
+            continue
+        parent = target.rpartition("/")[0]
+        if kind in ("mkdir", "put", "rename") and parent not in known:
+            raise Refused(i, "not found")
+        if kind in ("mkdir", "put", "rename") and not known[parent]:
+            raise Refused(i, "not a directory")
+        if kind == "mkdir":
+            if p in known:
+                raise Refused(i, "exists")
+            known[p], made[p] = True, None
+        elif kind == "put":
+            if known.get(p):
+                raise Refused(i, "is a directory")
+            moves.append((p, None, len(moves)))
+            known[p], made[p] = False, op["content"]
+        elif kind in ("remove", "rename"):
+            if p not in known:
+                raise Refused(i, "not found")
+            if kind == "rename" and target == p:
+                continue
+            if kind == "rename" and _below(target, p):
+                raise Refused(i, "a directory can't move into itself")
+            if kind == "rename" and target in known:
+                raise Refused(i, "exists")
+            for table in (known, made):
+                for q in [q for q in table if _below(q, p)]:
+                    value = table.pop(q)
+                    if kind == "rename":
+                        table[target + q[len(p):]] = value
+            moves.append((p, target if kind == "rename" else None, len(moves)))
+        else:
+            raise Refused(i, f"unknown operation {kind}")
+    path = F.col("path")
+    for p, to, _ in moves:  # null: gone; a path below p goes below to
+        inside = (path == p) | path.startswith(p + "/")
+        path = F.when(inside, F.concat(F.lit(to), F.substr(path, F.lit(len(p) + 1))) if to is not None else F.lit(None)).otherwise(path)
+    kept = nodes.select(path.alias("path"), "content").filter("path IS NOT NULL")
+    new = spark.createDataFrame(sorted(made.items()), "path string, content string")
+    return kept.unionByName(new)
+
+
+def _clean(i: int, path: str) -> str:
+    parts = [x for x in path.split("/") if x]
+    if any(x in (".", "..") for x in parts):
+        raise Refused(i, "a path may not hold . or ..")
+    return "".join("/" + x for x in parts)
+
+
+def _ups(path: str) -> list[str]:
+    """The path and all its ancestors, the root (an empty path) first."""
+    parts = path.split("/")
+    return ["/".join(parts[:k]) for k in range(1, len(parts) + 1)]
+
+
+def _below(path: str, top: str) -> bool:
+    return path == top or path.startswith(top + "/")
+
+
 def walk(entries: DataFrame, root: str) -> DataFrame:
     """(path, child_id, node_type, depth) of everything below a root."""
     level = entries.filter(F.col("dir_id") == root).select(

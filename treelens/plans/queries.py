@@ -763,6 +763,96 @@ def g12_tree_hash(s: Store):
     return T.directory_ids(s.entries(), ["commit_id"])
 
 
+@query("ns sizes", """SELECT r.child_id AS root_id, coalesce(sum(size), 0)::BIGINT AS size, count(w.id) AS file_count FROM ns r LEFT JOIN walked w ON w.m = 'h' AND w.node_type = 0 AND starts_with(w.path, '/' || r.name || '/')
+  LEFT JOIN sizes ON w.id = 'f' || sizes.child_id WHERE r.dir_id = 'h' GROUP BY 1""")
+def a1_measure_trees(s: Store):
+    """Bytes and files below every region, over all levels of the tree."""
+    tree = s.namespace()
+    files = s.sizes().select(F.concat(F.lit("f"), F.col("child_id").cast("string")).alias("child_id"), "size")
+    return T.measure(tree, files, tree.filter("dir_id = 'h'").select(F.col("child_id").alias("root_id")))
+
+
+@query("ns", """SELECT CASE WHEN o.path IS NULL THEN 'create' WHEN n.path IS NULL THEN 'delete' ELSE 'modify' END AS op, coalesce(n.path, o.path) AS path, coalesce(n.id, o.id) AS id, coalesce(n.node_type, o.node_type) AS node_type
+  FROM (SELECT * FROM walked WHERE m = 'p') o FULL JOIN (SELECT * FROM walked WHERE m = 'h') n ON o.path = n.path
+  WHERE o.path IS NULL OR n.path IS NULL OR (o.id <> n.id AND n.node_type = 0)""")
+def g3_diff_trees(s: Store):
+    """The tree of the newest commits against that of the ones before, all levels expanded."""
+    return T.diff_trees(s.namespace().unionByName(s.namespace(2, "p")).distinct(), "p", "h")
+
+
+ASKED_PATHS = "CASE ask_id % 5 WHEN 0 THEN '/ASIA/' || n_name || '/' || ask_id WHEN 1 THEN r_name || '//' || n_name || '/' || ask_id || '/' WHEN 2 THEN '/' || r_name || '/' || n_name || '/' || ask_id || '/1/x' WHEN 3 THEN '/' || r_name || '/../' || ask_id ELSE '/' || r_name || '/' || n_name || '/' || ask_id || '/2' END"
+
+
+@query("ns", f"""SELECT ask_id, CASE WHEN contains(a.path, '..') THEN 'invalid' WHEN w.id IS NOT NULL THEN 'found' WHEN f.id IS NOT NULL THEN 'not a directory' ELSE 'not found' END AS state, w.id, w.node_type FROM (SELECT ask_id, {ASKED_PATHS} AS path
+  FROM (SELECT c_custkey AS ask_id, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)) a
+  LEFT JOIN walked w ON w.m = 'h' AND w.path = '/' || rtrim(ltrim(replace(a.path, '//', '/'), '/'), '/') LEFT JOIN walked f ON f.m = 'h' AND f.node_type = 0 AND f.path = regexp_replace(a.path, '/x$', '') AND ends_with(a.path, '/x')""")
+def g5_resolve_paths(s: Store):
+    """Paths of all accounts: wrong parents, doubled separators, files used as directories, refused ones."""
+    n = s.t("nation").join(s.t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    a = s.t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("ask_id"), "n_name", "r_name")
+    return T.resolve_all(s.namespace(), a.select("ask_id", F.lit("h").alias("root"), F.expr(ASKED_PATHS).alias("path")))
+
+
+@query("ns", "SELECT DISTINCT id FROM walked WHERE m = 'h' AND NOT (node_type = 0 AND id IN (SELECT 'f' || p_partkey FROM part WHERE p_size > 10)) AND node_type = 0 UNION SELECT DISTINCT child_id FROM ns WHERE m = 'h' AND node_type = 1 AND child_id LIKE 'hn%' AND name LIKE 'NATION_1%'")
+def j19_missing_nodes(s: Store):
+    """What the closure of the tree lacks, if small files and some directories are not stored."""
+    e = s.namespace()
+    stored = s.t("part").filter("p_size > 10").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("id"))
+    dirs = e.filter("node_type = 1 AND NOT (child_id LIKE 'hn%' AND name LIKE 'NATION_1%')").select(F.col("child_id").alias("id"))
+    starts = s.spark.createDataFrame([("h",)], "id string")
+    return T.missing(e.select(F.col("dir_id").alias("src"), F.col("child_id").alias("dst")), starts, stored.unionByName(dirs).unionByName(starts))
+
+
+HASHED = """leaf AS (SELECT r_name, n_name, c_custkey::VARCHAR AS c, sha256({content}) AS id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+nat AS (SELECT r_name, n_name, sha256(string_agg(c || '=' || id, ';' ORDER BY c)) AS id FROM leaf GROUP BY 1, 2),
+reg AS (SELECT r_name, sha256(string_agg(n_name || '=' || id, ';' ORDER BY n_name)) AS id FROM nat GROUP BY 1),
+{all} AS (SELECT '/' || r_name || '/' || n_name || '/' || c AS path, id FROM leaf UNION ALL SELECT '/' || r_name || '/' || n_name, id FROM nat UNION ALL SELECT '/' || r_name, id FROM reg
+  UNION ALL SELECT '', sha256(string_agg(r_name || '=' || id, ';' ORDER BY r_name)) FROM reg)"""
+
+
+def _account_tree(s: Store, content) -> DataFrame:
+    """(path, content) of regions, nations and accounts below the root; directories have no content."""
+    n = s.t("nation").join(s.t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = s.t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    up = lambda *cs: F.concat(*[x for k in cs for x in (F.lit("/"), F.col(k).cast("string"))])
+    files = c.select(up("r_name", "n_name", "c_custkey").alias("path"), content.alias("content"), "r_name", "n_name")
+    none = F.lit(None).cast("string")
+    dirs = files.select(up("r_name", "n_name").alias("path")).union(files.select(up("r_name"))).union(files.select(F.lit(""))).distinct()
+    return files.select("path", "content").unionByName(dirs.select("path", none.alias("content")))
+
+
+@query("", f"WITH {HASHED.format(content='c_name', all='x')} SELECT * FROM x")
+def g12_rehash_tree(s: Store):
+    """Content ids of a tree of three levels, from the files up."""
+    return T.rehash(_account_tree(s, F.col("c_name")))
+
+
+@query("", f"""SELECT b.path, b.id FROM (WITH {HASHED.format(content='c_name', all='x')} SELECT * FROM x) a
+  JOIN (WITH {HASHED.format(content="CASE WHEN c_custkey = 42 THEN 'edited' ELSE c_name END", all='x')} SELECT * FROM x) b USING (path) WHERE a.id <> b.id""")
+def g9_rewrite_spine(s: Store):
+    """The ids that an edit of one file changes: the file's and those on its way to the root."""
+    old = T.rehash(_account_tree(s, F.col("c_name"))).withColumnRenamed("id", "old_id")
+    path = "/" + "/".join(s.t("customer").filter("c_custkey = 42").join(s.t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        s.t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").first()) + "/42"
+    edited = T.edit(_account_tree(s, F.col("c_name")), [{"op": "put", "path": path, "content": "edited"}])
+    return T.rehash(edited).join(old, "path").filter("id <> old_id").select("path", "id")
+
+
+EDITS = [
+    {"op": "mkdir", "path": "/ARCHIVE"}, {"op": "mkdir_all", "path": "/ARCHIVE/old/asia"}, {"op": "rename", "path": "/ASIA", "to": "/ARCHIVE/old/asia/all"},
+    {"op": "put", "path": "/ARCHIVE/note", "content": "moved"}, {"op": "remove", "path": "/EUROPE"}, {"op": "rename", "path": "/ARCHIVE/old/asia/all/NATION_2", "to": "/NATION_2"},
+]
+
+
+@query("", """WITH t AS (SELECT r_name, '/' || n_name || '/' || c_custkey AS rest, c_name AS content FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+u AS (SELECT r_name, rest, content FROM t UNION ALL SELECT DISTINCT r_name, '/' || split_part(rest, '/', 2), NULL FROM t UNION ALL SELECT DISTINCT r_name, '', NULL FROM t)
+SELECT CASE WHEN r_name = 'ASIA' AND split_part(rest, '/', 2) = 'NATION_2' THEN rest WHEN r_name = 'ASIA' THEN '/ARCHIVE/old/asia/all' || rest ELSE '/' || r_name || rest END AS path, content FROM u WHERE r_name <> 'EUROPE'
+UNION ALL SELECT * FROM (VALUES ('', NULL), ('/ARCHIVE', NULL), ('/ARCHIVE/old', NULL), ('/ARCHIVE/old/asia', NULL), ('/ARCHIVE/note', 'moved')) v(path, content)""")
+def g10_batch(s: Store):
+    """A batch of edits of every kind, each seeing those before it (with g8's single edits)."""
+    return T.edit(_account_tree(s, F.col("c_name")), EDITS)
+
+
 # collection pipeline -------------------------------------------------------------------------
 
 

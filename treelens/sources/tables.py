@@ -53,6 +53,21 @@ class Store:
             .agg(F.min("l_partkey").alias("child_id"))
         )
 
+    def namespace(self, rn: int = 1, mark: str = "h") -> DataFrame:
+        """(dir_id, name, child_id, node_type): a tree of regions, nations, accounts and the files of
+        their ``rn``-th newest commits, below the directory ``mark``; directories that differ have other ids."""
+        text, pick = lambda c: F.col(c).cast("string"), lambda *cs: F.concat_ws("", F.lit(mark), *cs)
+        row = lambda dir_id, name, child, kind: [dir_id.alias("dir_id"), name.alias("name"), child.alias("child_id"), F.lit(kind).alias("node_type")]
+        c = self.commits().filter(F.col("rn") == rn).select("library_id", "commit_id")
+        owner = self.libraries().join(c, "library_id")
+        files = self.entries().join(c, "commit_id")
+        return (
+            self.t("region").select(*row(F.lit(mark), F.col("r_name"), pick(F.lit("r"), text("r_regionkey")), 1))
+            .unionByName(self.t("nation").select(*row(pick(F.lit("r"), text("n_regionkey")), F.col("n_name"), pick(F.lit("n"), text("n_nationkey")), 1)))
+            .unionByName(owner.select(*row(pick(F.lit("n"), text("nation")), text("library_id"), F.concat(F.lit("o"), text("commit_id")), 1)))
+            .unionByName(files.select(*row(F.concat(F.lit("o"), text("commit_id")), text("name"), F.concat(F.lit("f"), text("child_id")), 0)))
+        )
+
     def sizes(self) -> DataFrame:
         """(child_id, size): a part's size stands for the file's."""
         return self.t("part").select(
@@ -112,6 +127,15 @@ CTE = {
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) rn FROM orders)""",
     "entries": """entries AS (SELECT l_orderkey commit_id, l_linenumber AS name, min(l_partkey) child_id
   FROM lineitem GROUP BY 1, 2)""",
+    "ns": """ns AS (SELECT m, dir_id, name, child_id, node_type FROM (VALUES (1, 'h'), (2, 'p')) v(rn, m), LATERAL (
+  SELECT m AS dir_id, r_name AS name, m || 'r' || r_regionkey AS child_id, 1 AS node_type FROM region
+  UNION ALL SELECT m || 'r' || n_regionkey, n_name, m || 'n' || n_nationkey, 1 FROM nation
+  UNION ALL SELECT m || 'n' || nation, library_id::VARCHAR, 'o' || commit_id, 1 FROM libraries JOIN commits c USING (library_id) WHERE c.rn = v.rn
+  UNION ALL SELECT 'o' || commit_id, e.name::VARCHAR, 'f' || child_id, 0 FROM entries e JOIN commits c USING (commit_id) WHERE c.rn = v.rn)),
+walked AS (SELECT a.m, '/' || a.name AS path, a.child_id AS id, a.node_type FROM ns a WHERE a.dir_id = a.m
+  UNION ALL SELECT a.m, '/' || a.name || '/' || b.name, b.child_id, b.node_type FROM ns a JOIN ns b ON a.m = b.m AND b.dir_id = a.child_id WHERE a.dir_id = a.m
+  UNION ALL SELECT a.m, '/' || a.name || '/' || b.name || '/' || c.name, c.child_id, c.node_type FROM ns a JOIN ns b ON a.m = b.m AND b.dir_id = a.child_id JOIN ns c ON c.m = a.m AND c.dir_id = b.child_id WHERE a.dir_id = a.m
+  UNION ALL SELECT a.m, '/' || a.name || '/' || b.name || '/' || c.name || '/' || d.name, d.child_id, d.node_type FROM ns a JOIN ns b ON a.m = b.m AND b.dir_id = a.child_id JOIN ns c ON c.m = a.m AND c.dir_id = b.child_id JOIN ns d ON d.m = a.m AND d.dir_id = c.child_id WHERE a.dir_id = a.m)""",
     "sizes": "sizes AS (SELECT p_partkey child_id, p_size::BIGINT size FROM part)",
     "trees": """trees AS (SELECT library_id, commit_id, rn, name, child_id, size
   FROM commits JOIN entries USING (commit_id) JOIN sizes USING (child_id))""",
@@ -126,11 +150,12 @@ CTE = {
    - octet_length(encode(coalesce(text, ''))))::BIGINT off FROM conversations)""",
     "ev": """ev AS (SELECT event_id, ts, floor(epoch(ts))::BIGINT sec, user_id, event_type, value::DECIMAL(18,2) AS value FROM events)""",
 }
-ORDER = ("libraries", "commits", "entries", "sizes", "trees", "objects", "refs", "reach", "chunks", "ev")
+ORDER = ("libraries", "commits", "entries", "ns", "sizes", "trees", "objects", "refs", "reach", "chunks", "ev")
 NEEDS = {
     "trees": ("commits", "entries", "sizes"),
     "refs": ("commits", "libraries"),
     "reach": ("refs", "commits", "libraries"),
+    "ns": ("libraries", "commits", "entries"),
 }
 
 
