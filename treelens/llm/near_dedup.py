@@ -5,7 +5,8 @@ Two permutations make the whole signature: the first maps a shingle hash to a
 Bands of the signature are bucket keys. Texts with one shingle set are one
 representative from then on, so groups of copies never grow a bucket.
 
-Links are looked for star by star. Every bucket has a hub H; each member is verified
+Links are looked for star by star, a few bands at first, then the others, of which only buckets
+with members of several components are left. Every bucket has a hub H; each member is verified
 against it on the full sets. Buckets whose members are in one component are done. In
 the others, a member x that is not linked to H can be linked to a member y only if their
 differences to H agree enough. With A = x - H and R = H - x:
@@ -44,12 +45,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
-from treelens.llm.common import cut, free_name, ship
+from treelens.llm.bitmaps import bitmap, has
+from treelens.llm.common import cut, free, free_name, ship
 from treelens.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 85, 26, 5
 #: Hubs per bucket from the second round on: so many members meet all others at once.
 NESTED_HUBS = 64
+#: Bands that are looked at first: they join most copies, so the others have few buckets left.
+FIRST_BANDS = 6
 #: Cost of a text whose differences to the hub are not all in the buckets.
 FREE = -(1 << 40)
 #: Elements of a chunk for which the permutations are evaluated at a time.
@@ -111,14 +115,42 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int)
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _keys_of(ids: pa.Array) -> np.ndarray:
+    return S.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
+    """Full sets of the documents in the bitmap."""
     for batch in batches:
+        batch = batch.filter(pa.array(has(wanted.value, _keys_of(batch.column("doc_id")))))
         for ids, sets, sizes in _rows_of(batch, width):
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "members"])
 
 
+def _shared(batches: Iterator[pa.RecordBatch], shared, first: int, last: int) -> Iterator[pa.RecordBatch]:
+    """(key, id, label) of the bands from ``first`` to ``last`` whose keys are in the bitmap."""
+    for batch in batches:
+        bands = batch.column("bands")
+        keys = bands.flatten().to_numpy().view(np.uint64).reshape(len(bands), -1)[:, first:last]
+        rows, columns = np.nonzero(has(shared.value, keys))
+        at = pa.array(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[rows, columns].view(np.int64)), batch.column("id").take(at), batch.column("label").take(at)],
+            ["key", "id", "label"],
+        )
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Hashes of the ids that share a key of the bitmap."""
+    for batch in batches:
+        bands = batch.column("bands")
+        keys = bands.flatten().to_numpy().view(np.uint64).reshape(len(bands), -1)
+        mine = batch.column("id").filter(pa.array(has(shared.value, keys).any(axis=1)))
+        yield pa.RecordBatch.from_arrays([pa.array(_keys_of(mine).view(np.int64))], ["key"])
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``rows`` with the component each id is in so far."""
     rows = rows.drop("label")
@@ -221,39 +253,63 @@ def _met(rows: DataFrame, count: str) -> DataFrame:
     return rows.join(good.filter("mixed AND any").select("key", count), "key")
 
 
-def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """(node, component) over representatives; ``signed`` has id and bands."""
-    keys = signed.select("id", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = cut(keys.join(sizes, "key").select("key", "id", "members"))
-    score = cut(shared.groupBy("id").agg(F.sum("members").alias("score")))
-    if score.isEmpty():
+def _first_buckets(groups: DataFrame, labels: DataFrame | None, shared, first: int, last: int) -> DataFrame:
+    """Buckets of some bands with members of several components, as :func:`_next_buckets` has them."""
+    rows = _labelled(groups, labels)  # a row per text
+    rows = rows.mapInArrow(partial(_shared, shared=shared, first=first, last=last), "key long, id long, label long")
+    rows = rows.withColumns({"active": F.lit(True), "cost": F.lit(FREE), "after": F.lit(0).cast("long")})
+    return _met(rows, "members")
+
+
+def links(groups: DataFrame, docs: DataFrame, width: int, percent: int, bands: int) -> DataFrame | None:
+    """(node, component) over representatives; ``groups`` has id and bands.
+
+    Which keys two texts share and whose sets are needed is told by broadcast bitmaps of a fixed
+    size, so neither texts nor all keys are shuffled; what a bitmap lets through too much is
+    settled by counts.
+    """
+    spark = groups.sparkSession
+    send = spark.sparkContext.broadcast
+    counts = groups.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    shared = send(bitmap(counts.filter("n > 1")))
+    if not shared.value.any():
         return None
-    wanted = docs.join(score.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = cut(wanted.mapInArrow(partial(_sets, width=width), "doc_id long, members array<long>"))
-    buckets = shared.select(
-        "key", "id", F.lit(True).alias("active"), F.col("id").alias("label"),
-        F.lit(FREE).alias("cost"), F.lit(0).cast("long").alias("after"),
-    )
-    limit, labels, edges, tried = 1, None, None, None
+    wanted = send(bitmap(groups.mapInArrow(partial(_wanted, shared=shared), "key long")))
+    sets = cut(docs.mapInArrow(partial(_sets, width=width, wanted=wanted), "doc_id long, members array<long>"))
+    labels, tried = None, None
+    for first, last in ((0, min(FIRST_BANDS, bands)), (FIRST_BANDS, bands)):
+        if first >= last:
+            continue
+        buckets = cut(_first_buckets(groups, labels, shared, first, last))
+        free(spark)
+        if not buckets.isEmpty():
+            labels, tried = _search(buckets, sets, labels, tried, percent)
+    return labels
+
+
+def _search(
+    buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, tried: DataFrame | None, percent: int
+) -> tuple[DataFrame | None, DataFrame]:
+    """(labels, pairs tried) after all buckets' links between components are found."""
+    spark = buckets.sparkSession
+    score = cut(buckets.groupBy("id").agg(F.sum("members").alias("score")))
+    buckets = buckets.drop("members")
+    limit, edges = 1, None if labels is None else _edges(labels)
     while True:
         hubs = cut(_hubs(buckets, score, limit))
         pairs = _pairs(buckets, hubs, percent)
-        if tried is None:
-            now = tried = cut(_verified(pairs, sets, percent))
-        else:
-            now = cut(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent))
-            tried = tried.unionByName(now)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        now = cut(_verified(pairs, sets, percent))
+        tried = now if tried is None else tried.unionByName(now)
         new = now.filter("linked").select("a", "b")
         if not new.isEmpty():
             labels = cut(components(new if edges is None else edges.unionByName(new)))
-            edges = labels.filter("node <> component").select(
-                F.col("node").alias("a"), F.col("component").alias("b")
-            )
+            edges = _edges(labels)
         # a bucket whose active members all were hubs is done; elsewhere the hubs are
         left = hubs.filter("NOT all") if limit > 1 else hubs
-        rest = buckets.join(left.select("key", "main").distinct(), "key")
-        rest = rest.join(left.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+        left = left.groupBy("key", "main").agg(F.collect_set("hub").alias("hubs"))  # at most NESTED_HUBS
+        rest = buckets.join(left, "key").filter(~F.array_contains("hubs", F.col("id"))).drop("hubs")
         rest = cut(_labelled(rest, labels))  # read twice
         rest = _met(rest, "members").select("id", "main", "label").distinct()
         rest = rest.withColumns({"a": F.least("id", "main"), "b": F.greatest("id", "main")})
@@ -262,8 +318,13 @@ def links(signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
         )
         stars = cut(stars)
         buckets, limit = cut(_next_buckets(stars, sets, percent)), NESTED_HUBS
+        free(spark)
         if buckets.isEmpty():
-            return labels
+            return labels, tried
+
+
+def _edges(labels: DataFrame) -> DataFrame:
+    return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def near_duplicates(
@@ -284,7 +345,7 @@ def near_duplicates(
         F.min("doc_id").alias("id"), F.first("bands").alias("bands")
     )
     groups = cut(groups)
-    found = links(groups.select("id", "bands"), narrow.filter("doc_id IS NOT NULL"), width, percent)
+    found = links(groups.select("id", "bands"), narrow.filter("doc_id IS NOT NULL"), width, percent, bands)
     of_digest = groups.select(F.col("digest").alias("of"), "id")
     if found is not None:
         of_digest = of_digest.join(found.withColumnRenamed("node", "id"), "id", "left")
