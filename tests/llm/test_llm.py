@@ -174,11 +174,31 @@ def test_token_counts(spark, docs, empty, rows):
     assert got == collections.Counter(
         (r[0], len((r[1] or "").encode()), len(lib.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows
     )
-    cut = token_counts.truncation(token_counts.prefix_tables(docs, path), 5).collect()
-    assert all(r.fit_tokens <= 5 for r in cut)
+    for budget in (0, 5, 40):
+        for r in token_counts.truncation(token_counts.prefix_tables(docs, path), budget).collect():
+            assert r.fit_tokens == r.counts[r.fit_chars] <= budget
+            assert all(c > budget for c in r.counts[r.fit_chars + 1 :])
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_prefix_counts_equal_the_library(sf_dir):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib, counter = Tokenizer.from_file(path), token_counts.counter_of(path)
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(31)
+    texts = ["", " ", "a   b  ", "x" * 300, "they're we've I'll it's 'ref !'re  'll", "a<|endoftext|> b  <|endoftext|>", "\n\n \t\r\n end", "naïve café — “q” … 12 345,6", "日本語 テキスト\u3000end \U0001f600!", "a\xa0\x85b\x1cc"]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "'", "re", "ll", "9", "!", "the", "é", "<|"]) for _ in range(60)) for _ in range(40)]
+    texts += [(t or "")[:250] for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()[:40]]
+    for t in texts:
+        want = [count(t[:n]) for n in range(len(t) + 1)]
+        assert counter.table(t) == want, t
+        for budget in (0, 3, rng.randint(0, 80)):
+            assert counter.fits(t, budget) == max(n for n, c in enumerate(want) if c <= budget)
+
+
 URLS = [
     None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/1?x=://b", "http://example.org/en/12#t", "http://org/",
     "http://example.org/en/1", "http://notexample.org/es/", "http://x.com/de/a", "http://com/fr/", "http://x.com/de",

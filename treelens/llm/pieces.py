@@ -19,6 +19,8 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces whose encoding a worker remembers; beyond it starts anew.
 CACHE_ENTRIES = 400_000
+#: Characters beyond which a piece is not remembered.
+LONG_PIECE = 64
 
 
 def common(text: str, specials: tuple[str, ...]) -> bool:

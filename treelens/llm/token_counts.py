@@ -4,9 +4,11 @@ A byte-pair encoding is valid exactly if every two neighbouring tokens are: merg
 the pair's bytes gives the pair again. So the encoding of a prefix of a piece is the
 encoding of a shorter prefix plus one last token, and it is the only such extension
 that is valid. The dynamic program stores, for every prefix of a piece, the last
-token and the number of tokens; a text's table holds the running count at each
-piece's end. Questions on truncation or budgets are then answered from the tables,
-encoding nothing again.
+token and the number of tokens. A text's table holds the exact count of every prefix:
+what the library gives for its first n characters alone. Prefixes that end inside a piece have
+their piece's own counts on top; white space at the end of a prefix is a piece of its own,
+as no word follows it. Questions on truncation or budgets are then answered from the
+tables, encoding nothing again.
 
 Defined results: a null or empty text has no tokens; a special token's string in a
 text is one token, as in the library; repeated rows are counted row by row; an
@@ -15,8 +17,8 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import accumulate
@@ -29,6 +31,9 @@ from treelens.llm import pieces as P
 from treelens.llm.common import free_name, ship
 
 LIMIT = 512
+#: White space of the tokenizers' patterns, and contractions that no shorter prefix is (fixed values).
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").finditer
+CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -102,11 +107,23 @@ class PrefixCounter:
     def count_piece(self, piece: str) -> int:
         n = self.known.get(piece)
         if n is None:
-            if len(self.known) > P.CACHE_ENTRIES:
-                self.known.clear()
-            n = self.known[piece] = self.prefixes(piece.encode())[-1]
+            n = self.prefixes(piece.encode())[-1]
+            if len(piece) <= P.LONG_PIECE:  # long ones are rare and would fill the memory
+                if len(self.known) > P.CACHE_ENTRIES:
+                    self.known.clear()
+                self.known[piece] = n
         return n
 
+    def by_character(self, piece: str) -> list[int]:
+        """Tokens of the piece's first 1, 2, ... characters."""
+        counts = self.prefixes(piece.encode())
+        if piece in CONTRACTIONS:  # cut, it is an apostrophe and a word
+            return [1 + self.prefixes(piece[1:n].encode())[-1] if n < len(piece) else counts[-1] for n in range(1, len(piece) + 1)]
+        if len(counts) == len(piece) + 1:
+            return counts[1:]
+        ends = accumulate(len(c.encode()) for c in piece)
+        return [counts[e] for e in ends]
+
     def _pieces(self, text: str) -> list[str]:
         if UNUSUAL(text):
             parts = self.tok.pre_tokenizer.pre_tokenize_str(text)
@@ -128,11 +145,20 @@ class PrefixCounter:
                 out += self._pieces(t)
         return out
 
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """(end of each piece in characters, tokens up to there)."""
-        ps = self.pieces(text)
-        counts = [1 if p in self.specials else self.count_piece(p) for p in ps]
-        return list(accumulate(map(len, ps))), list(accumulate(counts))
+    def table(self, text: str) -> list[int]:
+        """Tokens of ``text[:n]`` for n from 0 to its length."""
+        counts = [0]
+        for piece in self.pieces(text):
+            before, at = counts[-1], len(counts) - 1
+            if piece in self.specials:  # cut, it is plain text
+                counts += [self.count(text[: at + n]) for n in range(1, len(piece))]
+                counts.append(before + 1)
+            else:
+                counts += [before + n for n in self.by_character(piece)]
+        for run in SPACES(text):  # at the end of a prefix, white space is one piece
+            begin, end = run.span()
+            counts[begin + 1 : end + 1] = [counts[begin] + n for n in self.by_character(run.group())]
+        return counts
 
     def count(self, text: str) -> int:
         if "<|" in text:
@@ -145,26 +171,10 @@ class PrefixCounter:
         except KeyError:
             return sum(map(self.count_piece, ps))
 
-    def at(self, text: str, n: int, table: tuple[list[int], list[int]] | None = None) -> int:
-        """Tokens of the first ``n`` characters, from the table and the last pieces.
-
-        A cut changes at most the piece it falls into and white space just before.
-        """
-        ends, counts = table or self.table(text)
-        n = max(0, min(n, len(text)))
-        k = bisect.bisect_left(ends, n)
-        k = max(0, k - 1)
-        while k and not text[ends[k - 1] : ends[k]].strip():
-            k -= 1
-        begin, before = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        tail = self.pieces(text[begin:n])
-        return before + sum(1 if p in self.specials else self.prefixes(p.encode())[-1] for p in tail)
-
     def fits(self, text: str, budget: int) -> int:
-        """Most characters of a prefix that ends with a piece within the budget."""
-        ends, counts = self.table(text)
-        k = bisect.bisect_right(counts, budget)
-        return ends[k - 1] if k else 0
+        """Most characters of a prefix within the budget."""
+        counts = self.table(text)
+        return max(n for n, c in enumerate(counts) if c <= budget)
 
 
 @lru_cache(maxsize=4)
@@ -200,15 +210,11 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def _tables(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     counter = counter_of(path)
     for batch in batches:
-        rows = [counter.table(t.as_py() or "") for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-                pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-            ],
-            ["doc_id", "ends", "counts"],
-        )
+        for i in range(batch.num_rows):  # a table is as long as its text
+            counts = counter.table(batch.column("text")[i].as_py() or "")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(i, 1), pa.array([counts], pa.list_(pa.int32()))], ["doc_id", "counts"]
+            )
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -224,15 +230,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
 
 def prefix_tables(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ends, counts): the stored table of every document."""
-    return _narrow(docs, doc_id, text).mapInArrow(
-        partial(_tables, path=tokenizer), "doc_id long, ends array<int>, counts array<int>"
-    )
+    """(doc_id, counts): the stored table of every document; ``counts[n]`` is the number of tokens of
+    the first n characters."""
+    return _narrow(docs, doc_id, text).mapInArrow(partial(_tables, path=tokenizer), "doc_id long, counts array<int>")
 
 
 def truncation(tables: DataFrame, budget: int) -> DataFrame:
-    """``tables`` plus the characters that fit a budget, without encoding anything."""
+    """``tables`` plus the most characters that fit a budget and their tokens, without encoding anything."""
     fit, tokens = free_name(tables, "fit_chars", "fit_tokens")
-    k = F.size(F.filter("counts", lambda c: c <= F.lit(budget)))
-    got = lambda c: F.when(k > 0, F.element_at(c, k)).otherwise(F.lit(0))
-    return tables.withColumns({fit: got("ends"), tokens: got("counts")})
+    most = F.array_max(F.transform("counts", lambda c, n: F.when(c <= F.lit(budget), n)))
+    return tables.withColumn(fit, most).withColumn(tokens, F.get("counts", F.col(fit)))
