@@ -71,7 +71,11 @@ class Tables:
         """Delete the files of ``tables``, which nothing reads any more."""
         for out, path in [x for x in self.kept if any(x[0] is t for t in tables)]:
             delete(self.spark, path)
-            self.kept.remove((out, path))
+            self.kept = [x for x in self.kept if x[1] != path]
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Delete all files but those of ``tables``."""
+        self.drop(*(out for out, _ in self.kept if not any(out is t for t in tables)))
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,8 @@ FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 #: Distinct keys a task gathers before it hands them on.
 FLUSH = 400_000
+#: Slices of the contexts of a depth that are handled one after the other.
+SLICES = 4
 #: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
 SKETCH_BITS, RANGE_KEYS = 39, 4_000_000
 #: Look-ups and texts of a batch that asks the table, at most; a longer text is a batch of its own.
@@ -214,32 +216,45 @@ def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int) -> Iterator
 # the model -------------------------------------------------------------------------------------
 
 
-def _level(runs: DataFrame, lower: DataFrame, keep: Tables, floor: float, kl: float, kappa: float) -> DataFrame:
-    """``runs`` of a depth with candidate contexts: own and lower log10 probability, the context's
-    total, weight of falling back, and whether it diverges."""
+def _level(runs: DataFrame, lower: DataFrame, keep: Tables, floor: float, kl: float, kappa: float) -> list[DataFrame]:
+    """``runs`` of a depth with candidate contexts: own log10 probability, what an entry corrects, the
+    context's total, weight of falling back, and whether it diverges.
+
+    Contexts are handled in slices of a hash, so that only a slice's shuffles are on disk at a time.
+    """
     c, one = F.col, F.lit(1.0)
     lower = lower.filter(c("n") >= LEAST)
-    runs = runs.join(lower.select(c("key").alias("ctx"), c("n").alias("total")), "ctx").filter(c("total") >= floor)
-    runs = keep(runs.join(lower.select(c("key").alias("low"), c("p").alias("under")), "low"))
-    share = c("n") / c("total")
-    states = runs.groupBy("ctx").agg(
-        F.first("total").alias("of"), F.sum("n").alias("stored"),
-        F.sum(share * (F.log(share) - c("under") * math.log(10))).alias("gain"),
-        F.sum(F.pow(F.lit(10.0), "under")).alias("covered"),
-    )
-    rest = (c("of") - c("stored")) / c("of")
-    tail = rest * (F.log(rest) - F.log(F.greatest(one - c("covered"), F.lit(1e-12))))
-    left = c("of") - c("stored") + F.lit(kappa)
-    states = states.select(
-        "ctx", left.alias("left"), F.log10(left / (c("of") + F.lit(kappa))).alias("back"),
-        (c("gain") + F.when(rest > 0, tail).otherwise(0.0) >= F.lit(kl)).alias("diverges"),
-    )
-    own = F.log10((c("n") + c("left") * F.pow(F.lit(10.0), "under")) / (c("total") + F.lit(kappa)))
-    out = keep(runs.join(states, "ctx").select("key", "ctx", "low", "n", "total", "under", own.alias("p"), "back", "diverges"))
-    keep.drop(runs)
+    under = lower.select(c("key").alias("low"), c("p").alias("under"))
+    totals = lower.filter(c("n") >= floor).select(c("key").alias("ctx"), c("n").alias("total"))
+    out = []
+    for i in range(SLICES):
+        mine = F.pmod("ctx", F.lit(SLICES)) == i
+        part = runs.filter(mine).join(under, "low").join(totals.filter(mine), "ctx")
+        share = c("n") / c("total")
+        states = part.groupBy("ctx").agg(
+            F.first("total").alias("of"), F.sum("n").alias("stored"),
+            F.sum(share * (F.log(share) - c("under") * math.log(10))).alias("gain"),
+            F.sum(F.pow(F.lit(10.0), "under")).alias("covered"),
+        )
+        rest = (c("of") - c("stored")) / c("of")
+        tail = rest * (F.log(rest) - F.log(F.greatest(one - c("covered"), F.lit(1e-12))))
+        left = c("of") - c("stored") + F.lit(kappa)
+        states = states.select(
+            "ctx", left.alias("left"), F.log10(left / (c("of") + F.lit(kappa))).alias("back"),
+            (c("gain") + F.when(rest > 0, tail).otherwise(0.0) >= F.lit(kl)).alias("diverges"),
+        )
+        own = F.log10((c("n") + c("left") * F.pow(F.lit(10.0), "under")) / (c("total") + F.lit(kappa)))
+        out.append(keep(part.join(states, "ctx").select(
+            "key", "ctx", "low", "n", "total", own.alias("p"), (own - c("under") - c("back")).alias("value"), "back", "diverges"
+        )))
+        free(keep.spark)
     return out
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
+
+
 def _weights(words: DataFrame, levels: list[DataFrame], keep: Tables) -> DataFrame:
     """(key, longer, n, value): what a run of the key adds to a text's score.
 
@@ -247,26 +262,27 @@ def _weights(words: DataFrame, levels: list[DataFrame], keep: Tables) -> DataFra
     of its count + 1 to that.
     """
     c = F.col
-    longer, above = None, None
-    for level in reversed(levels):
-        states = level.filter("diverges").select("ctx")
-        if above is not None:  # the suffixes of longer states
-            states = states.union(level.join(above.select(c("ctx").alias("key")), "key", "left_semi").select(c("low").alias("ctx")))
-        states = states.distinct()
-        of = level.join(states, "ctx", "left_semi")
-        above = keep(of.groupBy("ctx").agg(F.first("total").alias("n"), F.first("back").alias("back")))
-        entries = level.join(above.select("ctx"), "ctx", "left_semi")
-        entries = entries.select("key", "n", (c("p") - c("under") - c("back")).alias("value"))
-        falls = above.select(c("ctx").alias("key"), "n", c("back").alias("value"))
-        longer = entries if longer is None else longer.union(entries)
-        if level is not levels[0]:
-            longer = longer.union(falls)
-    longer = longer.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+    longer, above = [], None
+    for depth in range(len(levels), 0, -1):
+        level = levels[depth - 1]
+        states = level.groupBy("ctx").agg(*(F.first(x).alias(x) for x in ("total", "back", "diverges")))
+        entries, some = level.filter("diverges"), states.filter("diverges")
+        if above is not None:  # the suffixes of longer states are states, too
+            forced = level.select("key", "low").join(above.select(c("ctx").alias("key")), "key", "left_semi")
+            forced = keep(forced.select(c("low").alias("ctx")).distinct())
+            entries = entries.union(level.filter("NOT diverges").join(forced, "ctx", "left_semi").select(*level.columns))
+            some = some.union(states.filter("NOT diverges").join(forced, "ctx", "left_semi"))
+        above = keep(some.select("ctx", c("total").alias("n"), "back"))
+        longer.append(keep(entries.select("key", "n", "value")))
+        if depth > 1:
+            longer.append(above.select(c("ctx").alias("key"), "n", c("back").alias("value")))
+        free(keep.spark)
+    runs = _union(longer).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
     gain = F.log10(c("n") + 1)
     first = words.join(above.select(c("ctx").alias("key"), "back"), "key", "left").select(
         "key", F.lit(False).alias("longer"), "n", (gain + F.coalesce("back", F.lit(0.0))).alias("value")
     )
-    return keep(first.union(longer.select("key", F.lit(True).alias("longer"), "n", "value")))
+    return keep(first.union(runs.select("key", F.lit(True).alias("longer"), "n", "value")))
 
 
 # scoring ---------------------------------------------------------------------------------------
@@ -473,15 +489,15 @@ def score_texts(
         runs = train.mapInArrow(partial(_count_runs, maps=maps, depth=k), "key long, ctx long, low long, n long")
         runs = keep(runs.groupBy("key", "ctx", "low").agg(summed).filter(often))
         free(spark)
-        levels.append(_level(runs, lower, keep, floor, kl, kappa))
+        slices = _level(runs, lower, keep, floor, kl, kappa)
         keep.drop(runs)
+        levels.append(_union(slices))
         lower = levels[-1].select("key", "n", "p")
-        free(spark)
         if k < depth:
             shorter = bitmap(lower)
     nothing = -math.log10(n + v + 1)
     weights = _weights(counts, levels, keep)
-    keep.drop(counts, *levels)
+    keep.drop_but(weights)
     free(spark)
     share = F.when(F.col("longer"), F.lit(p_entry * n)).otherwise(F.lit(p_word * n))
     hot = weights.filter(F.col("n") >= share).select("key", "longer", "n", "value").toArrow()
