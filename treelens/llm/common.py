@@ -88,9 +88,11 @@ def free(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are gone.
 
     It acts when the driver's collector finds the plans, which can take longer than a
-    job; long operators ask for that between their phases.
+    job; long operators ask for that between their phases. The listener bus holds on to the last
+    query's plan until another query ends, so an empty one is run first.
     """
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 

@@ -477,7 +477,8 @@ def remove_repeats(
     often = texts.mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     maps = docs.sparkSession.sparkContext.broadcast(bitmap(often, "gram"))
     anchors = texts.mapInArrow(partial(_anchors, maps=maps), "doc_id long, th long, place int, gram long, around long")
-    survivors = Tables(docs.sparkSession, "anchors")(anchors)
+    keep = Tables(docs.sparkSession, "spans")
+    survivors = keep(anchors)
     free(docs.sparkSession)
     settled, rows = _contexts(survivors, texts, hot_rows)
     free(docs.sparkSession)
@@ -485,7 +486,9 @@ def remove_repeats(
     spans = settled.withColumn("spans", whole).unionByName(
         _repeated_spans(rows, bucket_rows).filter(F.size("spans") > 0)
     )
-    spans = spans.select(F.col("gram").alias("g"), F.col("around").alias("a"), "spans")
+    spans = keep(spans.select(F.col("gram").alias("g"), F.col("around").alias("a"), "spans"))
+    del rows, settled  # their checkpoints go with them
+    free(docs.sparkSession)
     hits = survivors.join(spans, (F.col("gram") == F.col("g")) & (F.col("around") == F.col("a")))
     hits = hits.select("doc_id", "th", "place", F.explode("spans").alias("x")).select(
         "doc_id", "th", F.struct("place", "x.s", "x.e").alias("hit")
