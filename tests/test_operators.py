@@ -248,3 +248,32 @@ def test_edits_are_ordered_and_all_or_none(spark):
         with pytest.raises(T.Refused) as e:
             T.edit(tree, ops)
         assert (e.value.at, e.value.reason) == (at, reason)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_cut_points_by_definition(monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = random.Random(9)
+    for p in (C.Params(), C.Params(8, 32, 200, 1), C.Params(1, 16, 64, 2), C.Params(64, 64, 100, 0)):
+        table = C.gear_table(p.seed)
+        for data in (rng.randbytes(9000), bytes(5000), b"ab" * 2000, rng.randbytes(p.least), rng.randbytes(p.least + 1), b"x"):
+            want, start = [], 0
+            while start < len(data):
+                size, h = min(len(data) - start, p.most), 0
+                if len(data) - start > p.least:
+                    for i in range(p.least - 1, size):
+                        h = ((h << 1) + table[data[start + i]]) & (2**64 - 1)
+                        if not h & C.top_mask(p.bits + (p.level if i < p.target else -p.level)):
+                            size = i + 1
+                            break
+                start += size
+                want.append(start)
+            assert C.cut_points(data, p, table) == want
+
+
+def test_covering_refuses_beyond_its_limit(spark):
+    chunks = spark.createDataFrame([(m, i, 10 * i, 10) for m in (1, 2) for i in range(5)], "manifest_id long, seq int, off long, size long")
+    ranges = spark.createDataFrame([(1, 5, 12), (2, 0, -1)], "manifest_id long, lo long, n long")
+    assert C.covering(chunks, ranges, 5).count() == 7
+    with pytest.raises(Exception, match="more than 4 chunks"):
+        C.covering(chunks, ranges, 4).count()

@@ -8,13 +8,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelens.sources.workers import ship
 
 
+#: Bytes of a file whose running hashes are held at once.
+BLOCK = 1 << 20
+
+
 @dataclass(frozen=True)
 class Params:
     """Bounds of a chunk; sizes in bytes. Parameters are data, kept per library."""
@@ -51,25 +56,50 @@ def top_mask(bits: int) -> int:
     return ((1 << bits) - 1) << (64 - bits)
 
 
+def _gear_hashes(words: np.ndarray) -> np.ndarray:
+    """The gear hash at every place, started at the first: a word's shift grows by one per place, so 64
+    words matter. Windows are doubled six times."""
+    h, reach = words.copy(), 1
+    while reach < 64 and reach < len(h):
+        h[reach:] += h[:-reach] << np.uint64(reach)  # the right side is a copy
+        reach *= 2
+    return h
+
+
 def cut_points(data: bytes, params: Params, table: list[int]) -> list[int]:
-    """Ends of the chunks. Up to the target a stricter mask is used, beyond it a laxer one."""
-    strict, lax = top_mask(params.bits + params.level), top_mask(params.bits - params.level)
-    ends, start, n = [], 0, len(data)
-    word = (1 << 64) - 1
+    """Ends of the chunks. Up to the target a stricter mask is used, beyond it a laxer one.
+
+    A chunk's hash starts before its least size; 63 places later it equals the hash that runs
+    through the whole file, whose hits are found block by block.
+    """
+    strict, lax = (np.uint64(top_mask(params.bits + x)) for x in (params.level, -params.level))
+    words, raw, n = np.array(table, np.uint64), np.frombuffer(data, np.uint8), len(data)
+    hits: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for begin in range(0, n, BLOCK):
+        lead = min(begin, 63)
+        h = _gear_hashes(words[raw[begin - lead : begin + BLOCK]])[lead:]
+        for found, mask in zip(hits, (strict, lax)):
+            found.append(np.flatnonzero((h & mask) == 0) + begin)
+    at_strict, at_lax = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in hits)
+
+    def first(places: np.ndarray, low: int, high: int) -> int | None:
+        k = np.searchsorted(places, low)
+        return int(places[k]) if k < len(places) and places[k] < high else None
+
+    ends, start = [], 0
     while start < n:
-        left = n - start
-        size = min(left, params.most)
-        if left > params.least:
-            h = 0
-            for i in range(params.least - 1, size):
-                h = ((h << 1) + table[data[start + i]]) & word
-                if not h & (strict if i < params.target else lax):
-                    size = i + 1
-                    break
-        else:
-            size = left
-        start += size
-        ends.append(start)
+        stop = min(n, start + params.most)
+        if n - start > params.least:
+            begin, turn = start + params.least - 1, start + params.target
+            warm = min(begin + 63, stop)
+            head = _gear_hashes(words[raw[begin:warm]])
+            masks = np.where(np.arange(begin, warm) < turn, strict, lax)
+            early = np.flatnonzero((head & masks) == 0)
+            at = begin + int(early[0]) if len(early) else first(at_strict, warm, min(turn, stop))
+            at = first(at_lax, max(warm, turn), stop) if at is None else at
+            stop = stop if at is None else at + 1
+        ends.append(stop)
+        start = stop
     return ends
 
 
@@ -103,17 +133,23 @@ def dedup_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def covering(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
+def covering(chunks: DataFrame, ranges: DataFrame, limit: int | None = None) -> DataFrame:
     """(manifest_id, seq) of the chunks that any range touches, each once.
 
     ``ranges`` has manifest_id, lo and n; a negative length means to the end; what lies
-    outside the file is cut off, an empty range touches nothing.
+    outside the file is cut off, an empty range touches nothing. With a ``limit``, a file whose ranges
+    touch more chunks is refused: the query ends in an error.
     """
     begin = F.greatest(F.col("lo"), F.lit(0))
     end = F.when(F.col("n") < 0, F.lit(1 << 62)).otherwise(F.col("lo") + F.col("n"))
     r = ranges.select("manifest_id", begin.alias("b"), end.alias("e")).filter("b < e")
     hit = (F.col("off") < F.col("e")) & (F.col("off") + F.col("size") > F.col("b"))
-    return chunks.join(r, "manifest_id").filter(hit).select("manifest_id", "seq").distinct()
+    out = chunks.join(r, "manifest_id").filter(hit).select("manifest_id", "seq").distinct()
+    if limit is None:
+        return out
+    n = F.count(F.lit(1)).over(Window.partitionBy("manifest_id"))
+    refused = F.raise_error(F.lit(f"the ranges touch more than {limit} chunks")).cast("boolean")
+    return out.withColumn("n", n).filter(F.when(F.col("n") > limit, refused).otherwise(F.lit(True))).drop("n")
 
 
 def inventory(asked: DataFrame, stored: DataFrame) -> DataFrame:

@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treelens.sources.shared import shared_dir
+
 FILE, DIR = 0, 1
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a level; reliable files where a folder is set, else memory."""
-    ctx = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or ctx.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    return df.persist()
+    """Cut the lineage of a level in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

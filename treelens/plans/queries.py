@@ -599,12 +599,14 @@ def w4_chunk_offsets(s: Store):
 
 @query("ev", "SELECT event_id, (sum(value) OVER (PARTITION BY event_type ORDER BY sec RANGE BETWEEN 59 PRECEDING AND CURRENT ROW))::DECIMAL(28,2) AS rolled FROM ev")
 def w5_rolling_traffic(s: Store):
-    # lanes are few and hot: the day joins the key, and a lane's minute before it is copied over
-    e = s.events().withColumn("day", F.floor(F.col("sec") / 86400))
-    late = e.filter(F.col("sec") % 86400 >= 86400 - 59).withColumn("day", F.col("day") + 1)
-    both = e.withColumn("own", F.lit(True)).unionByName(late.withColumn("own", F.lit(False)))
+    # lanes are few and hot: seconds are summed first, the day joins the key, and a lane's minute before it is copied over
+    e = s.events()
+    per = e.groupBy("event_type", "sec").agg(F.sum("value").alias("v")).withColumn("day", F.floor(F.col("sec") / 86400))
+    late = per.filter(F.col("sec") % 86400 >= 86400 - 59).withColumn("day", F.col("day") + 1)
+    both = per.withColumn("own", F.lit(True)).unionByName(late.withColumn("own", F.lit(False)))
     w = Window.partitionBy("event_type", "day").orderBy("sec").rangeBetween(-59, 0)
-    return both.withColumn("rolled", F.sum("value").over(w).cast("decimal(28,2)")).filter("own").select("event_id", "rolled")
+    rolled = both.withColumn("rolled", F.sum("v").over(w).cast("decimal(28,2)")).filter("own").select("event_type", "sec", "rolled")
+    return e.join(rolled, ["event_type", "sec"]).select("event_id", "rolled")
 
 
 @query("commits", "SELECT library_id, rn AS pos, commit_id, parent_id, created_at FROM commits WHERE rn <= 5")
@@ -865,15 +867,17 @@ def gc1_retention_window(s: Store):
 FREED = f"""{DOOMED}, kept AS (SELECT DISTINCT pack_id, object_id FROM refs r JOIN doomed d USING (commit_id) WHERE NOT d.doomed)"""
 
 
-def _kept_refs(s: Store) -> DataFrame:
-    doomed = H.retention_cut(s.commits(), CUT).select("commit_id", "doomed")
-    return s.references().join(doomed, "commit_id").filter("NOT doomed").select("pack_id", "object_id").distinct()
+def _states(s: Store) -> DataFrame:
+    """(pack_id, object_id, kept) of all objects that live libraries reach, in one pass: kept if a commit that stays does."""
+    li = s.t("lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_suppkey").alias("pack_id"), F.col("l_partkey").alias("object_id"))
+    live = s.libraries().filter("live").select("library_id")
+    commits = H.retention_cut(s.commits(), CUT).join(live, "library_id").select("commit_id", "doomed")
+    return commits.join(li, "commit_id").groupBy("pack_id", "object_id").agg(F.max(~F.col("doomed")).alias("kept"))
 
 
 @query("objects reach", f"WITH {FREED} SELECT count(*) AS objects, coalesce(sum(frame_len), 0)::BIGINT AS bytes FROM objects SEMI JOIN reach USING (pack_id, object_id) ANTI JOIN kept USING (pack_id, object_id)")
 def gc2_expire(s: Store):
-    k = ["pack_id", "object_id"]
-    freed = s.objects().join(s.reach(), k, "left_semi").join(_kept_refs(s), k, "left_anti")
+    freed = s.objects().join(_states(s).filter("NOT kept"), ["pack_id", "object_id"], "left_semi")
     return freed.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("frame_len"), F.lit(0)).alias("bytes"))
 
 
@@ -888,7 +892,7 @@ CUT_STATS = STATS.replace("LEFT JOIN reach USING", "LEFT JOIN (SELECT *, 2 AS mr
 
 @query("objects refs", f"WITH {FREED}, {CUT_STATS} SELECT pack_id, live_bytes, dead_fraction FROM fr WHERE dead_fraction >= 0.08")
 def gc4_plan_with_cut(s: Store):
-    st = P.pack_stats(s.objects(), _kept_refs(s).withColumn("mrn", F.lit(2)))
+    st = P.pack_stats(s.objects(), _states(s).filter("kept").select("pack_id", "object_id", F.lit(2).alias("mrn")))
     return st.filter("dead_fraction >= 0.08").select("pack_id", "live_bytes", "dead_fraction")
 
 
@@ -901,9 +905,8 @@ def gc5_rewrite(s: Store):
 @query("objects reach", f"""WITH {FREED} SELECT CASE WHEN k.pack_id IS NOT NULL THEN 'kept' WHEN r.pack_id IS NOT NULL THEN 'expired' ELSE 'orphan' END AS state, count(*) AS objects
   FROM objects o LEFT JOIN reach r USING (pack_id, object_id) LEFT JOIN kept k USING (pack_id, object_id) GROUP BY 1""")
 def gc6_run(s: Store):
-    k = ["pack_id", "object_id"]
-    o = s.objects().join(s.reach().withColumn("r", F.lit(True)).drop("mrn"), k, "left").join(_kept_refs(s).withColumn("k", F.lit(True)), k, "left")
-    return o.groupBy(F.when(F.col("k"), "kept").when(F.col("r"), "expired").otherwise("orphan").alias("state")).agg(F.count(F.lit(1)).alias("objects"))
+    o = s.objects().join(_states(s), ["pack_id", "object_id"], "left")
+    return o.groupBy(F.when(F.col("kept"), "kept").when(~F.col("kept"), "expired").otherwise("orphan").alias("state")).agg(F.count(F.lit(1)).alias("objects"))
 
 
 # chunking ------------------------------------------------------------------------------------
