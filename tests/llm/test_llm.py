@@ -97,6 +97,34 @@ def test_suffix_dedup_of_short_periods(spark):
     assert sum(len(a[0]) for a in anchors) < 100 and sum(len(s[0]) for s in spans) == 3
 
 
+def test_shared_passages(spark):
+    from pyspark.sql import functions as F
+
+    from treelens.llm import passages
+
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4)))
+    texts = [[word() for _ in range(rng.choice([10, 49, 50, 120, 300]))] for _ in range(60)]
+    for k, n in enumerate([49, 50, 51, 60, 200] * 3):  # passages of n words in two texts
+        passage = [word() for _ in range(n)]
+        for i in (2 * k, 2 * k + 1):
+            at = rng.randrange(len(texts[i]) + 1)
+            texts[i][at:at] = passage
+    texts += [["twice"] * 200, texts[40] + ["x"], texts[41] * 2]
+    rows = [(i, " ".join(t).title() if i % 2 else "\n".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, "")]
+    seen = collections.defaultdict(set)
+    for i, t in rows:
+        w = (t or "").lower().split()
+        for j in range(len(w) - 49):
+            seen[tuple(w[j : j + 50])].add(i)
+    want = {i for ids in seen.values() if len(ids) > 1 for i in ids}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = passages.document_key(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))))
+    got = docs.withColumn("d", key).join(passages.sharing(docs), "d", "left_semi")
+    assert {r.doc_id for r in got.collect()} == want and 20 < len(want) < 40
+    assert passages.sharing(docs.limit(0)).count() == 0
+
+
 def test_multikey_quicksort():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 40))) for _ in range(500)]

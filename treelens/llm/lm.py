@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
 from treelens.llm.bitmaps import BITS, bitmap, gathered, has, words_of
+from treelens.llm.coded import code, decode, range_bounds
 from treelens.llm.common import Tables, free, ship
 
 P_WORD, P_ENTRY = 1e-6, 1e-6
@@ -95,25 +96,6 @@ def _inside(text: np.ndarray, k: int) -> np.ndarray:
     return text[k:] == text[: max(0, len(text) - k)]
 
 
-# coded hashes ---------------------------------------------------------------------------------
-
-
-def _code(values: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, byte plane by byte plane: high planes are zeros."""
-    steps = np.diff(values, prepend=U(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _decode(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
-
-
-def _range_bounds(ranges: int) -> np.ndarray:
-    """The first key of each range but the first; ranges cut the 64-bit numbers evenly."""
-    return np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=U)
-
-
 def _merged(parts: list[tuple]) -> tuple:
     """Rows of equal first columns as one, with the last columns' sum."""
     columns = [np.concatenate(c) for c in zip(*parts)]
@@ -160,7 +142,7 @@ def _pairs(one: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _sketch_pairs(batches: Iterator[pa.RecordBatch], maps, ranges: int) -> Iterator[pa.RecordBatch]:
     """Coded hashes of pairs by range; the last bit says that the pair came twice."""
-    words, bounds = maps.value, _range_bounds(ranges)
+    words, bounds = maps.value, range_bounds(ranges)
 
     def parts():
         for b in batches:
@@ -172,13 +154,13 @@ def _sketch_pairs(batches: Iterator[pa.RecordBatch], maps, ranges: int) -> Itera
         cuts = [0, *np.searchsorted(keys, bounds >> U(64 - SKETCH_BITS)).tolist(), len(keys)]
         coded = keys << U(1) | (n > 1).astype(U)
         some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
-        blobs = [_code(coded[cuts[i] : cuts[i + 1]]) for i in some]
+        blobs = [code(coded[cuts[i] : cuts[i + 1]]) for i in some]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
 
 
 def _seen_twice(table: pa.Table) -> pa.Table:
     """The bits of the hashes of a range that came twice."""
-    coded = np.sort(np.concatenate([_decode(b) for b in table.column("blob").to_pylist()]))
+    coded = np.sort(np.concatenate([decode(b) for b in table.column("blob").to_pylist()]))
     keys = coded >> U(1)
     same = np.zeros(len(keys) + 1, dtype=bool)
     same[1:-1] = keys[1:] == keys[:-1]
@@ -326,7 +308,7 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
     from pyspark import TaskContext
 
     words, longer, hot = model.value
-    bounds, number = _range_bounds(ranges), TaskContext.get().partitionId() << 33
+    bounds, number = range_bounds(ranges), TaskContext.get().partitionId() << 33
     own, keys, texts, asked, n_texts = [], [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
@@ -342,7 +324,7 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
         m = len(some) + 1
         return _rows(_SENT, _TYPES, {
             "range": [*some, number % ranges], "kind": [ASK] * len(some) + [OWN], "batch": [number] * m,
-            "keys": [*(_code(key[cuts[i] : cuts[i + 1]]) for i in some), None],
+            "keys": [*(code(key[cuts[i] : cuts[i + 1]]) for i in some), None],
             "texts": [*(text[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes() for i in some), None],
             "own": [*([None] * len(some)), sink.getvalue().to_pybytes()],
         }, m)
@@ -414,7 +396,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sums(ask: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    wanted = _decode(ask.column("keys")[0].as_py())
+    wanted = decode(ask.column("keys")[0].as_py())
     texts = np.frombuffer(ask.column("texts")[0].as_py(), np.uint32)
     at, hit = _found(keys, wanted)
     at, texts = at[hit], texts[hit]

@@ -16,8 +16,12 @@ _RULES = ", ".join(f"{{'rule': '{rule}', 'score': {score}}}" for rule, score in
 _SHARE = ALPHA / len(CUTOFFS)
 
 ORACLES = {
-    "op1_suffix_dedup": """
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+    "op1_suffix_dedup": rf"""
+WITH w50 AS (SELECT doc_id, md5(array_to_string(ws[i : i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i
+  FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents))),
+far AS (SELECT k FROM w50 GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+share AS (SELECT DISTINCT doc_id FROM w50 SEMI JOIN far USING (k)),
+d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
 w AS (SELECT r, s, md5(b[s + 1 : s + 400]) AS k FROM (SELECT r, b, unnest(range(octet_length(b) - 399)) AS s FROM d)),
 rep AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
 n AS (SELECT r, s, coalesce(s - lag(s) OVER (PARTITION BY r ORDER BY s) > 400, true) AS fresh FROM rep),
@@ -27,7 +31,7 @@ gaps AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS
 kept AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(hex(b[z + 1 : s]), '' ORDER BY s) || hex(any_value(b)[max(e) + 1 : octet_length(any_value(b))]) AS h
   FROM gaps JOIN d USING (r) GROUP BY r)
 SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(coalesce(unhex(h), b)) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+  sha256(coalesce(unhex(h), b)) AS kept_sha256, doc_id IN (SELECT doc_id FROM share) AS shares_50_words FROM d LEFT JOIN kept USING (r)""",
     "op6_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]

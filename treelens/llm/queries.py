@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelens.llm import (
-    decontaminate, lm, mixing, near_dedup, quality, sharding, suffix_dedup, token_counts, token_store,
+    decontaminate, lm, mixing, near_dedup, passages, quality, sharding, suffix_dedup, token_counts, token_store,
     url_rules,
 )
-from treelens.llm.common import scratch, table
+from treelens.llm.common import Tables, free, scratch, table
 
 #: Fixed rules of op3: host, path, verdict.
 URL_RULES = [
@@ -30,8 +30,16 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # passages of 50 short words can have fewer than 400 bytes: they are reported, not removed
+    shared = Tables(spark, "passages")(passages.sharing(docs))
+    free(spark)
+    out = suffix_dedup.remove_repeats(docs)
+    out = out.withColumn("own", passages.document_key(F.col("doc_id"), F.col("th")))
+    out = out.join(shared, F.col("own") == F.col("d"), "left")
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("d").isNotNull().alias("shares_50_words")
+    )
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,8 +378,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()),
              pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()),
-             pa.array(out["kept"], pa.binary())],
-            ["doc_id", *out],
+             pa.array(out["kept"], pa.binary()), batch.column("th")],
+            ["doc_id", *out, "th"],
         )
 
 
@@ -468,8 +468,8 @@ def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document;
-    ``kept`` holds the remaining bytes."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, th) of every document;
+    ``kept`` holds the remaining bytes, ``th`` is the CRC of the text."""
     ship(docs.sparkSession)
     texts = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
@@ -498,8 +498,8 @@ def remove_repeats(
     )
     hits = hits.unionByName(known)
     hits = hits.groupBy("doc_id", "th").agg(F.collect_set("hit").alias("hits"))
-    both = texts.join(hits, _same_text(texts, hits), "left").select(texts["doc_id"], "text", "hits")
+    both = texts.join(hits, _same_text(texts, hits), "left").select(texts["doc_id"], texts["th"], "text", "hits")
     return both.mapInArrow(
         _cut_out,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, th long",
     )
