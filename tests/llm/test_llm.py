@@ -552,14 +552,14 @@ def brute_scores(texts, kl=0.02, kappa=10.0, depth=3):
     return [sum(math.log10(p(w, longest(t, i), states)) for i, w in enumerate(t)) for t in toks]
 
 
-@pytest.mark.parametrize("shares", [{}, dict(p_word=0.05, p_entry=0.05), dict(p_word=2.0, p_entry=2.0)])
-def test_lm_scores_by_definition(spark, shares):
+@pytest.mark.parametrize("options", [dict(depth=3), dict(p_word=0.05, p_entry=0.05, depth=2), dict(p_word=2.0, p_entry=2.0, depth=1)])
+def test_lm_scores_by_definition(spark, options):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(25)]
     texts = [" ".join(rng.choice(vocabulary[: rng.choice([3, 25])]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(60)]
-    want = brute_scores(list(zip(held, texts)))
-    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **shares).collect()}
+    want = brute_scores(list(zip(held, texts)), depth=options["depth"])
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect()}
     assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in range(60))
 
 

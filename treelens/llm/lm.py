@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Runs of up to ``DEPTH`` + 1 words are counted over all training texts. Contexts of one to
-``DEPTH`` words that occur at least ``LEAST`` times are candidates; a candidate becomes
+Runs of up to ``depth`` + 1 words are counted over all training texts. Contexts of one to
+``depth`` words that occur at least ``LEAST`` times are candidates; a candidate becomes
 a state if its next-word distribution diverges from its suffix's by at least ``KL`` nats
 (a longer state makes its suffix a state too). A state stores the next words seen at least
 ``LEAST`` times; the rest of its mass goes to its suffix's distribution, as does a
@@ -9,7 +9,7 @@ smoothing mass of ``KAPPA``:
 
     P(w | s) = (n(s, w) + (N(s) - stored(s) + KAPPA) P(w | suffix of s)) / (N(s) + KAPPA)
 
-down to add-one word frequencies. Texts are scored word by word from the longest
+down to add-one word frequencies. Every word of depth costs a pass over the texts and a table. Texts are scored word by word from the longest
 state that ends at the word, and one end symbol per text.
 
 The thresholds are counts, so the model grows with the corpus; it is a distributed table.
@@ -48,14 +48,14 @@ from treelens.llm.coded import code, decode, range_bounds
 from treelens.llm.common import Tables, free, ship
 
 P_WORD, P_ENTRY = 1e-6, 1e-6
-LEAST, DEPTH = 2, 3
+LEAST, DEPTH = 2, 2
 KL, KAPPA = 0.02, 10.0
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 #: Distinct keys a task gathers before it hands them on.
 FLUSH = 400_000
 #: Slices of the contexts of a depth that are handled one after the other.
-SLICES = 4
+SLICES = 2
 #: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
 SKETCH_BITS, RANGE_KEYS = 39, 4_000_000
 #: Look-ups and texts of a batch that asks the table, at most; a longer text is a batch of its own.
@@ -206,12 +206,13 @@ def _level(runs: DataFrame, lower: DataFrame, keep: Tables, floor: float, kl: fl
     """
     c, one = F.col, F.lit(1.0)
     lower = lower.filter(c("n") >= LEAST)
-    under = lower.select(c("key").alias("low"), c("p").alias("under"))
-    totals = lower.filter(c("n") >= floor).select(c("key").alias("ctx"), c("n").alias("total"))
+    # keys are unique on this side, so hash tables stay small and nothing is sorted
+    under = lower.select(c("key").alias("low"), c("p").alias("under")).hint("shuffle_hash")
+    totals = lower.filter(c("n") >= floor).select(c("key").alias("ctx"), c("n").alias("total")).hint("shuffle_hash")
     out = []
     for i in range(SLICES):
         mine = F.pmod("ctx", F.lit(SLICES)) == i
-        part = runs.filter(mine).join(under, "low").join(totals.filter(mine), "ctx")
+        part = runs.filter(mine).join(under, "low").join(totals.filter(mine).hint("shuffle_hash"), "ctx")
         share = c("n") / c("total")
         states = part.groupBy("ctx").agg(
             F.first("total").alias("of"), F.sum("n").alias("stored"),
@@ -226,7 +227,7 @@ def _level(runs: DataFrame, lower: DataFrame, keep: Tables, floor: float, kl: fl
             (c("gain") + F.when(rest > 0, tail).otherwise(0.0) >= F.lit(kl)).alias("diverges"),
         )
         own = F.log10((c("n") + c("left") * F.pow(F.lit(10.0), "under")) / (c("total") + F.lit(kappa)))
-        out.append(keep(part.join(states, "ctx").select(
+        out.append(keep(part.join(states.hint("shuffle_hash"), "ctx").select(
             "key", "ctx", "low", "n", "total", own.alias("p"), (own - c("under") - c("back")).alias("value"), "back", "diverges"
         )))
         free(keep.spark)
