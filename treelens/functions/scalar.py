@@ -160,6 +160,22 @@ def size_bucket(n: Column) -> Column:
     )
 
 
+def valid_params(least: Column, target: Column, most: Column, level: Column) -> Column:
+    """Whether chunks can be cut by these bounds and this level (as :meth:`Params.check` has it)."""
+    bits = F.floor(F.log2(target))
+    return (least > 0) & (least <= target) & (target <= most) & level.between(0, 3) & (bits - level >= 1) & (bits + level <= 63)
+
+
+def top_mask(bits: Column) -> Column:
+    """A 64-bit mask of the top ``bits`` bits."""
+    return F.call_function("shiftleft", F.lit(-1).cast("long"), (F.lit(64) - bits).cast("int"))
+
+
+def checked_sum(values: Column) -> Column:
+    """A sum of longs, null if it does not fit 64 bits."""
+    return F.sum(values.cast("decimal(38,0)")).try_cast("bigint")
+
+
 def call_site(frames: Column) -> Column:
     return F.when(F.size(frames) > 0, F.element_at(frames, -1))
 

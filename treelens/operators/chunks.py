@@ -193,3 +193,32 @@ def decode_frames(stream: bytes) -> list[tuple[bytes, bytes | None]]:
             raise ValueError("the stream is cut short")
         out.append((key, stream[at : at + size]))
         at += size
+
+
+def stream_chunks(frames: DataFrame) -> DataFrame:
+    """(manifest_id, stream) of (manifest_id, seq, chunk_id, data): a file's frames in order; null data is absent.
+
+    A file's frames are one row, as its stream is one answer.
+    """
+    ship(frames.sparkSession)
+    row = F.struct("seq", "chunk_id", "data")
+    files = frames.groupBy("manifest_id").agg(F.array_sort(F.collect_list(row)).alias("frames"))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [encode_frames([(bytes.fromhex(f["chunk_id"]), f["data"]) for f in fs]) for fs in b["frames"]]
+            yield pd.DataFrame({"manifest_id": b["manifest_id"], "stream": made})
+
+    return files.mapInPandas(encode, "manifest_id long, stream binary")
+
+
+def read_streams(streams: DataFrame) -> DataFrame:
+    """(manifest_id, ord, chunk_id, data) of (manifest_id, stream); malformed streams end in an error."""
+    ship(streams.sparkSession)
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(m, i, k.hex(), d) for m, x in zip(b["manifest_id"], b["stream"]) for i, (k, d) in enumerate(decode_frames(bytes(x)))]
+            yield pd.DataFrame(rows, columns=["manifest_id", "ord", "chunk_id", "data"])
+
+    return streams.mapInPandas(decode, "manifest_id long, ord int, chunk_id string, data binary")

@@ -47,6 +47,30 @@ def retention_cut(commits: DataFrame, cutoff: str) -> DataFrame:
     return commits.withColumn("doomed", F.max(old).over(w))
 
 
+def change_feed(asked: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
+    """(library_id, state, anchor, op, name, id) of libraries asked for what changed since a commit.
+
+    ``asked`` has library_id and since, ``commits`` those that can still be read with rn, ``files``
+    (commit_id, name, child_id). The state is ``unchanged`` if nothing is newer, ``gone`` if
+    the commit is unknown or cut off (the client has to start anew), else ``changes`` with a row per
+    path; the anchor to ask with next is the head.
+    """
+    c = F.col
+    head = commits.filter("rn = 1").select("library_id", c("commit_id").alias("head"))
+    known = commits.select("library_id", c("commit_id").alias("since"), F.lit(True).alias("known"))
+    at = asked.select("library_id", "since").join(head, "library_id").join(known, ["library_id", "since"], "left")
+    state = F.when(c("since") == c("head"), "unchanged").when(c("known"), "changes").otherwise("gone")
+    at = at.select("library_id", "since", "head", state.alias("state"))
+    told = at.filter("state = 'changes'")
+    old = told.join(files, c("since") == c("commit_id")).select("library_id", "name", c("child_id").alias("old_id"))
+    new = told.join(files, c("head") == c("commit_id")).select("library_id", "name", c("child_id").alias("new_id"))
+    diff = old.join(new, ["library_id", "name"], "full_outer").filter(~c("old_id").eqNullSafe(c("new_id")))
+    op = F.when(c("old_id").isNull(), "create").when(c("new_id").isNull(), "delete").otherwise("modify")
+    rows = diff.select("library_id", op.alias("op"), "name", c("new_id").alias("id"))
+    anchor = F.when(c("state") != "gone", c("head"))
+    return at.join(rows, "library_id", "left").select("library_id", "state", anchor.alias("anchor"), "op", "name", "id")
+
+
 def retention_days(override, row, default):
     """Window in days: the override, else the library's row, else the default; 0 keeps all."""
     return F.coalesce(override, row, default)

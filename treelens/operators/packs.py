@@ -160,6 +160,18 @@ def token_bucket(events: DataFrame, key: str, capacity: float, refill_seconds: f
     return _fold(events.select(key, "sec", "event_id"), key, ["sec", "event_id"], "event_id long, allowed boolean", spend)
 
 
+def login_policy(failures: DataFrame, address: str, account: str) -> DataFrame:
+    """(event_id, allowed, refused_by): failures of logins spend from two chained buckets of ten tokens, a token
+    coming back every 30 seconds per address and every 60 per account. What the address's
+    bucket refuses never reaches the account's."""
+    rows = failures.select("event_id", "sec", F.col(address).alias("address"), F.col(account).alias("account"))
+    first = rows.join(token_bucket(rows, "address", 10, 30), "event_id")
+    second = token_bucket(first.filter("allowed"), "account", 10, 60).withColumnRenamed("allowed", "second")
+    both = first.join(second, "event_id", "left")
+    by = F.when(~F.col("allowed"), "address").when(~F.col("second"), "account")
+    return both.select("event_id", by.isNull().alias("allowed"), by.alias("refused_by"))
+
+
 def bloom_bits(n: int, bits_per_entry: int = 24) -> int:
     """Bits of a filter for ``n`` ids: so many per entry, up to a power of two."""
     return 1 << max(6, (max(1, n) * bits_per_entry - 1).bit_length())

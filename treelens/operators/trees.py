@@ -7,7 +7,7 @@ drops them before it joins the next level (the Merkle short-circuit).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelens.sources.shared import shared_dir
@@ -296,6 +296,30 @@ def _below(path: str, top: str) -> bool:
     return path == top or path.startswith(top + "/")
 
 
+def count_tree(walked: DataFrame, files: int = 500, listings: int = 100) -> DataFrame:
+    """(root_id, files, dirs, partial): what a breadth-first count sees that stops before the listing at which it
+    has made so many or seen so many files; then the counts mean "at least".
+
+    ``walked`` has (root_id, path, node_type) of everything below each root.
+    """
+    parts = F.split("path", "/")
+    node = walked.select("root_id", parts.alias("parts"), "node_type")
+    dirs = node.filter(F.col("node_type") == DIR).select("root_id", "parts")
+    roots = node.select("root_id", F.array(F.lit("")).alias("parts")).distinct()
+    inside = node.groupBy("root_id", F.slice("parts", F.lit(1), F.size("parts") - 1).alias("parts")).agg(
+        F.count_if(F.col("node_type") != DIR).alias("f"), F.count_if(F.col("node_type") == DIR).alias("d")
+    )
+    listed = roots.unionByName(dirs).join(inside, ["root_id", "parts"], "left").na.fill(0, ["f", "d"])
+    order = Window.partitionBy("root_id").orderBy(F.size("parts"), "parts").rowsBetween(Window.unboundedPreceding, 0)
+    listed = listed.withColumn("n", F.row_number().over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    listed = listed.withColumn("seen", F.sum("f").over(order) - F.col("f"))
+    ok = (F.col("n") <= listings) & (F.col("seen") < files)
+    return listed.groupBy("root_id").agg(
+        F.sum(F.when(ok, F.col("f")).otherwise(0)).alias("files"), F.sum(F.when(ok, F.col("d")).otherwise(0)).alias("dirs"),
+        F.max(~ok).alias("partial"),
+    )
+
+
 def walk(entries: DataFrame, root: str) -> DataFrame:
     """(path, child_id, node_type, depth) of everything below a root."""
     level = entries.filter(F.col("dir_id") == root).select(

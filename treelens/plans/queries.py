@@ -5,6 +5,7 @@ Each ``@query`` names an operator of the inventory; the string is its DuckDB for
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from treelens.operators import chunks as C
 from treelens.operators import history as H
 from treelens.operators import packs as P
 from treelens.operators import trees as T
+from treelens.sources import files as LOOSE
+from treelens.sources.shared import shared_dir
 from treelens.sources.tables import Store, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -881,10 +884,14 @@ def gc2_expire(s: Store):
     return freed.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("frame_len"), F.lit(0)).alias("bytes"))
 
 
-@query("objects reach", "SELECT object_id % 7 = 0 AS too_young, count(*) AS objects, sum(frame_len)::BIGINT AS bytes FROM objects ANTI JOIN reach USING (pack_id, object_id) GROUP BY 1")
+@query("objects reach", """SELECT shipped >= TIMESTAMP '1998-06-01' AS too_young, count(*) AS objects, sum(frame_len)::BIGINT AS bytes FROM objects ANTI JOIN reach USING (pack_id, object_id)
+  JOIN (SELECT l_suppkey AS pack_id, l_partkey AS object_id, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1, 2) USING (pack_id, object_id) GROUP BY 1""")
 def gc3_orphans(s: Store):
-    o = s.objects().join(s.reach(), ["pack_id", "object_id"], "left_anti")
-    return o.groupBy((F.col("object_id") % 7 == 0).alias("too_young")).agg(F.count(F.lit(1)).alias("objects"), F.sum("frame_len").alias("bytes"))
+    """Unreferenced objects by age: what was stored lately may be about to be referenced."""
+    age = s.t("lineitem").groupBy(F.col("l_suppkey").alias("pack_id"), F.col("l_partkey").alias("object_id")).agg(F.max("l_shipdate").alias("shipped"))
+    o = s.objects().join(s.reach(), ["pack_id", "object_id"], "left_anti").join(age, ["pack_id", "object_id"])
+    young = F.col("shipped") >= F.lit("1998-06-01").cast("timestamp_ntz")
+    return o.groupBy(young.alias("too_young")).agg(F.count(F.lit(1)).alias("objects"), F.sum("frame_len").alias("bytes"))
 
 
 CUT_STATS = STATS.replace("LEFT JOIN reach USING", "LEFT JOIN (SELECT *, 2 AS mrn FROM kept) USING")
@@ -909,6 +916,30 @@ def gc6_run(s: Store):
     return o.groupBy(F.when(F.col("kept"), "kept").when(~F.col("kept"), "expired").otherwise("orphan").alias("state")).agg(F.count(F.lit(1)).alias("objects"))
 
 
+@query("objects reach", f"WITH {STATS} SELECT pack_id, CASE WHEN live_bytes = frame_bytes THEN 'no-op' WHEN live_bytes = 0 THEN 'delete' ELSE 'rewrite' END AS state, live_bytes FROM fr")
+def gc5_states(s: Store):
+    """What compaction makes of a pack: nothing dead, all dead, or a rewrite of the live frames."""
+    state = F.when(F.col("live_bytes") == F.col("frame_bytes"), "no-op").when(F.col("live_bytes") == 0, "delete").otherwise("rewrite")
+    return P.pack_stats(s.objects(), s.reach()).select("pack_id", state.alias("state"), "live_bytes")
+
+
+@query("objects reach", f"""WITH {FREED}, {CUT_STATS},
+o AS (SELECT pack_id, object_id, frame_len, k.pack_id IS NOT NULL AS is_kept, r.pack_id IS NOT NULL AS reached FROM objects LEFT JOIN reach r USING (pack_id, object_id) LEFT JOIN kept k USING (pack_id, object_id))
+SELECT 1 AS step, 'expire' AS name, count(*) AS n, coalesce(sum(frame_len), 0)::BIGINT AS bytes FROM o WHERE reached AND NOT is_kept
+UNION ALL SELECT 2, 'orphans', count(*), coalesce(sum(frame_len), 0)::BIGINT FROM o WHERE NOT reached
+UNION ALL SELECT 3, 'compact', count(*), coalesce(sum(live_bytes), 0)::BIGINT FROM fr WHERE dead_fraction >= 0.08
+UNION ALL SELECT 4, 'libraries', count(*), 0 FROM libraries WHERE NOT live""")
+def gc6_run_steps(s: Store):
+    """A collection run in its order: each step sees the store as the ones before left it."""
+    o = s.objects().join(_states(s), ["pack_id", "object_id"], "left")
+    total = lambda df, step, name, size: df.agg(F.lit(step).alias("step"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    packs = P.pack_stats(s.objects(), o.filter("kept").select("pack_id", "object_id", F.lit(2).alias("mrn"))).filter("dead_fraction >= 0.08")
+    return (
+        total(o.filter("NOT kept"), 1, "expire", "frame_len").unionByName(total(o.filter("kept IS NULL"), 2, "orphans", "frame_len"))
+        .unionByName(total(packs, 3, "compact", "live_bytes")).unionByName(total(s.libraries().filter("NOT live"), 4, "libraries", F.lit(0)))
+    )
+
+
 # chunking ------------------------------------------------------------------------------------
 
 
@@ -1098,6 +1129,86 @@ def f22_backoff(s: Store):
     return s.t("events").select("event_id", S.backoff_window(F.col("event_id") % 9).alias("wait"))
 
 
+@query("", "SELECT user_id, least_, target, most, level, least_ > 0 AND least_ <= target AND target <= most AND level BETWEEN 0 AND 3 AND floor(log2(target)) - level >= 1 AND floor(log2(target)) + level <= 63 AS ok FROM (SELECT user_id, user_id % 7 * 16 AS least_, 1 + user_id % 5 * 30 AS target, user_id % 11 * 20 AS most, user_id % 6 - 1 AS level FROM (SELECT DISTINCT user_id FROM events))")
+def pf1_params(s: Store):
+    u = s.t("events").select("user_id").distinct().withColumns({
+        "least_": F.col("user_id") % 7 * 16, "target": 1 + F.col("user_id") % 5 * 30, "most": F.col("user_id") % 11 * 20, "level": F.col("user_id") % 6 - 1})
+    return u.withColumn("ok", S.valid_params(F.col("least_"), F.col("target"), F.col("most"), F.col("level")))
+
+
+@query("", "SELECT n_nationkey, hex((18446744073709551616::HUGEINT - (1::HUGEINT << (63 - n_nationkey)::HUGEINT))::UBIGINT) AS mask FROM nation")
+def cd2_masks(s: Store):
+    mask = S.top_mask(F.col("n_nationkey") + 1)
+    return s.t("nation").select("n_nationkey", F.hex(mask).alias("mask"))
+
+
+@query("", "SELECT l_linenumber, CASE WHEN sum(l_partkey::HUGEINT * 1000000000000 * l_linenumber) <= 9223372036854775807 THEN sum(l_partkey::HUGEINT * 1000000000000 * l_linenumber)::BIGINT END AS total FROM lineitem WHERE l_linenumber <> 3 OR l_partkey < 100 GROUP BY 1")
+def a3_checked_totals(s: Store):
+    """Totals that don't fit 64 bits are refused, not wrapped."""
+    li = s.t("lineitem").filter("l_linenumber <> 3 OR l_partkey < 100")
+    return li.groupBy("l_linenumber").agg(S.checked_sum(F.col("l_partkey") * 1000000000000 * F.col("l_linenumber")).alias("total"))
+
+
+@query("", "SELECT event_id, split_part(event_type || ':' || user_id || ':x', ':', 1) AS kind FROM events")
+def f13_principal_kind(s: Store):
+    who = F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.lit("x"))
+    return s.t("events").select("event_id", S.principal_kind(who).alias("kind"))
+
+
+@query("ns", """SELECT root_id, sum(CASE WHEN ok THEN f ELSE 0 END)::BIGINT AS files, sum(CASE WHEN ok THEN d ELSE 0 END)::BIGINT AS dirs, bool_or(NOT ok) AS partial FROM (
+  SELECT *, n <= 100 AND seen < 500 AS ok FROM (SELECT *, row_number() OVER w AS n, sum(f) OVER (w ROWS UNBOUNDED PRECEDING) - f AS seen FROM (
+    SELECT x.root_id, x.parts, count(*) FILTER (WHERE y.node_type = 0) AS f, count(*) FILTER (WHERE y.node_type = 1) AS d FROM (
+      SELECT string_split(path, '/')[2] AS root_id, string_split(path, '/') AS parts FROM walked WHERE m = 'h' AND node_type = 1) x
+    LEFT JOIN (SELECT string_split(path, '/') AS parts, node_type FROM walked WHERE m = 'h') y ON y.parts[1 : len(y.parts) - 1] = x.parts GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY root_id ORDER BY len(parts), parts))) GROUP BY 1""")
+def a15_count_trees(s: Store):
+    """Files and folders below every region, as a bounded breadth-first count sees them."""
+    w = T.walk(s.namespace(), "h")
+    below = F.substring_index(F.substr("path", F.lit(2)), "/", 1)
+    inner = w.filter(F.size(F.split("path", "/")) > 2)
+    return T.count_tree(inner.select(below.alias("root_id"), F.regexp_replace("path", "^/[^/]*", "").alias("path"), "node_type"))
+
+
+@query("chunks", "SELECT manifest_id, (row_number() OVER (PARTITION BY manifest_id ORDER BY seq) - 1)::INT AS ord, chunk_id, CASE WHEN seq % 3 < 2 THEN hex(encode(coalesce(text, ''))) END AS data_hex FROM chunks JOIN conversations ON conv_id = manifest_id AND turn = seq")
+def sc14_chunk_streams(s: Store):
+    """Every file's chunks as one self-describing stream, a third of them absent, and read back."""
+    data = s.t("conversations").select(F.col("conv_id").alias("manifest_id"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    f = s.chunks().join(data, ["manifest_id", "seq"]).withColumn("data", F.when(F.col("seq") % 3 < 2, F.col("data")))
+    back = C.read_streams(C.stream_chunks(f.select("manifest_id", "seq", "chunk_id", "data")))
+    return back.select("manifest_id", "ord", "chunk_id", F.hex("data").alias("data_hex"))
+
+
+def _loose(s: Store) -> str:
+    """A folder per region and nation with a text file of the nation's name."""
+    path = f"{shared_dir(s.spark)}/loose-{uuid.uuid4().hex}"
+    s.t("nation").select("n_name", "n_regionkey", "n_nationkey").repartition(1).write.partitionBy("n_regionkey", "n_nationkey").text(path)
+    return path
+
+
+@query("", "SELECT n_nationkey AS id, octet_length(encode(n_name)) + 1 AS length, hex(encode(substr(n_name, 3, 4))) AS part FROM nation")
+def sc7_scan_files(s: Store):
+    files = LOOSE.scan(s.spark, _loose(s))
+    return files.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("id"), "length", F.hex(LOOSE.read_at(2, 4)).alias("part"))
+
+
+@query("", "SELECT l_suppkey AS pack_id, count(*) AS frames, min(l_linenumber) AS first FROM lineitem GROUP BY 1")
+def sc9_append_batches(s: Store):
+    path = f"{shared_dir(s.spark)}/batches-{uuid.uuid4().hex}"
+    rows = s.t("lineitem").select(F.col("l_suppkey").alias("pack_id"), "l_linenumber")
+    for k in (0, 1):
+        LOOSE.append_batch(rows.filter(F.col("l_linenumber") % 2 == k), path)
+    back = s.spark.read.schema(rows.schema).parquet(path)
+    return back.groupBy("pack_id").agg(F.count(F.lit(1)).alias("frames"), F.min("l_linenumber").alias("first"))
+
+
+@query("", "SELECT n_regionkey AS library, count(*) AS files, sum(octet_length(encode(n_name)) + 1)::BIGINT AS bytes FROM nation WHERE n_regionkey <> 2 GROUP BY 1")
+def sc15_usage(s: Store):
+    """Files and bytes below each library's folder, after one library was removed."""
+    path = _loose(s)
+    LOOSE.remove(s.spark, f"{path}/n_regionkey=2")
+    return LOOSE.usage(LOOSE.scan(s.spark, path).select("path", "length"), F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int"))
+
+
 # streams, as batch twins ---------------------------------------------------------------------
 
 
@@ -1150,3 +1261,45 @@ def st9_change_feed(s: Store):
 @query("ev", """SELECT event_id FROM ev WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1000 < 100""")
 def st10_sampling(s: Store):
     return s.events().filter(S.sampled(F.col("event_id"), 100)).select("event_id")
+
+
+@query("commits entries", """SELECT * FROM (WITH kept AS (SELECT * FROM commits WHERE rn <= 2 OR created_at >= TIMESTAMP '1997-01-01'),
+asked AS (SELECT library_id, CASE library_id % 5 WHEN 0 THEN -1 ELSE max(commit_id) FILTER (WHERE rn = library_id % 5) END AS since FROM commits GROUP BY library_id),
+a AS (SELECT a.library_id, a.since, h.commit_id AS head, CASE WHEN a.since = h.commit_id THEN 'unchanged' WHEN k.commit_id IS NOT NULL THEN 'changes' ELSE 'gone' END AS state
+  FROM asked a JOIN kept h ON h.library_id = a.library_id AND h.rn = 1 LEFT JOIN kept k ON k.library_id = a.library_id AND k.commit_id = a.since),
+f AS (SELECT library_id, name, o.child_id AS old_id, n.child_id AS new_id FROM (SELECT library_id, name, child_id FROM a JOIN entries ON commit_id = since WHERE state = 'changes') o
+  FULL JOIN (SELECT library_id, name, child_id FROM a JOIN entries ON commit_id = head WHERE state = 'changes') n USING (library_id, name) WHERE o.child_id IS DISTINCT FROM n.child_id)
+SELECT a.library_id, state, CASE WHEN state <> 'gone' THEN head END AS anchor, CASE WHEN f.library_id IS NULL THEN NULL WHEN old_id IS NULL THEN 'create' WHEN new_id IS NULL THEN 'delete' ELSE 'modify' END AS op, name, new_id AS id
+  FROM a LEFT JOIN f USING (library_id))""")
+def st9_change_feed_since(s: Store):
+    """All libraries asked for changes since the head, an older commit, or one that was cut off."""
+    c = s.commits()
+    kept = c.filter("rn <= 2 OR created_at >= timestamp_ntz '1997-01-01'")
+    since = F.max(F.when(F.col("rn") == F.col("library_id") % 5, F.col("commit_id")))
+    asked = c.groupBy("library_id").agg(since.alias("since"))
+    asked = asked.withColumn("since", F.when(F.col("library_id") % 5 == 0, F.lit(-1)).otherwise(F.col("since")))
+    return H.change_feed(asked, kept, s.entries())
+
+
+@query("ev", """SELECT * FROM (WITH RECURSIVE e AS (SELECT event_id, sec // 600 AS sec, user_id % 3 AS ip, user_id % 40 AS account FROM ev WHERE event_type = 'error'),
+r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY sec, event_id) AS n FROM e),
+f AS (SELECT ip, sec, event_id, account, n, 10.0::DOUBLE AS held FROM r WHERE n = 1 UNION ALL
+  SELECT r.ip, r.sec, r.event_id, r.account, r.n, least(10.0::DOUBLE, f.held - CASE WHEN f.held >= 1 THEN 1 ELSE 0 END + (r.sec - f.sec) / 30.0::DOUBLE) FROM f JOIN r ON r.ip = f.ip AND r.n = f.n + 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY sec, event_id) AS k FROM f WHERE held >= 1),
+g AS (SELECT account, sec, event_id, k, 10.0::DOUBLE AS left_ FROM q WHERE k = 1 UNION ALL
+  SELECT q.account, q.sec, q.event_id, q.k, least(10.0::DOUBLE, g.left_ - CASE WHEN g.left_ >= 1 THEN 1 ELSE 0 END + (q.sec - g.sec) / 60.0::DOUBLE) FROM g JOIN q ON q.account = g.account AND q.k = g.k + 1)
+SELECT f.event_id, f.held >= 1 AND g.left_ >= 1 AS allowed, CASE WHEN f.held < 1 THEN 'address' WHEN g.left_ < 1 THEN 'account' END AS refused_by FROM f LEFT JOIN g USING (event_id))""")
+def st3_login_policy(s: Store):
+    """Failed logins against both buckets; seconds are shortened so that buckets run empty."""
+    e = s.events().filter("event_type = 'error'").select(
+        "event_id", F.expr("sec div 600").alias("sec"), (F.col("user_id") % 3).alias("address"), (F.col("user_id") % 40).alias("account"))
+    return P.login_policy(e, "address", "account")
+
+
+@query("", """SELECT client, count(*) AS pings, min(ts) AS first, max(ts) AS last FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY client ORDER BY ts, event_id) AS g FROM (
+  SELECT event_id, user_id % 8 AS client, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) > INTERVAL 90 SECOND, true) AS fresh FROM events)) GROUP BY client, g""")
+def st7_liveness(s: Store):
+    """Sessions of clients: one is gone once no ping came for 90 seconds."""
+    pings = s.t("events").select((F.col("user_id") % 8).alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    live = pings.groupBy(F.session_window("ts", "90 seconds").alias("w"), "client").agg(F.count(F.lit(1)).alias("pings"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return live.select("client", "pings", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
