@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from treelens.llm import decontaminate, mixing, near_dedup, quality, token_store
-from treelens.llm.common import own, scratch, table
+from treelens.llm.common import delete, free, own, scratch, table
 from treelens.llm.queries import tokenizer_path
 
 END_ID = 2
@@ -63,15 +63,19 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: Stages 2, 3 and 5 have no SQL form; tests check run() by a brute-force version.
+#: Stages 2, 3 and 5 have no SQL form; tests check the stages' rows by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's files are deleted once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        free(spark)
+        before = path
     return docs

@@ -307,7 +307,36 @@ def test_myers_and_leaks(spark, docs, empty):
     assert sorted(r.doc_id for r in decontaminate.keep_clean(found, items).collect()) == [3, 4]
 
 
-def brute_components(texts):
+def test_leaks_by_brute_force(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 5)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 5, 12, 30])))) for i in range(25)]
+    texts = []
+    for i in range(60):
+        words = [word() for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 2)):
+            own = list(rng.choice(items)[1])
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                own[rng.randrange(len(own))] = rng.choice("abcd ")
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = ["".join(own)]
+        texts.append((i, rng.choice([" ", "\n", ", "]).join(words).upper()))
+    want = set()
+    for d, text in texts:
+        clean = decontaminate.normalise(text)
+        for i, item in items:
+            budget = int(decontaminate.RATE * len(item))
+            best = decontaminate.least_distance(decontaminate.masks(item), len(item), clean)
+            if best <= budget if budget else f" {item} " in f" {clean} ":
+                want.add((d, i, best))
+    got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want and {x[2] for x in want} >= {0, 1}
+    cat = spark.createDataFrame([(1, "cat")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "concatenate"), (2, "the cat."), (3, "cat")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.leaks(rows, cat).collect()) == [2, 3]
+
+
+def brute_components(texts, percent=85):
     sets = {}
     for i, t in texts:
         w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -321,7 +350,7 @@ def brute_components(texts):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((top(a), top(b)))
             up[y] = x
     return {i: (len(sets[i]), top(i)) for i in sets}
@@ -489,17 +518,72 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipe
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = docs
+    held, was = docs, None
     for name, stage in pipe.STAGES[:4]:
         path = scratch(spark, "test-stage")
         stage(spark, held, sf_dir).write.parquet(path)
         held = spark.read.parquet(path)
         assert held.columns == docs.columns
-        if name == "minhash_near_dedup":
-            kept = {(r.doc_id, r.text) for r in held.collect()}
-            assert all(c == i for i, (_, c) in brute_components(kept).items())
+        now = collections.Counter((r.doc_id, r.text) for r in held.collect())
+        if name == "quality_rules":
+            good = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept")
+            assert sorted(i for i, _ in now) == sorted(r.doc_id for r in good.collect())
+        if name == "minhash_near_dedup":  # exactly the least of each component stays
+            least = brute_components(was, 80)
+            assert set(now) == {(i, t) for i, t in was if least[i][1] == i}
+        if name == "decontamination":
+            items = [(r.item_id, decontaminate.normalise(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            found = lambda t: any(f" {x} " in f" {decontaminate.normalise(t)} " for _, x in items if x)
+            leaked = {r.doc_id for r in decontaminate.leaks(spark.createDataFrame([*was], "doc_id long, text string"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+            assert set(now) == {(i, t) for i, t in was if i not in leaked} and all(i in leaked for i, t in was if found(t))
+        if name == "source_mixing":
+            assert set(now) <= set(was) and max(now.values()) <= 2 and sum(now.values()) > len(was)
+        was = now
     out = pipe.run(spark, sf_dir)
-    assert out.count() == held.count()
+    assert collections.Counter(r.doc_id for r in out.select("doc_id").collect()) == collections.Counter(i for i, _ in now.elements())
+
+
+def test_pipeline_of_odd_tables(spark, sf_dir):
+    import corpus_pipeline as pipe
+
+    text = "a plain text of more than ten words that nothing else is like, number "
+    names = ["doc_id", "text", "lang", "source", "size", "a.b", "gone_id", "position"]
+    rows = [(i, text + str(i) * 3 + " " + "xyz"[i % 3] * i, "en", "s", 1, "v", 2, 3.0) for i in range(12)]
+    rows += [(None, None, None, None, None, None, None, None), (20, "", "en", None, 1, "v", 2, 3.0), (21, text * 9, None, None, 1, None, 2, 3.0), rows[0]]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long, `a.b` string, gone_id long, position double"), None):
+        docs = held.limit(0) if docs is None else docs
+        held = docs
+        for name, stage in pipe.STAGES:
+            path = scratch(spark, "test-odd")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if name != "token_output":
+                assert docs.columns == names
+    assert docs.count() == 0
+
+
+def test_token_files_can_be_read_in_parts(spark, sf_dir):
+    """Encodings, row groups and page indexes of the files; metadata is read without the ids."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = scratch(spark, "test-layout")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    token_store.write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), 2, file_bytes=200_000)
+    files = sorted(glob.glob(f"{path.removeprefix('file:')}/*.parquet"))
+    assert len(files) > 1
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            of = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            ids = next(c for name, c in of.items() if name.startswith("ids"))
+            assert "RLE_DICTIONARY" in ids.encodings and ids.compression == "ZSTD"
+            assert "DELTA_BINARY_PACKED" in of["doc_id"].encodings and "DELTA_BINARY_PACKED" in of["start_in_file"].encodings
+            assert of["doc_id"].has_offset_index and of["doc_id"].has_column_index
+    plan = token_store.read_tokens(spark, path).filter("doc_id = 7").select("doc_id", "n_tokens")._jdf.queryExecution().toString()
+    schema = plan[plan.rindex("ReadSchema:") :]
+    assert "ids" not in schema.split("\n")[0] and "EqualTo(doc_id,7)" in plan
 
 
 def test_pipeline_drops_near_copies_of_four_fifths(spark, sf_dir):

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelens.sources.shared import shared_dir
 from treelens.sources.workers import ship as ship
 
 #: Words are maximal runs of bytes outside ASCII white space (fixed value).
@@ -23,21 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    On a cluster it is what ``spark.checkpoint.dir`` names; a folder of our own
-    is made only where that is unset, as in local tests.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    ctx = spark.sparkContext
-    if not ctx.getCheckpointDir():
-        ctx.setCheckpointDir(tempfile.mkdtemp(prefix="treelens-"))
-    return ctx.getCheckpointDir().rstrip("/")
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
@@ -46,8 +31,9 @@ def scratch(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage there.
 
-    Reliable checkpoint files survive lost executors, and Spark's cleaner drops
-    them when the last plan that reads them is gone.
+    Reliable checkpoint files survive lost executors. Where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, Spark's cleaner drops
+    them when the last plan that reads them is gone; else they stay until the folder is emptied.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -116,11 +116,13 @@ class Matcher:
         for k, spans in windows.items():
             item_id, item = self.items[k]
             budget = int(self.rate * len(item))
+            if not budget:  # a short item: whole words only, or it would be found inside others
+                if f" {item} " in f" {text} ":
+                    yield item_id, 0
+                continue
             if item in text:
                 yield item_id, 0
                 continue
-            if not budget:
-                continue
             if k not in self.peq:
                 self.peq[k] = masks(item)
             best = min(least_distance(self.peq[k], len(item), text[lo:hi]) for lo, hi in spans)
