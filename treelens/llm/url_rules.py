@@ -44,6 +44,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _place(host: Column, path: Column) -> Column:
+    return F.concat(host, F.lit(NUL), path)
+
+
 def _key(host: Column, path: Column) -> Column:
     labels = F.reverse(F.split(host, r"\."))
     return F.concat(F.array_join(labels, "."), F.lit(NUL), path)
@@ -146,7 +150,7 @@ def decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     rows = points.unionByName(starts).unionByName(enclosing)
     swept = (
-        rows.repartition(len(splitters) + 1, "part")
+        rows.repartitionById(len(splitters) + 1, "part")  # no two ranges share a task
         .sortWithinPartitions("part", "key", F.col("rule").isNull(), F.col("verdict").desc())
         .mapInArrow(_sweep, "url string, rule string, verdict string, length int, host_chars int")
     )
@@ -158,11 +162,14 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """``pages`` with host, path, rule and verdict (other names where taken)."""
     ship(pages.sparkSession)
     host, path, rule, verdict, of_url = free_name(pages, "host", "path", "rule", "verdict", "of_url")
-    distinct = pages.select(F.col(url).alias("url")).filter(F.col("url").isNotNull()).distinct()
-    urls = distinct.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # urls that differ behind the path alone are one place, however many a site has
+    known = pages.filter(F.col(url).isNotNull())
+    urls = known.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).distinct()
+    urls = urls.select(_place(F.col("host"), F.col("path")).alias("url"), "host", "path")
     decided = decide(urls, rules).select(
         F.col("url").alias(of_url), F.col("rule").alias(rule), F.col("verdict").alias(verdict)
     )
     out = pages.withColumn(host, host_of(F.col(url))).withColumn(path, path_of(F.col(url)))
-    out = out.join(decided, F.col(url) == F.col(of_url), "left").drop(of_url)
+    own = F.when(F.col(url).isNotNull(), _place(F.col(host), F.col(path)))
+    out = out.join(decided, own == F.col(of_url), "left").drop(of_url)
     return out.withColumn(verdict, F.coalesce(F.col(verdict), F.lit(default)))
