@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: How long the listener bus may take to pass on its events, in milliseconds.
+WAIT_MS = 60_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,10 +77,11 @@ def free(spark: SparkSession) -> None:
 
     It acts when the driver's collector finds the plans, which can take longer than a
     job; long operators ask for that between their phases. The listener bus holds on to the last
-    query's plan until another query ends, so an empty one is run first.
+    query's plan until another query ends and is told to all listeners, so an empty one is run first.
     """
     gc.collect()
     spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(WAIT_MS)
     spark._jvm.System.gc()
 
 
