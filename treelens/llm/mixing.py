@@ -17,7 +17,8 @@ seeded order, and running sums over the bins, so that a source with a third of
 all rows is cut into many tasks.
 
 Defined results: a null text has size 0; a null source is a source of its own;
-documents of size 0 are never counted; repeated rows are streamed one by one;
+documents of size 0 are never counted; repeated rows are streamed one by one, rows with one id in the
+order of a hash of their texts, as are rows without an id;
 an empty table gives an empty mix; extra columns are carried through.
 """
 
@@ -71,8 +72,10 @@ def targets(
     return per.select("source", "source_size", "weight", "slope", target.alias("target"))
 
 
-def _order_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _order_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A seeded hash of the id; rows without one are told apart by their texts, or all would share a bin."""
+    none = F.when(text.isNotNull(), F.concat(F.lit("null:"), F.xxhash64(text).cast("string"))).otherwise("")
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), none)))
 
 
 def _position(y: Column, slope: Column) -> Column:
@@ -95,12 +98,14 @@ def plan(
     """
     given = ["size", "source_size", "target", "taken", "copies", "positions"]
     names = dict(zip(given, free_name(docs, *given)))
-    key, bin_, cum, slope, s_src, s_bin, before, total, weight = free_name(
+    key, bin_, cum, slope, s_src, s_bin, before, total, weight, tie = free_name(
         docs.withColumns({v: F.lit(0) for v in names.values()}),
-        "m_key", "m_bin", "m_cum", "m_slope", "m_src", "m_of_bin", "m_before", "m_total", "m_weight",
+        "m_key", "m_bin", "m_cum", "m_slope", "m_src", "m_of_bin", "m_before", "m_total", "m_weight", "m_tie",
     )
     measure = F.col(size).cast("long") if size else n_words(F.col(text))
-    keyed = docs.withColumn(names["size"], measure).withColumn(key, _order_key(F.col(doc_id), seed))
+    words = F.col(text) if text in docs.columns else F.lit(None).cast("string")
+    keyed = docs.withColumn(names["size"], measure).withColumn(key, _order_key(F.col(doc_id), words, seed))
+    keyed = keyed.withColumn(tie, F.xxhash64(words))  # the text itself stays out of the windows' shuffle
     narrow = cut(keyed.select(F.col(source).alias("source"), F.col(key).alias("k"), F.col(names["size"]).alias("n")))
     digits, rows = 1, narrow.count()
     while rows > rows_per_bin * 16**digits and digits < 8:
@@ -118,7 +123,7 @@ def plan(
         F.col("target").alias(names["target"]),
     )
     c = F.col
-    ws = Window.partitionBy(source, bin_).orderBy(key, doc_id, names["size"]).rowsBetween(
+    ws = Window.partitionBy(source, bin_).orderBy(key, doc_id, names["size"], tie).rowsBetween(
         Window.unboundedPreceding, 0
     )
     out = keyed.withColumn(bin_, F.substring(key, 1, digits))
@@ -147,6 +152,6 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """
     rows, names = plan(docs, doc_id, **options)
     (position,) = free_name(docs, "position")
-    return rows.select(*own(docs), F.explode(names["positions"]).alias(position)).orderBy(
-        position, doc_id
-    )
+    text = options.get("text", "text")
+    ties = [F.xxhash64(F.col(text))] if text in docs.columns else []
+    return rows.select(*own(docs), F.explode(names["positions"]).alias(position)).orderBy(position, doc_id, *ties)
