@@ -272,7 +272,7 @@ def _weights(words: DataFrame, levels: list[DataFrame], keep: Tables) -> DataFra
 
 #: Kinds of rows that go to a range of keys: weights, then what batches ask, then the batches.
 WEIGHT, ASK, OWN = 0, 1, 2
-SENT = "range int, kind int, batch long, key long, n long, value double, keys binary, texts binary, own binary"
+SENT = "range int, kind int, batch long, keys binary, texts binary, own binary"
 ANSWERED = "batch long, texts binary, known binary, base binary, score binary, own binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -297,8 +297,7 @@ def _rows(names: list[str], types: dict, columns: dict, n: int) -> pa.RecordBatc
 
 
 _TYPES = {
-    "range": pa.int32(), "kind": pa.int32(), "batch": pa.int64(), "key": pa.int64(), "n": pa.int64(),
-    "value": pa.float64(), **{c: pa.binary() for c in ("keys", "texts", "own", "known", "base", "score")},
+    "range": pa.int32(), "kind": pa.int32(), "batch": pa.int64(), **{c: pa.binary() for c in ("keys", "texts", "own", "known", "base", "score")},
 }
 _SENT = [c.split()[0] for c in SENT.split(", ")]
 _ANSWERED = [c.split()[0] for c in ANSWERED.split(", ")]
@@ -368,32 +367,57 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
         yield flush()
 
 
+def _packed(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Weights by range, as coded keys, byte planes of the words' counts (0 for runs), and values."""
+    bounds, held, n = range_bounds(ranges), [], 0
+
+    def flush() -> pa.RecordBatch:
+        key, count, value = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(key, kind="stable")
+        key, count, value = key[order], count[order], value[order]
+        cuts = [0, *np.searchsorted(key, bounds).tolist(), len(key)]
+        some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+        part = [slice(cuts[i], cuts[i + 1]) for i in some]
+        return _rows(_SENT, _TYPES, {
+            "range": some, "kind": [WEIGHT] * len(some), "keys": [code(key[x]) for x in part],
+            "texts": [count[x].view(np.uint8).reshape(-1, 8).T.tobytes() for x in part],
+            "own": [value[x].tobytes() for x in part],
+        }, len(some))
+
+    for b in batches:
+        held.append([b.column("key").to_numpy().view(U), b.column("n").to_numpy(), b.column("value").to_numpy()])
+        n += b.num_rows
+        if n > ASKED:
+            yield flush()
+            held, n = [], 0
+    if n:
+        yield flush()
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    counts = np.frombuffer(row["texts"], np.uint8).reshape(8, -1).T
+    return decode(row["keys"]), np.ascontiguousarray(counts).view(np.int64).ravel(), np.frombuffer(row["own"])
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums per text of what batches asked; rows come sorted by range and kind."""
     at_range, parts, table = None, [], None
     for rows in batches:
-        kinds, of = rows.column("kind").to_numpy(), rows.column("range").to_numpy()
-        i = 0
-        while i < len(kinds):
-            if of[i] != at_range:
-                at_range, parts, table = of[i], [], None
-            j = i
-            while j < len(kinds) and of[j] == at_range and kinds[j] == kinds[i]:
-                j += 1
-            part = rows.slice(i, j - i)
-            if kinds[i] == WEIGHT:
-                parts.append([part.column(c).to_numpy() for c in ("key", "n", "value")])
-            elif kinds[i] == OWN:
-                yield _rows(_ANSWERED, _TYPES, {c: part.column(c) for c in ("batch", "own")}, j - i)
+        for i in range(rows.num_rows):
+            row = rows.slice(i, 1)
+            of, kind = row.column("range")[0].as_py(), row.column("kind")[0].as_py()
+            if of != at_range:
+                at_range, parts, table = of, [], None
+            if kind == WEIGHT:
+                parts.append(_unpacked(row.to_pylist()[0]))
+            elif kind == OWN:
+                yield _rows(_ANSWERED, _TYPES, {c: row.column(c) for c in ("batch", "own")}, 1)
             else:
                 if table is None:
-                    columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int64)] * 3
-                    columns[0] = columns[0].view(U)
-                    order = np.argsort(columns[0], kind="stable")
-                    table, parts = [c[order] for c in columns], []
-                for k in range(len(part)):
-                    yield _sums(part.slice(k, 1), *table)
-            i = j
+                    table = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0)]
+                    order = np.argsort(table[0], kind="stable")
+                    table, parts = [c[order] for c in table], []
+                yield _sums(row, *table)
 
 
 def _sums(ask: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
@@ -430,13 +454,8 @@ def _together(table: pa.Table) -> pa.Table:
 
 def _asked(texts: DataFrame, weights: DataFrame, model, depth: int, nothing: float, ranges: int) -> DataFrame:
     asks = texts.mapInArrow(partial(_ask, model=model, depth=depth, nothing=nothing, ranges=ranges), SENT)
-    of = f"cast(shiftrightunsigned(shiftrightunsigned(key, 40) * {ranges}, 24) AS int)"
-    none = F.lit(None)
-    sent = weights.select(
-        F.expr(of).alias("range"), F.lit(WEIGHT).alias("kind"), none.cast("long").alias("batch"), "key",
-        F.when(F.col("longer"), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n"), "value",
-        *(none.cast("binary").alias(c) for c in ("keys", "texts", "own")),
-    ).union(asks)
+    known = weights.select("key", F.when(F.col("longer"), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n"), "value")
+    sent = known.mapInArrow(partial(_packed, ranges=ranges), SENT).union(asks)
     met = sent.repartitionById(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(_answer, ANSWERED)
     return met.groupBy("batch").applyInArrow(_together, SCORED)
 
