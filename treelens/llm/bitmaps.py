@@ -6,6 +6,8 @@ the table itself. Its size does not grow with the table: a full bitmap lets all
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +17,22 @@ BITS = 27
 U = np.uint64
 
 
-def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+class Bitmap:
+    """The words of a bitmap; compressed where it is sent, as a broadcast lies on every machine's disk."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.words.tobytes(), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.words = np.frombuffer(zlib.decompress(state), U)
+
+
+def has(bitmap: Bitmap, keys: np.ndarray) -> np.ndarray:
     place = keys >> U(64 - BITS)
-    return (bitmap[place >> U(6)] >> (place & U(63)) & U(1)).astype(bool)
+    return (bitmap.words[place >> U(6)] >> (place & U(63)) & U(1)).astype(bool)
 
 
 def words_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,15 +41,15 @@ def words_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bitwise_or.reduceat(U(1) << (places & U(63)), at) if len(at) else places
 
 
-def gathered(rows: DataFrame) -> np.ndarray:
+def gathered(rows: DataFrame) -> Bitmap:
     """The bitmap of (at, bits) rows; at most 2^(BITS - 6) rows come to the driver."""
     found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), dtype=U)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
-    return out
+    return Bitmap(out)
 
 
-def bitmap(keys: DataFrame, key: str = "key") -> np.ndarray:
+def bitmap(keys: DataFrame, key: str = "key") -> Bitmap:
     """The bits of all ``key``, a column of longs."""
     place = F.shiftrightunsigned(key, 64 - BITS)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - BITS}) & 63 AS int))")

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
-from treelens.llm.bitmaps import BITS, bitmap, gathered, has, words_of
+from treelens.llm.bitmaps import BITS, Bitmap, bitmap, gathered, has, words_of
 from treelens.llm.coded import code, decode, range_bounds
 from treelens.llm.common import Tables, free, ship
 
@@ -134,7 +134,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(part, ["key", "n"])
 
 
-def _pairs(one: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _pairs(one: np.ndarray, text: np.ndarray, words: Bitmap) -> np.ndarray:
     """Which pairs lie in a text and have words of the bitmap only."""
     ok = has(words, one)
     return ok[1:] & ok[:-1] & _inside(text, 1)
@@ -169,7 +169,7 @@ def _seen_twice(table: pa.Table) -> pa.Table:
     return pa.table({"at": pa.array(words.view(np.int64)), "bits": pa.array(bits.view(np.int64))})
 
 
-def _pair_bitmap(train: DataFrame, words, n_tokens: int) -> np.ndarray:
+def _pair_bitmap(train: DataFrame, words, n_tokens: int) -> Bitmap:
     """A bitmap with all pairs that occur twice; at most 2^(BITS - 6) words come to the driver."""
     ranges = max(1, -(-n_tokens // RANGE_KEYS))
     blobs = train.mapInArrow(partial(_sketch_pairs, maps=words, ranges=ranges), "range int, blob binary")
@@ -485,11 +485,14 @@ def score_texts(
     words = bitmap(counts.filter(often))
     lower = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
     floor, levels = max(float(LEAST), p_context * n), []
-    shorter = _pair_bitmap(train, send(words), n)
+    sent = send(words)
+    shorter = _pair_bitmap(train, sent, n)
+    sent.destroy()
     for k in range(1, depth + 1):
         maps = send((words, shorter))
         runs = train.mapInArrow(partial(_count_runs, maps=maps, depth=k), "key long, ctx long, low long, n long")
         runs = keep(runs.groupBy("key", "ctx", "low").agg(summed).filter(often))
+        maps.destroy()
         free(spark)
         slices = _level(runs, lower, keep, floor, kl, kappa)
         keep.drop(runs)

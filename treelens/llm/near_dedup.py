@@ -272,10 +272,11 @@ def links(groups: DataFrame, docs: DataFrame, width: int, percent: int, bands: i
     send = spark.sparkContext.broadcast
     counts = groups.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     shared = send(bitmap(counts.filter("n > 1")))
-    if not shared.value.any():
+    if not shared.value.words.any():
         return None
     wanted = send(bitmap(groups.mapInArrow(partial(_wanted, shared=shared), "key long")))
     sets = cut(docs.mapInArrow(partial(_sets, width=width, wanted=wanted), "doc_id long, members array<long>"))
+    wanted.destroy()
     labels, tried = None, None
     for first, last in ((0, min(FIRST_BANDS, bands)), (FIRST_BANDS, bands)):
         if first >= last:
@@ -284,6 +285,7 @@ def links(groups: DataFrame, docs: DataFrame, width: int, percent: int, bands: i
         free(spark)
         if not buckets.isEmpty():
             labels, tried = _search(buckets, sets, labels, tried, percent)
+    shared.destroy()
     return labels
 
 

@@ -479,6 +479,7 @@ def remove_repeats(
     anchors = texts.mapInArrow(partial(_anchors, maps=maps), "doc_id long, th long, place int, gram long, around long")
     keep = Tables(docs.sparkSession, "spans")
     survivors = keep(anchors)
+    maps.destroy()
     free(docs.sparkSession)
     settled, rows = _contexts(survivors, texts, hot_rows)
     free(docs.sparkSession)
