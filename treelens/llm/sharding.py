@@ -27,6 +27,8 @@ from treelens.llm.common import free_name, own
 
 #: Bytes of text a bucket holds on average.
 BUCKET_BYTES = 16 << 20
+#: Buckets up to which their offsets are broadcast, else joined by a shuffle.
+BROADCAST_BUCKETS = 500_000
 
 
 def size_of(text: Column) -> Column:
@@ -58,8 +60,9 @@ def write_shards(
     total = docs.agg(F.coalesce(F.sum(size_of(F.col(text))), F.lit(0))).first()[0]
     per_shard = max(1, math.ceil(total / shards / bucket_bytes))
     inner = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed + 1)), F.lit(per_shard))
+    buckets = shards * per_shard
     scattered = docs.withColumn(shard, shard_of(F.col(doc_id), shards, seed)).withColumn(
-        bucket, F.col(shard).cast("long") * per_shard + inner
+        bucket, (F.col(shard) * per_shard + inner).cast("int")
     )
     # text leads the fields so that the canonical order never depends on arrival
     fields = [doc_id, text, *[c for c in docs.columns if c not in (doc_id, text)]]
@@ -67,7 +70,7 @@ def write_shards(
     record = F.struct(*(c.alias(f"f{i}") for i, c in enumerate(own(docs, *sortable))))
     # the bucket's number is its partition's: no two buckets share a task
     gathered = (
-        scattered.repartitionById(shards * per_shard, F.col(bucket).cast("int"))
+        scattered.repartitionById(buckets, F.col(bucket))
         .groupBy(shard, bucket)
         .agg(F.collect_list(record).alias(rec))
     )
@@ -80,13 +83,15 @@ def write_shards(
     )
     schema = T.StructType(
         [docs.schema[f] for f in docs.columns]
-        + [T.StructField(bucket, T.LongType()), T.StructField(place, T.IntegerType()),
+        + [T.StructField(bucket, T.IntegerType()), T.StructField(place, T.IntegerType()),
            T.StructField(shard, T.IntegerType())]
     )
     back = spark.read.schema(schema).parquet(path)
     sizes = back.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias("rows_in"))
     before = F.sum("rows_in").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("rows_in")
     offsets = sizes.select(F.col(bucket).alias("of_bucket"), before.alias("before"))
+    if buckets <= BROADCAST_BUCKETS:  # a row per bucket
+        offsets = F.broadcast(offsets)
     return back.join(offsets, F.col(bucket) == F.col("of_bucket")).withColumn(
         slot, F.col("before") + F.col(place)
     ).drop("of_bucket", "before", "rows_in")
