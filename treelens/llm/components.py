@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelens.llm.common import cut
+from treelens.llm.common import cut, free
 
 #: Edges of a partition, at most: few edges need few tasks in every step.
 EDGES_PER_PARTITION = 100_000
@@ -54,6 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == state:
             break
         state = tuple(seen)
+        free(edges.sparkSession)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(centres)

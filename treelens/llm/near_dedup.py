@@ -304,10 +304,12 @@ def _search(
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         now = cut(_verified(pairs, sets, percent))
         tried = now if tried is None else tried.unionByName(now)
+        free(spark)  # a round has many small shuffles, whose files take a block each
         new = now.filter("linked").select("a", "b")
         if not new.isEmpty():
             labels = cut(components(new if edges is None else edges.unionByName(new)))
             edges = _edges(labels)
+            free(spark)
         # a bucket whose active members all were hubs is done; elsewhere the hubs are
         left = hubs.filter("NOT all") if limit > 1 else hubs
         left = left.groupBy("key", "main").agg(F.collect_set("hub").alias("hubs"))  # at most NESTED_HUBS
@@ -319,6 +321,8 @@ def _search(
             "id", "main", "label", F.coalesce("linked", F.lit(False)).alias("linked")
         )
         stars = cut(stars)
+        del rest, left, hubs
+        free(spark)
         buckets, limit = cut(_next_buckets(stars, sets, percent)), NESTED_HUBS
         free(spark)
         if buckets.isEmpty():
