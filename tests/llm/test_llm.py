@@ -398,6 +398,23 @@ def test_near_dedup_of_families_around_the_threshold(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_dedup_settles_a_bucket_in_two_rounds(spark, monkeypatch):
+    """What the driver has to remember does not grow with the number of hubs that a family needs."""
+    cuts, cut = [], near_dedup.cut
+    monkeypatch.setattr(near_dedup, "cut", lambda df: cuts.append(1) or cut(df))
+    rng, rows = random.Random(5), []
+    base = [f"w{i}" for i in range(120)]
+    for _ in range(80):
+        text = list(base)
+        for place in rng.sample(range(10, 110), rng.randint(2, 5)):
+            text[place] = f"v{rng.randrange(3)}"
+        rows.append((len(rows), " ".join(text)))
+    want = brute_components(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
+    assert len(cuts) <= 3 + 2 * 5
+
+
 @pytest.mark.parametrize("per_partition", [100_000, 20])
 def test_components(spark, monkeypatch, per_partition):
     monkeypatch.setattr(components, "EDGES_PER_PARTITION", per_partition)

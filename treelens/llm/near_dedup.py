@@ -6,23 +6,14 @@ Bands of the signature are bucket keys. Texts with one shingle set are one
 representative from then on, so groups of copies never grow a bucket.
 
 Links are looked for star by star, a few bands at first, then the others, of which only buckets
-with members of several components are left. Every bucket has a hub H; each member is verified
-against it on the full sets. Buckets whose members are in one component are done. In
-the others, a member x that is not linked to H can be linked to a member y only if their
-differences to H agree enough. With A = x - H and R = H - x:
-
-* always |Ax & Ay| >= t |x| - |x & H|, as |x & y| >= t |x|;
-* exactly J(x, y) = (|H| - rx - ry + s) / (|H| + ax + ay - s), where s counts the shared
-  elements of A and of R, so s >= t (|H| + ax) - |x & H| is needed, and of the pair
-  (1 + t) s >= t ax + rx + t ay + ry - (1 - t) |H|.
-
-So the members are dealt into smaller buckets by these elements. Elements that no
-other member shares are dropped, members left with too few are settled, and the
-others look for partners from their rarest elements only (prefix filter). The next
-round has all searching members of a bucket as hubs, or some in a large one. All texts
-order their elements alike, so two meet in earnest at their first shared one, after
-which both must have enough left for what the pair needs; at other buckets of theirs they
-may be passed over, because that one has them (positional filter).
+with members of several components are left. Every bucket has a hub; each member of another
+component is verified against it on the full sets. Buckets whose members are then in one
+component are done. In the others, all members outside the bucket's largest component look
+for partners among all its members: the full sets meet in a group, where each set is
+a row of bits over the elements that members share, so that intersections are exact
+counts of bits. A group hands on the links that join its components, a spanning forest, not all pairs. Large
+buckets are cut into blocks of those who look and of those who are looked for, and every two
+blocks meet in a group of bounded size. Buckets with the same members are looked at once.
 Nothing is capped, and no link between two components is lost. What banding
 can miss has a probability below ``(1 - t^rows)^bands`` per link: 3e-7 at the
 threshold for 5 rows and 26 bands.
@@ -40,8 +31,9 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
@@ -50,12 +42,10 @@ from treelens.llm.common import cut, free, free_name, ship
 from treelens.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 85, 26, 5
-#: Hubs per bucket from the second round on: so many members meet all others at once.
-NESTED_HUBS = 64
+#: Members that look for partners, and members looked for, in a group, at most; and their elements.
+NESTED_HUBS, GROUP_ELEMENTS = 1024, 1 << 19
 #: Bands that are looked at first: they join most copies, so the others have few buckets left.
 FIRST_BANDS = 6
-#: Cost of a text whose differences to the hub are not all in the buckets.
-FREE = -(1 << 40)
 #: Elements of a chunk for which the permutations are evaluated at a time.
 CHUNK = 1 << 15
 
@@ -130,16 +120,14 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.
 
 
 def _shared(batches: Iterator[pa.RecordBatch], shared, first: int, last: int) -> Iterator[pa.RecordBatch]:
-    """(key, id, label) of the bands from ``first`` to ``last`` whose keys are in the bitmap."""
+    """(key, id, n, label) of the bands from ``first`` to ``last`` whose keys are in the bitmap."""
     for batch in batches:
         bands = batch.column("bands")
         keys = bands.flatten().to_numpy().view(np.uint64).reshape(len(bands), -1)[:, first:last]
         rows, columns = np.nonzero(has(shared.value, keys))
         at = pa.array(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[rows, columns].view(np.int64)), batch.column("id").take(at), batch.column("label").take(at)],
-            ["key", "id", "label"],
-        )
+        own = [batch.column(c).take(at) for c in ("id", "n", "label")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[rows, columns].view(np.int64)), *own], ["key", "id", "n", "label"])
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -160,109 +148,122 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _hubs(buckets: DataFrame, score: DataFrame, limit: int) -> DataFrame:
-    """(key, hub, hub_label, main, all): all active members of a bucket with up to
-    ``limit`` of them; else, of each of so many hashed classes, the member whose buckets
-    are largest. ``main`` is the first of them in the bucket."""
-    scored = buckets.filter("active").join(score, "id")
-    rank = F.struct("score", (-F.col("id")).alias("neg"), "label", "cost", "after")
-    per_class = scored.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(limit)).alias("class"))
-    hubs = per_class.agg(F.max(rank).alias("h"), F.count(F.lit(1)).alias("m"))
-    main = hubs.groupBy("key").agg(F.max("h").alias("top"), F.sum("m").alias("m"))
-    main = main.select("key", (-F.col("top.neg")).alias("main"), (F.col("m") <= limit).alias("all"))
-    own = {"label": "hub_label", "cost": "hub_cost", "after": "hub_after"}
-    picked = hubs.select("key", (-F.col("h.neg")).alias("hub"), *(F.col(f"h.{c}").alias(n) for c, n in own.items()))
-    picked = picked.join(main, "key")
-    if limit == 1:
-        return picked
-    every = scored.select("key", F.col("id").alias("hub"), *(F.col(c).alias(n) for c, n in own.items()))
-    return picked.filter("NOT all").unionByName(every.join(main.filter("all"), "key"))
-
-
-def _pairs(buckets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b: members with hubs of their buckets, of other components,
-    that can share enough if this is their first shared element."""
-    # where all searching members are hubs, two of them meet once
+def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b: members with the hubs of their buckets, of other components. A hub is
+    the member whose buckets are largest; sets of too different sizes are not linked."""
+    score = buckets.groupBy("id").agg(F.sum("members").alias("score"))
+    rank = F.struct("score", (-F.col("id")).alias("neg"), "label", "n")
+    hubs = buckets.join(score, "id").groupBy("key").agg(F.max(rank).alias("h")).select(
+        "key", (-F.col("h.neg")).alias("hub"), F.col("h.label").alias("hub_label"), F.col("h.n").alias("hub_n")
+    )
     met = buckets.join(hubs, "key").filter(
-        "id <> hub AND label <> hub_label AND NOT (all AND active AND id > hub) AND "
-        f"cost + hub_cost <= {2 * (100 + percent)} * (1 + least(after, hub_after))"
+        f"id <> hub AND label <> hub_label AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     )
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked): Jaccard similarity on the full sets."""
+    """(a, b) of the pairs that are linked: Jaccard similarity on the full sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     both = pairs.join(right, "b").join(left, "a")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("common")
-    return both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"))
+    return both.filter(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def _next_buckets(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, label, active, cost, after) from (id, main, linked, label): shared
-    differences to a hub.
+def _groups(buckets: DataFrame) -> DataFrame:
+    """(g, id, label, seeks): the groups in which members of a bucket with several components meet.
 
-    ``active`` marks the rows from which a member looks for partners. Two texts need
-    ``(cost + cost) / (2 (100 + percent))`` shared differences; ``after`` counts a text's
-    differences behind this one, in the order that all texts have.
+    Every member meets all that are not of the bucket's largest component: these seek.
     """
-    ours = sets.select(F.col("doc_id").alias("id"), F.col("members").alias("x"))
-    hubs = sets.select(F.col("doc_id").alias("main"), F.col("members").alias("h"))
-    both = stars.join(hubs, "main").join(ours, "id")
-    both = both.withColumn("added", F.array_except("x", "h"))
-    n, h, outside = F.size("x"), F.size("h"), F.size("added")
-    common = n - outside
-    share = lambda c: F.ceil(c * F.lit(percent) / F.lit(100))
-    near = 100 * common >= percent * n
-    # far from the hub: so many of the added elements are shared, so a prefix of them suffices
-    prefix = F.greatest(outside - F.greatest(share(n) - common, F.lit(1)) + 1, F.lit(0)).cast("int")
-    added = F.when(near, F.col("added")).otherwise(F.slice(F.sort_array("added"), F.lit(1), prefix))
-    lacking = F.when(near, F.array_except("h", "x")).otherwise(F.array().cast("array<bigint>"))
-    needed = F.when(near, F.greatest(share(h + outside) - common, F.lit(1))).otherwise(F.lit(1))
-    cost = 2 * (percent * outside + 100 * (h - common)) - (100 - percent) * h
-    cost = F.when(near, cost.cast("long")).otherwise(F.lit(FREE))
-    tagged = F.concat(
-        F.transform(added, lambda e: F.xxhash64(F.col("main"), e, F.lit(1))),
-        F.transform(lacking, lambda e: F.xxhash64(F.col("main"), e, F.lit(2))),
-    )
-    rows = both.select(
-        F.explode(tagged).alias("key"), "id", "main", needed.alias("needed"),
-        (~F.col("linked")).alias("active"), "label", cost.alias("cost"),
-    )
-    rows = _met(rows, "members")
-    mine = Window.partitionBy("main", "id")  # the differences of one text
-    rows = rows.withColumn("u", F.count(F.lit(1)).over(mine))
-    rows = rows.withColumn("r", F.row_number().over(mine.orderBy("members", "key")))
-    # partners share ``needed`` of these, so one of the rarest u - needed + 1 is among them
-    rows = rows.withColumn("active", F.col("active") & (F.col("r") <= F.col("u") - F.col("needed") + 1))
-    rows = rows.groupBy("key", "id", "label").agg(
-        F.max("active").alias("active"), F.min("cost").alias("cost"),
-        F.max(F.col("u") - F.col("r")).alias("after"),
+    c, one = F.col, F.lit(1)
+    same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"same_{i}") for i in (1, 2)]
+    of_label = buckets.groupBy("key", "label").agg(F.count(one).alias("m"), F.sum("n").alias("n"), *same)
+    of_key = of_label.groupBy("key").agg(
+        F.count(one).alias("labels"), F.max(F.struct("m", "n", "label")).alias("top"), F.sum("m").alias("m"),
+        F.sum("n").alias("n"), *(F.bit_xor(f"same_{i}").alias(f"same_{i}") for i in (1, 2)),
+    ).filter("labels > 1")
+    of_key = of_key.groupBy("m", "same_1", "same_2").agg(F.min(F.struct("key", "n", "top")).alias("k"))
+    m, n, top = c("m"), c("k.n"), c("k.top")
+    blocks = lambda m, n: F.greatest(F.ceil(m / NESTED_HUBS), F.ceil(n / GROUP_ELEMENTS)).cast("int")
+    of_key = of_key.select(
+        c("k.key").alias("key"), top["label"].alias("top"), blocks(m, n).alias("all"),
+        blocks(m - top["m"], n - top["n"]).alias("seekers"),
     )
-    return _met(cut(rows), "members").drop("members")
+    rows = buckets.join(of_key, "key").withColumn("seeks", c("label") != c("top"))
+    at = lambda blocks, salt: F.pmod(F.xxhash64("id", F.lit(salt)), c(blocks)).cast("int")
+    upto = lambda blocks: F.sequence(F.lit(0), c(blocks) - 1)
+    found = F.transform(upto("seekers"), lambda i: F.xxhash64("key", at("all", 3), i))
+    finds = F.transform(upto("all"), lambda i: F.xxhash64("key", i, at("seekers", 4)))
+    both = F.when(c("seeks"), F.array_distinct(F.concat(found, finds))).otherwise(found)
+    return rows.select(F.explode(both).alias("g"), "id", "label", "seeks")
+
+
+def _forest(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between members of a group that join its components."""
+    lists = rows.column("members").combine_chunks()
+    sizes, values = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
+    ids, seeks = rows.column("id").to_numpy(), np.array(rows.column("seeks").to_pylist(), dtype=bool)
+    _, root = np.unique(rows.column("label").to_numpy(), return_inverse=True)
+    _, where, times = np.unique(values, return_inverse=True, return_counts=True)
+    met = np.flatnonzero(times[where] > 1)  # the others are in no intersection
+    place = (np.cumsum(times > 1) - 1)[where[met]]
+    width = (int((times > 1).sum()) >> 6) + 1
+    word = np.repeat(np.arange(len(sizes)), sizes)[met] * width + (place >> 6)
+    order = np.argsort(word, kind="stable")
+    word, bit = word[order], np.uint64(1) << (place[order] & 63).astype(np.uint64)
+    bits = np.zeros(len(sizes) * width, dtype=np.uint64)
+    if len(word):
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        bits[word[first]] = np.bitwise_or.reduceat(bit, first)
+    bits, out = bits.reshape(-1, width), []
+    for i in np.flatnonzero(seeks):
+        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+        others = np.flatnonzero((root != root[i]) & (100 * small >= percent * large))
+        common = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+        others = others[100 * common >= percent * (sizes[others] + sizes[i] - common)]
+        while len(others):
+            out.append((int(ids[i]), int(ids[others[0]])))
+            root[root == root[others[0]]] = root[i]
+            others = others[root[others] != root[i]]
+    return out
 
 
-def _met(rows: DataFrame, count: str) -> DataFrame:
-    """Rows of keys at which an active member can meet another component."""
-    good = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias(count), (F.min("label") != F.max("label")).alias("mixed"),
-        F.max("active").alias("any"),
-    )
-    return rows.join(good.filter("mixed AND any").select("key", count), "key")
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of all groups; rows come sorted by group."""
+    of, held, edges = None, [], []
+    for batch in batches:
+        g = batch.column("g").to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if held and g[begin] != of:
+                edges += _forest(pa.Table.from_batches(held), percent)
+                held = []
+            of = g[begin] if end > begin else of
+            held += [batch.slice(begin, end - begin)] if end > begin else []
+    if held:
+        edges += _forest(pa.Table.from_batches(held), percent)
+    yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in edges], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows of keys at which two components meet, and how many rows their keys have."""
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), (F.min("label") != F.max("label")).alias("mixed"))
+    return rows.join(mixed.filter("mixed").select("key", "members"), "key")
 
 
 def _first_buckets(groups: DataFrame, labels: DataFrame | None, shared, first: int, last: int) -> DataFrame:
-    """Buckets of some bands with members of several components, as :func:`_next_buckets` has them."""
+    """(key, id, n, label, members): buckets of some bands with members of several components."""
     rows = _labelled(groups, labels)  # a row per text
-    rows = rows.mapInArrow(partial(_shared, shared=shared, first=first, last=last), "key long, id long, label long")
-    rows = rows.withColumns({"active": F.lit(True), "cost": F.lit(FREE), "after": F.lit(0).cast("long")})
-    return _met(rows, "members")
+    rows = rows.mapInArrow(
+        partial(_shared, shared=shared, first=first, last=last), "key long, id long, n long, label long"
+    )
+    return _met(rows)
 
 
 def links(groups: DataFrame, docs: DataFrame, width: int, percent: int, bands: int) -> DataFrame | None:
-    """(node, component) over representatives; ``groups`` has id and bands.
+    """(node, component) over representatives; ``groups`` has id, n and bands.
 
     Which keys two texts share and whose sets are needed is told by broadcast bitmaps of a fixed
     size, so neither texts nor all keys are shuffled; what a bitmap lets through too much is
@@ -277,56 +278,38 @@ def links(groups: DataFrame, docs: DataFrame, width: int, percent: int, bands: i
     wanted = send(bitmap(groups.mapInArrow(partial(_wanted, shared=shared), "key long")))
     sets = cut(docs.mapInArrow(partial(_sets, width=width, wanted=wanted), "doc_id long, members array<long>"))
     wanted.destroy()
-    labels, tried = None, None
+    labels = None
     for first, last in ((0, min(FIRST_BANDS, bands)), (FIRST_BANDS, bands)):
         if first >= last:
             continue
         buckets = cut(_first_buckets(groups, labels, shared, first, last))
         free(spark)
         if not buckets.isEmpty():
-            labels, tried = _search(buckets, sets, labels, tried, percent)
+            labels = _search(buckets, sets, labels, percent)
     shared.destroy()
     return labels
 
 
-def _search(
-    buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, tried: DataFrame | None, percent: int
-) -> tuple[DataFrame | None, DataFrame]:
-    """(labels, pairs tried) after all buckets' links between components are found."""
+def _search(buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame | None:
+    """The components after all buckets' links between components are found."""
     spark = buckets.sparkSession
-    score = cut(buckets.groupBy("id").agg(F.sum("members").alias("score")))
-    buckets = buckets.drop("members")
-    limit, edges = 1, None if labels is None else _edges(labels)
-    while True:
-        hubs = cut(_hubs(buckets, score, limit))
-        pairs = _pairs(buckets, hubs, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        now = cut(_verified(pairs, sets, percent))
-        tried = now if tried is None else tried.unionByName(now)
-        free(spark)  # a round has many small shuffles, whose files take a block each
-        new = now.filter("linked").select("a", "b")
-        if not new.isEmpty():
-            labels = cut(components(new if edges is None else edges.unionByName(new)))
-            edges = _edges(labels)
-            free(spark)
-        # a bucket whose active members all were hubs is done; elsewhere the hubs are
-        left = hubs.filter("NOT all") if limit > 1 else hubs
-        left = left.groupBy("key", "main").agg(F.collect_set("hub").alias("hubs"))  # at most NESTED_HUBS
-        rest = buckets.join(left, "key").filter(~F.array_contains("hubs", F.col("id"))).drop("hubs")
-        rest = cut(_labelled(rest, labels))  # read twice
-        rest = _met(rest, "members").select("id", "main", "label").distinct()
-        rest = rest.withColumns({"a": F.least("id", "main"), "b": F.greatest("id", "main")})
-        stars = rest.join(tried, ["a", "b"], "left").select(
-            "id", "main", "label", F.coalesce("linked", F.lit(False)).alias("linked")
-        )
-        stars = cut(stars)
-        del rest, left, hubs
-        free(spark)
-        buckets, limit = cut(_next_buckets(stars, sets, percent)), NESTED_HUBS
-        free(spark)
-        if buckets.isEmpty():
-            return labels, tried
+    labels = _joined(labels, cut(_verified(_pairs(buckets, percent), sets, percent)))
+    free(spark)  # shuffles of few rows take a block each
+    left = buckets if labels is None else _labelled(buckets, labels)
+    met = _groups(left.select("key", "id", "n", "label")).join(sets.withColumnRenamed("doc_id", "id"), "id")
+    met = met.repartition("g").sortWithinPartitions("g").select("g", "id", "label", "seeks", "members")
+    found = cut(met.mapInArrow(partial(_linked, percent=percent), "a long, b long").distinct())
+    del met, left
+    free(spark)
+    return _joined(labels, found)
+
+
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """The components with some links more."""
+    if found.isEmpty():
+        return labels
+    edges = found if labels is None else _edges(labels).unionByName(found)
+    return cut(components(edges))
 
 
 def _edges(labels: DataFrame) -> DataFrame:
@@ -348,10 +331,10 @@ def near_duplicates(
     )
     solid = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = solid.groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     groups = cut(groups)
-    found = links(groups.select("id", "bands"), narrow.filter("doc_id IS NOT NULL"), width, percent, bands)
+    found = links(groups.select("id", "n", "bands"), narrow.filter("doc_id IS NOT NULL"), width, percent, bands)
     of_digest = groups.select(F.col("digest").alias("of"), "id")
     if found is not None:
         of_digest = of_digest.join(found.withColumnRenamed("node", "id"), "id", "left")
