@@ -277,3 +277,11 @@ def test_covering_refuses_beyond_its_limit(spark):
     assert C.covering(chunks, ranges, 5).count() == 7
     with pytest.raises(Exception, match="more than 4 chunks"):
         C.covering(chunks, ranges, 4).count()
+
+
+def test_diff_of_trees_beyond_the_ceiling(spark, sf_dir, monkeypatch):
+    """The query lists the whole difference, whatever the operator's ceiling is."""
+    from treelens.plans.registry import QUERIES
+
+    monkeypatch.setattr(T.diff_trees, "__defaults__", (1,))
+    assert QUERIES["g3_diff_trees"](spark, sf_dir).count() > 1

@@ -60,8 +60,8 @@ def fold_moves(changed: DataFrame, scope: list[str]) -> DataFrame:
     return moves.unionByName(stay).unionByName(modified)
 
 
-def diff_trees(entries: DataFrame, old_root: str, new_root: str, max_steps: int = 2_000_000) -> DataFrame:
-    """(op, path, id, node_type) between two roots, subtrees expanded; refuses above a ceiling."""
+def diff_trees(entries: DataFrame, old_root: str, new_root: str, max_steps: int | None = 2_000_000) -> DataFrame:
+    """(op, path, id, node_type) between two roots, subtrees expanded; refuses above a ceiling, if there is one."""
     spark = entries.sparkSession
     pairs = spark.createDataFrame([("", old_root, new_root)], "path string, old string, new string")
     out, steps = None, 0
@@ -82,7 +82,7 @@ def diff_trees(entries: DataFrame, old_root: str, new_root: str, max_steps: int
                 F.lit("").alias("op"), F.col("at").alias("path"), F.col("old_id").alias("id"), F.col("old_type").alias("node_type")
             )
         steps += count
-        if steps > max_steps:
+        if max_steps is not None and steps > max_steps:
             raise ValueError("the difference is too large to list")
         gone = (F.col("new_id").isNull()) | (F.col("old_id").isNotNull() & (F.col("old_type") != F.col("new_type")))
         came = (F.col("old_id").isNull()) | (F.col("new_id").isNotNull() & (F.col("old_type") != F.col("new_type")))
