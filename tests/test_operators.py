@@ -279,6 +279,26 @@ def test_covering_refuses_beyond_its_limit(spark):
         C.covering(chunks, ranges, 4).count()
 
 
+@pytest.mark.parametrize("name, scale", [("f1_format_bytes", 13)])
+def test_sizes_of_large_tables_equal_the_oracle(spark, tmp_path, name, scale):
+    """Beyond the ids of the small tables: sizes over 1024 GB, and ties of one decimal."""
+    import duckdb
+
+    from treelens.plans.registry import ORACLES, QUERIES
+
+    step = 5_999_999 // 40_000
+    ids = spark.range(0, 6_000_000, step).union(spark.range(300)).selectExpr("id AS event_id").distinct()
+    for k in (64, 320, 1600, 8000, 40_000, 200_000, 262_144, 524_288, 1_048_576):
+        ids = ids.union(spark.range(k, 6_000_000, k * 17).selectExpr("id AS event_id")).distinct()
+    rest = spark.read.parquet("/root/testdata/sf0.001/events.parquet").drop("event_id").limit(1)
+    ids.crossJoin(rest).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.execute(ORACLES[name]).fetchall())
+    got = {r.event_id: r.shown for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) > 40_000
+
+
 def test_diff_of_trees_beyond_the_ceiling(spark, sf_dir, monkeypatch):
     """The query lists the whole difference, whatever the operator's ceiling is."""
     from treelens.plans.registry import QUERIES

@@ -33,17 +33,26 @@ def _ladder(n: Column, base: int, units: list[str], shown) -> Column:
     return out
 
 
-def format_bytes(n: Column) -> Column:
-    """1024-based, one decimal: ``1.5 KB``; plain bytes below that."""
+def _one_decimal(value: Column) -> Column:
+    """A double of at least 1 as ``%.1f`` prints it: its exact value, to the even digit if that is a tie."""
+    whole = F.floor(value)
+    rest = ((value - whole.cast("double")) * F.lit(float(1 << 52))).cast("bigint") * 10  # exact: 52 binary digits
+    tenth = F.shiftright(rest, 52)
+    over, half = rest.bitwiseAND(F.lit((1 << 52) - 1)), F.lit(1 << 51)
+    up = (over > half) | ((over == half) & (tenth % 2 == 1))
+    tenth = tenth + up.cast("bigint")
+    return F.concat((whole + F.when(tenth == 10, 1).otherwise(0)).cast("string"), F.lit("."), (tenth % 10).cast("string"))
+
+
+def format_bytes(n: Column, largest: str = "PB") -> Column:
+    """1024-based, one decimal: ``1.5 KB``; plain bytes below that, no unit above the ``largest``."""
     units = ["B", "KB", "MB", "GB", "TB", "PB"]
 
     def shown(x: Column, i: int) -> Column:
-        if not i:
-            return F.concat(x.cast("string"), F.lit(" B"))
-        value = (x.cast("double") / F.lit(float(1024**i))).cast("decimal(30,10)")  # exact: a binary fraction
-        return F.concat(F.bround(value, 1).cast("string"), F.lit(f" {units[i]}"))
+        number = _one_decimal(x.cast("double") / F.lit(float(1024**i))) if i else x.cast("string")
+        return F.concat(number, F.lit(f" {units[i]}"))
 
-    return _ladder(n, 1024, units, shown)
+    return _ladder(n, 1024, units[: units.index(largest) + 1], shown)
 
 
 def format_count(n: Column) -> Column:
