@@ -279,7 +279,7 @@ def test_covering_refuses_beyond_its_limit(spark):
         C.covering(chunks, ranges, 4).count()
 
 
-@pytest.mark.parametrize("name, scale", [("f1_format_bytes", 13)])
+@pytest.mark.parametrize("name, scale", [("f1_format_bytes", 13), ("f3_decimal_bytes", 25)])
 def test_sizes_of_large_tables_equal_the_oracle(spark, tmp_path, name, scale):
     """Beyond the ids of the small tables: sizes over 1024 GB, and ties of one decimal."""
     import duckdb

@@ -59,31 +59,15 @@ def format_count(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-def _tenths(n: Column, unit: int) -> Column:
-    """``n / unit`` with one decimal as a correctly rounded double prints it: the double of a tie may lie
-    above or below it; if on it, the even digit is taken."""
-    ten = n.cast("decimal(38,0)") * 10
-    whole = F.floor(ten / unit).cast("decimal(30,0)")
-    rest = ten - whole * unit
-    exact = (n.cast("double") / F.lit(float(unit)) * F.lit(float(1 << 52))).cast("bigint").cast("decimal(30,0)") * 20
-    tie = (whole * 2 + 1) * F.lit(1 << 52).cast("decimal(20,0)")
-    up = F.when(rest * 2 != unit, rest * 2 > unit).when(exact != tie, exact > tie).otherwise(whole % 2 == 1)
-    digits = (whole + up.cast("int")).cast("decimal(30,0)").cast("string")
-    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(2)), "0")
-    whole_part = F.substr(padded, F.lit(1), F.length(padded) - 1)
-    return F.regexp_replace(F.concat(whole_part, F.lit("."), F.right(padded, F.lit(1))), r"\.0$", "")
-
-
-def format_decimal_bytes(n: Column) -> Column:
-    """1000-based: ``1.5 MB``; one decimal, which is dropped if it is 0. Sizes from 1,024 TB on may
-    round a tie the other way."""
+def format_decimal_bytes(n: Column, largest: str = "TB") -> Column:
+    """1000-based: ``1.5 MB``; one decimal, which is dropped if it is 0. No unit above the ``largest``."""
     units = ["B", "KB", "MB", "GB", "TB"]
 
     def shown(x: Column, i: int) -> Column:
-        number = _tenths(x, 1000**i) if i else x.cast("string")
-        return F.concat(number, F.lit(f" {units[i]}"))
+        number = _one_decimal(x.cast("double") / F.lit(float(1000**i))) if i else x.cast("string")
+        return F.concat(F.regexp_replace(number, r"\.0$", ""), F.lit(f" {units[i]}"))
 
-    return _ladder(n, 1000, units, shown)
+    return _ladder(n, 1000, units[: units.index(largest) + 1], shown)
 
 
 def parse_bytes(text: Column) -> Column:
