@@ -684,3 +684,22 @@ def test_pipeline_keeps_the_training_order(spark, sf_dir):
     out = pipe.token_output(spark, spark.read.parquet(path), sf_dir).orderBy("start").collect()
     want = [r.doc_id for r in mixing.mixed(docs).orderBy("position", "doc_id").collect()]
     assert [r.doc_id for r in out] == want != sorted(want)
+
+
+def test_lm_merges_in_little_memory_and_sends_small_batches():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(3), 400_000
+    parts = [(rng.integers(0, n, n).astype(np.uint64), np.arange(n), np.arange(n), np.ones(n, np.int64)) for _ in range(2)]
+    size = sum(c.nbytes for part in parts for c in part)
+    tracemalloc.start()
+    keys, *_, total = lm._merged(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.diff(keys.astype(np.int64)) > 0).all() and total.sum() == 2 * n
+    assert peak < 2.25 * size
+    text = pa.array([" ".join(f"w{i}" for i in range(200_000))])
+    sent = list(lm._count_words(iter([pa.RecordBatch.from_arrays([text], ["text"])])))
+    assert sum(b.num_rows for b in sent) == 200_001 and max(b.num_rows for b in sent) <= 1 << 16

@@ -54,6 +54,8 @@ FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 #: Distinct keys a task gathers before it hands them on.
 FLUSH = 400_000
+#: Rows of a batch that goes to the JVM, which holds a batch outside its heap.
+SENT_ROWS = 1 << 16
 #: Slices of the contexts of a depth that are handled one after the other.
 SLICES = 2
 #: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
@@ -99,9 +101,12 @@ def _inside(text: np.ndarray, k: int) -> np.ndarray:
 def _merged(parts: list[tuple]) -> tuple:
     """Rows of equal first columns as one, with the last columns' sum."""
     columns = [np.concatenate(c) for c in zip(*parts)]
-    distinct, at, where = np.unique(columns[0], return_index=True, return_inverse=True)
-    total = np.bincount(where, weights=columns[-1], minlength=len(distinct)).astype(np.int64)
-    return (distinct, *(c[at] for c in columns[1:-1]), total)
+    order = np.argsort(columns[0], kind="stable")
+    keys = columns[0][order]
+    first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    total = np.add.reduceat(columns[-1][order], first) if len(first) else np.zeros(0, np.int64)
+    at = order[first]
+    return (keys[first], *(c[at] for c in columns[1:-1]), total)
 
 
 def _gathered(parts: Iterator[tuple]) -> Iterator[tuple]:
@@ -121,8 +126,10 @@ def _gathered(parts: Iterator[tuple]) -> Iterator[tuple]:
         yield _merged(kept)
 
 
-def _batch(columns: tuple, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
+def _batches(columns: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
+    for first in range(0, whole.num_rows, SENT_ROWS):
+        yield whole.slice(first, SENT_ROWS)
 
 
 # counting --------------------------------------------------------------------------------------
@@ -131,7 +138,7 @@ def _batch(columns: tuple, names: list[str]) -> pa.RecordBatch:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = ((r[3][0], np.ones(len(r[3][0]), np.int64)) for b in batches for r in _runs(b, 1))
     for part in _gathered(parts):
-        yield _batch(part, ["key", "n"])
+        yield from _batches(part, ["key", "n"])
 
 
 def _pairs(one: np.ndarray, text: np.ndarray, words: Bitmap) -> np.ndarray:
@@ -192,7 +199,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int) -> Iterator
                 yield keys[depth][i], keys[depth - 1][i], keys[depth - 1][i + 1], np.ones(len(i), np.int64)
 
     for part in _gathered(parts()):
-        yield _batch(part, ["key", "ctx", "low", "n"])
+        yield from _batches(part, ["key", "ctx", "low", "n"])
 
 
 # the model -------------------------------------------------------------------------------------
