@@ -703,3 +703,19 @@ def test_lm_merges_in_little_memory_and_sends_small_batches():
     text = pa.array([" ".join(f"w{i}" for i in range(200_000))])
     sent = list(lm._count_words(iter([pa.RecordBatch.from_arrays([text], ["text"])])))
     assert sum(b.num_rows for b in sent) == 200_001 and max(b.num_rows for b in sent) <= 1 << 16
+
+
+def test_pipeline_settles_families_in_two_rounds(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    cuts, cut = [], near_dedup.cut
+    monkeypatch.setattr(near_dedup, "cut", lambda df: cuts.append(1) or cut(df))
+    rng, rows = random.Random(6), []
+    for _ in range(80):
+        text = [f"w{i}" for i in range(120)]
+        for place in rng.sample(range(10, 110), rng.randint(3, 6)):
+            text[place] = f"v{rng.randrange(3)}"
+        rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, sf_dir).collect()}
+    assert 0 in kept and len(cuts) <= 3 + 2 * 5
