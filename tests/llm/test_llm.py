@@ -719,3 +719,27 @@ def test_pipeline_settles_families_in_two_rounds(spark, sf_dir, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, sf_dir).collect()}
     assert 0 in kept and len(cuts) <= 3 + 2 * 5
+
+
+def test_bitmaps_come_packed(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from treelens.llm import bitmaps
+
+    keys = spark.range(0, 200_000, 1, 4).select(F.xxhash64("id").alias("key"))
+    frame, sent = type(keys), []
+    to_arrow = frame.toArrow
+
+    def spied(self):
+        out = to_arrow(self)
+        sent.append(out.nbytes)
+        return out
+
+    monkeypatch.setattr(frame, "toArrow", spied)
+    got = bitmaps.bitmap(keys)
+    places = np.array([r.key for r in keys.collect()], np.int64).view(np.uint64) >> np.uint64(64 - bitmaps.BITS)
+    want = np.zeros(1 << (bitmaps.BITS - 6), np.uint64)
+    np.bitwise_or.at(want, places >> np.uint64(6), np.uint64(1) << (places & np.uint64(63)))
+    assert (got.words == want).all()
+    assert sum(sent) < 8 * int((want > 0).sum())  # a word's row has 16 bytes
+    assert not bitmaps.bitmap(keys.limit(0)).words.any()

@@ -7,8 +7,10 @@ the table itself. Its size does not grow with the table: a full bitmap lets all
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ class Bitmap:
         self.words = words
 
     def __getstate__(self) -> bytes:
-        return zlib.compress(self.words.tobytes(), 1)
+        return zlib.compress(self.words, 1)
 
     def __setstate__(self, state: bytes) -> None:
         self.words = np.frombuffer(zlib.decompress(state), U)
@@ -41,11 +43,24 @@ def words_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bitwise_or.reduceat(U(1) << (places & U(63)), at) if len(at) else places
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (at, bits) rows of a batch as one row: steps between words, then their bits."""
+    for batch in batches:
+        at, bits = batch.column("at").to_numpy(), batch.column("bits").to_numpy()
+        order = np.argsort(at)
+        steps = np.diff(at[order], prepend=0).astype(np.int32)
+        blob = zlib.compress(steps.tobytes() + bits[order].tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
+
+
 def gathered(rows: DataFrame) -> Bitmap:
-    """The bitmap of (at, bits) rows; at most 2^(BITS - 6) rows come to the driver."""
-    found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    """The bitmap of (at, bits) rows; at most 2^(BITS - 6) come to the driver, packed by batches."""
+    found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).mapInArrow(_packed, "blob binary").toArrow()
     out = np.zeros(1 << (BITS - 6), dtype=U)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
+    for blob in found.column("blob"):
+        data = zlib.decompress(blob.as_buffer())
+        n = len(data) // 12
+        out[np.cumsum(np.frombuffer(data, np.int32, n))] = np.frombuffer(data, U, n, 4 * n)
     return Bitmap(out)
 
 
