@@ -743,3 +743,23 @@ def test_bitmaps_come_packed(spark, monkeypatch):
     assert (got.words == want).all()
     assert sum(sent) < 8 * int((want > 0).sum())  # a word's row has 16 bytes
     assert not bitmaps.bitmap(keys.limit(0)).words.any()
+
+
+def test_batches_equal_the_library(sf_dir):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    enc, lib = token_store.Encoder(path), Tokenizer.from_file(path)
+    letters = "".join(c for c in map(chr, range(0x10FFFF)) if not 0xD800 <= ord(c) < 0xE000 and token_store.P.common(c, ()))
+    texts = ["İstanbul ﬁ", None, "", "  ", " a  b\n", "\u3000", "straße \xa0 x", "'s ''re 12345 !!!", "x<|endoftext|>a", " ".join(letters), letters.upper(), "\x0b", "l'été's 3é4"]
+    texts += pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()[:300]
+    for some in (texts, texts[::-1], texts[1:4], ["\u3000"], []):
+        ids, sizes = enc.encode_all(pa.array(some, pa.string()), 2)
+        want = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == list(itertools.chain(*want))
+    learnt = []
+    plain, enc.plain = enc.plain, type("Spy", (), {"encode_batch_fast": lambda _, x, **k: learnt.extend(x) or plain.encode_batch_fast(x, **k)})()
+    enc.encode_all(pa.array(["zyxwvq, (zyxwvq) zyxwvq! \u201czyxwvq\u201d"]), 2)
+    assert " ".join(learnt).count("zyxwvq") == 1  # a word is encoded once, whatever stands around it

@@ -22,6 +22,10 @@ CACHE_ENTRIES = 400_000
 #: Characters beyond which a piece is not remembered.
 LONG_PIECE = 64
 
+#: The character that stands for each byte in byte-level vocabularies: its own if printable, else from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SYMBOL_OF = dict(zip([*_PRINTABLE, *sorted({*range(256)} - {*_PRINTABLE})], map(chr, [*_PRINTABLE, *range(256, 324)])))
+
 
 def common(text: str, specials: tuple[str, ...]) -> bool:
     """Whether the fast path may be taken."""

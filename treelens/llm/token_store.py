@@ -21,6 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,8 @@ from treelens.llm.common import cut, ship
 
 #: Bytes of text in a file, on average.
 FILE_BYTES = 32 << 20
+#: Unknown chunks that are encoded at a time.
+LEARNT = 10_000
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -51,16 +54,27 @@ OPTIONS = {
 }
 
 
+class _Symbols(dict):
+    """Characters as byte-level vocabularies write them; the printable ones of ASCII stand for themselves."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = "".join(map(P.SYMBOL_OF.__getitem__, chr(c).encode()))
+        return self[c]
+
+
+_SYMBOLS = _Symbols({32: " "})
+
+
 class Encoder:
     """Encodes texts with a word-level BPE file; chunks between spaces are remembered."""
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import normalizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.specials = P.load(path)
-        self.plain, _ = P.load(path)  # for chunks that are normal already
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tok.model)  # for words that are normal and cut already
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.split = regex.compile(P.WORD_LEVEL).findall
         self.known: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
@@ -68,19 +82,31 @@ class Encoder:
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode unknown chunks as one text; the ends of their words tell them apart."""
-        joined = self.plain.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0]
+        """Encode the different words of unknown chunks as one text; the ends of words tell them apart."""
+        split = self.split
+        cut = [[c] if c.isalpha() else split(c) for c in chunks]
+        words = list({w for ws in cut for w in ws})
+        joined = self.plain.encode_batch_fast([" ".join(words).translate(_SYMBOLS)], add_special_tokens=False)[0]
         ids = np.array(joined.ids, "<i4")
         ends = np.flatnonzero(self.last[ids]) + 1
-        split = self.split
-        words = np.cumsum([1 if c.isalpha() else len(split(c)) for c in chunks])
-        if len(ends) != words[-1]:
+        if len(ends) != len(words):
             for c in chunks:
                 own = self.tok.encode(c, add_special_tokens=False).ids
                 self.known[c] = np.array(own, "<i4").tobytes()
             return
-        data, cuts = ids.tobytes(), [0, *(4 * ends[words - 1]).tolist()]
-        self.known.update(zip(chunks, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        coded = dict(zip(words, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
+        self.known.update((c, b"".join(map(coded.__getitem__, ws))) for c, ws in zip(chunks, cut))
+
+    def _coded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks of common characters, in lower case."""
+        new = [c for c in chunks if c not in self.known]
+        if new and len(self.known) + len(new) > P.CACHE_ENTRIES:  # those met first are the most frequent
+            self.known = dict(islice(self.known.items(), P.CACHE_ENTRIES // 4))
+            new = [c for c in chunks if c not in self.known]
+        for i in range(0, len(new), LEARNT):
+            self._learn(new[i : i + LEARNT])
+        return list(map(self.known.__getitem__, chunks))
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers; no word reaches across white space."""
@@ -88,13 +114,38 @@ class Encoder:
             ids = self.tok.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<i4").tobytes()
         chunks = text.lower().split()
-        new = set(chunks).difference(self.known)
-        if new:
-            if len(self.known) > P.CACHE_ENTRIES:  # those met first are the most frequent
-                self.known = dict(islice(self.known.items(), P.CACHE_ENTRIES // 4))
-                new = set(chunks).difference(self.known)
-            self._learn(list(new))
-        return b"".join(map(self.known.__getitem__, chunks))
+        new = list(set(chunks))
+        return b"".join(map(dict(zip(new, self._coded(new))).__getitem__, chunks))
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, number of ids of each), ``end_id`` after each text."""
+        listed = [t.as_py() or "" for t in texts]
+        own = {i: self(t) for i, t in enumerate(listed) if not P.common(t, self.specials)}
+        plain = pa.array(["" if i in own else t.lower() for i, t in enumerate(listed)], pa.large_string())
+        chunks = pc.ascii_split_whitespace(plain)
+        distinct = chunks.flatten().dictionary_encode()
+        coded = self._coded(distinct.dictionary.to_pylist())
+        # after the chunks' ids: the end's, then those of whole texts
+        coded = [*coded, np.array([end_id], "<i4").tobytes(), *own.values()]
+        m, lengths = len(distinct.dictionary), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts = np.cumsum(lengths) - lengths
+        cuts = np.cumsum(pc.list_value_length(chunks).to_numpy())
+        at = np.insert(distinct.indices.to_numpy().astype(np.int64), cuts, m)
+        ends = cuts + np.arange(len(listed))
+        for place, i in enumerate(own):  # such a text has one empty chunk at most
+            begin = ends[i - 1] + 1 if i else 0
+            assert ends[i] - begin <= 1
+            own[i] = (begin, ends[i], m + 1 + place)
+        if own:
+            begin, end, place = map(np.array, zip(*own.values()))
+            at[begin[begin < end]] = place[begin < end]
+            missing = begin == end
+            at = np.insert(at, end[missing], place[missing])
+            ends = ends + np.cumsum(np.bincount(np.array(list(own))[missing], minlength=len(listed)).astype(np.int64))
+        n = lengths[at]
+        after = np.cumsum(n)
+        ids = np.frombuffer(b"".join(coded), "<i4")[np.repeat(starts[at] - (after - n), n) + np.arange(int(n.sum()))]
+        return ids, np.diff(after[ends], prepend=0)
 
 
 @lru_cache(maxsize=4)
@@ -106,20 +157,18 @@ def encoder(path: str) -> Encoder:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode, end = encoder(path), np.array([end_id], "<i4").tobytes()
+    encode = encoder(path).encode_all
     file_no, start = TaskContext.get().partitionId(), 0
     for batch in batches:
         for first in range(0, batch.num_rows, 1000):
             part = batch.slice(first, 1000)
-            coded = [encode(t.as_py() or "") + end for t in part.column("text")]
-            sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+            ids, sizes = encode(part.column("text"), end_id)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array(sizes), pa.array(start + offsets[:-1]),
                     pa.array(np.full(len(sizes), file_no, np.int32)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                 ],
                 SCHEMA.fieldNames(),
             )
