@@ -763,3 +763,24 @@ def test_batches_equal_the_library(sf_dir):
     plain, enc.plain = enc.plain, type("Spy", (), {"encode_batch_fast": lambda _, x, **k: learnt.extend(x) or plain.encode_batch_fast(x, **k)})()
     enc.encode_all(pa.array(["zyxwvq, (zyxwvq) zyxwvq! \u201czyxwvq\u201d"]), 2)
     assert " ".join(learnt).count("zyxwvq") == 1  # a word is encoded once, whatever stands around it
+
+
+def test_runs_are_counted_by_slices(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(120)
+    level, tables = lm._level, []
+
+    def spied(runs, *rest):
+        tables.append(runs.count())
+        return level(runs, *rest)
+
+    monkeypatch.setattr(lm, "_level", spied)
+    scores, shares = [], []
+    for slices in (1, 4):
+        monkeypatch.setattr(lm, "SLICES", slices)
+        scores.append({r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_texts(docs).collect()})
+        shares.append(tables[:])
+        tables.clear()
+    assert scores[0] == scores[1] and len(shares[1]) == 4 * len(shares[0])
+    for k, whole in enumerate(shares[0]):  # a slice's runs alone are on disk
+        part = shares[1][4 * k : 4 * k + 4]
+        assert sum(part) == whole and max(part) < 0.6 * whole

@@ -56,8 +56,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 FLUSH = 400_000
 #: Rows of a batch that goes to the JVM, which holds a batch outside its heap.
 SENT_ROWS = 1 << 16
-#: Slices of the contexts of a depth that are handled one after the other.
-SLICES = 2
+#: Slices of the contexts of a depth that are counted and joined one after the other; a power of two.
+SLICES = 4
 #: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
 SKETCH_BITS, RANGE_KEYS = 39, 4_000_000
 #: Look-ups and texts of a batch that asks the table, at most; a longer text is a batch of its own.
@@ -183,8 +183,8 @@ def _pair_bitmap(train: DataFrame, words, n_tokens: int) -> Bitmap:
     return gathered(blobs.groupBy("range").applyInArrow(_seen_twice, "at long, bits long"))
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int) -> Iterator[pa.RecordBatch]:
-    """Runs of ``depth`` + 1 tokens whose parts may all occur ``LEAST`` times."""
+def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int, part: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """Runs of ``depth`` + 1 tokens whose parts may all occur ``LEAST`` times, of a slice of contexts."""
     words, shorter = maps.value
 
     def parts():
@@ -193,51 +193,52 @@ def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int) -> Iterator
                 if depth == 1:
                     ok = _pairs(keys[0], text, words) & has(shorter, keys[1])
                 else:
-                    part = has(shorter, keys[depth - 1])
-                    ok = part[1:] & part[:-1] & _inside(text, depth)
-                i = np.flatnonzero(ok)
+                    may = has(shorter, keys[depth - 1])
+                    ok = may[1:] & may[:-1] & _inside(text, depth)
+                i = np.flatnonzero(ok & (keys[depth - 1][: len(ok)] % U(slices) == part))
                 yield keys[depth][i], keys[depth - 1][i], keys[depth - 1][i + 1], np.ones(len(i), np.int64)
 
-    for part in _gathered(parts()):
-        yield from _batches(part, ["key", "ctx", "low", "n"])
+    for found in _gathered(parts()):
+        yield from _batches(found, ["key", "ctx", "low", "n"])
 
 
 # the model -------------------------------------------------------------------------------------
 
 
-def _level(runs: DataFrame, lower: DataFrame, keep: Tables, floor: float, kl: float, kappa: float) -> list[DataFrame]:
-    """``runs`` of a depth with candidate contexts: own log10 probability, what an entry corrects, the
-    context's total, weight of falling back, and whether it diverges.
+def _slice(key: str, part: int):
+    """Whether an unsigned key is of a slice."""
+    return F.pmod(F.col(key), F.lit(SLICES)) == part
+
 
-    Contexts are handled in slices of a hash, so that only a slice's shuffles are on disk at a time.
+def _level(runs: DataFrame, lower: DataFrame, keep: Tables, part: int, floor: float, kl: float, kappa: float) -> DataFrame:
+    """A slice's ``runs`` with candidate contexts: own log10 probability, what an entry corrects, the
+    context's total, weight of falling back, and whether it diverges.
     """
     c, one = F.col, F.lit(1.0)
     lower = lower.filter(c("n") >= LEAST)
     # keys are unique on this side, so hash tables stay small and nothing is sorted
     under = lower.select(c("key").alias("low"), c("p").alias("under")).hint("shuffle_hash")
-    totals = lower.filter(c("n") >= floor).select(c("key").alias("ctx"), c("n").alias("total")).hint("shuffle_hash")
-    out = []
-    for i in range(SLICES):
-        mine = F.pmod("ctx", F.lit(SLICES)) == i
-        part = runs.filter(mine).join(under, "low").join(totals.filter(mine).hint("shuffle_hash"), "ctx")
-        share = c("n") / c("total")
-        states = part.groupBy("ctx").agg(
-            F.first("total").alias("of"), F.sum("n").alias("stored"),
-            F.sum(share * (F.log(share) - c("under") * math.log(10))).alias("gain"),
-            F.sum(F.pow(F.lit(10.0), "under")).alias("covered"),
-        )
-        rest = (c("of") - c("stored")) / c("of")
-        tail = rest * (F.log(rest) - F.log(F.greatest(one - c("covered"), F.lit(1e-12))))
-        left = c("of") - c("stored") + F.lit(kappa)
-        states = states.select(
-            "ctx", left.alias("left"), F.log10(left / (c("of") + F.lit(kappa))).alias("back"),
-            (c("gain") + F.when(rest > 0, tail).otherwise(0.0) >= F.lit(kl)).alias("diverges"),
-        )
-        own = F.log10((c("n") + c("left") * F.pow(F.lit(10.0), "under")) / (c("total") + F.lit(kappa)))
-        out.append(keep(part.join(states.hint("shuffle_hash"), "ctx").select(
-            "key", "ctx", "low", "n", "total", own.alias("p"), (own - c("under") - c("back")).alias("value"), "back", "diverges"
-        )))
-        free(keep.spark)
+    totals = lower.filter(c("n") >= floor).filter(_slice("key", part))
+    totals = totals.select(c("key").alias("ctx"), c("n").alias("total")).hint("shuffle_hash")
+    rows = runs.join(under, "low").join(totals, "ctx")
+    share = c("n") / c("total")
+    states = rows.groupBy("ctx").agg(
+        F.first("total").alias("of"), F.sum("n").alias("stored"),
+        F.sum(share * (F.log(share) - c("under") * math.log(10))).alias("gain"),
+        F.sum(F.pow(F.lit(10.0), "under")).alias("covered"),
+    )
+    rest = (c("of") - c("stored")) / c("of")
+    tail = rest * (F.log(rest) - F.log(F.greatest(one - c("covered"), F.lit(1e-12))))
+    left = c("of") - c("stored") + F.lit(kappa)
+    states = states.select(
+        "ctx", left.alias("left"), F.log10(left / (c("of") + F.lit(kappa))).alias("back"),
+        (c("gain") + F.when(rest > 0, tail).otherwise(0.0) >= F.lit(kl)).alias("diverges"),
+    )
+    own = F.log10((c("n") + c("left") * F.pow(F.lit(10.0), "under")) / (c("total") + F.lit(kappa)))
+    out = keep(rows.join(states.hint("shuffle_hash"), "ctx").select(
+        "key", "ctx", "low", "n", "total", own.alias("p"), (own - c("under") - c("back")).alias("value"), "back", "diverges"
+    ))
+    free(keep.spark)
     return out
 
 
@@ -245,8 +246,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
 
-def _weights(words: DataFrame, levels: list[DataFrame], keep: Tables) -> DataFrame:
-    """(key, longer, n, value): what a run of the key adds to a text's score.
+def _weights(words: DataFrame, levels: list[list[DataFrame]], keep: Tables) -> DataFrame:
+    """(key, longer, n, value): what a run of the key adds to a text's score. ``levels`` has each
+    depth's slices, which are dropped once read.
 
     Every token has the log probability of an unknown word already; a word adds the logarithm
     of its count + 1 to that.
@@ -254,19 +256,25 @@ def _weights(words: DataFrame, levels: list[DataFrame], keep: Tables) -> DataFra
     c = F.col
     longer, above = [], None
     for depth in range(len(levels), 0, -1):
-        level = levels[depth - 1]
-        states = level.groupBy("ctx").agg(*(F.first(x).alias(x) for x in ("total", "back", "diverges")))
-        entries, some = level.filter("diverges"), states.filter("diverges")
+        slices, forced, found = levels[depth - 1], None, []
         if above is not None:  # the suffixes of longer states are states, too
-            forced = level.select("key", "low").join(above.select(c("ctx").alias("key")), "key", "left_semi")
+            forced = _union(slices).select("key", "low").join(_union(above).select(c("ctx").alias("key")), "key", "left_semi")
             forced = keep(forced.select(c("low").alias("ctx")).distinct())
-            entries = entries.union(level.filter("NOT diverges").join(forced, "ctx", "left_semi").select(*level.columns))
-            some = some.union(states.filter("NOT diverges").join(forced, "ctx", "left_semi"))
-        above = keep(some.select("ctx", c("total").alias("n"), "back"))
-        longer.append(keep(entries.select("key", "n", "value")))
+        for part, level in enumerate(slices):
+            states = level.groupBy("ctx").agg(*(F.first(x).alias(x) for x in ("total", "back", "diverges")))
+            entries, some = level.filter("diverges"), states.filter("diverges")
+            if forced is not None:
+                mine = forced.filter(_slice("ctx", part))
+                entries = entries.union(level.filter("NOT diverges").join(mine, "ctx", "left_semi").select(*level.columns))
+                some = some.union(states.filter("NOT diverges").join(mine, "ctx", "left_semi"))
+            found.append(keep(some.select("ctx", c("total").alias("n"), "back")))
+            longer.append(keep(entries.select("key", "n", "value")))
+            keep.drop(level)
+            free(keep.spark)
+        above = found
         if depth > 1:
-            longer.append(above.select(c("ctx").alias("key"), "n", c("back").alias("value")))
-        free(keep.spark)
+            longer += [x.select(c("ctx").alias("key"), "n", c("back").alias("value")) for x in above]
+    above = _union(above)
     runs = _union(longer).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
     gain = F.log10(c("n") + 1)
     first = words.join(above.select(c("ctx").alias("key"), "back"), "key", "left").select(
@@ -496,15 +504,17 @@ def score_texts(
     shorter = _pair_bitmap(train, sent, n)
     sent.destroy()
     for k in range(1, depth + 1):
-        maps = send((words, shorter))
-        runs = train.mapInArrow(partial(_count_runs, maps=maps, depth=k), "key long, ctx long, low long, n long")
-        runs = keep(runs.groupBy("key", "ctx", "low").agg(summed).filter(often))
+        maps, levelled = send((words, shorter)), []
+        for part in range(SLICES):  # only a slice's shuffles are on disk at a time
+            count = partial(_count_runs, maps=maps, depth=k, part=part, slices=SLICES)
+            runs = train.mapInArrow(count, "key long, ctx long, low long, n long")
+            runs = keep(runs.groupBy("key", "ctx", "low").agg(summed).filter(often))
+            free(spark)
+            levelled.append(_level(runs, lower, keep, part, floor, kl, kappa))
+            keep.drop(runs)
         maps.destroy()
-        free(spark)
-        slices = _level(runs, lower, keep, floor, kl, kappa)
-        keep.drop(runs)
-        levels.append(_union(slices))
-        lower = levels[-1].select("key", "n", "p")
+        levels.append(levelled)
+        lower = _union(levelled).select("key", "n", "p")
         if k < depth:
             shorter = bitmap(lower)
     nothing = -math.log10(n + v + 1)
