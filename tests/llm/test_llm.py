@@ -784,3 +784,24 @@ def test_runs_are_counted_by_slices(spark, sf_dir, monkeypatch):
     for k, whole in enumerate(shares[0]):  # a slice's runs alone are on disk
         part = shares[1][4 * k : 4 * k + 4]
         assert sum(part) == whole and max(part) < 0.6 * whole
+
+
+def test_lm_sends_rows_packed_and_sums_those_of_a_key():
+    import pyarrow as pa
+
+    from treelens.llm.coded import pack, unpack
+
+    rng, n = np.random.default_rng(5), 50_000
+    keys = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+    others, counts = rng.integers(0, 2**64, n, dtype=np.uint64), rng.integers(1, 9, n).astype(np.uint64)
+    blob = pack(keys, others, counts)
+    assert all((a == b).all() for a, b in zip(unpack(blob, 3), (keys, others, counts)))
+    assert len(blob) < 17 * n  # in rows of longs 24
+    # a word's own weight and its weight as a context come in two rows; 12 is not known
+    weight = lambda key, n, value: pack(np.array([key], np.uint64), np.array([n]), np.array([value]))
+    asked = pack(np.array([7, 7, 9, 12], np.uint64), np.array([0, 3, 3, 1], np.uint64))
+    rows = lm._blobs([0] * 4, [lm.WEIGHT] * 3 + [lm.ASK], [None] * 3 + [5], [weight(7, 4, 0.5), weight(7, 0, -0.25), weight(9, 0, 2.0), asked])
+    got = pa.Table.from_batches(lm._answer(iter([rows]))).to_pylist()
+    assert [r["batch"] for r in got] == [5] and np.frombuffer(got[0]["texts"], np.uint32).tolist() == [0, 3]
+    assert np.frombuffer(got[0]["known"], np.uint32).tolist() == [1, 1]
+    assert np.allclose(np.frombuffer(got[0]["base"]), math.log10(5)) and np.frombuffer(got[0]["score"]).tolist() == [0.25, 2.25]

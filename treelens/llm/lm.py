@@ -16,7 +16,8 @@ The thresholds are counts, so the model grows with the corpus; it is a distribut
 Most pairs of words occur once, so pairs are counted in two steps: tasks hand on sorted,
 delta-coded hashes of 39 bits, from which a bitmap of what may occur ``LEAST`` times is
 made; exact counts follow for those. Longer runs are counted if their parts occur often
-enough.
+enough. Runs go to ranges of keys sorted and packed, many to a row: to the range of the run without its first
+word, where they are summed and meet its probability, then to the range of their context, where they meet its total.
 
 A text's score is a sum over its runs: a word adds its log frequency and, as a state, the
 weight of falling back; a longer run adds what it corrects. So the texts ask the table:
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
 from treelens.llm.bitmaps import BITS, Bitmap, bitmap, gathered, has, words_of
-from treelens.llm.coded import code, decode, range_bounds
+from treelens.llm.coded import code, decode, pack, range_bounds, unpack
 from treelens.llm.common import Tables, free, ship
 
 P_WORD, P_ENTRY = 1e-6, 1e-6
@@ -57,9 +58,13 @@ FLUSH = 400_000
 #: Rows of a batch that goes to the JVM, which holds a batch outside its heap.
 SENT_ROWS = 1 << 16
 #: Slices of the contexts of a depth that are counted and joined one after the other; a power of two.
-SLICES = 4
+SLICES = 2
+#: Slices of the texts that are scored one after the other, so that only a slice's questions are on disk at a time.
+TEXT_SLICES = 2
 #: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
 SKETCH_BITS, RANGE_KEYS = 39, 4_000_000
+#: Weights in a range of keys, on average.
+RANGE_WEIGHTS = 2_000_000
 #: Look-ups and texts of a batch that asks the table, at most; a longer text is a batch of its own.
 ASKED, ASKING = 1_000_000, 20_000
 
@@ -127,11 +132,85 @@ def _gathered(parts: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def _batches(columns: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
+    whole = pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype.kind == "u" else c) for c in columns], names)
     for first in range(0, whole.num_rows, SENT_ROWS):
         yield whole.slice(first, SENT_ROWS)
 
 
+# packed rows -----------------------------------------------------------------------------------
+
+#: Kinds of rows that go to a range of keys: what is looked up, what looks, then what only passes.
+LOOK, RUN = 0, 1
+WEIGHT, ASK, OWN = 0, 1, 2
+PACKED = "range int, kind int, batch long, blob binary"
+
+
+def _packed(kind: int, ranges: int, columns: tuple, batch: int | None = None) -> pa.RecordBatch:
+    """Rows of 64-bit values by the range that their first lies in."""
+    order = np.argsort(columns[0].view(U), kind="stable")
+    columns = [c[order] for c in columns]
+    cuts = [0, *np.searchsorted(columns[0].view(U), range_bounds(ranges)).tolist(), len(order)]
+    some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+    blobs = [pack(*(c[cuts[i] : cuts[i + 1]] for c in columns)) for i in some]
+    return _blobs(some, [kind] * len(some), [batch] * len(some), blobs)
+
+
+def _blobs(ranges: list, kinds: list, batches: list, blobs: list) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    columns = [pa.array(c, t) for c, t in zip((ranges, kinds, batches, blobs), types)]
+    return pa.RecordBatch.from_arrays(columns, ["range", "kind", "batch", "blob"])
+
+
+def _send(batches: Iterator[pa.RecordBatch], kind: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """All columns of a table, packed."""
+    held, n = [], 0
+    for b in batches:
+        held.append([c.to_numpy() for c in b.columns])
+        n += b.num_rows
+        if n > ASKED:
+            yield _packed(kind, ranges, [np.concatenate(c) for c in zip(*held)])
+            held, n = [], 0
+    if n:
+        yield _packed(kind, ranges, [np.concatenate(c) for c in zip(*held)])
+
+
+def _sent(table: DataFrame, kind: int, ranges: int) -> DataFrame:
+    return table.mapInArrow(partial(_send, kind=kind, ranges=ranges), PACKED)
+
+
+def _by_range(sent: DataFrame, ranges: int) -> DataFrame:
+    return sent.repartitionById(ranges, "range").sortWithinPartitions("range", "kind")
+
+
+def _met(batches: Iterator[pa.RecordBatch], looked: int, looking: int) -> Iterator[tuple[list, list]]:
+    """Columns of what is looked up, sorted, and of what looks, of one range after the other that has both."""
+    at, parts = None, ([], [])
+    for b in batches:
+        for of, kind, blob in zip(b.column("range").to_pylist(), b.column("kind").to_pylist(), b.column("blob")):
+            if of != at:
+                if all(parts):
+                    yield _whole(parts)
+                at, parts = of, ([], [])
+            parts[kind].append(unpack(blob.as_py(), (looked, looking)[kind]))
+    if all(parts):
+        yield _whole(parts)
+
+
+def _whole(parts: tuple[list, list]) -> tuple[list, list]:
+    table, rows = ([np.concatenate(c) for c in zip(*x)] for x in parts)
+    for x in parts:
+        x.clear()
+    order = np.argsort(table[0], kind="stable")
+    return [c[order] for c in table], rows
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 # counting --------------------------------------------------------------------------------------
 
 
@@ -183,7 +262,7 @@ def _pair_bitmap(train: DataFrame, words, n_tokens: int) -> Bitmap:
     return gathered(blobs.groupBy("range").applyInArrow(_seen_twice, "at long, bits long"))
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int, part: int, slices: int) -> Iterator[pa.RecordBatch]:
+def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int, part: int, slices: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Runs of ``depth`` + 1 tokens whose parts may all occur ``LEAST`` times, of a slice of contexts."""
     words, shorter = maps.value
 
@@ -198,8 +277,21 @@ def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int, part: int,
                 i = np.flatnonzero(ok & (keys[depth - 1][: len(ok)] % U(slices) == part))
                 yield keys[depth][i], keys[depth - 1][i], keys[depth - 1][i + 1], np.ones(len(i), np.int64)
 
-    for found in _gathered(parts()):
-        yield from _batches(found, ["key", "ctx", "low", "n"])
+    for key, ctx, low, n in _gathered(parts()):
+        yield _packed(RUN, ranges, (low, key, ctx, n))
+
+
+RUNS = "key long, ctx long, low long, n long, under double"
+
+
+def _sum_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that occur ``LEAST`` times, with the log10 probability of their last token after the shorter context."""
+    for (known, p), (low, key, ctx, n) in _met(batches, 2, 4):
+        key, ctx, low, n = _merged([(key, ctx, low, n.view(np.int64))])
+        at, hit = _found(known, low)
+        hit &= n >= LEAST
+        found = (key[hit], ctx[hit], low[hit], n[hit], p.view(float)[at[hit]])
+        yield from _batches(found, [c.split()[0] for c in RUNS.split(", ")])
 
 
 # the model -------------------------------------------------------------------------------------
@@ -210,34 +302,57 @@ def _slice(key: str, part: int):
     return F.pmod(F.col(key), F.lit(SLICES)) == part
 
 
-def _level(runs: DataFrame, lower: DataFrame, keep: Tables, part: int, floor: float, kl: float, kappa: float) -> DataFrame:
-    """A slice's ``runs`` with candidate contexts: own log10 probability, what an entry corrects, the
-    context's total, weight of falling back, and whether it diverges.
-    """
-    c, one = F.col, F.lit(1.0)
-    lower = lower.filter(c("n") >= LEAST)
-    # keys are unique on this side, so hash tables stay small and nothing is sorted
-    under = lower.select(c("key").alias("low"), c("p").alias("under")).hint("shuffle_hash")
-    totals = lower.filter(c("n") >= floor).filter(_slice("key", part))
-    totals = totals.select(c("key").alias("ctx"), c("n").alias("total")).hint("shuffle_hash")
-    rows = runs.join(under, "low").join(totals, "ctx")
-    share = c("n") / c("total")
-    states = rows.groupBy("ctx").agg(
-        F.first("total").alias("of"), F.sum("n").alias("stored"),
-        F.sum(share * (F.log(share) - c("under") * math.log(10))).alias("gain"),
-        F.sum(F.pow(F.lit(10.0), "under")).alias("covered"),
-    )
-    rest = (c("of") - c("stored")) / c("of")
-    tail = rest * (F.log(rest) - F.log(F.greatest(one - c("covered"), F.lit(1e-12))))
-    left = c("of") - c("stored") + F.lit(kappa)
-    states = states.select(
-        "ctx", left.alias("left"), F.log10(left / (c("of") + F.lit(kappa))).alias("back"),
-        (c("gain") + F.when(rest > 0, tail).otherwise(0.0) >= F.lit(kl)).alias("diverges"),
-    )
-    own = F.log10((c("n") + c("left") * F.pow(F.lit(10.0), "under")) / (c("total") + F.lit(kappa)))
-    out = keep(rows.join(states.hint("shuffle_hash"), "ctx").select(
-        "key", "ctx", "low", "n", "total", own.alias("p"), (own - c("under") - c("back")).alias("value"), "back", "diverges"
-    ))
+#: Runs, and on the first run of a context what holds for the context.
+LEVEL = "key long, ctx long, low long, n long, p double, value double, diverges boolean, total long, back double, suffix long"
+
+
+def _value_runs(batches: Iterator[pa.RecordBatch], kl: float, kappa: float, last: bool) -> Iterator[pa.RecordBatch]:
+    """What a run corrects, and its context's total, weight of falling back, and whether it diverges."""
+    for (known, totals, lows), (ctx, key, low, n, under) in _met(batches, 3, 5):
+        order = np.lexsort((key, ctx))
+        at, hit = _found(known, ctx[order])
+        order, at = order[hit], at[hit]
+        if not len(order):
+            continue
+        ctx, key, low, n, under = ctx[order], key[order], low[order], n.view(np.int64)[order], under.view(float)[order]
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        sizes = np.diff(first, append=len(ctx))
+        of = totals.view(np.int64)[at[first]]
+        total, shorter = np.repeat(of, sizes), 10.0**under
+        share = n / total
+        stored = np.add.reduceat(n, first)
+        gain = np.add.reduceat(share * (np.log(share) - under * math.log(10)), first)
+        uncovered = np.maximum(1 - np.add.reduceat(shorter, first), 1e-12)
+        rest = (of - stored) / of
+        some = rest > 0
+        gain[some] += rest[some] * (np.log(rest[some]) - np.log(uncovered[some]))
+        left = of - stored + kappa
+        back, diverges = np.log10(left / (of + kappa)), np.repeat(gain >= kl, sizes)
+        p = np.log10((n + np.repeat(left, sizes) * shorter) / (total + kappa))
+        value = p - under - np.repeat(back, sizes)
+        others = np.ones(len(ctx), dtype=bool)
+        others[first] = False
+        at_first = lambda x: pa.array(np.repeat(x, sizes), mask=others)
+        unread = np.full(len(ctx), last)  # no longer runs ask for these
+        whole = pa.RecordBatch.from_arrays(
+            [
+                pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(low.view(np.int64), mask=unread),
+                pa.array(n), pa.array(p, mask=unread), pa.array(value, mask=unread & ~diverges), pa.array(diverges),
+                at_first(of), at_first(back), at_first(lows.view(np.int64)[at[first]]),
+            ],
+            [c.split()[0] for c in LEVEL.split(", ")],
+        )
+        for begin in range(0, whole.num_rows, SENT_ROWS):
+            yield whole.slice(begin, SENT_ROWS)
+
+
+def _level(
+    runs: DataFrame, lower: DataFrame, keep: Tables, part: int, floor: float, kl: float, kappa: float, ranges: int, last: bool,
+) -> DataFrame:
+    """A slice's ``runs`` with candidate contexts: own log10 probability, what an entry corrects, and the context's."""
+    totals = lower.filter(F.col("n") >= floor).filter(_slice("key", part)).select("key", "n", "low")
+    met = _sent(totals, LOOK, ranges).union(_sent(runs.select("ctx", "key", "low", "n", "under"), RUN, ranges))
+    out = keep(_by_range(met, ranges).mapInArrow(partial(_value_runs, kl=kl, kappa=kappa, last=last), LEVEL))
     free(keep.spark)
     return out
 
@@ -246,59 +361,36 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
 
-def _weights(words: DataFrame, levels: list[list[DataFrame]], keep: Tables) -> DataFrame:
-    """(key, longer, n, value): what a run of the key adds to a text's score. ``levels`` has each
-    depth's slices, which are dropped once read.
+def _weights(words: DataFrame, levels: list[DataFrame], keep: Tables) -> DataFrame:
+    """(key, longer, n, count, value): what a run of the key adds to a text's score, in one or two rows.
+    ``count`` is a word's own, in one row.
 
     Every token has the log probability of an unknown word already; a word adds the logarithm
     of its count + 1 to that.
     """
-    c = F.col
-    longer, above = [], None
+    c, forced, out = F.col, None, []
     for depth in range(len(levels), 0, -1):
-        slices, forced, found = levels[depth - 1], None, []
-        if above is not None:  # the suffixes of longer states are states, too
-            forced = _union(slices).select("key", "low").join(_union(above).select(c("ctx").alias("key")), "key", "left_semi")
-            forced = keep(forced.select(c("low").alias("ctx")).distinct())
-        for part, level in enumerate(slices):
-            states = level.groupBy("ctx").agg(*(F.first(x).alias(x) for x in ("total", "back", "diverges")))
-            entries, some = level.filter("diverges"), states.filter("diverges")
-            if forced is not None:
-                mine = forced.filter(_slice("ctx", part))
-                entries = entries.union(level.filter("NOT diverges").join(mine, "ctx", "left_semi").select(*level.columns))
-                some = some.union(states.filter("NOT diverges").join(mine, "ctx", "left_semi"))
-            found.append(keep(some.select("ctx", c("total").alias("n"), "back")))
-            longer.append(keep(entries.select("key", "n", "value")))
-            keep.drop(level)
+        states = levels[depth - 1].filter("diverges")
+        if forced is not None:  # the suffixes of longer states are states, too
+            others = levels[depth - 1].filter("NOT diverges").join(forced, "ctx", "left_semi")
+            states = states.union(keep(others.select(*states.columns)))
             free(keep.spark)
-        above = found
+        contexts = states.filter("back IS NOT NULL")
+        none = F.lit(0).cast("long").alias("count")
+        out.append(states.select("key", F.lit(True).alias("longer"), "n", none, "value"))
+        out.append(contexts.select(c("ctx").alias("key"), F.lit(depth > 1).alias("longer"), c("total").alias("n"), none, c("back").alias("value")))
         if depth > 1:
-            longer += [x.select(c("ctx").alias("key"), "n", c("back").alias("value")) for x in above]
-    above = _union(above)
-    runs = _union(longer).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
-    gain = F.log10(c("n") + 1)
-    first = words.join(above.select(c("ctx").alias("key"), "back"), "key", "left").select(
-        "key", F.lit(False).alias("longer"), "n", (gain + F.coalesce("back", F.lit(0.0))).alias("value")
-    )
-    return keep(first.union(runs.select("key", F.lit(True).alias("longer"), "n", "value")))
+            forced = keep(contexts.select(c("suffix").alias("ctx")).distinct())
+            free(keep.spark)
+    return _union([words.select("key", F.lit(False).alias("longer"), "n", c("n").alias("count"), F.log10(c("n") + 1).alias("value")), *out])
 
 
 # scoring ---------------------------------------------------------------------------------------
 
-#: Kinds of rows that go to a range of keys: weights, then what batches ask, then the batches.
-WEIGHT, ASK, OWN = 0, 1, 2
-SENT = "range int, kind int, batch long, keys binary, texts binary, own binary"
 ANSWERED = "batch long, texts binary, known binary, base binary, score binary, own binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
 def _rows(names: list[str], types: dict, columns: dict, n: int) -> pa.RecordBatch:
     """A batch with nulls where no column is given."""
     return pa.RecordBatch.from_arrays(
@@ -311,10 +403,7 @@ def _rows(names: list[str], types: dict, columns: dict, n: int) -> pa.RecordBatc
     )
 
 
-_TYPES = {
-    "range": pa.int32(), "kind": pa.int32(), "batch": pa.int64(), **{c: pa.binary() for c in ("keys", "texts", "own", "known", "base", "score")},
-}
-_SENT = [c.split()[0] for c in SENT.split(", ")]
+_TYPES = {"batch": pa.int64(), **{c: pa.binary() for c in ("texts", "own", "known", "base", "score")}}
 _ANSWERED = [c.split()[0] for c in ANSWERED.split(", ")]
 
 
@@ -326,30 +415,20 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
     bounds, number = range_bounds(ranges), TaskContext.get().partitionId() << 33
     own, keys, texts, asked, n_texts = [], [], [], 0, 0
 
-    def flush() -> pa.RecordBatch:
-        key, text = np.concatenate(keys), np.concatenate(texts)
-        order = np.argsort(key, kind="stable")
-        key, text = key[order], text[order]
-        cuts = [0, *np.searchsorted(key, bounds).tolist(), len(key)]
-        some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+    def flush() -> Iterator[pa.RecordBatch]:
+        yield _packed(ASK, ranges, (np.concatenate(keys), np.concatenate(texts).astype(U)), number)
         sink = pa.BufferOutputStream()
         table = pa.Table.from_batches(own)
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        m = len(some) + 1
-        return _rows(_SENT, _TYPES, {
-            "range": [*some, number % ranges], "kind": [ASK] * len(some) + [OWN], "batch": [number] * m,
-            "keys": [*(code(key[cuts[i] : cuts[i + 1]]) for i in some), None],
-            "texts": [*(text[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes() for i in some), None],
-            "own": [*([None] * len(some)), sink.getvalue().to_pybytes()],
-        }, m)
+        yield _blobs([number % ranges], [OWN], [number], [sink.getvalue().to_pybytes()])
 
     for batch in batches:
         is_held = np.array(batch.column("held_out").to_pylist(), dtype=bool)
         for first, sizes, text, runs in _runs(batch, depth + 1):
             n = len(sizes)
             if own and (asked > ASKED or n_texts + n > ASKING):
-                yield flush()
+                yield from flush()
                 number, own, keys, texts, asked, n_texts = number + 1, [], [], [], 0, 0
             held = is_held[first : first + n]
             known, base, score = np.zeros(n, np.int64), sizes * nothing, sizes * nothing
@@ -379,39 +458,17 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
             ))
             n_texts += n
     if own:
-        yield flush()
-
+        yield from flush()
 
-def _packed(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Weights by range, as coded keys, byte planes of the words' counts (0 for runs), and values."""
-    bounds, held, n = range_bounds(ranges), [], 0
 
-    def flush() -> pa.RecordBatch:
-        key, count, value = (np.concatenate(c) for c in zip(*held))
-        order = np.argsort(key, kind="stable")
-        key, count, value = key[order], count[order], value[order]
-        cuts = [0, *np.searchsorted(key, bounds).tolist(), len(key)]
-        some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
-        part = [slice(cuts[i], cuts[i + 1]) for i in some]
-        return _rows(_SENT, _TYPES, {
-            "range": some, "kind": [WEIGHT] * len(some), "keys": [code(key[x]) for x in part],
-            "texts": [count[x].view(np.uint8).reshape(-1, 8).T.tobytes() for x in part],
-            "own": [value[x].tobytes() for x in part],
-        }, len(some))
-
-    for b in batches:
-        held.append([b.column("key").to_numpy().view(U), b.column("n").to_numpy(), b.column("value").to_numpy()])
-        n += b.num_rows
-        if n > ASKED:
-            yield flush()
-            held, n = [], 0
-    if n:
-        yield flush()
-
-
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    counts = np.frombuffer(row["texts"], np.uint8).reshape(8, -1).T
-    return decode(row["keys"]), np.ascontiguousarray(counts).view(np.int64).ravel(), np.frombuffer(row["own"])
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (key, count, value) with one row for a key."""
+    order = np.argsort(columns[0], kind="stable")
+    key, count, value = (c[order] for c in columns)
+    first = np.flatnonzero(np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]]))
+    if not len(first):
+        return [key, count, value]
+    return [key[first], np.add.reduceat(count, first), np.add.reduceat(value, first)]
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,25 +476,22 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at_range, parts, table = None, [], None
     for rows in batches:
         for i in range(rows.num_rows):
-            row = rows.slice(i, 1)
-            of, kind = row.column("range")[0].as_py(), row.column("kind")[0].as_py()
+            of, kind, batch, blob = (rows.column(c)[i].as_py() for c in ("range", "kind", "batch", "blob"))
             if of != at_range:
-                at_range, parts, table = of, [], None
+                at_range, parts, table = of, [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0))], None
             if kind == WEIGHT:
-                parts.append(_unpacked(row.to_pylist()[0]))
+                key, count, value = unpack(blob, 3)
+                parts.append((key, count.view(np.int64), value.view(float)))
             elif kind == OWN:
-                yield _rows(_ANSWERED, _TYPES, {c: row.column(c) for c in ("batch", "own")}, 1)
+                yield _rows(_ANSWERED, _TYPES, {"batch": [batch], "own": [blob]}, 1)
             else:
                 if table is None:
-                    table = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0)]
-                    order = np.argsort(table[0], kind="stable")
-                    table, parts = [c[order] for c in table], []
-                yield _sums(row, *table)
+                    table = _summed([np.concatenate(c) for c in zip(*parts)])
+                    parts = []
+                yield _sums(batch, *unpack(blob, 2), *table)
 
 
-def _sums(ask: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    wanted = decode(ask.column("keys")[0].as_py())
-    texts = np.frombuffer(ask.column("texts")[0].as_py(), np.uint32)
+def _sums(batch: int, wanted: np.ndarray, texts: np.ndarray, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     at, hit = _found(keys, wanted)
     at, texts = at[hit], texts[hit]
     distinct, place = np.unique(texts, return_inverse=True)
@@ -445,7 +499,7 @@ def _sums(ask: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray, values: np.
     sums = [np.bincount(place, weights=w, minlength=len(distinct)) for w in ((n > 0).astype(float), np.log10(n + 1.0), values[at])]
     known, base, score = sums if len(distinct) else [np.zeros(0)] * 3
     return _rows(_ANSWERED, _TYPES, {
-        "batch": ask.column("batch"), "texts": [distinct.astype(np.uint32).tobytes()],
+        "batch": [batch], "texts": [distinct.astype(np.uint32).tobytes()],
         "known": [known.astype(np.uint32).tobytes()], "base": [base.tobytes()], "score": [score.tobytes()],
     }, 1)
 
@@ -468,10 +522,9 @@ def _together(table: pa.Table) -> pa.Table:
 
 
 def _asked(texts: DataFrame, weights: DataFrame, model, depth: int, nothing: float, ranges: int) -> DataFrame:
-    asks = texts.mapInArrow(partial(_ask, model=model, depth=depth, nothing=nothing, ranges=ranges), SENT)
-    known = weights.select("key", F.when(F.col("longer"), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n"), "value")
-    sent = known.mapInArrow(partial(_packed, ranges=ranges), SENT).union(asks)
-    met = sent.repartitionById(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(_answer, ANSWERED)
+    asks = texts.mapInArrow(partial(_ask, model=model, depth=depth, nothing=nothing, ranges=ranges), PACKED)
+    sent = _sent(weights.select("key", "count", "value"), WEIGHT, ranges).union(asks)
+    met = _by_range(sent, ranges).mapInArrow(_answer, ANSWERED)
     return met.groupBy("batch").applyInArrow(_together, SCORED)
 
 
@@ -498,39 +551,44 @@ def score_texts(
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = F.col("n") >= LEAST
     words = bitmap(counts.filter(often))
-    lower = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"))
+    lower = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"), F.lit(0).cast("long").alias("low"))
     floor, levels = max(float(LEAST), p_context * n), []
+    least = spark.sparkContext.defaultParallelism
+    ranges = max(least, -(-n // RANGE_KEYS))
     sent = send(words)
     shorter = _pair_bitmap(train, sent, n)
     sent.destroy()
     for k in range(1, depth + 1):
         maps, levelled = send((words, shorter)), []
         for part in range(SLICES):  # only a slice's shuffles are on disk at a time
-            count = partial(_count_runs, maps=maps, depth=k, part=part, slices=SLICES)
-            runs = train.mapInArrow(count, "key long, ctx long, low long, n long")
-            runs = keep(runs.groupBy("key", "ctx", "low").agg(summed).filter(often))
+            count = partial(_count_runs, maps=maps, depth=k, part=part, slices=SLICES, ranges=ranges)
+            met = _sent(lower.filter(often).select("key", "p"), LOOK, ranges).union(train.mapInArrow(count, PACKED))
+            runs = keep(_by_range(met, ranges).mapInArrow(_sum_runs, RUNS))
             free(spark)
-            levelled.append(_level(runs, lower, keep, part, floor, kl, kappa))
+            levelled.append(_level(runs, lower, keep, part, floor, kl, kappa, ranges, k == depth))
             keep.drop(runs)
         maps.destroy()
-        levels.append(levelled)
-        lower = _union(levelled).select("key", "n", "p")
+        levels.append(_union(levelled))
+        lower = levels[-1].select("key", "n", "p", "low")
         if k < depth:
             shorter = bitmap(lower)
     nothing = -math.log10(n + v + 1)
     weights = _weights(counts, levels, keep)
-    keep.drop_but(weights)
-    free(spark)
     share = F.when(F.col("longer"), F.lit(p_entry * n)).otherwise(F.lit(p_word * n))
-    hot = weights.filter(F.col("n") >= share).select("key", "longer", "n", "value").toArrow()
-    keys = hot.column("key").to_numpy().view(U)
-    order = np.argsort(keys)
-    base = np.where(hot.column("longer").to_numpy(), 0.0, np.log10(hot.column("n").to_numpy() + 1.0))
-    hot = (keys[order], base[order], hot.column("value").to_numpy()[order])
+    hot = weights.filter(F.col("n") >= share).select("key", "count", "value").toArrow()
+    key, count, value = (hot.column(c).to_numpy() for c in ("key", "count", "value"))
+    key, count, value = _summed([key.view(U), count, value])
+    hot = (key, np.log10(count + 1.0), value)
     model = send((words, bitmap(weights.filter("longer")), hot))
     rare = weights.filter(F.col("n") < share)
-    ranges = max(spark.sparkContext.defaultParallelism, -(-rare.count() // RANGE_KEYS))
-    out = _asked(texts, rare, model, depth, nothing, ranges)
-    return out.select(
+    ranges = max(least, -(-rare.count() // RANGE_WEIGHTS))
+    scored = []
+    for part in range(TEXT_SLICES):
+        mine = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(TEXT_SLICES)) == part)
+        scored.append(keep(_asked(mine, rare, model, depth, nothing, ranges)))
+        free(spark)
+    model.destroy()
+    keep.drop_but(*scored)
+    return _union(scored).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
