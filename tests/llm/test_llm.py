@@ -805,3 +805,19 @@ def test_lm_sends_rows_packed_and_sums_those_of_a_key():
     assert [r["batch"] for r in got] == [5] and np.frombuffer(got[0]["texts"], np.uint32).tolist() == [0, 3]
     assert np.frombuffer(got[0]["known"], np.uint32).tolist() == [1, 1]
     assert np.allclose(np.frombuffer(got[0]["base"]), math.log10(5)) and np.frombuffer(got[0]["score"]).tolist() == [0.25, 2.25]
+
+
+def test_known_words_are_not_encoded_again():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    enc, lib = token_store.Encoder(path), Tokenizer.from_file(path)
+    learnt = []
+    plain, enc.plain = enc.plain, type("Spy", (), {"encode_batch_fast": lambda _, x, **k: learnt.extend(x) or plain.encode_batch_fast(x, **k)})()
+    texts = ["zyxwvq it's 42", "(zyxwvq), zyxwvq's\t42% ''re-zyxwvq!", "", "zyxwvq 42zyxwvq", None]
+    for t in texts:
+        ids, sizes = enc.encode_all(pa.array([t, t], pa.string()), 2)
+        want = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert ids.tolist() == 2 * want and sizes.tolist() == 2 * [len(want)]
+    assert " ".join(learnt).split().count("zyxwvq") == 1

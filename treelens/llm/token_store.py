@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from treelens.llm.common import cut, ship
 #: Bytes of text in a file, on average.
 FILE_BYTES = 32 << 20
 #: Unknown chunks that are encoded at a time.
-LEARNT = 10_000
+LEARNT = 40_000
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -83,27 +83,34 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode the different words of unknown chunks as one text; the ends of words tell them apart."""
-        split = self.split
-        cut = [[c] if c.isalpha() else split(c) for c in chunks]
-        words = list({w for ws in cut for w in ws})
+        split, known = self.split, self.known
+        alone = list(filter(str.isalpha, chunks))
+        others = list(filterfalse(str.isalpha, chunks))
+        cut = list(map(split, others))
+        # a word that was a chunk has the same ids in another chunk
+        inside = set(chain.from_iterable(cut))
+        words = list(inside.union(alone).difference(known))
         joined = self.plain.encode_batch_fast([" ".join(words).translate(_SYMBOLS)], add_special_tokens=False)[0]
         ids = np.array(joined.ids, "<i4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
             for c in chunks:
                 own = self.tok.encode(c, add_special_tokens=False).ids
-                self.known[c] = np.array(own, "<i4").tobytes()
+                known[c] = np.array(own, "<i4").tobytes()
             return
         data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
         coded = dict(zip(words, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
-        self.known.update((c, b"".join(map(coded.__getitem__, ws))) for c, ws in zip(chunks, cut))
+        met = list(filter(known.__contains__, inside))
+        coded.update(zip(met, map(known.__getitem__, met)))
+        known.update(zip(alone, map(coded.__getitem__, alone)))
+        known.update(zip(others, map(b"".join, map(partial(map, coded.__getitem__), cut))))
 
     def _coded(self, chunks: list[str]) -> list[bytes]:
         """Ids of different chunks of common characters, in lower case."""
-        new = [c for c in chunks if c not in self.known]
+        new = list(filterfalse(self.known.__contains__, chunks))
         if new and len(self.known) + len(new) > P.CACHE_ENTRIES:  # those met first are the most frequent
             self.known = dict(islice(self.known.items(), P.CACHE_ENTRIES // 4))
-            new = [c for c in chunks if c not in self.known]
+            new = list(filterfalse(self.known.__contains__, chunks))
         for i in range(0, len(new), LEARNT):
             self._learn(new[i : i + LEARNT])
         return list(map(self.known.__getitem__, chunks))
@@ -124,7 +131,7 @@ class Encoder:
         plain = pa.array(["" if i in own else t.lower() for i, t in enumerate(listed)], pa.large_string())
         chunks = pc.ascii_split_whitespace(plain)
         distinct = chunks.flatten().dictionary_encode()
-        coded = self._coded(distinct.dictionary.to_pylist())
+        coded = self._coded(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
         # after the chunks' ids: the end's, then those of whole texts
         coded = [*coded, np.array([end_id], "<i4").tobytes(), *own.values()]
         m, lengths = len(distinct.dictionary), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
@@ -142,10 +149,10 @@ class Encoder:
             missing = begin == end
             at = np.insert(at, end[missing], place[missing])
             ends = ends + np.cumsum(np.bincount(np.array(list(own))[missing], minlength=len(listed)).astype(np.int64))
-        n = lengths[at]
-        after = np.cumsum(n)
-        ids = np.frombuffer(b"".join(coded), "<i4")[np.repeat(starts[at] - (after - n), n) + np.arange(int(n.sum()))]
-        return ids, np.diff(after[ends], prepend=0)
+        after = np.cumsum(lengths[at])
+        offsets = np.append(starts, starts[-1] + lengths[-1]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+        return lists.take(pa.array(at)).values.to_numpy(), np.diff(after[ends], prepend=0)
 
 
 @lru_cache(maxsize=4)
