@@ -171,6 +171,10 @@ class PrefixCounter:
         except KeyError:
             return sum(map(self.count_piece, ps))
 
+    def at(self, text: str, n: int) -> int:
+        """Tokens of the text's first ``n`` characters."""
+        return self.table(text)[n]
+
     def fits(self, text: str, budget: int) -> int:
         """Most characters of a prefix within the budget."""
         counts = self.table(text)
