@@ -821,3 +821,50 @@ def test_known_words_are_not_encoded_again():
         want = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         assert ids.tolist() == 2 * want and sizes.tolist() == 2 * [len(want)]
     assert " ".join(learnt).split().count("zyxwvq") == 1
+
+
+def test_words_are_told_apart_by_eight_bytes_at_once():
+    import pyarrow as pa
+
+    from treelens.llm import shingles as S
+
+    rng = random.Random(1)
+    some = ["a", "B", "b", "Z", " ", "\n", "\t", "é", "漢", "\x0b", "\0", "x" * 9, "Y" * 17, "q" * 130, "Q" * 128, "abcdefgh", "  "]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts += ["", None, "a" * 100, "A" * 100, "a", "a\0", "a\0\0", " ", "w"]
+    keys = {}
+    for i in range(0, len(texts), 37):
+        for _, data, offsets in S.pieces(pa.array(texts[i : i + 37], pa.string())):
+            (old, sizes), (new, counts) = S.word_hashes(data, offsets), S.word_keys(data, offsets)
+            assert counts.tolist() == sizes.tolist() and len(new) == len(old)
+            assert all(keys.setdefault(a, b) == b for a, b in zip(old.tolist(), new.tolist()))
+    assert len(set(keys.values())) == len(keys) > 500
+
+
+def test_lm_looks_up_keys_by_their_first_bits():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 40_000):
+        keys = np.unique(np.concatenate([rng.integers(0, 2**64, n, dtype=np.uint64), np.arange(n // 2, dtype=np.uint64), ~np.arange(n // 9, dtype=np.uint64)]))
+        wanted = np.concatenate([rng.permutation(keys), rng.integers(0, 2**64, 9000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at, hit = lm.Index(keys).found(wanted)
+        assert (hit == np.isin(wanted, keys)).all() and (keys[at[hit]] == wanted[hit]).all()
+
+
+def test_lm_packs_its_weights_once(spark, sf_dir, monkeypatch):
+    from treelens.llm import bitmaps
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(120)
+    asked, seen = lm._asked, []
+
+    def spied(texts, weights, *rest):
+        rows = weights.collect()
+        seen.append([(r.kind, len(lm.unpack(r.blob, 3)[0])) for r in rows if r.kind in (lm.WEIGHT, lm.HOT)])
+        return asked(texts, weights, *rest)
+
+    monkeypatch.setattr(lm, "_asked", spied)
+    lm.score_texts(docs, p_word=1e-3, p_entry=1e-3)
+    packed = seen[0]
+    assert {k for k, _ in packed} == {lm.WEIGHT, lm.HOT} and sum(n for _, n in packed) > 20 * len(packed)
+    keys = spark.range(0, 200_000, 1, 4).selectExpr("xxhash64(id) AS key")
+    assert (bitmaps.bits_of(keys).words == bitmaps.bitmap(keys).words).all()
+    assert not bitmaps.bits_of(keys.limit(0)).words.any()

@@ -40,11 +40,12 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
-from treelens.llm.bitmaps import BITS, Bitmap, bitmap, gathered, has, words_of
+from treelens.llm.bitmaps import BITS, PART, Bitmap, bits_of, has, joined, part_rows, parts_of
 from treelens.llm.coded import code, decode, pack, range_bounds, unpack
 from treelens.llm.common import Tables, free, ship
 
@@ -59,12 +60,8 @@ FLUSH = 400_000
 SENT_ROWS = 1 << 16
 #: Slices of the contexts of a depth that are counted and joined one after the other; a power of two.
 SLICES = 2
-#: Slices of the texts that are scored one after the other, so that only a slice's questions are on disk at a time.
-TEXT_SLICES = 2
 #: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
 SKETCH_BITS, RANGE_KEYS = 39, 4_000_000
-#: Weights in a range of keys, on average.
-RANGE_WEIGHTS = 2_000_000
 #: Look-ups and texts of a batch that asks the table, at most; a longer text is a batch of its own.
 ASKED, ASKING = 1_000_000, 20_000
 
@@ -86,7 +83,7 @@ def _runs(batch: pa.RecordBatch, longest: int) -> Iterator[tuple]:
     Keys of k tokens are listed by their first token; runs across texts are to be left out.
     """
     for first, data, offsets in S.pieces(batch.column("text")):
-        hashes, counts = S.word_hashes(data, offsets)
+        hashes, counts = S.word_keys(data, offsets)
         sizes = counts + 1
         ends = np.zeros(int(sizes.sum()), dtype=bool)
         ends[np.cumsum(sizes) - 1] = True
@@ -103,10 +100,17 @@ def _inside(text: np.ndarray, k: int) -> np.ndarray:
     return text[k:] == text[: max(0, len(text) - k)]
 
 
+def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often they occur."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
+
+
 def _merged(parts: list[tuple]) -> tuple:
-    """Rows of equal first columns as one, with the last columns' sum."""
+    """Rows of equal first columns as one, with the last columns' sum; the first column tells the others but the last."""
     columns = [np.concatenate(c) for c in zip(*parts)]
-    order = np.argsort(columns[0], kind="stable")
+    order = np.argsort(columns[0])
     keys = columns[0][order]
     first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
     total = np.add.reduceat(columns[-1][order], first) if len(first) else np.zeros(0, np.int64)
@@ -115,11 +119,11 @@ def _merged(parts: list[tuple]) -> tuple:
 
 
 def _gathered(parts: Iterator[tuple]) -> Iterator[tuple]:
-    """The merged parts, handed on whenever many distinct keys are held."""
+    """The parts, which are merged each, as few; handed on whenever many distinct keys are held."""
     kept: list[tuple] = []
     held = 0
     for part in parts:
-        kept.append(_merged([part]))
+        kept.append(part)
         held += len(kept[-1][0])
         if held > 4 * FLUSH:
             kept = [_merged(kept)]
@@ -142,12 +146,14 @@ def _batches(columns: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
 #: Kinds of rows that go to a range of keys: what is looked up, what looks, then what only passes.
 LOOK, RUN = 0, 1
 WEIGHT, ASK, OWN = 0, 1, 2
+#: Weights of a large share, bits of the bitmap of longer runs, suffixes of states.
+HOT, BIT, SUFFIX = 3, 4, 5
 PACKED = "range int, kind int, batch long, blob binary"
 
 
 def _packed(kind: int, ranges: int, columns: tuple, batch: int | None = None) -> pa.RecordBatch:
     """Rows of 64-bit values by the range that their first lies in."""
-    order = np.argsort(columns[0].view(U), kind="stable")
+    order = np.argsort(columns[0].view(U))
     columns = [c[order] for c in columns]
     cuts = [0, *np.searchsorted(columns[0].view(U), range_bounds(ranges)).tolist(), len(order)]
     some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
@@ -200,7 +206,7 @@ def _whole(parts: tuple[list, list]) -> tuple[list, list]:
     table, rows = ([np.concatenate(c) for c in zip(*x)] for x in parts)
     for x in parts:
         x.clear()
-    order = np.argsort(table[0], kind="stable")
+    order = np.argsort(table[0])
     return [c[order] for c in table], rows
 
 
@@ -211,11 +217,30 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
+class Index:
+    """Sorted keys that are found by their first bits, wherever the wanted lie."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = np.append(keys, ~U(0)), U(62 - len(keys).bit_length())
+        firsts = np.arange(1 << (64 - int(self.shift)), dtype=U) << self.shift
+        self.starts = np.searchsorted(keys, firsts).astype(np.int32)
+
+    def found(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.starts[wanted >> self.shift]
+        there = self.keys[at]
+        left = np.flatnonzero(there < wanted)
+        while len(left):
+            at[left] += 1
+            there[left] = self.keys[at[left]]
+            left = left[there[left] < wanted[left]]
+        return at, (there == wanted) & (at < len(self.keys) - 1)
+
+
 # counting --------------------------------------------------------------------------------------
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = ((r[3][0], np.ones(len(r[3][0]), np.int64)) for b in batches for r in _runs(b, 1))
+    parts = (_tally(r[3][0]) for b in batches for r in _runs(b, 1))
     for part in _gathered(parts):
         yield from _batches(part, ["key", "n"])
 
@@ -233,8 +258,7 @@ def _sketch_pairs(batches: Iterator[pa.RecordBatch], maps, ranges: int) -> Itera
     def parts():
         for b in batches:
             for _, _, text, (one, two) in _runs(b, 2):
-                two = two[_pairs(one, text, words)] >> U(64 - SKETCH_BITS)
-                yield two, np.ones(len(two), np.int64)
+                yield _tally(two[_pairs(one, text, words)] >> U(64 - SKETCH_BITS))
 
     for keys, n in _gathered(parts()):
         cuts = [0, *np.searchsorted(keys, bounds >> U(64 - SKETCH_BITS)).tolist(), len(keys)]
@@ -251,15 +275,14 @@ def _seen_twice(table: pa.Table) -> pa.Table:
     same = np.zeros(len(keys) + 1, dtype=bool)
     same[1:-1] = keys[1:] == keys[:-1]
     keys = keys[(coded & U(1)).astype(bool) | same[:-1] | same[1:]]
-    words, bits = words_of(keys >> U(SKETCH_BITS - BITS))
-    return pa.table({"at": pa.array(words.view(np.int64)), "bits": pa.array(bits.view(np.int64))})
+    return pa.Table.from_batches([part_rows(keys << U(64 - SKETCH_BITS))])
 
 
 def _pair_bitmap(train: DataFrame, words, n_tokens: int) -> Bitmap:
     """A bitmap with all pairs that occur twice; at most 2^(BITS - 6) words come to the driver."""
     ranges = max(1, -(-n_tokens // RANGE_KEYS))
     blobs = train.mapInArrow(partial(_sketch_pairs, maps=words, ranges=ranges), "range int, blob binary")
-    return gathered(blobs.groupBy("range").applyInArrow(_seen_twice, "at long, bits long"))
+    return joined(blobs.groupBy("range").applyInArrow(_seen_twice, PART))
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int, part: int, slices: int, ranges: int) -> Iterator[pa.RecordBatch]:
@@ -275,7 +298,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch], maps, depth: int, part: int,
                     may = has(shorter, keys[depth - 1])
                     ok = may[1:] & may[:-1] & _inside(text, depth)
                 i = np.flatnonzero(ok & (keys[depth - 1][: len(ok)] % U(slices) == part))
-                yield keys[depth][i], keys[depth - 1][i], keys[depth - 1][i + 1], np.ones(len(i), np.int64)
+                yield _merged([(keys[depth][i], keys[depth - 1][i], keys[depth - 1][i + 1], np.ones(len(i), np.int64))])
 
     for key, ctx, low, n in _gathered(parts()):
         yield _packed(RUN, ranges, (low, key, ctx, n))
@@ -306,8 +329,11 @@ def _slice(key: str, part: int):
 LEVEL = "key long, ctx long, low long, n long, p double, value double, diverges boolean, total long, back double, suffix long"
 
 
-def _value_runs(batches: Iterator[pa.RecordBatch], kl: float, kappa: float, last: bool) -> Iterator[pa.RecordBatch]:
-    """What a run corrects, and its context's total, weight of falling back, and whether it diverges."""
+def _valued(batches: Iterator[pa.RecordBatch], kl: float, kappa: float) -> Iterator[tuple]:
+    """What runs correct, and their contexts' totals, weights of falling back, and whether they diverge.
+
+    By range: columns of the runs, the first run of each context, and columns of the contexts.
+    """
     for (known, totals, lows), (ctx, key, low, n, under) in _met(batches, 3, 5):
         order = np.lexsort((key, ctx))
         at, hit = _found(known, ctx[order])
@@ -327,18 +353,22 @@ def _value_runs(batches: Iterator[pa.RecordBatch], kl: float, kappa: float, last
         some = rest > 0
         gain[some] += rest[some] * (np.log(rest[some]) - np.log(uncovered[some]))
         left = of - stored + kappa
-        back, diverges = np.log10(left / (of + kappa)), np.repeat(gain >= kl, sizes)
+        back = np.log10(left / (of + kappa))
         p = np.log10((n + np.repeat(left, sizes) * shorter) / (total + kappa))
         value = p - under - np.repeat(back, sizes)
+        yield (key, ctx, low, n, p, value), first, (of, back, lows[at[first]], gain >= kl)
+
+
+def _value_runs(batches: Iterator[pa.RecordBatch], kl: float, kappa: float) -> Iterator[pa.RecordBatch]:
+    for (key, ctx, low, n, p, value), first, (of, back, suffix, diverges) in _valued(batches, kl, kappa):
+        sizes = np.diff(first, append=len(ctx))
         others = np.ones(len(ctx), dtype=bool)
         others[first] = False
         at_first = lambda x: pa.array(np.repeat(x, sizes), mask=others)
-        unread = np.full(len(ctx), last)  # no longer runs ask for these
         whole = pa.RecordBatch.from_arrays(
             [
-                pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(low.view(np.int64), mask=unread),
-                pa.array(n), pa.array(p, mask=unread), pa.array(value, mask=unread & ~diverges), pa.array(diverges),
-                at_first(of), at_first(back), at_first(lows.view(np.int64)[at[first]]),
+                *(pa.array(c.view(np.int64)) for c in (key, ctx, low, n)), pa.array(p), pa.array(value),
+                pa.array(np.repeat(diverges, sizes)), at_first(of), at_first(back), at_first(suffix.view(np.int64)),
             ],
             [c.split()[0] for c in LEVEL.split(", ")],
         )
@@ -346,13 +376,23 @@ def _value_runs(batches: Iterator[pa.RecordBatch], kl: float, kappa: float, last
             yield whole.slice(begin, SENT_ROWS)
 
 
+def _weigh_runs(batches: Iterator[pa.RecordBatch], kl: float, kappa: float, depth: int, pack_weights) -> Iterator[pa.RecordBatch]:
+    """The weights of the longest runs and of their contexts, which nothing but texts asks for."""
+    for (key, ctx, _, n, _, value), first, (of, back, suffix, diverges) in _valued(batches, kl, kappa):
+        state = np.repeat(diverges, np.diff(first, append=len(ctx)))
+        yield from pack_weights(key[state], True, n[state], value[state])
+        yield from pack_weights(ctx[first][diverges], depth > 1, of[diverges], back[diverges])
+        if depth > 1 and diverges.any():
+            yield _blobs([0], [SUFFIX], [None], [pack(np.unique(suffix[diverges]))])
+
+
 def _level(
-    runs: DataFrame, lower: DataFrame, keep: Tables, part: int, floor: float, kl: float, kappa: float, ranges: int, last: bool,
+    runs: DataFrame, lower: DataFrame, keep: Tables, part: int, floor: float, value, ranges: int, schema: str,
 ) -> DataFrame:
-    """A slice's ``runs`` with candidate contexts: own log10 probability, what an entry corrects, and the context's."""
+    """A slice's ``runs`` with candidate contexts, as ``value`` has them."""
     totals = lower.filter(F.col("n") >= floor).filter(_slice("key", part)).select("key", "n", "low")
     met = _sent(totals, LOOK, ranges).union(_sent(runs.select("ctx", "key", "low", "n", "under"), RUN, ranges))
-    out = keep(_by_range(met, ranges).mapInArrow(partial(_value_runs, kl=kl, kappa=kappa, last=last), LEVEL))
+    out = keep(_by_range(met, ranges).mapInArrow(value, schema))
     free(keep.spark)
     return out
 
@@ -361,28 +401,77 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
 
-def _weights(words: DataFrame, levels: list[DataFrame], keep: Tables) -> DataFrame:
-    """(key, longer, n, count, value): what a run of the key adds to a text's score, in one or two rows.
-    ``count`` is a word's own, in one row.
+def _pack_weights(
+    key: np.ndarray, longer: bool, n: np.ndarray, value: np.ndarray, shares: tuple[float, float], ranges: int,
+    count: np.ndarray | None = None,
+) -> Iterator[pa.RecordBatch]:
+    """What runs of the keys add to a text's score: packed, those of a large share apart, and the bits of longer runs' keys.
 
-    Every token has the log probability of an unknown word already; a word adds the logarithm
-    of its count + 1 to that.
+    A key has one or two rows; ``count`` is a word's own, in one row.
     """
-    c, forced, out = F.col, None, []
-    for depth in range(len(levels), 0, -1):
-        states = levels[depth - 1].filter("diverges")
-        if forced is not None:  # the suffixes of longer states are states, too
-            others = levels[depth - 1].filter("NOT diverges").join(forced, "ctx", "left_semi")
-            states = states.union(keep(others.select(*states.columns)))
-            free(keep.spark)
-        contexts = states.filter("back IS NOT NULL")
-        none = F.lit(0).cast("long").alias("count")
-        out.append(states.select("key", F.lit(True).alias("longer"), "n", none, "value"))
-        out.append(contexts.select(c("ctx").alias("key"), F.lit(depth > 1).alias("longer"), c("total").alias("n"), none, c("back").alias("value")))
-        if depth > 1:
-            forced = keep(contexts.select(c("suffix").alias("ctx")).distinct())
-            free(keep.spark)
-    return _union([words.select("key", F.lit(False).alias("longer"), "n", c("n").alias("count"), F.log10(c("n") + 1).alias("value")), *out])
+    if not len(key):
+        return
+    columns = (key, np.zeros(len(key), np.int64) if count is None else count, value)
+    hot = n >= shares[longer]
+    for kind, some in ((HOT, hot), (WEIGHT, ~hot)):
+        if some.any():
+            yield _packed(kind, 1 if kind == HOT else ranges, [c[some] for c in columns])
+    if longer:
+        parts, blobs = parts_of(key)
+        yield _blobs(parts, [BIT] * len(parts), [None] * len(parts), blobs)
+
+
+def _weigh_words(batches: Iterator[pa.RecordBatch], pack_weights) -> Iterator[pa.RecordBatch]:
+    """Every token has the log probability of an unknown word already; a word adds the logarithm of its count + 1."""
+    for key, n in _in_bulk(batches):
+        yield from pack_weights(key.view(U), False, n, np.log10(n + 1.0), count=n)
+
+
+def _weigh_states(batches: Iterator[pa.RecordBatch], depth: int, pack_weights) -> Iterator[pa.RecordBatch]:
+    for key, n, value, ctx, total, back in _in_bulk(batches):
+        yield from pack_weights(key.view(U), True, n, value)
+        first = total > 0
+        yield from pack_weights(ctx.view(U)[first], depth > 1, total[first], back[first])
+
+
+def _in_bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of many rows; nulls are 0."""
+    held, n = [], 0
+    for b in batches:
+        held.append([(pc.fill_null(c, 0) if c.null_count else c).to_numpy() for c in b.columns])
+        n += b.num_rows
+        if n > ASKED:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _unpack_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for blob in b.column("blob"):
+            yield from _batches((unpack(blob.as_py(), 1)[0],), ["ctx"])
+
+
+def _weights(words: DataFrame, levels: list[list[DataFrame]], keep: Tables, pack_weights) -> DataFrame:
+    """Packed rows of all weights; the slices of the last level are packed already."""
+    out, forced = [*levels[-1]], None
+    for depth in range(len(levels) - 1, 0, -1):
+        if forced is None:
+            forced = _union(levels[-1]).filter(F.col("kind") == SUFFIX).select("blob").mapInArrow(_unpack_keys, "ctx long")
+        forced = keep(forced.distinct())  # the suffixes of longer states are states, too
+        free(keep.spark)
+        level = _union(levels[depth - 1])
+        states = level.filter("diverges")
+        others = level.filter("NOT diverges").join(forced, "ctx", "left_semi")
+        states = states.union(keep(others.select(*states.columns)))
+        free(keep.spark)
+        weigh = partial(_weigh_states, depth=depth, pack_weights=pack_weights)
+        out.append(keep(states.select("key", "n", "value", "ctx", "total", "back").mapInArrow(weigh, PACKED)))
+        forced = states.filter("back IS NOT NULL").select(F.col("suffix").alias("ctx"))
+    out.append(keep(words.select("key", "n").mapInArrow(partial(_weigh_words, pack_weights=pack_weights), PACKED)))
+    keep.drop_but(*out)
+    return _union(out)
 
 
 # scoring ---------------------------------------------------------------------------------------
@@ -411,7 +500,7 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
     """What texts have without a look-up, and what they ask, coded by range."""
     from pyspark import TaskContext
 
-    words, longer, hot = model.value
+    words, longer, (hot, base_of, score_of) = model.value
     bounds, number = range_bounds(ranges), TaskContext.get().partitionId() << 33
     own, keys, texts, asked, n_texts = [], [], [], 0, 0
 
@@ -437,11 +526,11 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
                 if k:
                     some = np.flatnonzero(_inside(text, k) & has(longer, run))
                     run, of = run[some], of[some]
-                at, hit = _found(hot[0], run)
-                score += np.bincount(of[hit], weights=hot[2][at[hit]], minlength=n)
+                at, hit = hot.found(run)
+                score += np.bincount(of[hit], weights=score_of[at[hit]], minlength=n)
                 run, left = run[~hit], of[~hit]
                 if not k:
-                    base += np.bincount(of[hit], weights=hot[1][at[hit]], minlength=n)
+                    base += np.bincount(of[hit], weights=base_of[at[hit]], minlength=n)
                     # a training text's word that is not in the bitmap occurs here only
                     here = ~held[left] & ~has(words, run)
                     met = np.bincount(left[here], minlength=n)
@@ -463,7 +552,7 @@ def _ask(batches: Iterator[pa.RecordBatch], model, depth: int, nothing: float, r
 
 def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
     """Rows (key, count, value) with one row for a key."""
-    order = np.argsort(columns[0], kind="stable")
+    order = np.argsort(columns[0])
     key, count, value = (c[order] for c in columns)
     first = np.flatnonzero(np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]]))
     if not len(first):
@@ -494,10 +583,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sums(batch: int, wanted: np.ndarray, texts: np.ndarray, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     at, hit = _found(keys, wanted)
     at, texts = at[hit], texts[hit]
-    distinct, place = np.unique(texts, return_inverse=True)
-    n = counts[at]  # 0 for runs
-    sums = [np.bincount(place, weights=w, minlength=len(distinct)) for w in ((n > 0).astype(float), np.log10(n + 1.0), values[at])]
-    known, base, score = sums if len(distinct) else [np.zeros(0)] * 3
+    texts, n = texts.astype(np.int64), counts[at]  # 0 for runs
+    distinct = np.flatnonzero(np.bincount(texts))
+    known, base, score = (np.bincount(texts, weights=w)[distinct] for w in (n > 0, np.log10(n + 1.0), values[at]))
     return _rows(_ANSWERED, _TYPES, {
         "batch": [batch], "texts": [distinct.astype(np.uint32).tobytes()],
         "known": [known.astype(np.uint32).tobytes()], "base": [base.tobytes()], "score": [score.tobytes()],
@@ -523,7 +611,7 @@ def _together(table: pa.Table) -> pa.Table:
 
 def _asked(texts: DataFrame, weights: DataFrame, model, depth: int, nothing: float, ranges: int) -> DataFrame:
     asks = texts.mapInArrow(partial(_ask, model=model, depth=depth, nothing=nothing, ranges=ranges), PACKED)
-    sent = _sent(weights.select("key", "count", "value"), WEIGHT, ranges).union(asks)
+    sent = weights.filter(F.col("kind") == WEIGHT).union(asks)
     met = _by_range(sent, ranges).mapInArrow(_answer, ANSWERED)
     return met.groupBy("batch").applyInArrow(_together, SCORED)
 
@@ -550,45 +638,44 @@ def score_texts(
     free(spark)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = F.col("n") >= LEAST
-    words = bitmap(counts.filter(often))
+    words = bits_of(counts.filter(often).select("key"))
     lower = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"), F.lit(0).cast("long").alias("low"))
     floor, levels = max(float(LEAST), p_context * n), []
-    least = spark.sparkContext.defaultParallelism
-    ranges = max(least, -(-n // RANGE_KEYS))
+    ranges = max(spark.sparkContext.defaultParallelism, -(-n // RANGE_KEYS))
+    pack_weights = partial(_pack_weights, shares=(p_word * n, p_entry * n), ranges=ranges)
     sent = send(words)
     shorter = _pair_bitmap(train, sent, n)
     sent.destroy()
     for k in range(1, depth + 1):
         maps, levelled = send((words, shorter)), []
+        if k < depth:
+            value, schema = partial(_value_runs, kl=kl, kappa=kappa), LEVEL
+        else:
+            value, schema = partial(_weigh_runs, kl=kl, kappa=kappa, depth=k, pack_weights=pack_weights), PACKED
         for part in range(SLICES):  # only a slice's shuffles are on disk at a time
             count = partial(_count_runs, maps=maps, depth=k, part=part, slices=SLICES, ranges=ranges)
             met = _sent(lower.filter(often).select("key", "p"), LOOK, ranges).union(train.mapInArrow(count, PACKED))
             runs = keep(_by_range(met, ranges).mapInArrow(_sum_runs, RUNS))
             free(spark)
-            levelled.append(_level(runs, lower, keep, part, floor, kl, kappa, ranges, k == depth))
+            levelled.append(_level(runs, lower, keep, part, floor, value, ranges, schema))
             keep.drop(runs)
         maps.destroy()
-        levels.append(_union(levelled))
-        lower = levels[-1].select("key", "n", "p", "low")
+        levels.append(levelled)
         if k < depth:
-            shorter = bitmap(lower)
+            lower = _union(levelled).select("key", "n", "p", "low")
+            shorter = bits_of(lower.select("key"))
     nothing = -math.log10(n + v + 1)
-    weights = _weights(counts, levels, keep)
-    share = F.when(F.col("longer"), F.lit(p_entry * n)).otherwise(F.lit(p_word * n))
-    hot = weights.filter(F.col("n") >= share).select("key", "count", "value").toArrow()
-    key, count, value = (hot.column(c).to_numpy() for c in ("key", "count", "value"))
-    key, count, value = _summed([key.view(U), count, value])
-    hot = (key, np.log10(count + 1.0), value)
-    model = send((words, bitmap(weights.filter("longer")), hot))
-    rare = weights.filter(F.col("n") < share)
-    ranges = max(least, -(-rare.count() // RANGE_WEIGHTS))
-    scored = []
-    for part in range(TEXT_SLICES):
-        mine = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(TEXT_SLICES)) == part)
-        scored.append(keep(_asked(mine, rare, model, depth, nothing, ranges)))
-        free(spark)
+    weights = _weights(counts, levels, keep, pack_weights)
+    longer = joined(weights.filter(F.col("kind") == BIT).select(F.col("range").alias("part"), "blob"))
+    hot = weights.filter(F.col("kind") == HOT).select("blob").toArrow().column("blob").to_pylist()
+    hot = [(np.zeros(0, U), np.zeros(0, U), np.zeros(0, U)), *(unpack(blob, 3) for blob in hot)]
+    key, count, value = (np.concatenate(c) for c in zip(*hot))
+    key, count, value = _summed([key, count.view(np.int64), value.view(float)])
+    model = send((words, longer, (Index(key), np.log10(count + 1.0), value)))
+    scored = keep(_asked(texts, weights, model, depth, nothing, ranges))
+    free(spark)
     model.destroy()
-    keep.drop_but(*scored)
-    return _union(scored).select(
+    keep.drop_but(scored)
+    return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -88,6 +88,49 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.diff(bounds)
 
 
+_SOLID = bytes(0 if _SPACE[i] else 1 for i in range(256))
+_LOWER = bytes(i + 32 if 65 <= i < 91 else i for i in range(256))
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
+#: Bytes of a word from which ``word_keys`` takes its polynomial hash.
+LONG_WORD = 128
+
+
+def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``word_hashes``, by other hashes that take eight bytes of a word at once."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    raw = data.tobytes()
+    solid = np.frombuffer(b"\0" + raw.translate(_SOLID) + b"\0", dtype=bool)
+    inner = np.unique(offsets[(offsets > 0) & (offsets < n)])
+    joints = inner[solid[inner] & solid[inner + 1]]  # a text ends and another begins without a space
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    if len(joints):
+        edges = np.sort(np.concatenate([edges, joints, joints]))
+    starts, ends = edges[::2], edges[1::2]
+    eights = np.frombuffer(raw.translate(_LOWER) + b"\0" * (16 - n % 8), dtype="<u8")
+    sizes = ends - starts
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The bytes from ``at``, eight at most."""
+        i, shift = at >> 3, ((at & 7) << 3).astype(U)
+        both = (eights[i] >> shift) | (eights[i + 1] << U(1) << (U(63) - shift))
+        return both & _FIRST[np.minimum(left, 8)]
+
+    hashes = mix(eight(starts, sizes) + sizes.astype(U) * _BASE)
+    more = np.flatnonzero(sizes > 8)
+    if len(more) and sizes[more].max() >= LONG_WORD:
+        polynomial = np.flatnonzero(sizes >= LONG_WORD)
+        hashes[polynomial] = word_hashes(data, offsets)[0][polynomial]
+        more = more[sizes[more] < LONG_WORD]
+    done = 8
+    while len(more):
+        hashes[more] = mix(hashes[more] * _INVERSE + eight(starts[more] + done, sizes[more] - done))
+        done += 8
+        more = more[sizes[more] > done]
+    return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
 _PLACE = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)
 
 
