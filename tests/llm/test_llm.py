@@ -854,15 +854,17 @@ def test_lm_packs_its_weights_once(spark, sf_dir, monkeypatch):
     from treelens.llm import bitmaps
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(120)
-    asked, seen = lm._asked, []
+    asked, seen, level, levels = lm._asked, [], lm._level, []
+    monkeypatch.setattr(lm, "_level", lambda *x: levels.append(1) or level(*x))
 
     def spied(texts, weights, *rest):
-        rows = weights.collect()
-        seen.append([(r.kind, len(lm.unpack(r.blob, 3)[0])) for r in rows if r.kind in (lm.WEIGHT, lm.HOT)])
+        rows = [r for table in weights for r in table.filter(f"kind IN ({lm.WEIGHT}, {lm.HOT})").collect()]
+        seen.append([(r.kind, len(lm.unpack(r.blob, 3)[0])) for r in rows])
         return asked(texts, weights, *rest)
 
     monkeypatch.setattr(lm, "_asked", spied)
     lm.score_texts(docs, p_word=1e-3, p_entry=1e-3)
+    assert len(levels) == 3  # the texts are read once for pairs, twice for longer runs
     packed = seen[0]
     assert {k for k, _ in packed} == {lm.WEIGHT, lm.HOT} and sum(n for _, n in packed) > 20 * len(packed)
     keys = spark.range(0, 200_000, 1, 4).selectExpr("xxhash64(id) AS key")

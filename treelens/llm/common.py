@@ -48,11 +48,11 @@ class Tables:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.what, self.kept = spark, what, []
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back, which cuts its lineage."""
+    def __call__(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write ``df`` and read it back, which cuts its lineage; with a folder for each value of ``by``."""
         path = scratch(self.spark, self.what)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path).select(*own(df))
         self.kept.append((out, path))
         return out
 
@@ -62,6 +62,12 @@ class Tables:
             delete(self.spark, path)
             self.kept = [x for x in self.kept if x[1] != path]
 
+    def drop_folders(self, table: DataFrame, *folders: str) -> None:
+        """Delete what ``table`` has in folders that nothing reads any more."""
+        for path in [path for out, path in self.kept if out is table]:
+            for folder in folders:
+                delete(self.spark, f"{path}/{folder}")
+
     def drop_but(self, *tables: DataFrame) -> None:
         """Delete all files but those of ``tables``."""
         self.drop(*(out for out, _ in self.kept if not any(out is t for t in tables)))

@@ -18,6 +18,7 @@ delta-coded hashes of 39 bits, from which a bitmap of what may occur ``LEAST`` t
 made; exact counts follow for those. Longer runs are counted if their parts occur often
 enough. Runs go to ranges of keys sorted and packed, many to a row: to the range of the run without its first
 word, where they are summed and meet its probability, then to the range of their context, where they meet its total.
+From there each kind of packed rows has a folder: weights, what longer runs ask for, and what may yet become a state.
 
 A text's score is a sum over its runs: a word adds its log frequency and, as a state, the
 weight of falling back; a longer run adds what it corrects. So the texts ask the table:
@@ -40,12 +41,11 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles as S
-from treelens.llm.bitmaps import BITS, PART, Bitmap, bits_of, has, joined, part_rows, parts_of
+from treelens.llm.bitmaps import PART, Bitmap, has, joined, part_rows, parts_of
 from treelens.llm.coded import code, decode, pack, range_bounds, unpack
 from treelens.llm.common import Tables, free, ship
 
@@ -59,7 +59,10 @@ FLUSH = 400_000
 #: Rows of a batch that goes to the JVM, which holds a batch outside its heap.
 SENT_ROWS = 1 << 16
 #: Slices of the contexts of a depth that are counted and joined one after the other; a power of two.
-SLICES = 2
+#: There are more longer runs: their contexts are in ``DEEPER`` times as many.
+SLICES, DEEPER = 1, 2
+#: Slices of the texts that are scored one after the other, so that only a slice's questions are on disk at a time.
+TEXT_SLICES = 2
 #: Bits of a hash in the first count of pairs, and keys in a range of hashes, on average.
 SKETCH_BITS, RANGE_KEYS = 39, 4_000_000
 #: Look-ups and texts of a batch that asks the table, at most; a longer text is a batch of its own.
@@ -109,7 +112,7 @@ def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _merged(parts: list[tuple]) -> tuple:
     """Rows of equal first columns as one, with the last columns' sum; the first column tells the others but the last."""
-    columns = [np.concatenate(c) for c in zip(*parts)]
+    columns = [np.concatenate(c) for c in zip(*parts)] if len(parts) > 1 else parts[0]
     order = np.argsort(columns[0])
     keys = columns[0][order]
     first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
@@ -146,12 +149,14 @@ def _batches(columns: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
 #: Kinds of rows that go to a range of keys: what is looked up, what looks, then what only passes.
 LOOK, RUN = 0, 1
 WEIGHT, ASK, OWN = 0, 1, 2
-#: Weights of a large share, bits of the bitmap of longer runs, suffixes of states.
-HOT, BIT, SUFFIX = 3, 4, 5
+#: Weights of a large share, bits of the bitmap of longer runs, suffixes of states, runs whose contexts do not diverge.
+HOT, BIT, SUFFIX, OTHER = 3, 4, 5, 6
+#: What longer runs ask for: probabilities, totals by slices of the contexts, bits of all keys.
+KNOWN, TOTAL, KNOWN_BIT = 7, 8, 9
 PACKED = "range int, kind int, batch long, blob binary"
 
 
-def _packed(kind: int, ranges: int, columns: tuple, batch: int | None = None) -> pa.RecordBatch:
+def _packed(kind: int, ranges: int, columns: tuple | list, batch: int | None = None) -> pa.RecordBatch:
     """Rows of 64-bit values by the range that their first lies in."""
     order = np.argsort(columns[0].view(U))
     columns = [c[order] for c in columns]
@@ -167,23 +172,40 @@ def _blobs(ranges: list, kinds: list, batches: list, blobs: list) -> pa.RecordBa
     return pa.RecordBatch.from_arrays(columns, ["range", "kind", "batch", "blob"])
 
 
-def _send(batches: Iterator[pa.RecordBatch], kind: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """All columns of a table, packed."""
+def _in_bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of many rows."""
     held, n = [], 0
     for b in batches:
         held.append([c.to_numpy() for c in b.columns])
         n += b.num_rows
         if n > ASKED:
-            yield _packed(kind, ranges, [np.concatenate(c) for c in zip(*held)])
+            whole = [np.concatenate(c) for c in zip(*held)]
             held, n = [], 0
+            yield whole
     if n:
-        yield _packed(kind, ranges, [np.concatenate(c) for c in zip(*held)])
+        whole = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
+        yield whole
+
+
+def _send(batches: Iterator[pa.RecordBatch], kind: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """All columns of a table, packed."""
+    for columns in _in_bulk(batches):
+        yield _packed(kind, ranges, columns)
 
 
 def _sent(table: DataFrame, kind: int, ranges: int) -> DataFrame:
     return table.mapInArrow(partial(_send, kind=kind, ranges=ranges), PACKED)
 
 
+def _of(tables: list[DataFrame], kind: int, to: int, *more) -> DataFrame:
+    """Packed rows of a kind, as rows of another."""
+    table = _union(tables).filter(F.col("kind") == kind)
+    for condition in more:
+        table = table.filter(condition)
+    return table.select("range", F.lit(to).alias("kind"), "batch", "blob")
+
+
 def _by_range(sent: DataFrame, ranges: int) -> DataFrame:
     return sent.repartitionById(ranges, "range").sortWithinPartitions("range", "kind")
 
@@ -320,15 +342,6 @@ def _sum_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # the model -------------------------------------------------------------------------------------
 
 
-def _slice(key: str, part: int):
-    """Whether an unsigned key is of a slice."""
-    return F.pmod(F.col(key), F.lit(SLICES)) == part
-
-
-#: Runs, and on the first run of a context what holds for the context.
-LEVEL = "key long, ctx long, low long, n long, p double, value double, diverges boolean, total long, back double, suffix long"
-
-
 def _valued(batches: Iterator[pa.RecordBatch], kl: float, kappa: float) -> Iterator[tuple]:
     """What runs correct, and their contexts' totals, weights of falling back, and whether they diverge.
 
@@ -359,40 +372,70 @@ def _valued(batches: Iterator[pa.RecordBatch], kl: float, kappa: float) -> Itera
         yield (key, ctx, low, n, p, value), first, (of, back, lows[at[first]], gain >= kl)
 
 
-def _value_runs(batches: Iterator[pa.RecordBatch], kl: float, kappa: float) -> Iterator[pa.RecordBatch]:
+def _pack_known(
+    key: np.ndarray, n: np.ndarray, p: np.ndarray, low: np.ndarray, floor: float, slices: int, ranges: int,
+) -> Iterator[pa.RecordBatch]:
+    """What longer runs ask for of runs of the keys."""
+    if not len(key):
+        return
+    yield _packed(KNOWN, ranges, (key, p))
+    for part in range(slices):
+        some = (n >= floor) & (key % U(slices) == part)
+        if some.any():
+            yield _packed(TOTAL, ranges, [c[some] for c in (key, n, low)], part)
+    parts, blobs = parts_of(key)
+    yield _blobs(parts, [KNOWN_BIT] * len(parts), [None] * len(parts), blobs)
+
+
+def _weigh_words(batches: Iterator[pa.RecordBatch], total: float, pack_weights, pack_known) -> Iterator[pa.RecordBatch]:
+    """Every token has the log probability of an unknown word already; a word adds the logarithm of its count + 1."""
+    for key, n in _in_bulk(batches):
+        key = key.view(U)
+        yield from pack_weights(key, False, n, np.log10(n + 1.0), count=n)
+        often = n >= LEAST
+        key, n = key[often], n[often]
+        yield from pack_known(key, n, np.log10((n + 1) / total), np.zeros(len(key), U))
+
+
+def _weigh_runs(
+    batches: Iterator[pa.RecordBatch], kl: float, kappa: float, depth: int, ranges: int, pack_weights, pack_known,
+) -> Iterator[pa.RecordBatch]:
+    """The weights of runs and contexts that diverge; if there are longer runs, what those ask for, and the others."""
     for (key, ctx, low, n, p, value), first, (of, back, suffix, diverges) in _valued(batches, kl, kappa):
         sizes = np.diff(first, append=len(ctx))
-        others = np.ones(len(ctx), dtype=bool)
-        others[first] = False
-        at_first = lambda x: pa.array(np.repeat(x, sizes), mask=others)
-        whole = pa.RecordBatch.from_arrays(
-            [
-                *(pa.array(c.view(np.int64)) for c in (key, ctx, low, n)), pa.array(p), pa.array(value),
-                pa.array(np.repeat(diverges, sizes)), at_first(of), at_first(back), at_first(suffix.view(np.int64)),
-            ],
-            [c.split()[0] for c in LEVEL.split(", ")],
-        )
-        for begin in range(0, whole.num_rows, SENT_ROWS):
-            yield whole.slice(begin, SENT_ROWS)
-
-
-def _weigh_runs(batches: Iterator[pa.RecordBatch], kl: float, kappa: float, depth: int, pack_weights) -> Iterator[pa.RecordBatch]:
-    """The weights of the longest runs and of their contexts, which nothing but texts asks for."""
-    for (key, ctx, _, n, _, value), first, (of, back, suffix, diverges) in _valued(batches, kl, kappa):
-        state = np.repeat(diverges, np.diff(first, append=len(ctx)))
+        state = np.repeat(diverges, sizes)
         yield from pack_weights(key[state], True, n[state], value[state])
         yield from pack_weights(ctx[first][diverges], depth > 1, of[diverges], back[diverges])
         if depth > 1 and diverges.any():
-            yield _blobs([0], [SUFFIX], [None], [pack(np.unique(suffix[diverges]))])
+            yield _packed(SUFFIX, ranges, (np.unique(suffix[diverges]),))
+        if pack_known is not None:
+            yield from pack_known(key, n, p, low)
+            rest = np.flatnonzero(~state)
+            if len(rest):
+                at = np.repeat(np.arange(len(first)), sizes)[rest]
+                columns = [ctx[rest], key[rest], n[rest], value[rest], of[at], back[at], suffix[at]]
+                yield _packed(OTHER, ranges, columns)
+
+
+def _weigh_forced(batches: Iterator[pa.RecordBatch], depth: int, ranges: int, pack_weights) -> Iterator[pa.RecordBatch]:
+    """The weights of runs and contexts that are states for the sake of longer ones."""
+    for (forced,), (ctx, *columns) in _met(batches, 1, 7):
+        hit = _found(forced, ctx)[1]
+        if not hit.any():
+            continue
+        ctx, (key, n, value, of, back, suffix) = ctx[hit], (c[hit] for c in columns)
+        yield from pack_weights(key, True, n.view(np.int64), value.view(float))
+        ctx, first = np.unique(ctx, return_index=True)
+        yield from pack_weights(ctx, depth > 1, of[first].view(np.int64), back[first].view(float))
+        if depth > 1:
+            yield _packed(SUFFIX, ranges, (np.unique(suffix),))
 
 
-def _level(
-    runs: DataFrame, lower: DataFrame, keep: Tables, part: int, floor: float, value, ranges: int, schema: str,
-) -> DataFrame:
+def _level(runs: DataFrame, lower: list[DataFrame], keep: Tables, part: int, value, ranges: int) -> DataFrame:
     """A slice's ``runs`` with candidate contexts, as ``value`` has them."""
-    totals = lower.filter(F.col("n") >= floor).filter(_slice("key", part)).select("key", "n", "low")
-    met = _sent(totals, LOOK, ranges).union(_sent(runs.select("ctx", "key", "low", "n", "under"), RUN, ranges))
-    out = keep(_by_range(met, ranges).mapInArrow(value, schema))
+    totals = _of(lower, TOTAL, LOOK, F.col("batch") == part)
+    met = totals.union(_sent(runs.select("ctx", "key", "low", "n", "under"), RUN, ranges))
+    out = keep(_by_range(met, ranges).mapInArrow(value, PACKED), "kind")
     free(keep.spark)
     return out
 
@@ -421,57 +464,17 @@ def _pack_weights(
         yield _blobs(parts, [BIT] * len(parts), [None] * len(parts), blobs)
 
 
-def _weigh_words(batches: Iterator[pa.RecordBatch], pack_weights) -> Iterator[pa.RecordBatch]:
-    """Every token has the log probability of an unknown word already; a word adds the logarithm of its count + 1."""
-    for key, n in _in_bulk(batches):
-        yield from pack_weights(key.view(U), False, n, np.log10(n + 1.0), count=n)
-
-
-def _weigh_states(batches: Iterator[pa.RecordBatch], depth: int, pack_weights) -> Iterator[pa.RecordBatch]:
-    for key, n, value, ctx, total, back in _in_bulk(batches):
-        yield from pack_weights(key.view(U), True, n, value)
-        first = total > 0
-        yield from pack_weights(ctx.view(U)[first], depth > 1, total[first], back[first])
-
-
-def _in_bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of many rows; nulls are 0."""
-    held, n = [], 0
-    for b in batches:
-        held.append([(pc.fill_null(c, 0) if c.null_count else c).to_numpy() for c in b.columns])
-        n += b.num_rows
-        if n > ASKED:
-            yield [np.concatenate(c) for c in zip(*held)]
-            held, n = [], 0
-    if n:
-        yield [np.concatenate(c) for c in zip(*held)]
-
-
-def _unpack_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for blob in b.column("blob"):
-            yield from _batches((unpack(blob.as_py(), 1)[0],), ["ctx"])
-
-
-def _weights(words: DataFrame, levels: list[list[DataFrame]], keep: Tables, pack_weights) -> DataFrame:
-    """Packed rows of all weights; the slices of the last level are packed already."""
-    out, forced = [*levels[-1]], None
+def _forced(levels: list[list[DataFrame]], keep: Tables, ranges: int, pack_weights) -> None:
+    """To each level, the states that are suffixes of longer states."""
     for depth in range(len(levels) - 1, 0, -1):
-        if forced is None:
-            forced = _union(levels[-1]).filter(F.col("kind") == SUFFIX).select("blob").mapInArrow(_unpack_keys, "ctx long")
-        forced = keep(forced.distinct())  # the suffixes of longer states are states, too
-        free(keep.spark)
-        level = _union(levels[depth - 1])
-        states = level.filter("diverges")
-        others = level.filter("NOT diverges").join(forced, "ctx", "left_semi")
-        states = states.union(keep(others.select(*states.columns)))
+        met = _of(levels[depth], SUFFIX, LOOK).union(_of(levels[depth - 1], OTHER, RUN))
+        weigh = partial(_weigh_forced, depth=depth, ranges=ranges, pack_weights=pack_weights)
+        levels[depth - 1].append(keep(_by_range(met, ranges).mapInArrow(weigh, PACKED), "kind"))
         free(keep.spark)
-        weigh = partial(_weigh_states, depth=depth, pack_weights=pack_weights)
-        out.append(keep(states.select("key", "n", "value", "ctx", "total", "back").mapInArrow(weigh, PACKED)))
-        forced = states.filter("back IS NOT NULL").select(F.col("suffix").alias("ctx"))
-    out.append(keep(words.select("key", "n").mapInArrow(partial(_weigh_words, pack_weights=pack_weights), PACKED)))
-    keep.drop_but(*out)
-    return _union(out)
+
+
+def _bits(tables: list[DataFrame], kind: int) -> Bitmap:
+    return joined(_of(tables, kind, kind).select(F.col("range").alias("part"), "blob"))
 
 
 # scoring ---------------------------------------------------------------------------------------
@@ -609,9 +612,9 @@ def _together(table: pa.Table) -> pa.Table:
     return own
 
 
-def _asked(texts: DataFrame, weights: DataFrame, model, depth: int, nothing: float, ranges: int) -> DataFrame:
+def _asked(texts: DataFrame, weights: list[DataFrame], model, depth: int, nothing: float, ranges: int) -> DataFrame:
     asks = texts.mapInArrow(partial(_ask, model=model, depth=depth, nothing=nothing, ranges=ranges), PACKED)
-    sent = weights.filter(F.col("kind") == WEIGHT).union(asks)
+    sent = _of(weights, WEIGHT, WEIGHT).union(asks)
     met = _by_range(sent, ranges).mapInArrow(_answer, ANSWERED)
     return met.groupBy("batch").applyInArrow(_together, SCORED)
 
@@ -638,44 +641,55 @@ def score_texts(
     free(spark)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = F.col("n") >= LEAST
-    words = bits_of(counts.filter(often).select("key"))
-    lower = counts.select("key", "n", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("p"), F.lit(0).cast("long").alias("low"))
-    floor, levels = max(float(LEAST), p_context * n), []
+    floor, slices = max(float(LEAST), p_context * n), [SLICES, *[SLICES * DEEPER] * (depth - 1)]
     ranges = max(spark.sparkContext.defaultParallelism, -(-n // RANGE_KEYS))
     pack_weights = partial(_pack_weights, shares=(p_word * n, p_entry * n), ranges=ranges)
+    pack_known = [partial(_pack_known, floor=floor, slices=x, ranges=ranges) for x in slices]
+    weigh = partial(_weigh_words, total=float(n + v + 1), pack_weights=pack_weights, pack_known=pack_known[0])
+    lower, levels = [keep(counts.select("key", "n").mapInArrow(weigh, PACKED), "kind")], []
+    all_words = lower[0]
+    keep.drop(counts)
+    words = _bits(lower, KNOWN_BIT)
     sent = send(words)
     shorter = _pair_bitmap(train, sent, n)
     sent.destroy()
     for k in range(1, depth + 1):
         maps, levelled = send((words, shorter)), []
-        if k < depth:
-            value, schema = partial(_value_runs, kl=kl, kappa=kappa), LEVEL
-        else:
-            value, schema = partial(_weigh_runs, kl=kl, kappa=kappa, depth=k, pack_weights=pack_weights), PACKED
-        for part in range(SLICES):  # only a slice's shuffles are on disk at a time
-            count = partial(_count_runs, maps=maps, depth=k, part=part, slices=SLICES, ranges=ranges)
-            met = _sent(lower.filter(often).select("key", "p"), LOOK, ranges).union(train.mapInArrow(count, PACKED))
+        known = pack_known[k] if k < depth else None
+        value = partial(_weigh_runs, kl=kl, kappa=kappa, depth=k, ranges=ranges, pack_weights=pack_weights, pack_known=known)
+        deeper = slices[k - 1] // SLICES
+        for part in (i * deeper + of for of in range(deeper) for i in range(SLICES)):  # only a slice's shuffles are on disk at a time
+            count = partial(_count_runs, maps=maps, depth=k, part=part, slices=slices[k - 1], ranges=ranges)
+            met = _of(lower, KNOWN, LOOK).union(train.mapInArrow(count, PACKED))
             runs = keep(_by_range(met, ranges).mapInArrow(_sum_runs, RUNS))
             free(spark)
-            levelled.append(_level(runs, lower, keep, part, floor, value, ranges, schema))
+            levelled.append(_level(runs, lower, keep, part, value, ranges))
             keep.drop(runs)
         maps.destroy()
+        for table in lower:
+            keep.drop_folders(table, *(f"kind={kind}" for kind in (KNOWN, TOTAL, KNOWN_BIT)))
         levels.append(levelled)
         if k < depth:
-            lower = _union(levelled).select("key", "n", "p", "low")
-            shorter = bits_of(lower.select("key"))
+            lower = [*levelled]
+            shorter = _bits(lower, KNOWN_BIT)
     nothing = -math.log10(n + v + 1)
-    weights = _weights(counts, levels, keep, pack_weights)
-    longer = joined(weights.filter(F.col("kind") == BIT).select(F.col("range").alias("part"), "blob"))
-    hot = weights.filter(F.col("kind") == HOT).select("blob").toArrow().column("blob").to_pylist()
+    _forced(levels, keep, ranges, pack_weights)
+    weights = [all_words, *(table for level in levels for table in level)]
+    for table in weights:
+        keep.drop_folders(table, f"kind={OTHER}")
+    longer = _bits(weights, BIT)
+    hot = _of(weights, HOT, HOT).select("blob").toArrow().column("blob").to_pylist()
     hot = [(np.zeros(0, U), np.zeros(0, U), np.zeros(0, U)), *(unpack(blob, 3) for blob in hot)]
     key, count, value = (np.concatenate(c) for c in zip(*hot))
     key, count, value = _summed([key, count.view(np.int64), value.view(float)])
     model = send((words, longer, (Index(key), np.log10(count + 1.0), value)))
-    scored = keep(_asked(texts, weights, model, depth, nothing, ranges))
-    free(spark)
+    scored = []
+    for part in range(TEXT_SLICES):
+        mine = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(TEXT_SLICES)) == part)
+        scored.append(keep(_asked(mine, weights, model, depth, nothing, ranges)))
+        free(spark)
     model.destroy()
-    keep.drop_but(scored)
-    return scored.select(
+    keep.drop_but(*scored)
+    return _union(scored).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
