@@ -52,7 +52,9 @@ class Tables:
         """Write ``df`` and read it back, which cuts its lineage; with a folder for each value of ``by``."""
         path = scratch(self.spark, self.what)
         (df.write.partitionBy(by) if by else df.write).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path).select(*own(df))
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if by:  # else it comes last
+            out = out.select(*own(df))
         self.kept.append((out, path))
         return out
 
